@@ -131,6 +131,17 @@ def plan(
     )
 
 
+def plan_upserts(desired: DataFrame, prior: DataFrame, keys: str | Sequence[str], **options) -> DataFrame:
+    """A plan without deletes: absence from *desired* says nothing.
+
+    Prior is first reduced to the desired keys.  When those are few, as in a
+    micro-batch, they are broadcast and the large table is not shuffled.
+    """
+    names = key_names(keys)
+    met = prior.join(desired.select(*names), names, "left_semi")
+    return plan(desired, met.select(*prior.columns), names, **options)
+
+
 def plan_destroy(prior: DataFrame, keys: str | Sequence[str]) -> DataFrame:
     """Every prior row becomes a delete; desired is not looked at."""
     names = key_names(keys)

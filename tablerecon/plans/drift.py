@@ -55,14 +55,16 @@ def drift(
     listed = F.when(gone, F.array().cast("array<string>")).otherwise(
         F.filter(flags, lambda n: n.isNotNull())
     )
-    staged = _joined(old, new, names, new_rest, "left").select(
+    compared = _joined(old, new, names, new_rest, "left").select(
         *names,
-        F.when(gone, "delete").when(F.size("changed_fields") > 0, "update").alias("action"),
+        gone.alias("__gone"),
         _struct({c: F.col(c) for c in old_rest}).alias("prior"),
         F.col("__new").alias("planned"),
         listed.alias("changed_fields"),
     )
-    return staged.filter(F.col("action").isNotNull())
+    hit = compared.filter(F.col("__gone") | (F.size("changed_fields") > 0))
+    action = F.when(F.col("__gone"), "delete").otherwise("update")
+    return hit.select(*names, action.alias("action"), "prior", "planned", "changed_fields")
 
 
 def refresh(

@@ -33,6 +33,7 @@ from tablerecon.plans.changes import (
     key_names,
     plan,
     plan_destroy,
+    plan_upserts,
     refuse_duplicates,
     summary_actionable,
 )
@@ -165,6 +166,7 @@ class TableStore:
         desired: DataFrame,
         variables: Variables | None = None,
         destroy: bool = False,
+        deletes: bool = True,
         check_keys: bool = True,
     ) -> Plan:
         at = self.require()
@@ -174,8 +176,15 @@ class TableStore:
         if destroy:
             changes, config = plan_destroy(prior, self.keys), None
         else:
-            changes = plan(
-                desired, prior, self.keys, self.strategies, self.ignore, self.null_desired, variables
+            build = plan if deletes else plan_upserts
+            changes = build(
+                desired,
+                prior,
+                self.keys,
+                strategies=self.strategies,
+                ignore=self.ignore,
+                null_desired=self.null_desired,
+                variables=variables,
             )
             config = config_digest(desired, ignore=self.ignore).first()["digest"]
         return Plan(changes, PlanMeta(at.lineage, at.serial, at.digest, config, destroy, _now()))

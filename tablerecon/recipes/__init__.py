@@ -40,6 +40,7 @@ def sql_recipe(spark: SparkSession, sql: str, inputs: Mapping[str, DataFrame]) -
         raise ValidationError(["a SQL recipe needs at least one input"])
     previous = spark.conf.get("spark.sql.variable.substitute", "true")
     spark.conf.set("spark.sql.variable.substitute", "false")
+    views: list[str] = []
     try:
         # Bind through private view names so that recipes cannot see each other's.
         tag = uuid.uuid4().hex[:8]
@@ -47,9 +48,13 @@ def sql_recipe(spark: SparkSession, sql: str, inputs: Mapping[str, DataFrame]) -
         for name, df in inputs.items():
             view = f"__in_{tag}_{re.sub(r'[^A-Za-z0-9_]', '_', name)}"
             df.createOrReplaceTempView(view)
+            views.append(view)
             ctes.append(f"`{name}` AS (SELECT * FROM {view})")
         return spark.sql(_with_inputs(sql, ctes))
     finally:
+        # The plan is analysed by now and no longer needs the views.
+        for view in views:
+            spark.catalog.dropTempView(view)
         spark.conf.set("spark.sql.variable.substitute", previous)
 
 

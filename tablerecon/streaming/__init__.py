@@ -66,9 +66,8 @@ def apply_batch(
     if not store.versions().filter(F.col("batch") == batch_id).isEmpty():
         return False
     desired = latest_per_key(batch, store.keys, order).drop(order)
-    made = store.plan(desired, check_keys=False)
-    upserts = made.changes.filter(F.col("action") != "delete")
-    store.apply(type(made)(upserts, made.meta), now=now, batch=batch_id)
+    made = store.plan(desired, deletes=False, check_keys=False)
+    store.apply(made, now=now, batch=batch_id)
     return True
 
 
