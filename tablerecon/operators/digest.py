@@ -27,23 +27,65 @@ def _piece(hashed: Column, i: int) -> Column:
     return F.conv(F.substring(hashed, 1 + i * PIECE_DIGITS, PIECE_DIGITS), 16, 10).cast("long")
 
 
-def bucket_digests(hashes: DataFrame, hash_col: str = "row_hash") -> DataFrame:
-    """``(bucket, rows, bucket_digest)``, at most 256 rows."""
+SUM_COLUMNS = [f"s{i}" for i in range(PIECES)]
+
+
+def bucket_sums(hashes: DataFrame, hash_col: str = "row_hash") -> DataFrame:
+    """``(bucket, rows, s0 ... s8)``, at most 256 rows."""
     h = F.col(hash_col)
-    sums = [F.sum(_piece(h, i)).alias(f"s{i}") for i in range(PIECES)]
-    grouped = hashes.groupBy(F.substring(h, 1, BUCKET_DIGITS).alias("bucket")).agg(
+    sums = [F.sum(_piece(h, i)).alias(c) for i, c in enumerate(SUM_COLUMNS)]
+    return hashes.groupBy(F.substring(h, 1, BUCKET_DIGITS).alias("bucket")).agg(
         F.count(F.lit(1)).alias("rows"), *sums
     )
-    line = F.concat_ws(
-        ":", "bucket", F.col("rows").cast("string"), *[F.col(f"s{i}").cast("string") for i in range(PIECES)]
-    )
-    return grouped.select("bucket", "rows", F.sha2(line, 256).alias("bucket_digest"))
+
+
+def shift_sums(base: DataFrame, added: DataFrame, removed: DataFrame) -> DataFrame:
+    """Bucket sums after rows came and went.
+
+    Sums are linear, so a table's new digest needs its changes only, not
+    another pass over the table.  Buckets that become empty drop out.
+    """
+    cols = ["rows", *SUM_COLUMNS]
+    minus = removed.select("bucket", *[(-F.col(c)).alias(c) for c in cols])
+    every = base.select("bucket", *cols).unionByName(added.select("bucket", *cols)).unionByName(minus)
+    return every.groupBy("bucket").agg(*[F.sum(c).alias(c) for c in cols]).filter("rows <> 0")
+
+
+def _lines(sums: DataFrame) -> DataFrame:
+    line = F.concat_ws(":", "bucket", *[F.col(c).cast("string") for c in ("rows", *SUM_COLUMNS)])
+    return sums.select("bucket", "rows", F.sha2(line, 256).alias("bucket_digest"))
+
+
+def bucket_digests(hashes: DataFrame, hash_col: str = "row_hash") -> DataFrame:
+    """``(bucket, rows, bucket_digest)``, at most 256 rows."""
+    return _lines(bucket_sums(hashes, hash_col))
 
 
 def _header(meta: Mapping[str, object]) -> str:
     return ",".join(f"{k}={meta[k]}" for k in sorted(meta))
 
 
+def hashed_rows(
+    df: DataFrame,
+    columns: Sequence[str] | None = None,
+    exclude: Sequence[str] = (),
+    sets: Sequence[str] = (),
+) -> DataFrame:
+    """One column ``row_hash``; see ``table_digest`` for the options."""
+    names = [c for c in (columns or df.columns) if c not in set(exclude)]
+    view = df.select(*[F.sort_array(c).alias(c) if c in sets else F.col(c) for c in names])
+    return view.select(row_hash(view).alias("row_hash"))
+
+
+def digest_of(sums: DataFrame, meta: Mapping[str, object] | None = None) -> DataFrame:
+    """One row ``(rows, digest)`` from bucket sums."""
+    lines = F.sort_array(F.collect_list(F.concat_ws(":", "bucket", "bucket_digest")))
+    body = F.concat(F.lit(_header(meta or {}) + "\n"), F.array_join(lines, "\n"))
+    return _lines(sums).agg(
+        F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"), F.sha2(body, 256).alias("digest")
+    )
+
+
 def table_digest(
     df: DataFrame,
     columns: Sequence[str] | None = None,
@@ -56,14 +98,7 @@ def table_digest(
     ``exclude`` leaves out columns such as timestamps; ``sets`` names list
     columns whose order does not matter.
     """
-    names = [c for c in (columns or df.columns) if c not in set(exclude)]
-    view = df.select(*[F.sort_array(c).alias(c) if c in sets else F.col(c) for c in names])
-    buckets = bucket_digests(view.select(row_hash(view).alias("row_hash")))
-    lines = F.sort_array(F.collect_list(F.concat_ws(":", "bucket", "bucket_digest")))
-    body = F.concat(F.lit(_header(meta or {}) + "\n"), F.array_join(lines, "\n"))
-    return buckets.agg(
-        F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"), F.sha2(body, 256).alias("digest")
-    )
+    return digest_of(bucket_sums(hashed_rows(df, columns, exclude, sets)), meta)
 
 
 def config_digest(

@@ -33,47 +33,57 @@ def _merged(
     return F.when(new.isNull(), F.lit(None).cast(dtype)).otherwise(value)
 
 
-def new_rows(
+def _next_columns(
     changes: DataFrame,
-    keys: str | Sequence[str],
+    keys: Sequence[str],
     snapshot: T.StructType,
     now: Column,
-    strategies: Mapping[str, str] | None = None,
-    null_desired: str = "unmanaged",
-) -> DataFrame:
-    """Created and updated rows, in the snapshot's column order.
-
-    Everything they need is in the change row itself, so this is a narrow map.
-    """
-    names = key_names(keys)
+    strategies: Mapping[str, str] | None,
+    null_desired: str,
+) -> list[Column]:
+    """The snapshot's columns after a change, from the change row alone."""
     strategies = strategies or {}
     planned, prior = _fields(changes, "planned"), _fields(changes, "prior")
-    create = F.col("action") == "create"
+    create, same = F.col("action") == "create", F.col("action") == "no-op"
     out = []
     for f in snapshot.fields:
         c = f.name
-        if c in names:
+        nothing = F.lit(None).cast(f.dataType)
+        new = F.col("planned")[c].cast(f.dataType) if c in planned else nothing
+        old = F.col("prior")[c].cast(f.dataType) if c in prior else nothing
+        if c in keys:
             value = F.col(c)
         elif c == "created_at":
-            kept = F.col("prior")[c] if c in prior else F.lit(None)
-            value = F.when(create, now).otherwise(kept)
+            value = F.when(create, now.cast(f.dataType)).otherwise(old)
         elif c == "updated_at":
-            value = now
+            value = F.when(same, old).otherwise(now.cast(f.dataType))
         elif c in planned and c in prior:
-            value = F.when(create, F.col("planned")[c]).otherwise(
-                _merged(
-                    F.col("planned")[c], F.col("prior")[c], planned[c], prior[c],
-                    strategies.get(c, "partial"), null_desired,
-                )
-            )
+            after = _merged(new, old, planned[c], prior[c], strategies.get(c, "partial"), null_desired)
+            value = F.when(create, new).when(same, old).otherwise(after)
         elif c in planned:
-            value = F.col("planned")[c]
-        elif c in prior:
-            value = F.when(~create, F.col("prior")[c])
+            value = F.when(~same, new)
         else:
-            value = F.lit(None)
+            value = F.when(~create, old)
         out.append(value.cast(f.dataType).alias(c))
-    return changes.filter(F.col("action").isin("create", "update")).select(*out)
+    return out
+
+
+def new_rows(
+    changes: DataFrame,
+    keys: str | Sequence[str],
+    snapshot: T.StructType,
+    now: Column,
+    strategies: Mapping[str, str] | None = None,
+    null_desired: str = "unmanaged",
+) -> DataFrame:
+    """Created and updated rows, in the snapshot's column order.
+
+    Everything they need is in the change row itself, so this is a narrow map.
+    """
+    touched = changes.filter(F.col("action").isin("create", "update"))
+    return touched.select(
+        *_next_columns(changes, key_names(keys), snapshot, now, strategies, null_desired)
+    )
 
 
 def snapshot_schema(prior: DataFrame, changes: DataFrame) -> T.StructType:
@@ -95,6 +105,8 @@ def apply_changes(
 
     The prior table is only anti-joined with the keys that change.  When few
     change Spark broadcasts them, and the table is copied without a shuffle.
+    ``changes`` is read twice, so it should be a written one; ``snapshot_of``
+    suits a change set that has just been computed.
     """
     names = key_names(keys)
     now = F.current_timestamp() if now is None else now
@@ -121,20 +133,13 @@ def snapshot_of(
 ) -> DataFrame:
     """The next snapshot from a change set that still holds its no-ops.
 
-    The plan's join has already met both sides, so no further join is needed.
+    The plan's join has met both sides already: one narrow map over it, and no
+    second join.
     """
-    names = key_names(keys)
     now = F.current_timestamp() if now is None else now
-    prior = _fields(changes, "prior")
-    kept = changes.filter(F.col("action") == "no-op").select(
-        *[
-            (F.col(f.name) if f.name in names else F.col("prior")[f.name] if f.name in prior else F.lit(None))
-            .cast(f.dataType)
-            .alias(f.name)
-            for f in snapshot.fields
-        ]
+    return changes.filter(F.col("action") != "delete").select(
+        *_next_columns(changes, key_names(keys), snapshot, now, strategies, null_desired)
     )
-    return kept.union(new_rows(changes, names, snapshot, now, strategies, null_desired))
 
 
 def with_timestamps(df: DataFrame, now: Column | None = None) -> DataFrame:

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablerecon.errors import DuplicateKeyError
+from tablerecon.functions.collections import any_of
 from tablerecon.functions.compare import differs
 from tablerecon.functions.documents import as_text
 from tablerecon.functions.templates import Variables, substitute
@@ -78,56 +79,56 @@ def plan(
     d_types = {f.name: f.dataType for f in desired.schema.fields if f.name not in names}
     p_types = {f.name: f.dataType for f in prior.schema.fields if f.name not in names}
 
-    # Presence is a literal per side: a key column may not be tested for null.
+    # Columns cross the join one by one, not packed into structs: what a caller
+    # does not use is pruned from the scans.  Presence is a literal per side,
+    # because a key column may not be tested for null.
     left = desired.select(
-        *[F.col(k).alias(f"__dk_{k}") for k in names], _struct({c: F.col(c) for c in d_types}).alias("__d"),
+        *[F.col(k).alias(f"__dk_{k}") for k in names],
+        *[F.col(c).alias(f"__d_{c}") for c in d_types],
         F.lit(True).alias("__in_d"),
-    )
+    )
     right = prior.select(
-        *[F.col(k).alias(f"__pk_{k}") for k in names], _struct({c: F.col(c) for c in p_types}).alias("__p"),
+        *[F.col(k).alias(f"__pk_{k}") for k in names],
+        *[F.col(c).alias(f"__p_{c}") for c in p_types],
         F.lit(True).alias("__in_p"),
-    )
-    on = [F.col(f"__dk_{k}") == F.col(f"__pk_{k}") for k in names]
-    joined = left.join(right, on, "full_outer")
+    )
+    joined = left.join(right, [F.col(f"__dk_{k}") == F.col(f"__pk_{k}") for k in names], "full_outer")
 
-    planned = F.col("__d")
+    resolved = {
+        c: substitute(F.col(f"__d_{c}"), variables, t) if variables else F.col(f"__d_{c}")
+        for c, t in d_types.items()
+    }
     if variables:
-        planned = F.when(
-            F.col("__d").isNotNull(),
-            _struct({c: substitute(F.col("__d")[c], variables, t) for c, t in d_types.items()}),
-        )
-    staged = joined.select(
-        *[F.coalesce(f"__dk_{k}", f"__pk_{k}").alias(k) for k in names],
-        F.col("__in_d"),
-        F.col("__in_p"),
-        F.col("__d").alias("desired"),
-        planned.alias("planned"),
-        F.col("__p").alias("prior"),
-    )
+        joined = joined.withColumns({f"__v_{c}": v for c, v in resolved.items()})
+        resolved = {c: F.col(f"__v_{c}") for c in d_types}
 
     flags = {}
     for c, dtype in d_types.items():
         if c in ignore:
             continue
-        want = F.col("planned")[c]
+        want = resolved[c]
         if c in p_types:
-            flag = differs(want, F.col("prior")[c], dtype, p_types[c], strategies.get(c, "partial"), json_depth)
+            flag = differs(want, F.col(f"__p_{c}"), dtype, p_types[c], strategies.get(c, "partial"), json_depth)
         else:
             flag = want.isNotNull()
         flags[c] = (want.isNotNull() & flag) if null_desired == "unmanaged" else flag
-    both = F.col("__in_d").isNotNull() & F.col("__in_p").isNotNull()
-    listed = F.array(*[F.when(flag, F.lit(c)) for c, flag in flags.items()]).cast("array<string>")
-    changed = F.when(both, F.filter(listed, lambda n: n.isNotNull())).otherwise(
-        F.array().cast("array<string>")
-    )
+    staged = joined.withColumns({f"__f_{c}": flag for c, flag in flags.items()})
+
+    in_d, in_p = F.col("__in_d").isNotNull(), F.col("__in_p").isNotNull()
+    hit = any_of([F.col(f"__f_{c}") for c in flags])
     action = (
-        F.when(F.col("__in_p").isNull(), "create")
-        .when(F.col("__in_d").isNull(), "delete")
-        .when(F.size("changed_fields") > 0, "update")
-        .otherwise("no-op")
+        F.when(~in_p, "create").when(~in_d, "delete").when(hit, "update").otherwise("no-op")
     )
-    return staged.withColumn("changed_fields", changed).select(
-        *names, action.alias("action"), "desired", "planned", "prior", "changed_fields"
+    nothing = F.array().cast("array<string>")
+    listed = F.array(*[F.when(F.col(f"__f_{c}"), F.lit(c)) for c in flags]).cast("array<string>")
+    null_name = F.array(F.lit(None).cast("string"))
+    return staged.select(
+        *[F.coalesce(f"__dk_{k}", f"__pk_{k}").alias(k) for k in names],
+        action.alias("action"),
+        F.when(in_d, _struct({c: F.col(f"__d_{c}") for c in d_types})).alias("desired"),
+        F.when(in_d, _struct(resolved)).alias("planned"),
+        F.when(in_p, _struct({c: F.col(f"__p_{c}") for c in p_types})).alias("prior"),
+        F.when(in_d & in_p, F.array_except(listed, null_name)).otherwise(nothing).alias("changed_fields"),
     )
 
 

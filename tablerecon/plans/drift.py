@@ -11,31 +11,27 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tablerecon.functions.collections import any_of
 from tablerecon.functions.compare import differs
 from tablerecon.functions.hashing import row_hash
 from tablerecon.plans.changes import TIMESTAMPS, _struct, key_names
 
 
-def _renamed(df: DataFrame, names: Sequence[str], rest: Sequence[str]) -> DataFrame:
-    return df.select(
+def _joined(old: DataFrame, new: DataFrame, names: Sequence[str], rest: Sequence[str], how: str) -> DataFrame:
+    """Old rows beside their live row; live columns carry the prefix ``__n_``."""
+    side = new.select(
         *[F.col(k).alias(f"__k_{k}") for k in names],
-        _struct({c: F.col(c) for c in rest}).alias("__new"),
+        *[F.col(c).alias(f"__n_{c}") for c in rest],
         F.lit(True).alias("__live"),
     )
-
-
-def _joined(old: DataFrame, new: DataFrame, names: Sequence[str], rest: Sequence[str], how: str) -> DataFrame:
-    side = _renamed(new, names, rest)
     return old.join(side, [old[k] == side[f"__k_{k}"] for k in names], how)
 
 
 def _changed(old: DataFrame, new: DataFrame, c: str) -> Column:
     in_old, in_new = c in old.columns, c in new.columns
     if in_old and in_new:
-        return differs(
-            F.col(c), F.col("__new")[c], old.schema[c].dataType, new.schema[c].dataType, "exact"
-        )
-    return (F.col(c) if in_old else F.col("__new")[c]).isNotNull()
+        return differs(F.col(c), F.col(f"__n_{c}"), old.schema[c].dataType, new.schema[c].dataType, "exact")
+    return (F.col(c) if in_old else F.col(f"__n_{c}")).isNotNull()
 
 
 def drift(
@@ -50,21 +46,22 @@ def drift(
     old_rest = [c for c in old.columns if c not in names and c not in exclude]
     new_rest = [c for c in new.columns if c not in names and c not in exclude]
     union = list(dict.fromkeys([*old_rest, *new_rest]))
-    flags = F.array(*[F.when(_changed(old, new, c), F.lit(c)) for c in union]).cast("array<string>")
-    gone = F.col("__live").isNull()
-    listed = F.when(gone, F.array().cast("array<string>")).otherwise(
-        F.filter(flags, lambda n: n.isNotNull())
+    compared = _joined(old, new, names, new_rest, "left").withColumns(
+        {f"__f_{c}": _changed(old, new, c) for c in union}
     )
-    compared = _joined(old, new, names, new_rest, "left").select(
+    gone = F.col("__live").isNull()
+    hit = compared.filter(gone | any_of([F.col(f"__f_{c}") for c in union]))
+    listed = F.array(*[F.when(F.col(f"__f_{c}"), F.lit(c)) for c in union]).cast("array<string>")
+    null_name = F.array(F.lit(None).cast("string"))
+    return hit.select(
         *names,
-        gone.alias("__gone"),
+        F.when(gone, "delete").otherwise("update").alias("action"),
         _struct({c: F.col(c) for c in old_rest}).alias("prior"),
-        F.col("__new").alias("planned"),
-        listed.alias("changed_fields"),
+        F.when(~gone, _struct({c: F.col(f"__n_{c}") for c in new_rest})).alias("planned"),
+        F.when(gone, F.array().cast("array<string>"))
+        .otherwise(F.array_except(listed, null_name))
+        .alias("changed_fields"),
     )
-    hit = compared.filter(F.col("__gone") | (F.size("changed_fields") > 0))
-    action = F.when(F.col("__gone"), "delete").otherwise("update")
-    return hit.select(*names, action.alias("action"), "prior", "planned", "changed_fields")
 
 
 def refresh(
@@ -88,15 +85,13 @@ def refresh(
     skip = {*names, *TIMESTAMPS, *echo, *([hash_col] if hash_col else [])}
     attrs = [c for c in state.columns if c not in skip]
     live_attrs = [c for c in attrs if c in live.columns]
-    changed = F.lit(False)
-    for c in attrs:
-        changed = changed | _changed(state, live, c)
+    changed = any_of([_changed(state, live, c) for c in attrs])
     joined = _joined(state, live, names, live_attrs, "inner").withColumn("__changed", changed)
     hit = F.col("__changed")
     out = []
     for c in state.columns:
         if c in attrs:
-            value = F.col("__new")[c] if c in live_attrs else F.lit(None).cast(state.schema[c].dataType)
+            value = F.col(f"__n_{c}") if c in live_attrs else F.lit(None).cast(state.schema[c].dataType)
             out.append(F.when(hit, value).otherwise(F.col(c)).alias(c))
         elif c == "updated_at":
             out.append(F.when(hit, now.cast(state.schema[c].dataType)).otherwise(F.col(c)).alias(c))

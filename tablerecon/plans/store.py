@@ -2,8 +2,9 @@
 
 Layout under the path::
 
-    data/<version id>/      one immutable Parquet directory per version
-    versions/<version id>/  one row: lineage, serial, digest, rows, data path
+    data/<id>/      one immutable Parquet directory per version
+    sums/<id>/      its bucket sums, from which the digest is made
+    versions/<id>/  one row: lineage, serial, digest, rows, and both paths
 
 A version exists once its row is written, which happens after its data is
 complete; readers follow the row with the highest sequence.  Old versions are
@@ -26,8 +27,15 @@ from pyspark.sql import functions as F
 from tablerecon.errors import ReconError, StalePlanError
 from tablerecon.functions.templates import Variables
 from tablerecon.operators.checks import assert_valid
-from tablerecon.operators.digest import config_digest, is_stale, table_digest
-from tablerecon.plans.apply import apply_changes, check_plan, with_timestamps
+from tablerecon.operators.digest import (
+    bucket_sums,
+    config_digest,
+    digest_of,
+    hashed_rows,
+    is_stale,
+    shift_sums,
+)
+from tablerecon.plans.apply import apply_changes, check_plan, new_rows, with_timestamps
 from tablerecon.plans.changes import (
     TIMESTAMPS,
     key_names,
@@ -41,7 +49,7 @@ from tablerecon.plans.drift import refresh
 from tablerecon.session import scratch_path
 
 _VERSION_DDL = (
-    "seq long, lineage string, serial long, digest string, rows long, data string, batch string, created string"
+    "seq long, lineage string, serial long, digest string, rows long, data string, sums string, batch string, created string"
 )
 _PLAN_DDL = "lineage string, serial long, digest string, config string, destroy boolean, created string"
 
@@ -58,6 +66,7 @@ class Version:
     digest: str
     rows: int
     data: str
+    sums: str
     batch: str | None
     created: str
 
@@ -136,8 +145,11 @@ class TableStore:
     def read(self, version: Version | None = None) -> DataFrame:
         return self.spark.read.parquet((version or self.require()).data)
 
-    def _digest(self, df: DataFrame, lineage: str, serial: int) -> tuple[int, str]:
-        row = table_digest(df, exclude=TIMESTAMPS, meta={"lineage": lineage, "serial": serial}).first()
+    def _sums(self, df: DataFrame) -> DataFrame:
+        return bucket_sums(hashed_rows(df, exclude=TIMESTAMPS))
+
+    def _digest(self, sums: DataFrame, lineage: str, serial: int) -> tuple[int, str]:
+        row = digest_of(sums, {"lineage": lineage, "serial": serial}).first()
         return row["rows"], row["digest"]
 
     def _record(self, made: Version) -> Version:
@@ -145,11 +157,27 @@ class TableStore:
         frame.coalesce(1).write.parquet(f"{self.path}/versions/{made.seq:012d}-{uuid.uuid4().hex[:8]}")
         return made
 
-    def _commit(self, df: DataFrame, lineage: str, serial: int, seq: int, batch: str | None = None) -> Version:
-        data = f"{self.path}/data/{seq:012d}-{uuid.uuid4().hex[:8]}"
+    def _commit(
+        self,
+        df: DataFrame,
+        lineage: str,
+        serial: int,
+        seq: int,
+        batch: str | None = None,
+        sums: DataFrame | None = None,
+    ) -> Version:
+        """Write data, then sums, then the version row that makes them count.
+
+        Without ``sums`` the written data is hashed once.
+        """
+        name = f"{seq:012d}-{uuid.uuid4().hex[:8]}"
+        data, sums_path = f"{self.path}/data/{name}", f"{self.path}/sums/{name}"
         df.write.parquet(data)
-        rows, digest = self._digest(self.spark.read.schema(df.schema).parquet(data), lineage, serial)
-        return self._record(Version(seq, lineage, serial, digest, rows, data, batch, _now()))
+        if sums is None:
+            sums = self._sums(self.spark.read.schema(df.schema).parquet(data))
+        sums.coalesce(1).write.parquet(sums_path)
+        rows, digest = self._digest(self.spark.read.schema(sums.schema).parquet(sums_path), lineage, serial)
+        return self._record(Version(seq, lineage, serial, digest, rows, data, sums_path, batch, _now()))
 
     def create(self, df: DataFrame, now: Column | None = None, lineage: str | None = None) -> Version:
         """The first version, from a full table."""
@@ -193,7 +221,7 @@ class TableStore:
         """Why the plan no longer fits; ``verify`` digests the data again."""
         at = self.require()
         if verify:
-            at = replace(at, digest=self._digest(self.read(at), at.lineage, at.serial)[1])
+            at = replace(at, digest=self._digest(self._sums(self.read(at)), at.lineage, at.serial)[1])
         ddl = "lineage string, serial long, digest string"
         saved, now = (
             self.spark.createDataFrame([(x.lineage, x.serial, x.digest)], ddl) for x in (made.meta, at)
@@ -213,8 +241,8 @@ class TableStore:
         assert_valid(check_plan(made.changes, prior, self.keys))
         steps = sum(r["rows"] for r in summary_actionable(made.changes).collect())
         if steps:
-            after = self._after(made, prior, now)
-            return self._commit(after, at.lineage, at.serial + steps, at.seq + 1, batch)
+            after, sums = self._after(made, at, prior, now)
+            return self._commit(after, at.lineage, at.serial + steps, at.seq + 1, batch, sums)
         if batch is not None:
             # Nothing to write, but the batch must be known as done.
             return self._record(replace(at, seq=at.seq + 1, batch=batch, created=_now()))
@@ -229,10 +257,24 @@ class TableStore:
         save_plan(made, path)
         return load_plan(self.spark, path)
 
-    def _after(self, made: Plan, prior: DataFrame, now: Column | None) -> DataFrame:
-        if "planned" not in made.changes.columns:
-            return prior.join(made.changes.select(*self.keys), self.keys, "left_anti")
-        return apply_changes(prior, made.changes, self.keys, now, self.strategies, self.null_desired)
+    def _after(
+        self, made: Plan, at: Version, prior: DataFrame, now: Column | None
+    ) -> tuple[DataFrame, DataFrame | None]:
+        """The next table, and its bucket sums worked out from the changes."""
+        changes = made.changes
+        rest = [F.col("prior")[c].alias(c) for c in prior.columns if c not in self.keys]
+        gone = changes.filter(F.col("action").isin("update", "delete")).select(*self.keys, *rest)
+        base = self.spark.read.parquet(at.sums)
+        if "planned" not in changes.columns:
+            left = prior.join(changes.select(*self.keys), self.keys, "left_anti")
+            return left, shift_sums(base, self._sums(gone.limit(0)), self._sums(gone))
+        now = F.current_timestamp() if now is None else now
+        after = apply_changes(prior, changes, self.keys, now, self.strategies, self.null_desired)
+        if after.columns != prior.columns:
+            # New columns change every row's hash.
+            return after, None
+        come = new_rows(changes, self.keys, prior.schema, now, self.strategies, self.null_desired)
+        return after, shift_sums(base, self._sums(come), self._sums(gone))
 
     def refresh(
         self, live: DataFrame, now: Column | None = None, echo: Sequence[str] = ()

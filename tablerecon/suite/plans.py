@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tablerecon.functions.documents import parse
 from tablerecon.plans import (
     TableStore,
+    actionable,
     apply_changes,
     check_plan,
     diff_fields,
@@ -24,7 +25,7 @@ from tablerecon.plans import (
 )
 from tablerecon.plans.apply import with_timestamps
 from tablerecon.plans.changes import plan_upserts
-from tablerecon.session import scratch_path
+from tablerecon.session import materialize, scratch_path
 from tablerecon.sources import write_table
 from tablerecon.suite.pairs import (
     CUSTOMER_CHANGES,
@@ -352,7 +353,8 @@ def _customer_snapshot(t: Tables) -> DataFrame:
 @query(APPLIED, "apply_changes")
 def _apply_changes(t: Tables) -> DataFrame:
     prior = _customer_snapshot(t)
-    return _shown(apply_changes(prior, plan(customer_desired(t), prior, KEY), KEY, _stamp(NOW)))
+    changes = materialize(actionable(plan(customer_desired(t), prior, KEY)), "changes")
+    return _shown(apply_changes(prior, changes, KEY, _stamp(NOW)))
 
 
 @query(APPLIED, "apply_in_one_join")
