@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +17,15 @@ KEY_MAX_LEN = 32
 PART_RESERVE = 4
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once.
+
+    Branches of a ``when`` share no subexpressions; a costly one, such as a
+    regular expression over a long text, is bound to a lambda variable instead.
+    """
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def strip_space(col: Column) -> Column:
     """Remove all leading and trailing whitespace, not only spaces."""
     return F.regexp_replace(col, r"(?U)^\s+|\s+$", "")
@@ -45,7 +56,7 @@ def event_day(ts: Column) -> Column:
 
 def _collapse(col: Column, keep: str, if_empty: str) -> Column:
     joined = F.btrim(F.regexp_replace(col, f"[^{keep}]+", "_"), F.lit("_"))
-    return F.when(joined == "", F.lit(if_empty)).otherwise(joined)
+    return let(joined, lambda j: F.when(j == "", F.lit(if_empty)).otherwise(j))
 
 
 def slugify(col: Column) -> Column:
@@ -58,15 +69,17 @@ def sanitize_key(col: Column) -> Column:
 
 def bounded_key(base: Column, slug: Column, max_len: int = KEY_MAX_LEN) -> Column:
     """``BASE__PART``, cut and suffixed by a short hash of ``slug`` if too long."""
-    part = sanitize_key(slug)
-    whole = F.concat(base, F.lit(KEY_JOINER), part)
     room = max_len - len(KEY_JOINER) - len(HASH_JOINER) - HASH_DIGITS
     head = F.substring(base, 1, max(1, room - PART_RESERVE))
-    rest = F.substr(part, F.lit(1), F.greatest(F.lit(1), F.lit(room) - F.length(head)))
     mark = F.upper(F.substring(F.sha1(slug), 1, HASH_DIGITS))
-    return F.when(F.length(whole) <= max_len, whole).otherwise(
-        F.concat(head, F.lit(KEY_JOINER), rest, F.lit(HASH_JOINER), mark)
-    )
+
+    def fitted(part: Column) -> Column:
+        whole = F.concat(base, F.lit(KEY_JOINER), part)
+        rest = F.substr(part, F.lit(1), F.greatest(F.lit(1), F.lit(room) - F.length(head)))
+        cut = F.concat(head, F.lit(KEY_JOINER), rest, F.lit(HASH_JOINER), mark)
+        return F.when(F.length(whole) <= max_len, whole).otherwise(cut)
+
+    return let(sanitize_key(slug), fitted)
 
 
 def dotted(*parts: Column) -> Column:

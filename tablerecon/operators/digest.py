@@ -15,28 +15,33 @@ from pyspark.sql import functions as F
 
 from tablerecon.functions.hashing import row_hash
 
-# Row hashes fall into 256 buckets by their first two hex digits.  The hash is
-# summed in nine pieces of seven digits (28 bits): a bucket's sum stays below
-# 2^63 up to 2^35 rows, about 8.8e12 rows per table.
+# Row hashes fall into 256 buckets by their first two hex digits.  Four pieces
+# of 14 digits are summed as two halves of 28 bits each: a bucket's sum stays
+# below 2^63 up to 2^35 rows, about 8.8e12 rows per table.
 BUCKET_DIGITS = 2
-PIECES = 9
-PIECE_DIGITS = 7
+PIECES = 4
+PIECE_DIGITS = 14
+HALF_BITS = 28
+
+SUM_COLUMNS = [f"{half}{i}" for i in range(PIECES) for half in ("hi", "lo")]
 
 
 def _piece(hashed: Column, i: int) -> Column:
     return F.conv(F.substring(hashed, 1 + i * PIECE_DIGITS, PIECE_DIGITS), 16, 10).cast("long")
 
 
-SUM_COLUMNS = [f"s{i}" for i in range(PIECES)]
-
-
 def bucket_sums(hashes: DataFrame, hash_col: str = "row_hash") -> DataFrame:
-    """``(bucket, rows, s0 ... s8)``, at most 256 rows."""
+    """``(bucket, rows, hi0, lo0 ... hi3, lo3)``, at most 256 rows."""
     h = F.col(hash_col)
-    sums = [F.sum(_piece(h, i)).alias(c) for i, c in enumerate(SUM_COLUMNS)]
-    return hashes.groupBy(F.substring(h, 1, BUCKET_DIGITS).alias("bucket")).agg(
-        F.count(F.lit(1)).alias("rows"), *sums
+    pieces = hashes.select(
+        F.substring(h, 1, BUCKET_DIGITS).alias("bucket"),
+        *[_piece(h, i).alias(f"p{i}") for i in range(PIECES)],
     )
+    sums = []
+    for i in range(PIECES):
+        sums.append(F.sum(F.shiftright(f"p{i}", HALF_BITS)).alias(f"hi{i}"))
+        sums.append(F.sum(F.col(f"p{i}").bitwiseAND(F.lit((1 << HALF_BITS) - 1))).alias(f"lo{i}"))
+    return pieces.groupBy("bucket").agg(F.count(F.lit(1)).alias("rows"), *sums)
 
 
 def shift_sums(base: DataFrame, added: DataFrame, removed: DataFrame) -> DataFrame:
@@ -53,12 +58,12 @@ def shift_sums(base: DataFrame, added: DataFrame, removed: DataFrame) -> DataFra
 
 def _lines(sums: DataFrame) -> DataFrame:
     line = F.concat_ws(":", "bucket", *[F.col(c).cast("string") for c in ("rows", *SUM_COLUMNS)])
-    return sums.select("bucket", "rows", F.sha2(line, 256).alias("bucket_digest"))
+    return sums.withColumn("bucket_digest", F.sha2(line, 256))
 
 
 def bucket_digests(hashes: DataFrame, hash_col: str = "row_hash") -> DataFrame:
     """``(bucket, rows, bucket_digest)``, at most 256 rows."""
-    return _lines(bucket_sums(hashes, hash_col))
+    return _lines(bucket_sums(hashes, hash_col)).select("bucket", "rows", "bucket_digest")
 
 
 def _header(meta: Mapping[str, object]) -> str:
@@ -77,13 +82,16 @@ def hashed_rows(
     return view.select(row_hash(view).alias("row_hash"))
 
 
-def digest_of(sums: DataFrame, meta: Mapping[str, object] | None = None) -> DataFrame:
-    """One row ``(rows, digest)`` from bucket sums."""
+def digest_of(
+    sums: DataFrame, meta: Mapping[str, object] | None = None, keep: bool = False
+) -> DataFrame:
+    """One row ``(rows, digest)`` from bucket sums; ``keep`` adds the sums as a list."""
     lines = F.sort_array(F.collect_list(F.concat_ws(":", "bucket", "bucket_digest")))
     body = F.concat(F.lit(_header(meta or {}) + "\n"), F.array_join(lines, "\n"))
-    return _lines(sums).agg(
-        F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"), F.sha2(body, 256).alias("digest")
-    )
+    out = [F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"), F.sha2(body, 256).alias("digest")]
+    if keep:
+        out.append(F.collect_list(F.struct("bucket", "rows", *SUM_COLUMNS)).alias("sums"))
+    return _lines(sums).agg(*out)
 
 
 def table_digest(

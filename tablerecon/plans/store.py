@@ -3,8 +3,7 @@
 Layout under the path::
 
     data/<id>/      one immutable Parquet directory per version
-    sums/<id>/      its bucket sums, from which the digest is made
-    versions/<id>/  one row: lineage, serial, digest, rows, and both paths
+    versions/<id>/  one row: lineage, serial, digest, rows, data path, bucket sums
 
 A version exists once its row is written, which happens after its data is
 complete; readers follow the row with the highest sequence.  Old versions are
@@ -17,22 +16,22 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Mapping, Sequence
-from dataclasses import asdict, dataclass, replace
+from dataclasses import dataclass, fields, replace
 from datetime import datetime, timezone
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from tablerecon.errors import ReconError, StalePlanError
 from tablerecon.functions.templates import Variables
 from tablerecon.operators.checks import assert_valid
 from tablerecon.operators.digest import (
+    SUM_COLUMNS,
     bucket_sums,
     config_digest,
     digest_of,
     hashed_rows,
-    is_stale,
     shift_sums,
 )
 from tablerecon.plans.apply import apply_changes, check_plan, new_rows, with_timestamps
@@ -48,12 +47,18 @@ from tablerecon.plans.changes import (
 from tablerecon.plans.drift import refresh
 from tablerecon.session import scratch_path
 
+_SUM_FIELDS = ["bucket string", "rows long", *[f"{c} long" for c in SUM_COLUMNS]]
 _VERSION_DDL = (
-    "seq long, lineage string, serial long, digest string, rows long, data string, sums string, batch string, created string"
+    "seq long, lineage string, serial long, digest string, rows long, data string, "
+    f"sums array<struct<{', '.join(f.replace(' ', ': ') for f in _SUM_FIELDS)}>>, batch string, created string"
 )
 _PLAN_DDL = "lineage string, serial long, digest string, config string, destroy boolean, created string"
 
 
+def _tuple(record: object) -> tuple:
+    return tuple(getattr(record, f.name) for f in fields(record))
+
+
 def _now() -> str:
     return datetime.now(timezone.utc).isoformat()
 
@@ -66,7 +71,7 @@ class Version:
     digest: str
     rows: int
     data: str
-    sums: str
+    sums: list
     batch: str | None
     created: str
 
@@ -95,7 +100,7 @@ def save_plan(made: Plan, path: str, actionable_only: bool = True) -> None:
     spark = made.changes.sparkSession
     rows = made.changes.filter("action <> 'no-op'") if actionable_only else made.changes
     rows.write.parquet(f"{path}/changes")
-    spark.createDataFrame([tuple(asdict(made.meta).values())], _PLAN_DDL).coalesce(1).write.parquet(
+    spark.createDataFrame([_tuple(made.meta)], _PLAN_DDL).coalesce(1).write.parquet(
         f"{path}/meta"
     )
 
@@ -148,12 +153,11 @@ class TableStore:
     def _sums(self, df: DataFrame) -> DataFrame:
         return bucket_sums(hashed_rows(df, exclude=TIMESTAMPS))
 
-    def _digest(self, sums: DataFrame, lineage: str, serial: int) -> tuple[int, str]:
-        row = digest_of(sums, {"lineage": lineage, "serial": serial}).first()
-        return row["rows"], row["digest"]
+    def _digest(self, sums: DataFrame, lineage: str, serial: int) -> Row:
+        return digest_of(sums, {"lineage": lineage, "serial": serial}, keep=True).first()
 
     def _record(self, made: Version) -> Version:
-        frame = self.spark.createDataFrame([tuple(asdict(made).values())], _VERSION_DDL)
+        frame = self.spark.createDataFrame([_tuple(made)], _VERSION_DDL)
         frame.coalesce(1).write.parquet(f"{self.path}/versions/{made.seq:012d}-{uuid.uuid4().hex[:8]}")
         return made
 
@@ -166,18 +170,17 @@ class TableStore:
         batch: str | None = None,
         sums: DataFrame | None = None,
     ) -> Version:
-        """Write data, then sums, then the version row that makes them count.
+        """Write the data, then the version row that makes it count.
 
         Without ``sums`` the written data is hashed once.
         """
-        name = f"{seq:012d}-{uuid.uuid4().hex[:8]}"
-        data, sums_path = f"{self.path}/data/{name}", f"{self.path}/sums/{name}"
+        data = f"{self.path}/data/{seq:012d}-{uuid.uuid4().hex[:8]}"
         df.write.parquet(data)
         if sums is None:
             sums = self._sums(self.spark.read.schema(df.schema).parquet(data))
-        sums.coalesce(1).write.parquet(sums_path)
-        rows, digest = self._digest(self.spark.read.schema(sums.schema).parquet(sums_path), lineage, serial)
-        return self._record(Version(seq, lineage, serial, digest, rows, data, sums_path, batch, _now()))
+        done = self._digest(sums, lineage, serial)
+        made = Version(seq, lineage, serial, done["digest"], done["rows"], data, done["sums"], batch, _now())
+        return self._record(made)
 
     def create(self, df: DataFrame, now: Column | None = None, lineage: str | None = None) -> Version:
         """The first version, from a full table."""
@@ -219,23 +222,22 @@ class TableStore:
 
     def stale_reason(self, made: Plan, verify: bool = False) -> str | None:
         """Why the plan no longer fits; ``verify`` digests the data again."""
-        at = self.require()
+        return self._stale(made, self.require(), verify)
+
+    def _stale(self, made: Plan, at: Version, verify: bool) -> str | None:
         if verify:
-            at = replace(at, digest=self._digest(self._sums(self.read(at)), at.lineage, at.serial)[1])
-        ddl = "lineage string, serial long, digest string"
-        saved, now = (
-            self.spark.createDataFrame([(x.lineage, x.serial, x.digest)], ddl) for x in (made.meta, at)
-        )
-        return is_stale(saved, now).first()["reason"]
+            at = replace(at, digest=self._digest(self._sums(self.read(at)), at.lineage, at.serial)["digest"])
+        moved = [f for f in ("lineage", "serial", "digest") if getattr(made.meta, f) != getattr(at, f)]
+        return f"{moved[0]} changed" if moved else None
 
     def apply(
         self, made: Plan, now: Column | None = None, verify: bool = False, batch: str | None = None
     ) -> Version:
         """Write the next version; all changes of the plan or none."""
-        reason = self.stale_reason(made, verify)
+        at = self.require()
+        reason = self._stale(made, at, verify)
         if reason is not None:
             raise StalePlanError(f"{reason}; plan again")
-        at = self.require()
         prior = self.read(at)
         made = self._stored(made)
         assert_valid(check_plan(made.changes, prior, self.keys))
@@ -264,10 +266,10 @@ class TableStore:
         changes = made.changes
         rest = [F.col("prior")[c].alias(c) for c in prior.columns if c not in self.keys]
         gone = changes.filter(F.col("action").isin("update", "delete")).select(*self.keys, *rest)
-        base = self.spark.read.parquet(at.sums)
+        base = self.spark.createDataFrame(at.sums, ", ".join(_SUM_FIELDS))
         if "planned" not in changes.columns:
             left = prior.join(changes.select(*self.keys), self.keys, "left_anti")
-            return left, shift_sums(base, self._sums(gone.limit(0)), self._sums(gone))
+            return left, shift_sums(base, self._sums(gone.filter(F.lit(False))), self._sums(gone))
         now = F.current_timestamp() if now is None else now
         after = apply_changes(prior, changes, self.keys, now, self.strategies, self.null_desired)
         if after.columns != prior.columns:

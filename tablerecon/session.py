@@ -37,6 +37,8 @@ def local_session(app: str = "tablerecon", cores: int | str = "*", **conf: str)
         .config("spark.driver.memory", "16g")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.shuffle.partitions", "8")
+        # Call sites are captured per column operation; that triples plan building.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
     for name, value in {**RUNTIME_CONF, **conf}.items():
         builder = builder.config(name, value)

@@ -30,12 +30,14 @@ def _customers(t: Tables) -> DataFrame:
 
 
 def _buckets(json: str, table: str) -> str:
+    pieces = ", ".join(f"CAST('0x' || substr(h, {1 + 14 * i}, 14) AS BIGINT) AS p{i}" for i in range(4))
     sums = ", ".join(
-        f"CAST(sum(CAST('0x' || substr(h, {1 + 7 * i}, 7) AS BIGINT)) AS BIGINT) AS s{i}" for i in range(9)
+        f"CAST(sum(p{i} >> 28) AS BIGINT) AS hi{i}, CAST(sum(p{i} & 268435455) AS BIGINT) AS lo{i}" for i in range(4)
     )
-    line = " || ':' || ".join(["bucket", "rows", *[f"s{i}" for i in range(9)]])
+    line = " || ':' || ".join(["bucket", "rows", *[f"hi{i} || ':' || lo{i}" for i in range(4)]])
     return f"""hashed AS (SELECT sha256({json}) AS h FROM {table}),
-summed AS (SELECT substr(h, 1, 2) AS bucket, CAST(count(*) AS BIGINT) AS rows, {sums} FROM hashed GROUP BY 1),
+pieces AS (SELECT substr(h, 1, 2) AS bucket, {pieces} FROM hashed),
+summed AS (SELECT bucket, CAST(count(*) AS BIGINT) AS rows, {sums} FROM pieces GROUP BY 1),
 buckets AS (SELECT bucket, rows, sha256({line}) AS bucket_digest FROM summed)"""
 
 
