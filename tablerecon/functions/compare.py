@@ -69,8 +69,13 @@ def _is_object(col: Column) -> Column:
     return F.coalesce(F.schema_of_variant(col).startswith("OBJECT"), F.lit(False))
 
 
+def _json_text(col: Column) -> Column:
+    # A JSON null and a missing key are the same value here.
+    return F.coalesce(F.to_json(col), F.lit("null"))
+
+
 def _variant_partial(desired: Column, prior: Column, depth: int) -> Column:
-    same = F.to_json(desired).eqNullSafe(F.to_json(prior))
+    same = _json_text(desired) == _json_text(prior)
     both = _is_object(desired) & _is_object(prior)
     if depth == 0:
         # Too deep to look into: equal text is equal, else say so loudly.

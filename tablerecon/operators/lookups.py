@@ -142,8 +142,9 @@ def resolve_refs(
     ``nodes`` holds one row per address.  ``refs`` holds (address, ref_name,
     ref_type or null, position).  A typed reference matches type and name, an
     untyped one the name alone, so it may match one node per type.  Self edges
-    are left out for references, and each edge is kept once, at its first
-    position: ``(address, dep, position)``.
+    are left out for references.  Each edge comes once:
+    ``(address, dep, explicit, position)`` with its first position among the
+    explicit ones, or else among the references.
     """
     by_name = nodes.select(
         F.col(address).alias("dep"), F.col(type_col).alias("__type"), F.col(name).alias("__name")
@@ -159,14 +160,20 @@ def resolve_refs(
         (F.col("ref_type").isNull() | (F.col("ref_type") == F.col("__type")))
         & (F.col("dep") != F.col("address"))
     )
-    found = matched.select("address", "dep", F.lit(1).alias("__kind"), "__pos")
+    found = matched.select("address", "dep", F.lit(None).cast("long").alias("__own"), "__pos")
     if depends_on is not None:
         explicit = nodes.select(
             F.col(address).alias("address"), F.posexplode(F.col(depends_on)).alias("__p", "dep")
-        ).select("address", "dep", F.lit(0).alias("__kind"), F.col("__p").cast("long").alias("__pos"))
+        ).select("address", "dep", F.col("__p").cast("long").alias("__own"), F.lit(None).cast("long").alias("__pos"))
         found = explicit.unionByName(found)
-    first = F.min(F.struct("__kind", "__pos"))
-    return found.groupBy("address", "dep").agg(first.alias("position"))
+    # Two numeric minima aggregate in place; a struct minimum would need a sort.
+    first = found.groupBy("address", "dep").agg(F.min("__own").alias("__own"), F.min("__pos").alias("__pos"))
+    return first.select(
+        "address",
+        "dep",
+        F.col("__own").isNotNull().alias("explicit"),
+        F.coalesce("__own", "__pos").alias("position"),
+    )
 
 
 def resolve_aliases(

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from datetime import datetime
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,7 +11,7 @@ from pyspark.sql import types as T
 
 from tablerecon.functions.collections import merge_map
 from tablerecon.operators.checks import _rows, check_unique, key_text, violations
-from tablerecon.plans.changes import ACTIONS, TIMESTAMPS, key_names
+from tablerecon.plans.changes import ACTIONS, TIMESTAMPS, key_names, moment
 
 
 def _fields(df: DataFrame, col: str) -> dict[str, T.DataType]:
@@ -97,7 +98,7 @@ def apply_changes(
     prior: DataFrame,
     changes: DataFrame,
     keys: str | Sequence[str],
-    now: Column | None = None,
+    now: Column | datetime | None = None,
     strategies: Mapping[str, str] | None = None,
     null_desired: str = "unmanaged",
 ) -> DataFrame:
@@ -109,7 +110,7 @@ def apply_changes(
     suits a change set that has just been computed.
     """
     names = key_names(keys)
-    now = F.current_timestamp() if now is None else now
+    now = moment(now)
     schema = snapshot_schema(prior, changes)
     touched = changes.filter(F.col("action") != "no-op").select(*names)
     kept = prior.join(touched, names, "left_anti")
@@ -127,7 +128,7 @@ def snapshot_of(
     changes: DataFrame,
     keys: str | Sequence[str],
     snapshot: T.StructType,
-    now: Column | None = None,
+    now: Column | datetime | None = None,
     strategies: Mapping[str, str] | None = None,
     null_desired: str = "unmanaged",
 ) -> DataFrame:
@@ -136,15 +137,15 @@ def snapshot_of(
     The plan's join has met both sides already: one narrow map over it, and no
     second join.
     """
-    now = F.current_timestamp() if now is None else now
+    now = moment(now)
     return changes.filter(F.col("action") != "delete").select(
         *_next_columns(changes, key_names(keys), snapshot, now, strategies, null_desired)
     )
 
 
-def with_timestamps(df: DataFrame, now: Column | None = None) -> DataFrame:
+def with_timestamps(df: DataFrame, now: Column | datetime | None = None) -> DataFrame:
     """A first snapshot: both timestamps set."""
-    now = F.current_timestamp() if now is None else now
+    now = moment(now)
     return df.withColumns({c: now for c in TIMESTAMPS})
 
 

@@ -14,6 +14,7 @@ key columns alone.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from datetime import datetime
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -44,6 +45,13 @@ def refuse_duplicates(df: DataFrame, keys: str | Sequence[str], side: str) -> No
         raise DuplicateKeyError(f"{side} holds key {row['key']} more than once ({row['message']})")
 
 
+def moment(now: Column | datetime | None) -> Column:
+    """A point in time as a column; none means the time of the query."""
+    if now is None:
+        return F.current_timestamp()
+    return now if isinstance(now, Column) else F.lit(now)
+
+
 def _struct(cols: Mapping[str, Column]) -> Column:
     if not cols:
         return F.lit(None).cast("struct<>")

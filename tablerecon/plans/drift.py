@@ -7,6 +7,7 @@ report rows that exist only in the live table.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from datetime import datetime
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from tablerecon.functions.collections import any_of
 from tablerecon.functions.compare import differs
 from tablerecon.functions.hashing import row_hash
-from tablerecon.plans.changes import TIMESTAMPS, _struct, key_names
+from tablerecon.plans.changes import TIMESTAMPS, _struct, key_names, moment
 
 
 def _joined(old: DataFrame, new: DataFrame, names: Sequence[str], rest: Sequence[str], how: str) -> DataFrame:
@@ -68,7 +69,7 @@ def refresh(
     state: DataFrame,
     live: DataFrame,
     keys: str | Sequence[str],
-    now: Column | None = None,
+    now: Column | datetime | None = None,
     echo: Sequence[str] = (),
     hash_col: str | None = None,
     flag: str | None = None,
@@ -81,7 +82,7 @@ def refresh(
     ``flag`` the result says which rows were replaced.
     """
     names = key_names(keys)
-    now = F.current_timestamp() if now is None else now
+    now = moment(now)
     skip = {*names, *TIMESTAMPS, *echo, *([hash_col] if hash_col else [])}
     attrs = [c for c in state.columns if c not in skip]
     live_attrs = [c for c in attrs if c in live.columns]

@@ -38,6 +38,7 @@ from tablerecon.plans.apply import apply_changes, check_plan, new_rows, with_tim
 from tablerecon.plans.changes import (
     TIMESTAMPS,
     key_names,
+    moment,
     plan,
     plan_destroy,
     plan_upserts,
@@ -182,7 +183,7 @@ class TableStore:
         made = Version(seq, lineage, serial, done["digest"], done["rows"], data, done["sums"], batch, _now())
         return self._record(made)
 
-    def create(self, df: DataFrame, now: Column | None = None, lineage: str | None = None) -> Version:
+    def create(self, df: DataFrame, now: Column | datetime | None = None, lineage: str | None = None) -> Version:
         """The first version, from a full table."""
         if self.current() is not None:
             raise ReconError(f"{self.path} already holds a table")
@@ -231,7 +232,7 @@ class TableStore:
         return f"{moved[0]} changed" if moved else None
 
     def apply(
-        self, made: Plan, now: Column | None = None, verify: bool = False, batch: str | None = None
+        self, made: Plan, now: Column | datetime | None = None, verify: bool = False, batch: str | None = None
     ) -> Version:
         """Write the next version; all changes of the plan or none."""
         at = self.require()
@@ -260,7 +261,7 @@ class TableStore:
         return load_plan(self.spark, path)
 
     def _after(
-        self, made: Plan, at: Version, prior: DataFrame, now: Column | None
+        self, made: Plan, at: Version, prior: DataFrame, now: Column | datetime | None
     ) -> tuple[DataFrame, DataFrame | None]:
         """The next table, and its bucket sums worked out from the changes."""
         changes = made.changes
@@ -270,7 +271,7 @@ class TableStore:
         if "planned" not in changes.columns:
             left = prior.join(changes.select(*self.keys), self.keys, "left_anti")
             return left, shift_sums(base, self._sums(gone.filter(F.lit(False))), self._sums(gone))
-        now = F.current_timestamp() if now is None else now
+        now = moment(now)
         after = apply_changes(prior, changes, self.keys, now, self.strategies, self.null_desired)
         if after.columns != prior.columns:
             # New columns change every row's hash.
@@ -279,7 +280,7 @@ class TableStore:
         return after, shift_sums(base, self._sums(come), self._sums(gone))
 
     def refresh(
-        self, live: DataFrame, now: Column | None = None, echo: Sequence[str] = ()
+        self, live: DataFrame, now: Column | datetime | None = None, echo: Sequence[str] = ()
     ) -> tuple[Version, bool]:
         """Bring the table up to ``live``; one serial step if anything changed."""
         at = self.require()

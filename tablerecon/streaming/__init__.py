@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -56,7 +57,7 @@ def _sortable(dtype: T.DataType) -> bool:
 
 
 def apply_batch(
-    store: TableStore, batch: DataFrame, batch_id: str, order: str, now: Column | None = None
+    store: TableStore, batch: DataFrame, batch_id: str, order: str, now: Column | datetime | None = None
 ) -> bool:
     """Upsert one micro-batch into the store; False if it was done before.
 
@@ -77,7 +78,7 @@ def apply_stream(
     order: str,
     checkpoint: str,
     name: str = "apply",
-    now: Column | None = None,
+    now: Column | datetime | None = None,
 ) -> StreamingQuery:
     """Apply every micro-batch of ``source`` to the store, then stop."""
 

@@ -79,7 +79,7 @@ def resolve_refs_edges(t: Tables) -> DataFrame:
         F.col("l_orderkey").alias("position"),
     )
     edges = resolve_refs(parts.unionByName(suppliers), refs)
-    how = F.when(F.col("position.__kind") == 0, "explicit").otherwise("reference")
+    how = F.when(F.col("explicit"), "explicit").otherwise("reference")
     return edges.select("address", "dep", how.alias("how"))
 
 
