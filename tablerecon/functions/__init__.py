@@ -18,7 +18,7 @@ from tablerecon.functions.documents import (
     path_get,
 )
 from tablerecon.functions.hashing import row_hash
-from tablerecon.functions.templates import substitute, substitute_by_row, substitute_columns
+from tablerecon.functions.templates import substitute, substitute_columns
 from tablerecon.functions.text import (
     address,
     bounded_key,
@@ -53,7 +53,6 @@ __all__ = [
     "slugify",
     "strip_space",
     "substitute",
-    "substitute_by_row",
     "substitute_columns",
     "tag_add",
     "tag_value",

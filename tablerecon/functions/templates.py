@@ -79,39 +79,3 @@ def substitute_columns(
         if (columns is None or f.name in columns) and has_text(f.dataType)
     }
     return df.withColumns(chosen) if chosen else df
-
-
-def substitute_by_row(
-    df: DataFrame,
-    variables: DataFrame,
-    on: str,
-    columns: Sequence[str],
-    name: str = "name",
-    value: str = "value",
-    position: str = "position",
-) -> DataFrame:
-    """Substitute with the variables of each row's own ``on`` value.
-
-    ``variables`` holds one row per (``on``, ``name``).  Each row meets the
-    ordered variable list of its tenant; rows of a tenant without variables
-    stay as they are.
-    """
-    lists = variables.groupBy(on).agg(
-        F.sort_array(
-            F.collect_list(
-                F.struct(
-                    F.col(position).alias("p"),
-                    F.concat(F.lit("${"), F.col(name), F.lit("}")).alias("k"),
-                    F.col(value).alias("v"),
-                )
-            )
-        ).alias("__vars")
-    )
-    joined = df.join(lists, on, "left")
-    done = {
-        c: F.when(F.col("__vars").isNull(), F.col(c)).otherwise(
-            F.aggregate(F.col("__vars"), F.col(c), lambda acc, e: F.replace(acc, e["k"], e["v"]))
-        )
-        for c in columns
-    }
-    return joined.withColumns(done).select(*df.columns)

@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 
 from tablerecon.errors import ValidationError
 from tablerecon.functions.collections import any_of
+from tablerecon.operators.skew import salted_join
 
 # Patterns of names and colours.
 NAME_PATTERN = "^[a-zA-Z0-9_]+$"
@@ -142,9 +143,10 @@ def check_unique_in_group(
             F.min(F.struct(F.col(position).alias("pos"), F.col(address).alias("addr"))).alias("__first"),
         )
         .filter("__n > 1")
-        .select(group, name, "__first")
+        .select(F.col(group).alias("__group"), F.col(name).alias("__name"), "__first")
     )
-    later = df.select(group, name, address, position).join(first, [group, name])
+    rows = df.select(group, name, address, position)
+    later = salted_join(rows, first, [(group, "__group"), (name, "__name")], "inner", null_safe=True)
     bad = later.filter(
         F.struct(F.col(position).alias("pos"), F.col(address).alias("addr")) > F.col("__first")
     )
@@ -174,7 +176,12 @@ def check_reference(
     wanted = df.select(key_text(keys).alias("__key"), value.alias("__ref")).filter(
         F.col("__ref").isNotNull()
     )
-    bad = wanted.join(known, "__ref", "left_anti")
+    # Distinct references meet the universe once each; only the missing ones
+    # then go back to the rows that carry them.
+    missing = (
+        wanted.select("__ref").distinct().join(known, "__ref", "left_anti").withColumnRenamed("__ref", "__missing")
+    )
+    bad = salted_join(wanted, missing, [("__ref", "__missing")], "inner")
     message = F.concat(F.lit("unknown reference: "), F.col("__ref").cast("string"))
     return _rows(bad, check, F.col("__key"), message)
 
@@ -248,7 +255,8 @@ def check_not_self(
 
 def valid_grants(objects: DataFrame, rules: DataFrame, object_cols: Sequence[str]) -> DataFrame:
     """Sharing rules whose object exists."""
-    return rules.join(objects.select(*object_cols), list(object_cols), "left_semi")
+    have = objects.select(*[F.col(c).alias(f"__o_{c}") for c in object_cols])
+    return salted_join(rules, have, [(c, f"__o_{c}") for c in object_cols], "left_semi")
 
 
 def check_granted(
@@ -262,7 +270,8 @@ def check_granted(
 ) -> DataFrame:
     """References whose object is missing, or not shared with ``target``."""
     on = [*object_cols, target]
-    bad = refs.join(valid_grants(objects, rules, object_cols).select(*on), on, "left_anti")
+    granted = valid_grants(objects, rules, object_cols).select(*[F.col(c).alias(f"__g_{c}") for c in on])
+    bad = salted_join(refs, granted.distinct(), [(c, f"__g_{c}") for c in on], "left_anti")
     what = F.concat_ws(".", *[F.col(c).cast("string") for c in object_cols])
     message = F.concat(F.lit("missing or not shared: "), what, F.lit(" to "), F.col(target).cast("string"))
     return _rows(bad, check, keys, message)

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablerecon.errors import DependencyCycleError
+from tablerecon.operators.skew import salted_join
 from tablerecon.session import scratch_path
 
 _SHOWN = 20
@@ -29,8 +30,8 @@ def prune_edges(nodes: DataFrame, edges: DataFrame, node: str = "node", dep: str
     """
     known = nodes.select(F.col(node).alias("__n"))
     distinct = edges.select(F.col(node).alias("node"), F.col(dep).alias("dep")).distinct()
-    kept = distinct.join(known, distinct["dep"] == known["__n"], "left_semi")
-    return kept.join(known, kept["node"] == known["__n"], "left_semi")
+    kept = salted_join(distinct, known, [("dep", "__n")], "left_semi")
+    return salted_join(kept, known, [("node", "__n")], "left_semi")
 
 
 @dataclass
@@ -58,7 +59,8 @@ def peel(nodes: DataFrame, edges: DataFrame, node: str = "node", dep: str = "dep
             break
         left = count
         waiting = pending.select(F.col("node").alias("__w")).distinct()
-        still = pending.join(waiting, pending["dep"] == waiting["__w"], "left_semi")
+        # Many edges may need one hub: salted, so that no task gets them all.
+        still = salted_join(pending, waiting, [("dep", "__w")], "left_semi")
         round_no += 1
         still.write.parquet(f"{root}/round={round_no}")
     # A round that keeps every edge never ends: a cycle, or nodes behind one.

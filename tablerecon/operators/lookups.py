@@ -3,8 +3,8 @@
 No join here carries a broadcast hint: Spark broadcasts a side only when its
 measured size is below the session threshold and shuffles it otherwise.  Lookup
 sides are reduced to one row per key by aggregations that combine map-side, so
-a hot key costs one partial row per task, and the many-rows side of the join is
-left to AQE's skew splitting (see ``session.RUNTIME_CONF``).
+a hot key costs one partial row per task; the many-rows side is salted, see
+``operators.skew``.
 """
 
 from __future__ import annotations
@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tablerecon.operators.skew import salted_join
+
 # Alias sets up to this size are inlined as a literal map; larger ones join.
 INLINE_ALIASES = 256
 
@@ -44,11 +46,7 @@ def left_enrich(
         *[F.col(k).alias(f"__r_{k}") for k in keys],
         *[F.col(c).alias(f"__v_{c}") for c in extra],
     )
-    cond: Column | None = None
-    for k in keys:
-        same = left[k].eqNullSafe(side[f"__r_{k}"]) if null_safe else left[k] == side[f"__r_{k}"]
-        cond = same if cond is None else cond & same
-    joined = left.join(side, cond, "left")
+    joined = salted_join(left, side, [(k, f"__r_{k}") for k in keys], "left", null_safe)
 
     def filled(name: str) -> Column:
         default = F.lit(fill[name])
@@ -108,8 +106,8 @@ def lookup_first(
     best = candidates.groupBy(F.col(name).alias("__name")).agg(
         F.min_by(F.struct(F.col(attr).alias("v")), F.col("candidate_rank")).alias("__first")
     )
-    joined = refs.join(best, refs[ref or name] == best["__name"], "left")
-    return joined.select(*[refs[c] for c in refs.columns], F.col("__first.v").alias(out or attr))
+    joined = salted_join(refs, best, [(ref or name, "__name")], "left")
+    return joined.select(*refs.columns, F.col("__first.v").alias(out or attr))
 
 
 def lookup_last(
@@ -125,8 +123,8 @@ def lookup_last(
     last = table.groupBy(F.col(name).alias("__name")).agg(
         F.max_by(F.struct(F.col(value).alias("v")), F.col(position)).alias("__last")
     )
-    joined = refs.join(last, refs[ref or name] == last["__name"], "left")
-    return joined.select(*[refs[c] for c in refs.columns], F.col("__last.v").alias(out or value))
+    joined = salted_join(refs, last, [(ref or name, "__name")], "left")
+    return joined.select(*refs.columns, F.col("__last.v").alias(out or value))
 
 
 def resolve_refs(
@@ -156,7 +154,7 @@ def resolve_refs(
         F.col("position").cast("long").alias("__pos"),
     )
     # One equi-join on the name serves both kinds; the type is a residual test.
-    matched = wanted.join(by_name, wanted["ref_name"] == by_name["__name"]).filter(
+    matched = salted_join(wanted, by_name, [("ref_name", "__name")], "inner").filter(
         (F.col("ref_type").isNull() | (F.col("ref_type") == F.col("__type")))
         & (F.col("dep") != F.col("address"))
     )
@@ -205,7 +203,7 @@ def resolve_aliases(
             }
         )
     keys = _names(key)
-    mapping = aliases.select(F.col(name).alias("__elem"), F.col(target).alias("__target"))
+    mapping = aliases.select(F.col(name).alias("__name"), F.col(target).alias("__target"))
     pieces = [
         df.filter(F.size(c) > 0).select(
             *keys, F.lit(c).alias("__col"), F.posexplode(c).alias("__pos", "__elem")
@@ -215,7 +213,7 @@ def resolve_aliases(
     elements = pieces[0]
     for piece in pieces[1:]:
         elements = elements.unionByName(piece)
-    resolved = elements.join(mapping, "__elem", "left").select(
+    resolved = salted_join(elements, mapping, [("__elem", "__name")], "left").select(
         *keys, "__col", "__pos", F.coalesce("__target", "__elem").alias("__value")
     )
     gathered = resolved.groupBy(*keys).agg(

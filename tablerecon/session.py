@@ -7,10 +7,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-# Joins against a lookup side leave hot keys to AQE: it splits an oversized
-# partition of the many-rows side at run time and broadcasts a side only after
-# its shuffled size is known.  Template text must not pass Spark's own ${...}
-# substitution.
+# AQE splits an oversized partition of a join at run time, also where that costs
+# another shuffle later, and broadcasts a side only after its shuffled size is
+# known.  Template text must not pass Spark's own ${...} substitution.
 RUNTIME_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
@@ -58,9 +57,10 @@ def shared_dir(spark: SparkSession) -> str:
         return named.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors can reach")
-    own = tempfile.mkdtemp(prefix="tablerecon-")
-    spark.conf.set("spark.checkpoint.dir", own)
-    return own
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="tablerecon-"))
+    return str(context.getCheckpointDir()).rstrip("/")
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:

@@ -23,7 +23,6 @@ from tablerecon.functions import (
     sanitize_key,
     slugify,
     substitute,
-    substitute_by_row,
     substitute_columns,
     tag_add,
     tag_value,
@@ -31,6 +30,7 @@ from tablerecon.functions import (
 )
 from tablerecon.functions.documents import parse
 from tablerecon.operators.schema import conform_schema
+from tablerecon.operators.tenants import substitute_by_row
 from tablerecon.suite.registry import Tables, query
 
 

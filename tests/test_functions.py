@@ -23,13 +23,13 @@ from tablerecon.functions import (
     slugify,
     strip_space,
     substitute,
-    substitute_by_row,
     substitute_columns,
     tag_add,
     tag_value,
     targets_of,
 )
 from tablerecon.functions.documents import parse
+from tablerecon.operators.tenants import substitute_by_row
 
 
 def one(df, col):
