@@ -127,14 +127,14 @@ def plan_summary(t: Tables) -> DataFrame:
 
 
 @query(
-    """SELECT a.action, CAST(count(n.n_nationkey) AS BIGINT) AS rows
+    """SELECT a.action, CAST(count(o.o_orderkey) AS BIGINT) AS rows
 FROM (VALUES ('create'), ('update'), ('delete')) a(action)
-LEFT JOIN nation n ON a.action = 'create' GROUP BY 1"""
+LEFT JOIN orders o ON a.action = 'create' GROUP BY 1"""
 )
 def change_summary(t: Tables) -> DataFrame:
-    """Nations against an empty table: only creates, the rest zero-filled."""
-    nothing = t.nation.filter(F.lit(False))
-    return summary_actionable(plan(t.nation, nothing, "n_nationkey"))
+    """Orders against an empty table: only creates, the rest zero-filled."""
+    nothing = t.orders.filter(F.lit(False))
+    return summary_actionable(plan(t.orders, nothing, "o_orderkey"))
 
 
 @query(

@@ -1,5 +1,6 @@
 import os
 import sys
+import tempfile
 
 import pytest
 
@@ -10,7 +11,10 @@ from tablerecon.session import local_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    session = local_session("tests", 8, **{"spark.sql.shuffle.partitions": "4"})
+    warehouse = tempfile.mkdtemp(prefix="tablerecon-warehouse-")
+    session = local_session(
+        "tests", 8, **{"spark.sql.shuffle.partitions": "4", "spark.sql.warehouse.dir": warehouse}
+    )
     yield session
     session.stop()
 
