@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 from tablerecon.errors import ValidationError
 from tablerecon.functions.collections import any_of
 from tablerecon.operators.skew import salted_join
+from tablerecon.types import SQL_TYPES
 
 # Patterns of names and colours.
 NAME_PATTERN = "^[a-zA-Z0-9_]+$"
@@ -226,6 +227,17 @@ def check_any_member(
     return _rows(bad, check, names, F.lit(message))
 
 
+def sql_capable(ref: Column, dataset_type: Column, is_foreign: Column) -> Column:
+    """Whether a recipe input can be read by SQL.
+
+    Its type is a SQL one, or it is foreign, or it names another project: the
+    type of the last two is not known here.
+    """
+    known = F.coalesce(dataset_type.isin(*SQL_TYPES), F.lit(False))
+    foreign = F.coalesce(is_foreign, F.lit(False))
+    return known | foreign | F.contains(ref, F.lit("."))
+
+
 def check_functional_dependency(
     df: DataFrame, key: str | Sequence[str], value: str, check: str = "functional_dependency"
 ) -> DataFrame:

@@ -8,6 +8,76 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablerecon.operators.skew import salted_join
+from tablerecon.session import materialize
+
+# A tenant's variables travel as one list while no tenant has more than this.
+LIST_LIMIT = 1000
+
+_MARKERS = r"(?=\$\{([^}]*)\})"
+
+
+def _by_list(df: DataFrame, variables: DataFrame, on: str, columns: Sequence[str]) -> DataFrame:
+    entry = F.struct(
+        F.col("__pos").alias("p"),
+        F.concat(F.lit("${"), "__name", F.lit("}")).alias("k"),
+        F.col("__value").alias("v"),
+    )
+    lists = variables.groupBy("__tenant").agg(F.sort_array(F.collect_list(entry)).alias("__vars"))
+    joined = salted_join(df, lists, [(on, "__tenant")], "left")
+    done = {
+        c: F.when(F.col("__vars").isNull(), F.col(c)).otherwise(
+            F.aggregate(F.col("__vars"), F.col(c), lambda acc, e: F.replace(acc, e["k"], e["v"]))
+        )
+        for c in columns
+    }
+    return joined.withColumns(done).select(*df.columns)
+
+
+def _by_marker(
+    df: DataFrame, variables: DataFrame, on: str, columns: Sequence[str], keys: list[str]
+) -> DataFrame:
+    """Rows meet only the variables they mention.
+
+    In each round every text takes the first variable, in order, that is after
+    the one it took last and whose marker it holds now.  Rounds = most
+    variables taken by one text.
+    """
+    if not variables.filter(F.contains("__name", F.lit("}"))).isEmpty():
+        raise ValueError("names of very many variables may not contain }")
+    texts = df.select(
+        *keys,
+        F.col(on).alias("__on"),
+        F.inline(F.array(*[F.struct(F.lit(c).alias("__col"), F.col(c).alias("__text")) for c in columns])),
+    ).withColumn("__taken", F.lit(None).cast("long"))
+    ids = [*keys, "__col"]
+    while True:
+        found = F.array_distinct(F.regexp_extract_all("__text", F.lit(_MARKERS), F.lit(1)))
+        marks = texts.select(*ids, "__on", "__taken", F.explode(found).alias("__mark"))
+        hits = salted_join(marks, variables, [("__on", "__tenant"), ("__mark", "__name")], "inner")
+        later = hits.filter(F.col("__taken").isNull() | (F.col("__pos") > F.col("__taken")))
+        first = materialize(
+            later.groupBy(*ids).agg(F.min_by(F.struct("__pos", "__name", "__value"), "__pos").alias("__next")),
+            "variables",
+        )
+        if first.isEmpty():
+            break
+        step = F.col("__next")
+        marker = F.concat(F.lit("${"), step["__name"], F.lit("}"))
+        texts = materialize(
+            texts.join(first, ids, "left").select(
+                *keys, "__on", "__col",
+                F.when(step.isNull(), F.col("__text"))
+                .otherwise(F.replace("__text", marker, step["__value"])).alias("__text"),
+                F.coalesce(step["__pos"], "__taken").alias("__taken"),
+            ),
+            "texts",
+        )
+    wide = texts.groupBy(*keys).agg(
+        *[F.max(F.when(F.col("__col") == c, F.col("__text"))).alias(f"__new_{c}") for c in columns]
+    )
+    return df.join(wide, keys).select(
+        *[F.col(f"__new_{c}").alias(c) if c in columns else F.col(c) for c in df.columns]
+    )
 
 
 def substitute_by_row(
@@ -15,32 +85,27 @@ def substitute_by_row(
     variables: DataFrame,
     on: str,
     columns: Sequence[str],
+    key: str | Sequence[str],
     name: str = "name",
     value: str = "value",
     position: str = "position",
+    list_limit: int = LIST_LIMIT,
 ) -> DataFrame:
     """Substitute with the variables of each row's own ``on`` value.
 
-    ``variables`` holds one row per (``on``, ``name``).  Each row meets the
-    ordered variable list of its tenant; rows of a tenant without variables
-    stay as they are.
+    ``variables`` holds one row per (``on``, ``name``) and ``df`` one per
+    ``key``.  Rows of a tenant without variables stay as they are.  Tenants
+    with few variables carry them as one list; if any has more than
+    ``list_limit``, rows are joined with the variables they mention instead.
     """
-    lists = variables.groupBy(F.col(on).alias("__tenant")).agg(
-        F.sort_array(
-            F.collect_list(
-                F.struct(
-                    F.col(position).alias("p"),
-                    F.concat(F.lit("${"), F.col(name), F.lit("}")).alias("k"),
-                    F.col(value).alias("v"),
-                )
-            )
-        ).alias("__vars")
+    keys = [key] if isinstance(key, str) else list(key)
+    view = variables.select(
+        F.col(on).alias("__tenant"),
+        F.col(name).alias("__name"),
+        F.col(value).alias("__value"),
+        F.col(position).cast("long").alias("__pos"),
     )
-    joined = salted_join(df, lists, [(on, "__tenant")], "left")
-    done = {
-        c: F.when(F.col("__vars").isNull(), F.col(c)).otherwise(
-            F.aggregate(F.col("__vars"), F.col(c), lambda acc, e: F.replace(acc, e["k"], e["v"]))
-        )
-        for c in columns
-    }
-    return joined.withColumns(done).select(*df.columns)
+    counted = view.groupBy("__tenant").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("most"))
+    if (counted.first()["most"] or 0) <= list_limit:
+        return _by_list(df, view, on, columns)
+    return _by_marker(df, view, on, columns, keys)

@@ -20,7 +20,7 @@ from dataclasses import dataclass, fields, replace
 from datetime import datetime, timezone
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, Row, SparkSession
 from pyspark.sql import functions as F
 
 from tablerecon.errors import ReconError, StalePlanError
@@ -36,6 +36,7 @@ from tablerecon.operators.digest import (
 )
 from tablerecon.plans.apply import apply_changes, check_plan, new_rows, with_timestamps
 from tablerecon.plans.changes import (
+    ACTIONS,
     TIMESTAMPS,
     key_names,
     moment,
@@ -53,7 +54,10 @@ _VERSION_DDL = (
     "seq long, lineage string, serial long, digest string, rows long, data string, "
     f"sums array<struct<{', '.join(f.replace(' ', ': ') for f in _SUM_FIELDS)}>>, batch string, created string"
 )
-_PLAN_DDL = "lineage string, serial long, digest string, config string, destroy boolean, created string"
+_PLAN_DDL = (
+    "lineage string, serial long, digest string, config string, destroy boolean, created string, "
+    "counts map<string, long>"
+)
 
 
 def _tuple(record: object) -> tuple:
@@ -87,6 +91,8 @@ class PlanMeta:
     config: str | None
     destroy: bool
     created: str
+    # Rows per action, known once the plan has been saved.
+    counts: dict[str, int] | None = None
 
 
 @dataclass(frozen=True)
@@ -97,13 +103,19 @@ class Plan:
 
 
 def save_plan(made: Plan, path: str, actionable_only: bool = True) -> None:
-    """Write a plan; no-ops carry nothing an apply needs and are left out."""
+    """Write a plan; no-ops carry nothing an apply needs and are left out.
+
+    Rows per action, no-ops too, are counted while the rows are written.
+    """
     spark = made.changes.sparkSession
-    rows = made.changes.filter("action <> 'no-op'") if actionable_only else made.changes
+    seen = Observation()
+    counts = [F.count(F.when(F.col("action") == a, 1)).alias(a) for a in ACTIONS]
+    rows = made.changes.observe(seen, *counts)
+    if actionable_only:
+        rows = rows.filter(F.col("action") != "no-op")
     rows.write.parquet(f"{path}/changes")
-    spark.createDataFrame([_tuple(made.meta)], _PLAN_DDL).coalesce(1).write.parquet(
-        f"{path}/meta"
-    )
+    meta = replace(made.meta, counts=dict(seen.get))
+    spark.createDataFrame([_tuple(meta)], _PLAN_DDL).coalesce(1).write.parquet(f"{path}/meta")
 
 
 def load_plan(spark: SparkSession, path: str) -> Plan:

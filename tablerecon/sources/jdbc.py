@@ -10,10 +10,6 @@ from pyspark.sql import DataFrame, SparkSession
 from tablerecon.errors import ValidationError
 from tablerecon.sources.files import WRITE_MODES
 
-# Dataset types with a SQL connection.
-SQL_TYPES = ("PostgreSQL", "Snowflake", "Oracle", "MySQL")
-
-
 @dataclass(frozen=True)
 class Connection:
     """A named set of reader options; a connection without a URL is Spark itself."""

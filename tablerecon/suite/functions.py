@@ -87,13 +87,12 @@ def substitute_vars(t: Tables) -> DataFrame:
     return done.select("p_partkey", "path", F.array_join("tags", "|").alias("tags"))
 
 
-@query(
-    """SELECT c_custkey, replace(replace('${home}/' || c_mktsegment || '/${nation}/${other}',
+TENANT_SQL = """SELECT c_custkey, replace(replace('${home}/' || c_mktsegment || '/${nation}/${other}',
   '${home}', '${nation}-' || r_name), '${nation}', n_name) AS path
 FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey"""
-)
-def substitute_by_tenant(t: Tables) -> DataFrame:
-    """Every customer's template is filled with its own nation's variables."""
+
+
+def _tenant_inputs(t: Tables) -> tuple[DataFrame, DataFrame]:
     nations = t.nation.join(t.region, F.col("n_regionkey") == F.col("r_regionkey"))
     variables = nations.select(
         F.col("n_nationkey").alias("tenant"),
@@ -110,7 +109,22 @@ def substitute_by_tenant(t: Tables) -> DataFrame:
         F.col("c_nationkey").alias("tenant"),
         F.concat(F.lit("${home}/"), "c_mktsegment", F.lit("/${nation}/${other}")).alias("path"),
     )
-    return substitute_by_row(rows, variables, "tenant", ["path"]).select("c_custkey", "path")
+    return rows, variables
+
+
+@query(TENANT_SQL)
+def substitute_by_tenant(t: Tables) -> DataFrame:
+    """Every customer's template is filled with its own nation's variables."""
+    rows, variables = _tenant_inputs(t)
+    return substitute_by_row(rows, variables, "tenant", ["path"], "c_custkey").select("c_custkey", "path")
+
+
+@query(TENANT_SQL)
+def substitute_by_marker(t: Tables) -> DataFrame:
+    """The same for tenants with too many variables to carry along."""
+    rows, variables = _tenant_inputs(t)
+    done = substitute_by_row(rows, variables, "tenant", ["path"], "c_custkey", list_limit=0)
+    return done.select("c_custkey", "path")
 
 
 SLUG = "coalesce(nullif(trim(regexp_replace(lower({0}), '[^a-z0-9]+', '_', 'g'), '_'), ''), 'preview')"

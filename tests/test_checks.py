@@ -63,6 +63,17 @@ def test_any_member(spark):
     assert keys(C.check_any_member(members, "r", F.col("ok"), "m", owners=owners)) == ["r2", "r3", "r4"]
 
 
+def test_sql_inputs(spark):
+    """One SQL-capable input is enough."""
+    inputs = spark.createDataFrame(
+        [("r1", "a", "Filesystem", False), ("r1", "b", "Snowflake", False), ("r2", "a", "Filesystem", False),
+         ("r3", "f", None, True), ("r4", "OTHER.x", None, None), ("r5", "gone", None, None)],
+        "r string, ref string, type string, is_foreign boolean",
+    )
+    ok = C.sql_capable(F.col("ref"), F.col("type"), F.col("is_foreign"))
+    assert keys(C.check_any_member(inputs, "r", ok, "no SQL input")) == ["r2", "r5"]
+
+
 def test_functional_dependency_and_self(spark):
     df = spark.createDataFrame([("a", "P.x"), ("a", "P.x"), ("b", "P.y"), ("b", "Q.y"), ("c", None)], "k string, v string")
     found = C.check_functional_dependency(df, "k", "v").collect()

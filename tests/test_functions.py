@@ -109,14 +109,31 @@ def test_substitute_nested_types(spark):
     assert (row["i"], row["none"]) == (7, None)
 
 
-def test_substitute_by_row(spark):
-    df = spark.createDataFrame([("t1", "${a}${b}"), ("t2", "${a}"), ("t3", "${a}")], "t string, path string")
+def sequential(text, variables):
+    for name, value in variables:
+        text = text.replace("${" + name + "}", value)
+    return text
+
+
+@pytest.mark.parametrize("list_limit", [0, 1000])
+def test_substitute_by_row(spark, list_limit):
+    by_tenant = {
+        "t1": [("a", "${b}"), ("c", "C"), ("b", "B${c}"), ("pre", "x"), ("x", "${pre}")],
+        "t2": [("b", "2"), ("a", "${b}"), ("fix", "F"), ("prefix", "P")],
+    }
+    texts = ["${a}${b}", "${c}-${a}", "${x}${pre}", "${pre${fix}}", "${prefix}${${b}}", "none", "${unknown}", None, ""]
+    records = [(f"{t}{i}", t, x, "${a}") for t in ("t1", "t2", "t3") for i, x in enumerate(texts)]
+    df = spark.createDataFrame(records, "id string, t string, path string, other string")
     variables = spark.createDataFrame(
-        [("t1", "b", "B", 2), ("t1", "a", "${b}", 1), ("t2", "a", "A2", 1)],
+        [(t, n, v, i) for t, pairs in by_tenant.items() for i, (n, v) in enumerate(pairs)],
         "t string, name string, value string, position int",
     )
-    got = {r["t"]: r["path"] for r in substitute_by_row(df, variables, "t", ["path"]).collect()}
-    assert got == {"t1": "BB", "t2": "A2", "t3": "${a}"}
+    out = substitute_by_row(df, variables, "t", ["path", "other"], "id", list_limit=list_limit)
+    assert out.columns == df.columns
+    got = {r["id"]: (r["path"], r["other"]) for r in out.collect()}
+    for key, tenant, path, other in records:
+        pairs = by_tenant.get(tenant, [])
+        assert got[key] == (path if path is None else sequential(path, pairs), sequential(other, pairs))
 
 
 def test_path_get(spark):

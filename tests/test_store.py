@@ -43,6 +43,9 @@ def test_round_trip(spark, store):
     # The digest follows from the changes, without reading the table again.
     assert after.digest == full_digest(store) != first.digest
     again = store.plan(desired)
+    path = scratch_path(spark, "test-plan")
+    save_plan(again, path)
+    assert load_plan(spark, path).meta.counts == {"create": 0, "update": 0, "delete": 0, "no-op": 3}
     assert {r["action"] for r in again.changes.collect()} == {"no-op"}
     assert store.apply(again, T1) == after
     assert len(store.read(first).collect()) == 3
@@ -60,6 +63,7 @@ def test_saved_plan_and_stale_reasons(spark, store):
     save_plan(store.plan(table(spark, ("a", 9, {}))), path)
     loaded = load_plan(spark, path)
     assert loaded.stored and loaded.meta.serial == 0
+    assert loaded.meta.counts == {"create": 0, "update": 1, "delete": 2, "no-op": 0}
     store.apply(loaded, T1)
     with pytest.raises(StalePlanError, match="serial changed"):
         store.apply(load_plan(spark, path), T1)
