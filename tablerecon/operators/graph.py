@@ -59,7 +59,7 @@ def peel(nodes: DataFrame, edges: DataFrame, node: str = "node", dep: str = "dep
             break
         left = count
         waiting = pending.select(F.col("node").alias("__w")).distinct()
-        # Many edges may need one hub: salted, so that no task gets them all.
+        # Many edges may need one hub, so no task may get them all.
         still = salted_join(pending, waiting, [("dep", "__w")], "left_semi")
         round_no += 1
         still.write.parquet(f"{root}/round={round_no}")

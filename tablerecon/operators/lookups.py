@@ -3,8 +3,8 @@
 No join here carries a broadcast hint: Spark broadcasts a side only when its
 measured size is below the session threshold and shuffles it otherwise.  Lookup
 sides are reduced to one row per key by aggregations that combine map-side, so
-a hot key costs one partial row per task; the many-rows side is salted, see
-``operators.skew``.
+a hot key costs one partial row per task; how the many-rows side is kept from
+filling one task is told in ``operators.skew``.
 """
 
 from __future__ import annotations

@@ -1,26 +1,33 @@
 """Joins of many rows with a lookup side, safe for hot keys.
 
-A lookup side made by an aggregation arrives partitioned by the key, so Spark
-joins it without shuffling it again, and AQE then cannot split a hot key of the
-other side: it only splits joins of two fresh shuffles.  ``salted_join`` adds a
-salt to the key.  The many-rows side spreads every key over ``salts``
-partitions, the lookup side is copied once per salt, and because both sides are
-shuffled anew AQE can split what is still too large.
+AQE splits a hot partition of a join at run time and copies the other side only
+for the pieces, but it can do so only when both sides have just been shuffled.
+A lookup side made by an aggregation is not: it arrives partitioned by the key
+and is joined as it is.  ``salted_join`` adds a salt to the key, which forces a
+fresh shuffle of both sides.  Under AQE one salt is enough, nothing is copied
+up front, and AQE does the splitting.  Without AQE the many-rows side spreads
+every key over several salts, and the lookup side is copied once per salt.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-SALTS = 8
+STATIC_SALTS = 8
 
 _SALT, _COPY = "__salt", "__copy"
 
 
+def default_salts(spark: SparkSession) -> int:
+    """One where AQE splits hot keys, ``STATIC_SALTS`` elsewhere."""
+    needed = ("spark.sql.adaptive.enabled", "spark.sql.adaptive.skewJoin.enabled")
+    return 1 if all(spark.conf.get(c, "true") == "true" for c in needed) else STATIC_SALTS
+
+
 def _hashable(dtype: T.DataType) -> bool:
     if isinstance(dtype, (T.MapType, T.VariantType)):
         return False
@@ -31,7 +38,7 @@ def _hashable(dtype: T.DataType) -> bool:
     return True
 
 
-def row_salt(df: DataFrame, salts: int = SALTS) -> Column:
+def row_salt(df: DataFrame, salts: int) -> Column:
     """A salt from the row's own content.
 
     Not a random number: a recomputed task must send its rows to the same place.
@@ -46,17 +53,22 @@ def salted_join(
     on: Sequence[tuple[str, str]],
     how: str,
     null_safe: bool = False,
-    salts: int = SALTS,
+    salts: int | None = None,
 ) -> DataFrame:
     """Join ``left`` (many rows per key) with ``right`` (few rows per key).
 
     ``on`` pairs left with right columns, whose names must differ.  ``how`` is
-    inner, left, left_semi or left_anti; the result equals the unsalted join's.
+    inner, left, left_semi or left_anti; the result equals the plain join's.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"cannot salt a {how} join")
-    many = left.withColumn(_SALT, row_salt(left, salts))
-    few = right.withColumn(_COPY, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    n = default_salts(left.sparkSession) if salts is None else salts
+    if n == 1:
+        # The salt is 0 for every row, but not a constant Spark could fold away.
+        many = left.withColumn(_SALT, F.pmod(F.xxhash64(*[F.col(m) for m, _ in on]), F.lit(1)).cast("int"))
+    else:
+        many = left.withColumn(_SALT, row_salt(left, n))
+    few = right.withColumn(_COPY, F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
     cond = F.col(_SALT) == F.col(_COPY)
     for mine, theirs in on:
         same = F.col(mine).eqNullSafe(F.col(theirs)) if null_safe else F.col(mine) == F.col(theirs)
