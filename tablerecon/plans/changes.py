@@ -53,8 +53,6 @@ def moment(now: Column | datetime | None) -> Column:
 
 
 def _struct(cols: Mapping[str, Column]) -> Column:
-    if not cols:
-        return F.lit(None).cast("struct<>")
     return F.struct(*[c.alias(n) for n, c in cols.items()])
 
 
@@ -122,6 +120,9 @@ def plan(
         flags[c] = (want.isNotNull() & flag) if null_desired == "unmanaged" else flag
     staged = joined.withColumns({f"__f_{c}": flag for c, flag in flags.items()})
 
+    # A table of nothing but keys shows them; an empty struct cannot be stored.
+    d_cols = {c: F.col(f"__d_{c}") for c in d_types} or {k: F.col(f"__dk_{k}") for k in names}
+    p_cols = {c: F.col(f"__p_{c}") for c in p_types} or {k: F.col(f"__pk_{k}") for k in names}
     in_d, in_p = F.col("__in_d").isNotNull(), F.col("__in_p").isNotNull()
     hit = any_of([F.col(f"__f_{c}") for c in flags])
     action = (
@@ -133,9 +134,9 @@ def plan(
     return staged.select(
         *[F.coalesce(f"__dk_{k}", f"__pk_{k}").alias(k) for k in names],
         action.alias("action"),
-        F.when(in_d, _struct({c: F.col(f"__d_{c}") for c in d_types})).alias("desired"),
-        F.when(in_d, _struct(resolved)).alias("planned"),
-        F.when(in_p, _struct({c: F.col(f"__p_{c}") for c in p_types})).alias("prior"),
+        F.when(in_d, _struct(d_cols)).alias("desired"),
+        F.when(in_d, _struct(resolved or d_cols)).alias("planned"),
+        F.when(in_p, _struct(p_cols)).alias("prior"),
         F.when(in_d & in_p, F.array_except(listed, null_name)).otherwise(nothing).alias("changed_fields"),
     )
 
@@ -154,7 +155,7 @@ def plan_upserts(desired: DataFrame, prior: DataFrame, keys: str | Sequence[str]
 def plan_destroy(prior: DataFrame, keys: str | Sequence[str]) -> DataFrame:
     """Every prior row becomes a delete; desired is not looked at."""
     names = key_names(keys)
-    rest = {c: F.col(c) for c in prior.columns if c not in names}
+    rest = {c: F.col(c) for c in prior.columns if c not in names} or {k: F.col(k) for k in names}
     return prior.select(*names, F.lit("delete").alias("action"), _struct(rest).alias("prior"))
 
 

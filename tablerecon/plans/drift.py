@@ -57,8 +57,10 @@ def drift(
     return hit.select(
         *names,
         F.when(gone, "delete").otherwise("update").alias("action"),
-        _struct({c: F.col(c) for c in old_rest}).alias("prior"),
-        F.when(~gone, _struct({c: F.col(f"__n_{c}") for c in new_rest})).alias("planned"),
+        _struct({c: F.col(c) for c in old_rest or names}).alias("prior"),
+        F.when(~gone, _struct({c: F.col(f"__n_{c}") for c in new_rest} or {k: F.col(k) for k in names})).alias(
+            "planned"
+        ),
         F.when(gone, F.array().cast("array<string>"))
         .otherwise(F.array_except(listed, null_name))
         .alias("changed_fields"),

@@ -97,6 +97,17 @@ def test_composite_and_null_keys(spark):
     assert got == [(0, "x", "create"), (1, "x", "no-op"), (1, "y", "create"), (2, "y", "delete")]
 
 
+def test_tables_of_nothing_but_keys(spark):
+    one, two = (spark.createDataFrame(x, "k int") for x in ([(1,), (2,)], [(2,), (3,)]))
+    changes = plan(two, one, "k")
+    assert {r["k"]: r["action"] for r in changes.collect()} == {1: "delete", 2: "no-op", 3: "create"}
+    assert sorted(r["k"] for r in apply_changes(one, changes, "k").collect()) == [2, 3]
+    assert sorted(r["k"] for r in snapshot_of(changes, "k", one.schema).collect()) == [2, 3]
+    assert [(r["k"], r["action"]) for r in drift(one, two, "k").collect()] == [(1, "delete")]
+    assert plan_destroy(one, "k").count() == 2
+    assert diff_fields(changes, "k").count() == 0
+
+
 def test_duplicate_keys_are_refused(spark):
     twice = frame(spark, record("a"), record("a", value=1))
     one = frame(spark, record("a"))

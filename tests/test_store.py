@@ -122,3 +122,11 @@ def test_new_columns_join_the_table(spark, store):
     after = store.apply(store.plan(desired), T1)
     assert after.digest == full_digest(store)
     assert {r["k"]: r["note"] for r in store.read().collect()} == {"a": "n-a", "b": "n-b", "c": "n-c"}
+
+
+def test_key_only_table(spark):
+    s = TableStore(spark, scratch_path(spark, "test-store"), "k")
+    s.create(spark.createDataFrame([("a",), ("b",)], "k string"), T0)
+    after = s.apply(s.plan(spark.createDataFrame([("b",), ("c",)], "k string")), T1)
+    assert sorted(r["k"] for r in s.read().collect()) == ["b", "c"]
+    assert after.serial == 2 and after.digest == full_digest(s)
