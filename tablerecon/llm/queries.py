@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablerecon.llm import exact_dedup, secrets
+from tablerecon.llm import exact_dedup, packing, secrets, separator_scan
 from tablerecon.llm.common import prepare
 
+VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
@@ -96,3 +99,13 @@ FROM d LEFT JOIN joined USING (rid)
 
 
 SQL["op10_secrets"] = _secrets_sql()
+
+
+@_query
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.best_fit_pack(packing.pieces(_table(spark, sf_dir, "documents"), VOCABULARY))
+
+
+@_query
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return separator_scan.document_tokens(_table(spark, sf_dir, "documents"), VOCABULARY)
