@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablerecon.llm import exact_dedup, packing, secrets, separator_scan
+from tablerecon.llm import exact_dedup, packing, quality, secrets, separator_scan, toxicity
 from tablerecon.llm.common import prepare
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -109,3 +109,21 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return separator_scan.document_tokens(_table(spark, sf_dir, "documents"), VOCABULARY)
+
+
+@_query
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    return quality.quality_verdicts(docs, labels).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
+    )
+
+
+@_query
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    scored = toxicity.toxicity(docs, toxicity.learn(docs, labels))
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    return scored.select(
+        "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
+    )
