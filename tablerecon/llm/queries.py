@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablerecon.llm import exact_dedup, packing, quality, secrets, separator_scan, toxicity
+from tablerecon.llm import exact_dedup, ngram_join, packing, quality, secrets, separator_scan, toxicity
 from tablerecon.llm.common import prepare
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -127,3 +127,8 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select(
         "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
     )
+
+
+@_query
+def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(_table(spark, sf_dir, "documents"))
