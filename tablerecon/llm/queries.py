@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablerecon.llm import exact_dedup, ngram_join, packing, quality, secrets, separator_scan, toxicity
+from tablerecon.llm import exact_dedup, mixing, ngram_join, packing, quality, secrets, separator_scan, toxicity
 from tablerecon.llm.common import prepare
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -132,3 +132,16 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+@_query
+def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(_table(spark, sf_dir, "documents"))
+    return mixed.select(
+        "doc_id",
+        "size",
+        "source_size",
+        "target",
+        (F.col("size") * F.col("repeats")).alias("taken"),
+        F.concat_ws(",", F.transform("shards", lambda s: s.cast("string"))).alias("shards"),
+    )
