@@ -1,4 +1,8 @@
-"""From raw documents to packed sequences: the text operators in one row."""
+"""From raw documents to packed sequences: text operators in a row.
+
+Toxic documents go, then exact copies, then near copies; what is left is mixed to
+source weights, where a document may be drawn several times, and packed.
+"""
 
 from __future__ import annotations
 
@@ -6,18 +10,45 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tablerecon.llm import exact_dedup
+from tablerecon.llm import exact_dedup, mixing, ngram_join, packing, toxicity
 from tablerecon.llm.common import prepare, written
+from tablerecon.llm.queries import VOCABULARY
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
-def one_of_equal_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents scored below one half; the model learns from the labelled rows among ``docs``."""
+    labels = prepare(spark).read.parquet(f"{sf_dir.rstrip('/')}/labels.parquet")
+    return toxicity.without_toxic(docs, toxicity.learn(docs, labels))
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts, the document with the largest id."""
     return exact_dedup.drop_exact_duplicates(docs)
 
 
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents that links connect, the one with the smallest id."""
+    return ngram_join.one_per_component(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every drawn copy as a row of its own."""
+    return mixing.draw_mix(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces with their sequence and place."""
+    return packing.best_fit_pack(packing.pieces(docs, VOCABULARY))
+
+
 STAGES: list[tuple[str, Stage]] = [
-    ("exact_dedup", one_of_equal_texts),
+    ("toxicity", drop_toxic),
+    ("exact_dedup", drop_copies),
+    ("near_duplicates", drop_near_copies),
+    ("source_mix", mix_sources),
+    ("packing", pack),
 ]
 
 # The stages learn from labels, follow links and tokenize, which SQL cannot express.

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablerecon.llm.common import mapped, prepare, shuffle_partitions, text_column, written
+from tablerecon.llm.common import mapped, prepare, shuffle_partitions, text_column, unused, written
 from tablerecon.llm.components import components
 from tablerecon.operators.skew import salted_join
 
@@ -639,3 +639,23 @@ def near_duplicates(
         F.when(empty, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
         F.when(empty, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
     )
+
+
+def one_per_component(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = 75
+) -> DataFrame:
+    """The rows of ``docs`` whose id is the smallest of their component, columns unchanged.
+
+    Where ids are null or repeated, rows are told apart by a number of their own.
+    """
+    prepare(docs.sparkSession)
+    ids = docs.select(F.col(id_col).alias("i"))
+    unclear = ids.groupBy("i").agg(F.count(F.lit(1)).alias("c")).filter("i IS NULL OR c > 1")
+    own = id_col
+    if not unclear.isEmpty():
+        own = unused(docs, "__row")
+        docs = written(docs.withColumn(own, F.monotonically_increasing_id()), "numbered")
+    found = near_duplicates(docs, own, text_col, words, percent)
+    kept = written(found.filter("doc_id = component_id").select(F.col("doc_id").alias("keep")), "kept-ids")
+    out = docs.join(kept, F.col(own) == F.col("keep"), "left_semi")
+    return out if own == id_col else out.drop(own)

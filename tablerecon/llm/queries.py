@@ -8,7 +8,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablerecon.llm import exact_dedup, mixing, ngram_join, packing, quality, secrets, separator_scan, toxicity
+from tablerecon.llm import (
+    exact_dedup,
+    licenses,
+    mixing,
+    ngram_join,
+    packing,
+    page_diff,
+    quality,
+    secrets,
+    separator_scan,
+    toxicity,
+)
 from tablerecon.llm.common import prepare
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -145,3 +156,22 @@ def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("size") * F.col("repeats")).alias("taken"),
         F.concat_ws(",", F.transform("shards", lambda s: s.cast("string"))).alias("shards"),
     )
+
+
+@_query
+def op5_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = page_diff.extract_main_text(_table(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
+@_query
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan_licenses(_table(spark, sf_dir, "documents"))
+    one = lambda m: F.concat_ws(":", m["license"], m["start"].cast("string"), m["end"].cast("string"))
+    return found.select(
+        "doc_id",
+        F.size("matches").cast("long").alias("n_matches"),
+        F.array_join(F.array_sort(F.array_distinct("matches.license")), ",").alias("licenses"),
+        F.coalesce(F.array_max("matches.coverage"), F.lit(0.0)).alias("coverage"),
+        F.array_join(F.transform("matches", one), ",").alias("spans"),
+    )

@@ -324,6 +324,11 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
     return Model(lexicon, tuple(_logistic(np.array([r["x"] for r in fit]), y).tolist()))
 
 
+def _scores(reader: Reader, weights: tuple[float, ...], texts: list[str]) -> np.ndarray:
+    x = np.array([features(reader, t) for t in texts]).reshape(-1, len(weights) - 1)
+    return 1 / (1 + np.exp(-np.clip(x @ np.array(weights[:-1]) + weights[-1], -30, 30)))
+
+
 def toxicity(
     docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -338,10 +343,24 @@ def toxicity(
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(lexicon)
         for batch in batches:
-            x = np.array([features(reader, t) for t in text_column(batch)]).reshape(-1, 4)
-            p = 1 / (1 + np.exp(-np.clip(x @ np.array(weights[:-1]) + weights[-1], -30, 30)))
+            p = _scores(reader, weights, text_column(batch))
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "score": pa.array(p, pa.float64())})
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     prepare(docs.sparkSession)
     return mapped(rows, score, f"doc_id {kind}, score double")
+
+
+def without_toxic(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` that score below ``threshold``, columns unchanged, in one pass."""
+    lexicon, weights = model.lexicon, model.weights
+    place = docs.columns.index(text_col)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = Reader(lexicon)
+        for batch in batches:
+            texts = [t if t is not None else "" for t in batch.column(place).to_pylist()]
+            yield batch.filter(pa.array(_scores(reader, weights, texts) < threshold))
+
+    prepare(docs.sparkSession)
+    return docs.mapInArrow(keep, docs.schema)
