@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablerecon.functions.collections import any_of
+from tablerecon.functions.nested import JSON_DEPTH, is_object
+from tablerecon.functions.text import let
 
 STRATEGIES = ("partial", "exact", "set")
 
@@ -65,29 +67,30 @@ def _null_or(desired: Column, prior: Column, inner: Column) -> Column:
     return F.when(either, desired.isNull() != prior.isNull()).otherwise(inner)
 
 
-def _is_object(col: Column) -> Column:
-    return F.coalesce(F.schema_of_variant(col).startswith("OBJECT"), F.lit(False))
-
-
 def _json_text(col: Column) -> Column:
     # A JSON null and a missing key are the same value here.
     return F.coalesce(F.to_json(col), F.lit("null"))
 
 
 def _variant_partial(desired: Column, prior: Column, depth: int) -> Column:
-    same = _json_text(desired) == _json_text(prior)
-    both = _is_object(desired) & _is_object(prior)
-    if depth == 0:
-        # Too deep to look into: equal text is equal, else say so loudly.
-        deeper = F.raise_error(F.lit("JSON objects nest deeper than json_depth")).cast("boolean")
-        return F.when(same, F.lit(False)).when(both, deeper).otherwise(F.lit(True))
-    wanted = F.map_entries(desired.cast("map<string,variant>"))
-    have = prior.cast("map<string,variant>")
-    inner = F.exists(
-        wanted,
-        lambda e: _variant_partial(e["value"], F.try_element_at(have, e["key"]), depth - 1),
-    )
-    return F.when(same, F.lit(False)).when(both, inner).otherwise(F.lit(True))
+    def inside(have: Column, want: Column) -> Column:
+        return F.exists(
+            F.map_entries(want.cast("map<string,variant>")),
+            lambda e: _variant_partial(e["value"], F.try_element_at(have, e["key"]), depth - 1),
+        )
+
+    def look(p: Column) -> Column:
+        d, q = p["d"], p["p"]
+        same = _json_text(d) == _json_text(q)
+        if depth == 0:
+            # Too deep to look into: say so loudly.
+            deeper = F.raise_error(F.lit("JSON objects nest deeper than json_depth")).cast("boolean")
+        else:
+            # the stored object is read once per level, not once per key
+            deeper = let(q.cast("map<string,variant>"), lambda have: inside(have, d))
+        return F.when(same, F.lit(False)).when(is_object(d) & is_object(q), deeper).otherwise(F.lit(True))
+
+    return let(F.struct(desired.alias("d"), prior.alias("p")), look)
 
 
 def _partial(
@@ -125,7 +128,7 @@ def differs(
     dtype: T.DataType,
     prior_type: T.DataType | None = None,
     strategy: str = "partial",
-    json_depth: int = 6,
+    json_depth: int = JSON_DEPTH,
 ) -> Column:
     """Boolean column, never null: does *desired* differ from *prior*?"""
     prior_type = prior_type or dtype

@@ -72,6 +72,13 @@ def build_params(fields: Mapping[str, Column], prefix: str = PARAMS_PREFIX) -> C
     return F.to_json(F.struct(*chosen)) if chosen else F.lit("{}")
 
 
+def _six_digits(col: Column) -> Column:
+    """A local timestamp as ``2024-06-01T00:00:00.000000``."""
+    parts = F.split(F.replace(col.cast("string"), F.lit(" "), F.lit("T")), r"\.")
+    fraction = F.rpad(F.coalesce(F.get(parts, F.lit(1)), F.lit("")), 6, "0")
+    return F.concat(F.get(parts, F.lit(0)), F.lit("."), fraction)
+
+
 def ordered(col: Column, dtype: T.DataType) -> Column:
     """Same value with struct fields and map keys in sorted order, at every level."""
     if isinstance(dtype, T.StructType):
@@ -80,6 +87,11 @@ def ordered(col: Column, dtype: T.DataType) -> Column:
         return F.when(col.isNotNull(), rebuilt)
     if isinstance(dtype, T.ArrayType):
         return F.transform(col, lambda x: ordered(x, dtype.elementType))
+    # JSON's own timestamps stop at milliseconds and follow the session's time zone.
+    if isinstance(dtype, T.TimestampType):
+        return F.unix_micros(col)
+    if isinstance(dtype, T.TimestampNTZType):
+        return _six_digits(col)
     if isinstance(dtype, T.MapType):
         by_key = F.array_sort(
             F.map_entries(col),
@@ -96,6 +108,8 @@ def ordered(col: Column, dtype: T.DataType) -> Column:
 def canonical_json(col: Column, dtype: T.DataType | None = None) -> Column:
     """JSON text with sorted keys, no whitespace, and nulls written out.
 
+    Timestamps are whole: microseconds since the epoch, or six digits for local ones.
+
     Text columns are read as JSON documents; others are encoded by type.
     """
     if dtype is None or isinstance(dtype, T.StringType):

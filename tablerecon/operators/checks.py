@@ -49,11 +49,14 @@ def violations(*frames: DataFrame) -> DataFrame:
 
 
 def assert_valid(found: DataFrame) -> None:
-    """Raise when there is any violation; the message shows the first ones."""
+    """Raise when there is any violation.
+
+    The message shows the first ones; ``violations`` of the error is the frame of all.
+    """
     rows = found.limit(_SHOWN + 1).collect()
     if rows:
         shown = [f"[{r['check']}] {r['key']}: {r['message']}" for r in rows[:_SHOWN]]
-        raise ValidationError(shown, more=len(rows) > _SHOWN)
+        raise ValidationError(shown, more=len(rows) > _SHOWN, violations=found)
 
 
 def check_pattern(
@@ -124,6 +127,15 @@ def check_unique(
     return _rows(counted, check, names, F.concat(F.lit("rows: "), F.col("__n").cast("string")))
 
 
+def check_keys(df: DataFrame, keys: str | Sequence[str], check: str = "keys") -> DataFrame:
+    """Keys that cannot name one row: those that occur more than once or hold a null."""
+    names = [keys] if isinstance(keys, str) else list(keys)
+    null = any_of([F.col(n).isNull() for n in names])
+    counted = df.groupBy(*names).agg(F.count(F.lit(1)).alias("__n"))
+    message = F.concat(F.when(null, "null in the key, rows: ").otherwise("rows: "), F.col("__n").cast("string"))
+    return _rows(counted.filter((F.col("__n") > 1) | null), check, names, message)
+
+
 def check_unique_in_group(
     df: DataFrame,
     group: str,

@@ -1,10 +1,9 @@
 """Dependency levels over edge tables.
 
-An edge ``(node, dep)`` says that ``node`` needs ``dep``.  Peeling keeps, in
-every round, the edges whose ``dep`` is itself still waiting.  Each round's
-edges are written to the shared folder, so lineage stays one round deep, a lost
-executor replays one round only, and the final level table is one aggregation
-over the written rounds.  Rounds = longest dependency chain.
+An edge ``(node, dep)`` says that ``node`` needs ``dep``.  Peeling places a node
+once all it needs has been placed, and writes it to the shared folder in that
+round, so lineage stays one round deep, a lost executor replays one round only,
+and the written rounds are the level table.  Rounds = longest dependency chain.
 """
 
 from __future__ import annotations
@@ -18,7 +17,7 @@ from pyspark.sql import types as T
 
 from tablerecon.errors import DependencyCycleError
 from tablerecon.operators.skew import salted_join
-from tablerecon.session import scratch_path
+from tablerecon.session import materialize, scratch_path
 
 _SHOWN = 20
 
@@ -36,38 +35,54 @@ def prune_edges(nodes: DataFrame, edges: DataFrame, node: str = "node", dep: str
 
 @dataclass
 class Peel:
-    """What peeling leaves: the written rounds, and the edges it could not place."""
+    """What peeling leaves: the placed nodes by round, and the edges it could not place."""
 
     nodes: DataFrame
-    rounds: DataFrame
-    depth: int
+    placed: DataFrame | None
     stuck: DataFrame | None
 
 
 def peel(nodes: DataFrame, edges: DataFrame, node: str = "node", dep: str = "dep") -> Peel:
+    """Place nodes round by round, each once, in the round after the last of its deps.
+
+    A round reads the edges last written, leaves out those whose dep has been placed
+    since, and writes the nodes that have no edge left.  The edges are written again
+    only when half of them are gone, so all writing is within nodes + 3 x edges.
+    """
     spark = nodes.sparkSession
     root = scratch_path(spark, "peel")
     all_nodes = nodes.select(F.col(node).alias("node")).distinct()
-    pending = prune_edges(all_nodes, edges.select(F.col(node).alias("node"), F.col(dep).alias("dep")))
-    schema = pending.schema
-    pending.write.parquet(f"{root}/round=1")
-    round_no, left = 1, None
-    while True:
-        pending = spark.read.schema(schema).parquet(f"{root}/round={round_no}")
-        count = pending.count()
-        if count == 0 or count == left:
+    every = materialize(
+        prune_edges(all_nodes, edges.select(F.col(node).alias("node"), F.col(dep).alias("dep"))), "edges"
+    )
+    waiting = every.select("node").distinct()
+    # Edges to nodes without edges of their own hold nobody up beyond round 1.
+    pending = salted_join(every, waiting.select(F.col("node").alias("__w")), [("dep", "__w")], "left_semi")
+    kind = all_nodes.schema["node"].dataType
+    whole = T.StructType([T.StructField("node", kind), T.StructField("round", T.IntegerType())])
+    one = T.StructType([T.StructField("node", kind)])
+    base, held = every, every.count()
+    since: list[str] = []
+    round_no = 0
+    while held:
+        round_no += 1
+        fresh = base.select("node").distinct().join(pending.select("node").distinct(), "node", "left_anti")
+        if since:
+            fresh = fresh.join(spark.read.schema(one).parquet(*since), "node", "left_anti")
+        path = f"{root}/round={round_no}"
+        fresh.write.parquet(path)
+        since.append(path)
+        if spark.read.schema(one).parquet(path).isEmpty():
+            # A round that places nobody never ends: a cycle, or nodes behind one.
             break
-        left = count
-        waiting = pending.select(F.col("node").alias("__w")).distinct()
+        left = pending.count()
+        if round_no == 1 or 2 * left <= held:
+            base, held, since = materialize(pending, "edges"), left, [path]
+        gone = spark.read.schema(one).parquet(*since).select(F.col("node").alias("__g"))
         # Many edges may need one hub, so no task may get them all.
-        still = salted_join(pending, waiting, [("dep", "__w")], "left_semi")
-        round_no += 1
-        still.write.parquet(f"{root}/round={round_no}")
-    # A round that keeps every edge never ends: a cycle, or nodes behind one.
-    stuck = pending if count else None
-    whole = T.StructType([*schema.fields, T.StructField("round", T.IntegerType())])
-    rounds = spark.read.schema(whole).parquet(root)
-    return Peel(all_nodes, rounds, round_no - 1, stuck)
+        pending = salted_join(base, gone, [("dep", "__g")], "left_anti")
+    placed = spark.read.schema(whole).parquet(root) if round_no else None
+    return Peel(all_nodes, placed, pending if held else None)
 
 
 def find_cycles(nodes: DataFrame, edges: DataFrame, node: str = "node", dep: str = "dep") -> DataFrame:
@@ -84,11 +99,13 @@ def dependency_levels(
     """``(node, level)``: 0 without dependencies, else one above the highest."""
     done = peel(nodes, edges, node, dep)
     if done.stuck is not None:
-        bad = done.stuck.select("node").distinct().orderBy("node").limit(_SHOWN + 1).collect()
-        raise DependencyCycleError([str(r[0]) for r in bad[:_SHOWN]], more=len(bad) > _SHOWN)
-    last = done.rounds.groupBy("node").agg(F.max("round").alias("__round"))
-    return done.nodes.join(last, "node", "left").select(
-        "node", F.coalesce("__round", F.lit(0)).cast("int").alias("level")
+        stuck = done.stuck.select("node").distinct()
+        bad = stuck.orderBy("node").limit(_SHOWN + 1).collect()
+        raise DependencyCycleError([str(r[0]) for r in bad[:_SHOWN]], more=len(bad) > _SHOWN, frame=stuck)
+    if done.placed is None:
+        return done.nodes.select("node", F.lit(0).alias("level"))
+    return done.nodes.join(done.placed, "node", "left").select(
+        "node", F.coalesce("round", F.lit(0)).cast("int").alias("level")
     )
 
 
@@ -154,6 +171,8 @@ def apply_order(
         drop, prior_edges.select(F.col(node).alias("node"), F.col(dep).alias("dep")), priority=given
     ).select(F.lit(1).alias("phase"), (-F.col("level")).alias("rank"), (-F.col("priority")).alias("priority"), "node")
     ranked = up.unionByName(down).join(todo.select("node", "action"), "node")
+    # Equal ranks of the delete phase go as in ``delete_order``: by node, descending.
+    building, dropping = (F.when(F.col("phase") == p, F.col("node")) for p in (0, 1))
     return ranked.select("phase", "rank", "priority", "node", "action").orderBy(
-        "phase", "rank", "priority", "node"
+        "phase", "rank", "priority", building.asc(), dropping.desc()
     )

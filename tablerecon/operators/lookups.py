@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablerecon.operators.skew import salted_join
+from tablerecon.session import materialize
 
 # Alias sets up to this size are inlined as a literal map; larger ones join.
 INLINE_ALIASES = 256
@@ -178,20 +179,21 @@ def resolve_aliases(
     df: DataFrame,
     list_cols: Sequence[str],
     aliases: DataFrame,
-    key: str | Sequence[str],
     name: str = "name",
     target: str = "target",
     inline_limit: int = INLINE_ALIASES,
 ) -> DataFrame:
     """Replace list elements by their alias target; order and others are kept.
 
-    ``aliases`` holds one target per name.  A small alias set, checked by
-    reading at most ``inline_limit + 1`` rows, becomes a literal map and needs
-    no shuffle.  A larger one is joined to the exploded elements, which are
-    then gathered again per ``key``, so a group is never longer than one row's
-    own list.
+    A name with several targets stands for the smallest; aliases without a name or
+    a target do nothing.  A small alias set, checked by reading at most
+    ``inline_limit + 1`` rows, becomes a literal map and needs no shuffle.  A larger
+    one is joined to the exploded elements, which are then gathered again per row, so
+    a group is never longer than one row's own list.  Both give the same rows.
     """
-    pairs = aliases.select(name, target).limit(inline_limit + 1).collect()
+    known = aliases.filter(F.col(name).isNotNull() & F.col(target).isNotNull())
+    known = known.groupBy(F.col(name).alias("__name")).agg(F.min(target).alias("__target"))
+    pairs = known.limit(inline_limit + 1).collect()
     if len(pairs) <= inline_limit:
         if not pairs:
             return df
@@ -202,21 +204,20 @@ def resolve_aliases(
                 for c in list_cols
             }
         )
-    keys = _names(key)
-    mapping = aliases.select(F.col(name).alias("__name"), F.col(target).alias("__target"))
+    rows = materialize(df.withColumn("__row", F.monotonically_increasing_id()), "alias-rows")
     pieces = [
-        df.filter(F.size(c) > 0).select(
-            *keys, F.lit(c).alias("__col"), F.posexplode(c).alias("__pos", "__elem")
+        rows.filter(F.size(c) > 0).select(
+            "__row", F.lit(c).alias("__col"), F.posexplode(c).alias("__pos", "__elem")
         )
         for c in list_cols
     ]
     elements = pieces[0]
     for piece in pieces[1:]:
         elements = elements.unionByName(piece)
-    resolved = salted_join(elements, mapping, [("__elem", "__name")], "left").select(
-        *keys, "__col", "__pos", F.coalesce("__target", "__elem").alias("__value")
+    resolved = salted_join(elements, known, [("__elem", "__name")], "left").select(
+        "__row", "__col", "__pos", F.coalesce("__target", "__elem").alias("__value")
     )
-    gathered = resolved.groupBy(*keys).agg(
+    gathered = resolved.groupBy("__row").agg(
         *[
             F.sort_array(
                 F.collect_list(
@@ -226,7 +227,7 @@ def resolve_aliases(
             for c in list_cols
         ]
     )
-    back = df.join(gathered, keys, "left")
+    back = rows.join(gathered, "__row", "left")
     return back.withColumns(
         {
             c: F.when(F.size(F.col(c)) > 0, F.transform(f"__new_{c}", lambda s: s["__value"])).otherwise(

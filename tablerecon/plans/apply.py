@@ -9,8 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablerecon.functions.collections import merge_map
-from tablerecon.operators.checks import _rows, check_unique, key_text, violations
+from tablerecon.functions.nested import conform, merged, widened
+from tablerecon.operators.checks import _rows, check_keys, violations
 from tablerecon.plans.changes import ACTIONS, TIMESTAMPS, key_names, moment
 
 
@@ -23,15 +23,18 @@ def _fields(df: DataFrame, col: str) -> dict[str, T.DataType]:
 
 
 def _merged(
-    new: Column, old: Column, dtype: T.DataType, old_type: T.DataType, strategy: str, null_desired: str
+    new: Column,
+    old: Column,
+    dtype: T.DataType,
+    old_type: T.DataType,
+    want: T.DataType,
+    strategy: str,
+    null_desired: str,
 ) -> Column:
-    """The stored value after an update."""
-    value = new
-    if strategy == "partial" and isinstance(dtype, T.MapType) and isinstance(old_type, T.MapType):
-        value = merge_map(old, new)
-    if null_desired == "unmanaged":
-        return F.when(new.isNull(), old).otherwise(value)
-    return F.when(new.isNull(), F.lit(None).cast(dtype)).otherwise(value)
+    """The stored value after an update: what is compared in part is stored in part."""
+    value = merged(new, old, dtype, old_type, want) if strategy == "partial" else conform(new, dtype, want)
+    rest = conform(old, old_type, want) if null_desired == "unmanaged" else F.lit(None).cast(want)
+    return F.when(new.isNull(), rest).otherwise(value)
 
 
 def _next_columns(
@@ -50,8 +53,8 @@ def _next_columns(
     for f in snapshot.fields:
         c = f.name
         nothing = F.lit(None).cast(f.dataType)
-        new = F.col("planned")[c].cast(f.dataType) if c in planned else nothing
-        old = F.col("prior")[c].cast(f.dataType) if c in prior else nothing
+        new = conform(F.col("planned")[c], planned[c], f.dataType) if c in planned else nothing
+        old = conform(F.col("prior")[c], prior[c], f.dataType) if c in prior else nothing
         if c in keys:
             value = F.col(c)
         elif c == "created_at":
@@ -59,13 +62,16 @@ def _next_columns(
         elif c == "updated_at":
             value = F.when(same, old).otherwise(now.cast(f.dataType))
         elif c in planned and c in prior:
-            after = _merged(new, old, planned[c], prior[c], strategies.get(c, "partial"), null_desired)
+            after = _merged(
+                F.col("planned")[c], F.col("prior")[c], planned[c], prior[c], f.dataType,
+                strategies.get(c, "partial"), null_desired,
+            )
             value = F.when(create, new).when(same, old).otherwise(after)
         elif c in planned:
             value = F.when(~same, new)
         else:
             value = F.when(~create, old)
-        out.append(value.cast(f.dataType).alias(c))
+        out.append(value.alias(c))
     return out
 
 
@@ -88,10 +94,11 @@ def new_rows(
 
 
 def snapshot_schema(prior: DataFrame, changes: DataFrame) -> T.StructType:
-    """Prior's columns, then the planned ones it does not have yet."""
-    have = set(prior.columns)
-    extra = [T.StructField(c, t) for c, t in _fields(changes, "planned").items() if c not in have]
-    return T.StructType([*prior.schema.fields, *extra])
+    """Prior's columns, with the struct fields and then the columns that only the plan has."""
+    have, planned = set(prior.columns), _fields(changes, "planned")
+    known = [T.StructField(f.name, widened(f.dataType, planned.get(f.name, f.dataType))) for f in prior.schema.fields]
+    extra = [T.StructField(c, t) for c, t in planned.items() if c not in have]
+    return T.StructType([*known, *extra])
 
 
 def apply_changes(
@@ -114,10 +121,10 @@ def apply_changes(
     schema = snapshot_schema(prior, changes)
     touched = changes.filter(F.col("action") != "no-op").select(*names)
     kept = prior.join(touched, names, "left_anti")
-    have = set(prior.columns)
+    have = {f.name: f.dataType for f in prior.schema.fields}
     kept = kept.select(
         *[
-            F.col(f.name) if f.name in have else F.lit(None).cast(f.dataType).alias(f.name)
+            (conform(F.col(f.name), have[f.name], f.dataType) if f.name in have else F.lit(None).cast(f.dataType)).alias(f.name)
             for f in schema.fields
         ]
     )
@@ -178,15 +185,15 @@ def check_plan(changes: DataFrame, prior: DataFrame, keys: str | Sequence[str])
         todo.filter(F.col("action").isin("create", "update") & desired.isNull()),
         "plan_desired", names, F.concat(F.lit("no desired row for "), F.col("action")),
     )
-    known = prior.select(key_text(names).alias("__key"))
-    needs = todo.filter(F.col("action").isin("delete", "update")).select(
-        key_text(names).alias("__key"), "action"
-    )
+    # By the key columns themselves: their text would not tell composite keys apart.
+    known = prior.select(*[F.col(k).alias(f"__k_{k}") for k in names])
+    needs = todo.filter(F.col("action").isin("delete", "update")).select(*names, "action")
+    match = [F.col(k) == F.col(f"__k_{k}") for k in names]
     absent = _rows(
-        needs.join(known, "__key", "left_anti"),
-        "plan_prior", F.col("__key"), F.concat(F.lit("no prior row for "), F.col("action")),
+        needs.join(known, match, "left_anti"),
+        "plan_prior", names, F.concat(F.lit("no prior row for "), F.col("action")),
     )
-    return violations(check_unique(todo, names, "plan_unique"), unknown, missing, absent)
+    return violations(check_keys(todo, names, "plan_unique"), unknown, missing, absent)
 
 
 def check_declared_keys(

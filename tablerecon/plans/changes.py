@@ -24,8 +24,9 @@ from tablerecon.errors import DuplicateKeyError
 from tablerecon.functions.collections import any_of
 from tablerecon.functions.compare import differs
 from tablerecon.functions.documents import as_text
+from tablerecon.functions.nested import JSON_DEPTH
 from tablerecon.functions.templates import Variables, substitute
-from tablerecon.operators.checks import check_unique
+from tablerecon.operators.checks import check_keys as keys_at_fault
 
 # The four actions.
 ACTIONS = ("create", "update", "delete", "no-op")
@@ -39,10 +40,10 @@ def key_names(keys: str | Sequence[str]) -> list[str]:
 
 
 def refuse_duplicates(df: DataFrame, keys: str | Sequence[str], side: str) -> None:
-    """Raise when a key occurs twice.  Reads the key columns only."""
-    row = check_unique(df, keys).first()
+    """Raise when a key occurs twice or holds a null.  Reads the key columns only."""
+    row = keys_at_fault(df, keys).first()
     if row is not None:
-        raise DuplicateKeyError(f"{side} holds key {row['key']} more than once ({row['message']})")
+        raise DuplicateKeyError(f"{side}: key {row['key']} does not name one row ({row['message']})")
 
 
 def moment(now: Column | datetime | None) -> Column:
@@ -65,7 +66,7 @@ def plan(
     null_desired: str = "unmanaged",
     variables: Variables | None = None,
     check_keys: bool = False,
-    json_depth: int = 6,
+    json_depth: int = JSON_DEPTH,
 ) -> DataFrame:
     """Classify every key of both sides.
 
@@ -74,6 +75,9 @@ def plan(
     null_desired  ``unmanaged``: a null desired value is not compared;
                   ``value``: null is a value like any other
     variables     replaced in desired text before comparing
+    check_keys    prove first that each side's keys are unique
+
+    A null in a key fails when the row's action is read, also without that proof.
     """
     if null_desired not in ("unmanaged", "value"):
         raise ValueError("null_desired is 'unmanaged' or 'value'")
@@ -125,8 +129,11 @@ def plan(
     p_cols = {c: F.col(f"__p_{c}") for c in p_types} or {k: F.col(f"__pk_{k}") for k in names}
     in_d, in_p = F.col("__in_d").isNotNull(), F.col("__in_p").isNotNull()
     hit = any_of([F.col(f"__f_{c}") for c in flags])
+    # Null keys meet nothing: the same row would be deleted and created for ever.
+    no_key = any_of([F.coalesce(f"__dk_{k}", f"__pk_{k}").isNull() for k in names])
+    refused = F.raise_error(F.lit("a key is null; see check_keys")).cast("string")
     action = (
-        F.when(~in_p, "create").when(~in_d, "delete").when(hit, "update").otherwise("no-op")
+        F.when(no_key, refused).when(~in_p, "create").when(~in_d, "delete").when(hit, "update").otherwise("no-op")
     )
     nothing = F.array().cast("array<string>")
     listed = F.array(*[F.when(F.col(f"__f_{c}"), F.lit(c)) for c in flags]).cast("array<string>")

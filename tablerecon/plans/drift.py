@@ -78,8 +78,9 @@ def refresh(
 ) -> DataFrame:
     """The state brought up to the live table.
 
-    Rows that are no longer live go; a differing row takes the live values and
-    a new ``updated_at``; live rows the state does not know are not adopted.
+    Rows that are no longer live go; a differing row takes the live values, those of
+    columns the state lacks too, and a new ``updated_at``; live rows the state does not
+    know are not adopted.
     ``echo`` columns keep the state's value and are never compared.  With
     ``flag`` the result says which rows were replaced.
     """
@@ -87,8 +88,9 @@ def refresh(
     now = moment(now)
     skip = {*names, *TIMESTAMPS, *echo, *([hash_col] if hash_col else [])}
     attrs = [c for c in state.columns if c not in skip]
-    live_attrs = [c for c in attrs if c in live.columns]
-    changed = any_of([_changed(state, live, c) for c in attrs])
+    more = [c for c in live.columns if c not in skip and c not in state.columns]
+    live_attrs = [c for c in [*attrs, *more] if c in live.columns]
+    changed = any_of([_changed(state, live, c) for c in [*attrs, *more]])
     joined = _joined(state, live, names, live_attrs, "inner").withColumn("__changed", changed)
     hit = F.col("__changed")
     out = []
@@ -100,8 +102,10 @@ def refresh(
             out.append(F.when(hit, now.cast(state.schema[c].dataType)).otherwise(F.col(c)).alias(c))
         else:
             out.append(F.col(c))
+    # A live value in a new column is a difference, so other rows hold null there.
+    out.extend(F.col(f"__n_{c}").alias(c) for c in more)
     result = joined.select(*out, hit.alias("__changed"))
     if hash_col:
-        hashed = row_hash(result, [*attrs, *[e for e in echo if e in state.columns]])
+        hashed = row_hash(result, [*attrs, *more, *[e for e in echo if e in state.columns]])
         result = result.withColumn(hash_col, F.when(hit, hashed).otherwise(F.col(hash_col)))
     return result.withColumnRenamed("__changed", flag) if flag else result.drop("__changed")

@@ -2,8 +2,13 @@
 
 Layout under the path::
 
-    data/<id>/      one immutable Parquet directory per version
-    versions/<id>/  one row: lineage, serial, digest, rows, data path, bucket sums
+    data/<id>/part=<p>/  immutable Parquet directories, one per part and writing
+    versions/<id>/       one row: lineage, serial, digest, rows, schema, parts, bucket sums
+
+A row's part is a hash of its key.  A version names the directory of each of its
+parts: an apply writes only the parts that hold a changed key and takes the others
+over from the version before, so its cost follows the changes.  A new column, or a
+new field inside one, rewrites all parts.
 
 A version exists once its row is written, which happens after its data is
 complete; readers follow the row with the highest sequence.  Old versions are
@@ -14,14 +19,16 @@ a lost race before anything is written.
 
 from __future__ import annotations
 
+import json
 import uuid
-from collections.abc import Mapping, Sequence
+from collections.abc import Collection, Mapping, Sequence
 from dataclasses import dataclass, fields, replace
 from datetime import datetime, timezone
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Observation, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tablerecon.errors import ReconError, StalePlanError
 from tablerecon.functions.templates import Variables
@@ -29,7 +36,6 @@ from tablerecon.operators.checks import assert_valid
 from tablerecon.operators.digest import (
     SUM_COLUMNS,
     bucket_sums,
-    config_digest,
     digest_of,
     hashed_rows,
     shift_sums,
@@ -46,16 +52,21 @@ from tablerecon.plans.changes import (
     refuse_duplicates,
     summary_actionable,
 )
-from tablerecon.plans.drift import refresh
-from tablerecon.session import scratch_path
+from tablerecon.plans.drift import drift
+from tablerecon.session import is_missing_path, materialize, scratch_path
+
+PARTS = 8
+
+_PART = "__part"
 
 _SUM_FIELDS = ["bucket string", "rows long", *[f"{c} long" for c in SUM_COLUMNS]]
 _VERSION_DDL = (
-    "seq long, lineage string, serial long, digest string, rows long, data string, "
+    "seq long, lineage string, serial long, digest string, rows long, schema string, "
+    "parts array<struct<part: int, path: string>>, "
     f"sums array<struct<{', '.join(f.replace(' ', ': ') for f in _SUM_FIELDS)}>>, batch string, created string"
 )
 _PLAN_DDL = (
-    "lineage string, serial long, digest string, config string, destroy boolean, created string, "
+    "lineage string, serial long, digest string, destroy boolean, created string, "
     "counts map<string, long>"
 )
 
@@ -75,7 +86,8 @@ class Version:
     serial: int
     digest: str
     rows: int
-    data: str
+    schema: str
+    parts: list
     sums: list
     batch: str | None
     created: str
@@ -88,7 +100,6 @@ class PlanMeta:
     lineage: str
     serial: int
     digest: str
-    config: str | None
     destroy: bool
     created: str
     # Rows per action, known once the plan has been saved.
@@ -134,7 +145,10 @@ class TableStore:
         strategies: Mapping[str, str] | None = None,
         ignore: Sequence[str] = (),
         null_desired: str = "unmanaged",
+        parts: int = PARTS,
     ) -> None:
+        """``parts``: into how many pieces the table falls; the same for all its life."""
+        self.parts = parts
         self.spark = spark
         self.path = path.rstrip("/")
         self.keys = key_names(keys)
@@ -147,7 +161,9 @@ class TableStore:
     def versions(self) -> DataFrame:
         try:
             return self.spark.read.schema(_VERSION_DDL).parquet(f"{self.path}/versions/*")
-        except AnalysisException:
+        except AnalysisException as e:
+            if not is_missing_path(e):
+                raise
             return self.spark.createDataFrame([], _VERSION_DDL)
 
     def current(self) -> Version | None:
@@ -161,7 +177,22 @@ class TableStore:
         return found
 
     def read(self, version: Version | None = None) -> DataFrame:
-        return self.spark.read.parquet((version or self.require()).data)
+        return self._read(version or self.require())
+
+    def _read(self, at: Version, only: Collection[int] | None = None) -> DataFrame:
+        """A version's rows, or those of some parts."""
+        schema = T.StructType.fromJson(json.loads(at.schema))
+        paths = [p["path"] for p in at.parts if only is None or p["part"] in only]
+        if not paths:
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(*paths)
+
+    def _part(self) -> Column:
+        return F.pmod(F.xxhash64(*self.keys), F.lit(self.parts)).cast("int")
+
+    def _touched(self, changes: DataFrame) -> set[int]:
+        """Parts that a change set reaches: at most ``parts`` numbers."""
+        return {r[0] for r in changes.select(self._part()).distinct().collect()}
 
     def _sums(self, df: DataFrame) -> DataFrame:
         return bucket_sums(hashed_rows(df, exclude=TIMESTAMPS))
@@ -182,18 +213,26 @@ class TableStore:
         seq: int,
         batch: str | None = None,
         sums: DataFrame | None = None,
+        kept: Sequence[Row] = (),
     ) -> Version:
         """Write the data, then the version row that makes it count.
 
-        Without ``sums`` the written data is hashed once.
+        ``kept`` are parts taken over from an earlier version.  Without ``sums`` the
+        data is hashed as it is written down.
         """
         data = f"{self.path}/data/{seq:012d}-{uuid.uuid4().hex[:8]}"
-        df.write.parquet(data)
+        # AQE gives every part as many files as it needs, and small ones one.
+        df.withColumn(_PART, self._part()).hint("rebalance", _PART).write.partitionBy(_PART).parquet(data)
+        # Only the folder names are read; a part without rows has no folder.
+        named = T.StructType([*df.schema.fields, T.StructField(_PART, T.IntegerType())])
+        held = self.spark.read.schema(named).parquet(data).select(_PART).distinct().collect()
+        fresh = [Row(part=r[0], path=f"{data}/{_PART}={r[0]}") for r in held]
+        parts = sorted([*kept, *fresh], key=lambda p: p["part"])
+        made = Version(seq, lineage, serial, "", 0, df.schema.json(), parts, [], batch, _now())
         if sums is None:
-            sums = self._sums(self.spark.read.schema(df.schema).parquet(data))
+            sums = self._sums(self._read(made))
         done = self._digest(sums, lineage, serial)
-        made = Version(seq, lineage, serial, done["digest"], done["rows"], data, done["sums"], batch, _now())
-        return self._record(made)
+        return self._record(replace(made, digest=done["digest"], rows=done["rows"], sums=done["sums"]))
 
     def create(self, df: DataFrame, now: Column | datetime | None = None, lineage: str | None = None) -> Version:
         """The first version, from a full table."""
@@ -218,7 +257,7 @@ class TableStore:
         if check_keys:
             refuse_duplicates(desired, self.keys, "desired")
         if destroy:
-            changes, config = plan_destroy(prior, self.keys), None
+            changes = plan_destroy(prior, self.keys)
         else:
             build = plan if deletes else plan_upserts
             changes = build(
@@ -230,8 +269,7 @@ class TableStore:
                 null_desired=self.null_desired,
                 variables=variables,
             )
-            config = config_digest(desired, ignore=self.ignore).first()["digest"]
-        return Plan(changes, PlanMeta(at.lineage, at.serial, at.digest, config, destroy, _now()))
+        return Plan(changes, PlanMeta(at.lineage, at.serial, at.digest, destroy, _now()))
 
     def stale_reason(self, made: Plan, verify: bool = False) -> str | None:
         """Why the plan no longer fits; ``verify`` digests the data again."""
@@ -251,13 +289,13 @@ class TableStore:
         reason = self._stale(made, at, verify)
         if reason is not None:
             raise StalePlanError(f"{reason}; plan again")
-        prior = self.read(at)
         made = self._stored(made)
+        touched = self._touched(made.changes.filter(F.coalesce(F.col("action") != "no-op", F.lit(True))))
+        prior = self._read(at, touched)
         assert_valid(check_plan(made.changes, prior, self.keys))
         steps = sum(r["rows"] for r in summary_actionable(made.changes).collect())
         if steps:
-            after, sums = self._after(made, at, prior, now)
-            return self._commit(after, at.lineage, at.serial + steps, at.seq + 1, batch, sums)
+            return self._write(made.changes, at, touched, steps, now, batch, self.strategies, self.null_desired)
         if batch is not None:
             # Nothing to write, but the batch must be known as done.
             return self._record(replace(at, seq=at.seq + 1, batch=batch, created=_now()))
@@ -272,35 +310,64 @@ class TableStore:
         save_plan(made, path)
         return load_plan(self.spark, path)
 
-    def _after(
-        self, made: Plan, at: Version, prior: DataFrame, now: Column | datetime | None
-    ) -> tuple[DataFrame, DataFrame | None]:
-        """The next table, and its bucket sums worked out from the changes."""
-        changes = made.changes
+    def _write(
+        self,
+        changes: DataFrame,
+        at: Version,
+        touched: set[int],
+        steps: int,
+        now: Column | datetime | None,
+        batch: str | None,
+        strategies: Mapping[str, str],
+        null_desired: str,
+    ) -> Version:
+        """The next version: the touched parts anew, its bucket sums from the changes."""
+        prior = self._read(at, touched)
         rest = [F.col("prior")[c].alias(c) for c in prior.columns if c not in self.keys]
         gone = changes.filter(F.col("action").isin("update", "delete")).select(*self.keys, *rest)
         base = self.spark.createDataFrame(at.sums, ", ".join(_SUM_FIELDS))
+        kept = [p for p in at.parts if p["part"] not in touched]
         if "planned" not in changes.columns:
-            left = prior.join(changes.select(*self.keys), self.keys, "left_anti")
-            return left, shift_sums(base, self._sums(gone.filter(F.lit(False))), self._sums(gone))
-        now = moment(now)
-        after = apply_changes(prior, changes, self.keys, now, self.strategies, self.null_desired)
-        if after.columns != prior.columns:
-            # New columns change every row's hash.
-            return after, None
-        come = new_rows(changes, self.keys, prior.schema, now, self.strategies, self.null_desired)
-        return after, shift_sums(base, self._sums(come), self._sums(gone))
+            after = prior.join(changes.select(*self.keys), self.keys, "left_anti")
+            sums = shift_sums(base, self._sums(gone.filter(F.lit(False))), self._sums(gone))
+        else:
+            now = moment(now)
+            after = apply_changes(prior, changes, self.keys, now, strategies, null_desired)
+            if after.schema.simpleString() != prior.schema.simpleString():
+                # New columns, or new fields inside one, change every row and its hash.
+                whole = self._read(at)
+                after, kept, sums = apply_changes(whole, changes, self.keys, now, strategies, null_desired), [], None
+            else:
+                come = new_rows(changes, self.keys, prior.schema, now, strategies, null_desired)
+                sums = shift_sums(base, self._sums(come), self._sums(gone))
+        return self._commit(after, at.lineage, at.serial + steps, at.seq + 1, batch, sums, kept)
 
     def refresh(
         self, live: DataFrame, now: Column | datetime | None = None, echo: Sequence[str] = ()
     ) -> tuple[Version, bool]:
-        """Bring the table up to ``live``; one serial step if anything changed."""
+        """Bring the table up to ``live``; one serial step if anything changed.
+
+        One join finds the drift, which is written; only its parts are written anew.
+        The rows are those of ``drift.refresh``.
+        """
         at = self.require()
         state = self.read(at)
-        after = refresh(state, live, self.keys, now, echo, flag="__hit")
-        seen = after.agg(
-            F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("__hit"), 1)).alias("hit")
-        ).first()
-        if seen["n"] == at.rows and seen["hit"] == 0:
+        own = [c for c in state.columns if c not in (*self.keys, *TIMESTAMPS, *echo)]
+        # A column the live table lost is null there.
+        lost = {c: F.lit(None).cast(state.schema[c].dataType) for c in own if c not in live.columns}
+        changes = materialize(drift(state, live.withColumns(lost), self.keys, [*TIMESTAMPS, *echo]), "drift")
+        touched = self._touched(changes)
+        if not touched:
             return at, False
-        return self._commit(after.drop("__hit"), at.lineage, at.serial + 1, at.seq + 1), True
+        rows = self._with_whole_prior(changes, state)
+        return self._write(rows, at, touched, 1, now, None, dict.fromkeys(own, "exact"), "value"), True
+
+    def _with_whole_prior(self, changes: DataFrame, state: DataFrame) -> DataFrame:
+        """Drift rows whose ``prior`` holds all stored columns, timestamps and echoes too."""
+        rest = [c for c in state.columns if c not in self.keys] or self.keys
+        stored = state.select(
+            *[F.col(k).alias(f"__k_{k}") for k in self.keys], F.struct(*rest).alias("__prior")
+        )
+        match = [F.col(k) == F.col(f"__k_{k}") for k in self.keys]
+        whole = changes.join(stored, match, "left")
+        return materialize(whole.select(*self.keys, "action", F.col("__prior").alias("prior"), "planned"), "drift")

@@ -8,13 +8,14 @@ import uuid
 from collections.abc import Callable, Iterable, Mapping, Sequence
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tablerecon.errors import ValidationError
-from tablerecon.functions.text import EMPTY_SLUG
+from tablerecon.functions.text import slugify
 from tablerecon.operators.schema import conform_schema
 from tablerecon.sources.files import FileDataset
-from tablerecon.types import Column
+from tablerecon.types import Column as Declared
 
 
 def sync(
@@ -22,7 +23,7 @@ def sync(
     source: FileDataset | DataFrame,
     target: FileDataset,
     write_mode: str = "OVERWRITE",
-    columns: Iterable[Column | tuple | str] = (),
+    columns: Iterable[Declared | tuple | str] = (),
 ) -> FileDataset:
     """Copy the source into the target, in the declared schema if there is one."""
     df = source if isinstance(source, DataFrame) else source.read(spark)
@@ -33,11 +34,14 @@ def sync(
 def sql_recipe(spark: SparkSession, sql: str, inputs: Mapping[str, DataFrame]) -> DataFrame:
     """Run SQL over the declared inputs under their names.
 
-    Only declared inputs are visible as bare names; a query over another name
-    fails when it is analysed.  ``${...}`` in the text is left alone.
+    Only declared inputs are visible: a query over any other table or view is
+    refused.  ``${...}`` in the text is left alone.
     """
     if not inputs:
         raise ValidationError(["a SQL recipe needs at least one input"])
+    other = sorted(_tables_in(spark, sql) - {n.lower() for n in inputs})
+    if other:
+        raise ValidationError([f"a SQL recipe names a table that is not an input: {n}" for n in other])
     previous = spark.conf.get("spark.sql.variable.substitute", "true")
     spark.conf.set("spark.sql.variable.substitute", "false")
     views: list[str] = []
@@ -58,6 +62,14 @@ def sql_recipe(spark: SparkSession, sql: str, inputs: Mapping[str, DataFrame]) -
         spark.conf.set("spark.sql.variable.substitute", previous)
 
 
+def _tables_in(spark: SparkSession, sql: str) -> set[str]:
+    """Tables and views that a statement names, in lower case, but those of its own WITH."""
+    parsed = str(spark._jsparkSession.sessionState().sqlParser().parsePlan(sql.strip().rstrip(";")).toString())
+    named = {n.replace("`", "").replace(", ", ".").lower() for n in re.findall(r"'UnresolvedRelation \[(.*?)\]", parsed)}
+    own = {n.strip().lower() for names in re.findall(r"CTE \[(.*?)\]", parsed) for n in names.split(",")}
+    return named - own
+
+
 def _with_inputs(sql: str, ctes: Sequence[str]) -> str:
     # The recipe becomes a derived table below the inputs, so a WITH of its own
     # still works.
@@ -93,6 +105,19 @@ def fan_out(
     return out
 
 
+def fan_out_rows(df: DataFrame, instances: Mapping[str, tuple[Column, Mapping[str, Column]]]) -> DataFrame:
+    """Rows of all instances in one scan: ``(instance, <columns>)``.
+
+    Each instance has a condition and its columns; a row comes once for every
+    instance whose condition it meets.
+    """
+    made = [
+        F.when(condition, F.struct(F.lit(name).alias("instance"), *[c.alias(n) for n, c in columns.items()]))
+        for name, (condition, columns) in instances.items()
+    ]
+    return df.select(F.inline(F.filter(F.array(*made), lambda r: r.isNotNull())))
+
+
 def union_all(frames: Sequence[DataFrame]) -> DataFrame:
     out = frames[0]
     for frame in frames[1:]:
@@ -105,18 +130,18 @@ def fan_out_write(df: DataFrame, instance: str, path: str) -> None:
     df.write.mode("overwrite").partitionBy(instance).parquet(path)
 
 
-def slug(text: str) -> str:
-    """The slug of a branch name; the same rule as ``functions.slugify``."""
-    return re.sub("[^a-z0-9]+", "_", text.lower()).strip("_") or EMPTY_SLUG
+def slug(spark: SparkSession, text: str) -> str:
+    """The slug of a branch name, by ``functions.slugify``."""
+    return spark.range(1).select(slugify(F.lit(text))).first()[0]
 
 
-def isolated_path(path: str, branch: str) -> str:
+def isolated_path(spark: SparkSession, path: str, branch: str) -> str:
     """``dir/name.ext`` becomes ``dir/name.preview.<slug>.ext``."""
     folder, name = posixpath.split(path.rstrip("/"))
     stem, dot, suffix = name.partition(".")
-    return posixpath.join(folder, f"{stem}.preview.{slug(branch)}{dot}{suffix}")
+    return posixpath.join(folder, f"{stem}.preview.{slug(spark, branch)}{dot}{suffix}")
 
 
-def isolated(target: FileDataset, branch: str) -> FileDataset:
+def isolated(spark: SparkSession, target: FileDataset, branch: str) -> FileDataset:
     """The same target, redirected to the branch's own path."""
-    return target.at(isolated_path(target.path, branch))
+    return target.at(isolated_path(spark, target.path, branch))

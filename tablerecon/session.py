@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 # AQE splits an oversized partition of a join at run time, also where that costs
@@ -68,6 +69,11 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/tablerecon/{label}-{uuid.uuid4().hex}"
 
 
+def is_missing_path(error: AnalysisException) -> bool:
+    """Whether a read failed because nothing is stored there yet."""
+    return (error.getCondition() or "").startswith("PATH_NOT_FOUND")
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping
+from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.errors import AnalysisException
+from pyspark.sql import Column as SparkColumn
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablerecon.operators.schema import conform_schema
+from tablerecon.session import is_missing_path
 from tablerecon.types import Column, declared_schema
 
 # CSV parameter names and the reader options they stand for.
@@ -26,15 +28,89 @@ CSV_OPTIONS = {
 # Write modes.
 WRITE_MODES = ("OVERWRITE", "APPEND", "TRUNCATE")
 
-FORMATS = ("parquet", "csv", "json", "orc", "text", "avro")
+# CSV parameters without a reader option.  Row skips and booleans are
+# handled here; the others either say nothing about the values (a row estimate, how
+# doubles were written, separators of a format that is not in use) or must be as given.
+CSV_OTHERS = (
+    "style",
+    "arrayMapFormat",
+    "hiveSeparators",
+    "skipRowsBeforeHeader",
+    "skipRowsAfterHeader",
+    "probableNumberOfRecords",
+    "normalizeBooleans",
+    "normalizeDoubles",
+    "multiLine",
+)
+CSV_STYLES = {"unix": "\\", "excel": '"'}  # what a quote inside quotes is escaped with
+TRUE_WORDS, FALSE_WORDS = ("true", "t", "yes", "y", "1"), ("false", "f", "no", "n", "0")
+
+FORMATS = ("parquet", "csv", "json", "orc", "text")
 
 
 def csv_options(params: Mapping[str, object]) -> dict[str, str]:
-    """Reader options for CSV parameters; unknown ones are refused."""
-    unknown = sorted(set(params) - set(CSV_OPTIONS))
+    """Reader and writer options for CSV parameters; unknown ones are refused.
+
+    Quoted cells may hold line breaks, so a file is read by one task; a dataset that
+    has none says ``multiLine`` false and is split.
+    """
+    unknown = sorted(set(params) - set(CSV_OPTIONS) - set(CSV_OTHERS))
     if unknown:
-        raise ValueError(f"csv parameters without a reader option: {', '.join(unknown)}")
-    return {CSV_OPTIONS[k]: _option(v) for k, v in params.items() if v not in (None, "")}
+        raise ValueError(f"csv parameters without a meaning here: {', '.join(unknown)}")
+    style = params.get("style") or "unix"
+    if style not in CSV_STYLES:
+        raise ValueError(f"csv style {style!r}; use one of {', '.join(CSV_STYLES)}")
+    if (params.get("arrayMapFormat") or "json") != "json":
+        raise ValueError("nested csv cells are JSON: arrayMapFormat must be json")
+    named = {CSV_OPTIONS[k]: _option(v) for k, v in params.items() if k in CSV_OPTIONS and v not in (None, "")}
+    if style == "excel":
+        named["escape"] = CSV_STYLES[style]
+    return {"multiLine": _option(params.get("multiLine", True)), "escape": CSV_STYLES[style], **named}
+
+
+def _read_csv(
+    spark: SparkSession, path: str | list[str], params: Mapping[str, object], cols: Sequence[Column | tuple | str]
+) -> DataFrame:
+    """Cells as text: by the header's names, or in declared order when there is no header."""
+    options = csv_options(params)
+    before, after = (int(params.get(k) or 0) for k in ("skipRowsBeforeHeader", "skipRowsAfterHeader"))
+    header = options.get("header") == "true"
+    names = [f.name for f in declared_schema(cols)] if cols else []
+    if before or after:
+        return _skipping(spark, path, options, names, before, after, header)
+    reader = spark.read.options(**options)
+    if names and not header:
+        reader = reader.schema(T.StructType([T.StructField(n, T.StringType()) for n in names]))
+    return reader.csv(path)
+
+
+def _skipping(
+    spark: SparkSession, path: str | list[str], options: Mapping[str, str], names: list[str], before: int, after: int, header: bool
+) -> DataFrame:
+    """Rows numbered file by file, so that the first ones of each file can be left out.
+
+    A file that may hold line breaks in cells is read by one task, in order.
+    """
+    if not names:
+        raise ValueError("skipping rows needs declared columns")
+    schema = T.StructType([T.StructField(f"_c{i}", T.StringType()) for i in range(len(names))])
+    raw = spark.read.options(**{**options, "header": "false", "multiLine": "true"}).schema(schema).csv(path)
+    rows = raw.select("*", F.col("_metadata.file_path").alias("__file"), F.monotonically_increasing_id().alias("__id"))
+    starts = rows.groupBy("__file").agg(F.min("__id").alias("__first"))
+    rows = rows.join(starts, "__file").withColumn("__n", F.col("__id") - F.col("__first"))
+    given = names
+    if header:
+        line = rows.filter(F.col("__n") == before).orderBy("__file").select(*schema.names).first()
+        given = [c or "" for c in line] if line is not None else names
+        if sorted(given) != sorted(names):
+            raise ValueError(f"the header names {given}, declared are {names}")
+    kept = rows.filter(F.col("__n") >= before + after + (1 if header else 0))
+    return kept.select(*[F.col(f"_c{i}").alias(n) for i, n in enumerate(given)])
+
+
+def _as_boolean(col: SparkColumn) -> SparkColumn:
+    word = F.lower(F.trim(col))
+    return F.when(word.isin(*TRUE_WORDS), "true").when(word.isin(*FALSE_WORDS), "false").otherwise(col)
 
 
 def _option(value: object) -> str:
@@ -63,19 +139,21 @@ def read_files(
 ) -> DataFrame:
     """Read files; declared columns become the read schema and the projection.
 
-    Text formats are read with the declared schema, so no pass over the data
-    infers one.  Columnar files keep their own types and are cast, so filters
-    and column pruning still reach the scan.
+    JSON is read with the declared schema and CSV as text, so no pass over the data
+    infers types; CSV columns meet by the header's names.  Columnar files keep their
+    own types and are cast, so filters and column pruning still reach the scan.
     """
     cols = list(columns)
-    reader = spark.read.format(format).options(**_options(format, format_params or {}))
-    if cols and format in ("csv", "json"):
-        wanted = declared_schema(cols)
-        plain = all(not isinstance(f.dataType, (T.VariantType, T.MapType, T.ArrayType)) for f in wanted)
-        if format == "json" or plain:
-            return reader.schema(wanted).load(path)
-        # Nested CSV cells are JSON text: read as text, then convert.
-        reader = reader.schema(T.StructType([T.StructField(f.name, T.StringType()) for f in wanted]))
+    params = format_params or {}
+    if format == "csv":
+        rows = _read_csv(spark, path, params, cols)
+        if params.get("normalizeBooleans"):
+            flags = [f.name for f in declared_schema(cols) if isinstance(f.dataType, T.BooleanType) and f.name in rows.columns]
+            rows = rows.withColumns({c: _as_boolean(F.col(c)) for c in flags})
+        return conform_schema(rows, cols)
+    reader = spark.read.format(format).options(**_options(format, params))
+    if cols and format == "json":
+        return reader.schema(declared_schema(cols)).load(path)
     return conform_schema(reader.load(path), cols)
 
 
@@ -121,7 +199,9 @@ def _existing_schema(
 ) -> T.StructType | None:
     try:
         return spark.read.format(format).options(**options).load(path).schema
-    except AnalysisException:
+    except AnalysisException as e:
+        if not is_missing_path(e):
+            raise
         return None
 
 

@@ -135,10 +135,34 @@ def table_truncate(t: Tables) -> DataFrame:
     return t.spark.table(table)
 
 
-@query(None)
+@query(
+    """SELECT 'lang=' || lang || '/source=' || source AS part, CAST(1 AS BIGINT) AS files, TRUE AS has_bytes
+FROM documents GROUP BY lang, source"""
+)
 def folder_inventory(t: Tables) -> DataFrame:
-    """Files of the table folder; names and lengths, no content."""
-    return read_folder(t.spark, t.dir, "*.parquet").select("name", "length")
+    """A folder written from ``documents``, one file per language and source, and what it holds."""
+    path = scratch_path(t.spark, "folder")
+    rows = t.documents.select("doc_id", "text", "lang", "source")
+    write_files(rows.repartition("lang", "source"), path, partition_by=["lang", "source"])
+    found = read_folder(t.spark, path, "*.parquet")
+    part = F.regexp_extract("path", r"(lang=[^/]+/source=[^/]+)/", 1)
+    return found.groupBy(part.alias("part")).agg(
+        F.count(F.lit(1)).alias("files"), (F.min("length") > 0).alias("has_bytes")
+    )
+
+
+@query("SELECT doc_id, text, lang, source, n_chars FROM documents")
+def scan_csv_documents(t: Tables) -> DataFrame:
+    """Whole texts, with their line breaks and quotes, through CSV and back in another column order."""
+    path = scratch_path(t.spark, "csv-documents")
+    params = {
+        "style": "unix", "charset": "UTF-8", "separator": ",", "quoteChar": '"', "escapeChar": "\\", "parseHeaderRow": True,
+        "arrayMapFormat": "json", "hiveSeparators": ["\x02", "\x03"], "skipRowsBeforeHeader": 0, "skipRowsAfterHeader": 0,
+        "probableNumberOfRecords": 0, "normalizeBooleans": False, "normalizeDoubles": True, "compress": "",
+    }
+    write_files(t.documents, path, format="csv", format_params=params)
+    columns = [("n_chars", "bigint"), "source", "lang", "text", ("doc_id", "bigint")]
+    return read_csv_upload(t.spark, path, params, columns)
 
 
 @query(CUSTOMER)
@@ -181,23 +205,20 @@ def py_recipe_clean(t: Tables) -> DataFrame:
     return out.read(t.spark)
 
 
-def _segment(df: DataFrame, name: str, floor: int) -> DataFrame:
-    part = df.filter((F.col("c_mktsegment") == name.upper()) & (F.col("c_acctbal") >= floor))
-    return part.select(F.lit(name).alias("instance"), "c_custkey", "c_name")
-
-
 @query(
     """SELECT lower(c_mktsegment) AS instance, c_custkey, c_name FROM customer
 WHERE c_mktsegment <> 'FURNITURE' AND c_acctbal >= CASE c_mktsegment WHEN 'BUILDING' THEN 100 WHEN 'MACHINERY' THEN 5000 ELSE 0 END"""
 )
 def fan_out_segments(t: Tables) -> DataFrame:
-    """One template, an instance per segment with its own parameter."""
+    """One template, an instance per segment with its own parameter, all in one scan."""
     floors = {"building": 100, "machinery": 5000, "household": 0, "automobile": 0}
-    customers = t.customer
-    made = R.fan_out(
-        lambda name, floor: [_segment(customers, name, floor)], {n: {"floor": f} for n, f in floors.items()}
-    )
-    return R.union_all(made)
+
+    def template(name: str, floor: int) -> tuple:
+        met = (F.col("c_mktsegment") == name.upper()) & (F.col("c_acctbal") >= floor)
+        return name, (met, {"c_custkey": F.col("c_custkey"), "c_name": F.col("c_name")})
+
+    made = R.fan_out(lambda name, floor: [template(name, floor)], {n: {"floor": f} for n, f in floors.items()})
+    return R.fan_out_rows(t.customer, dict(made))
 
 
 @query("SELECT c_custkey, c_name, c_mktsegment FROM customer")
@@ -212,7 +233,7 @@ def fan_out_one_write(t: Tables) -> DataFrame:
 def isolated_sync(t: Tables) -> DataFrame:
     """The same flow routed to a branch's own path; the base path stays unwritten."""
     base = FileDataset(scratch_path(t.spark, "flow") + "/customers.parquet", columns=CUSTOMER_COLUMNS)
-    target = R.isolated(base, "Feature/X-1")
+    target = R.isolated(t.spark, base, "Feature/X-1")
     out = R.sync(t.spark, FileDataset(t.path("customer")), target)
     return out.read(t.spark).withColumn("target", F.lit(out.path.rsplit("/", 1)[1]))
 

@@ -116,14 +116,14 @@ def _tenant_inputs(t: Tables) -> tuple[DataFrame, DataFrame]:
 def substitute_by_tenant(t: Tables) -> DataFrame:
     """Every customer's template is filled with its own nation's variables."""
     rows, variables = _tenant_inputs(t)
-    return substitute_by_row(rows, variables, "tenant", ["path"], "c_custkey").select("c_custkey", "path")
+    return substitute_by_row(rows, variables, "tenant", ["path"]).select("c_custkey", "path")
 
 
 @query(TENANT_SQL)
 def substitute_by_marker(t: Tables) -> DataFrame:
     """The same for tenants with too many variables to carry along."""
     rows, variables = _tenant_inputs(t)
-    done = substitute_by_row(rows, variables, "tenant", ["path"], "c_custkey", list_limit=0)
+    done = substitute_by_row(rows, variables, "tenant", ["path"], list_limit=0)
     return done.select("c_custkey", "path")
 
 

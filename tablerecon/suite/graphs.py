@@ -13,6 +13,7 @@ from tablerecon.operators.graph import (
     prune_edges,
     topological_order,
 )
+from tablerecon.session import materialize
 from tablerecon.suite.registry import Tables, query
 
 
@@ -58,9 +59,23 @@ def levels_conversations(t: Tables) -> DataFrame:
     return dependency_levels(turns(t), turn_edges(t))
 
 
-@query(f"WITH RECURSIVE {LEVELS} SELECT level, priority, node FROM levels JOIN nodes USING (node)")
+def _numbered(df: DataFrame) -> DataFrame:
+    """The rows with their place in the order: offsets of the sorted partitions, then places within."""
+    rows = materialize(df.withColumn("__id", F.monotonically_increasing_id()), "ordered")
+    part, within = F.shiftright("__id", 33), F.col("__id").bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = rows.groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("n"))
+    before = sizes.alias("a").join(sizes.alias("b"), F.col("b.p") < F.col("a.p"), "left").groupBy("a.p")
+    starts = before.agg(F.coalesce(F.sum("b.n"), F.lit(0)).alias("start"))
+    placed = rows.join(starts, part == F.col("p")).withColumn("position", F.col("start") + within)
+    return placed.select(*df.columns, "position")
+
+
+@query(
+    f"""WITH RECURSIVE {LEVELS} SELECT level, priority, node,
+  row_number() OVER (ORDER BY level, priority, node) - 1 AS position FROM levels JOIN nodes USING (node)"""
+)
 def topo_order_conversations(t: Tables) -> DataFrame:
-    return topological_order(turns(t), turn_edges(t), priority="priority")
+    return _numbered(topological_order(turns(t), turn_edges(t), priority="priority"))
 
 
 @query(
@@ -87,10 +102,14 @@ DELETES = (
 )
 
 
-@query(f"WITH RECURSIVE {DELETES} SELECT level, priority, node FROM levels JOIN nodes USING (node)", "delete_order")
+@query(
+    f"""WITH RECURSIVE {DELETES} SELECT level, priority, node,
+  row_number() OVER (ORDER BY level DESC, priority DESC, node DESC) - 1 AS position FROM levels JOIN nodes USING (node)""",
+    "delete_order",
+)
 def _delete_order(t: Tables) -> DataFrame:
     """Turns not by users go; edges count only among them."""
-    return delete_order(turn_edges(t), turns(t).filter("role <> 'user'"), priority="priority")
+    return _numbered(delete_order(turn_edges(t), turns(t).filter("role <> 'user'"), priority="priority"))
 
 
 @query(
@@ -101,11 +120,13 @@ inner_edges AS (SELECT e.node, e.dep FROM edges e JOIN todo a ON a.node = e.node
   WHERE a.action = b.action),
 walk AS (SELECT node, 0 AS level FROM todo UNION
   SELECT e.node, w.level + 1 FROM walk w JOIN inner_edges e ON e.dep = w.node),
-levels AS (SELECT node, CAST(max(level) AS INTEGER) AS level FROM walk GROUP BY 1)
-SELECT CAST(CASE action WHEN 'delete' THEN 1 ELSE 0 END AS INTEGER) AS phase,
+levels AS (SELECT node, CAST(max(level) AS INTEGER) AS level FROM walk GROUP BY 1),
+ranked AS (SELECT CAST(CASE action WHEN 'delete' THEN 1 ELSE 0 END AS INTEGER) AS phase,
   CAST(CASE action WHEN 'delete' THEN -level ELSE level END AS INTEGER) AS rank,
   CAST(CASE action WHEN 'delete' THEN -priority ELSE priority END AS INTEGER) AS priority, node, action
-FROM todo JOIN levels USING (node)""",
+FROM todo JOIN levels USING (node))
+SELECT *, row_number() OVER (ORDER BY phase, rank, priority, CASE phase WHEN 0 THEN node END,
+  CASE phase WHEN 1 THEN node END DESC) - 1 AS position FROM ranked""",
     "apply_order",
 )
 def _apply_order(t: Tables) -> DataFrame:
@@ -114,4 +135,4 @@ def _apply_order(t: Tables) -> DataFrame:
         F.when(F.col("role") == "user", "create").when(F.col("role") == "assistant", "delete").otherwise("no-op")
     )
     changes = turns(t).withColumn("action", action)
-    return apply_order(changes, turn_edges(t), turn_edges(t), priority="priority")
+    return _numbered(apply_order(changes, turn_edges(t), turn_edges(t), priority="priority"))

@@ -161,13 +161,13 @@ def _joined(df: DataFrame) -> DataFrame:
 
 @query(ALIASED, "resolve_aliases")
 def _resolve_aliases(t: Tables) -> DataFrame:
-    return _joined(resolve_aliases(_part_refs(t), ["inputs", "outputs"], _aliases(t), "p_partkey"))
+    return _joined(resolve_aliases(_part_refs(t), ["inputs", "outputs"], _aliases(t)))
 
 
 @query(ALIASED)
 def resolve_aliases_joined(t: Tables) -> DataFrame:
     """The same for alias sets too large to inline."""
-    return _joined(resolve_aliases(_part_refs(t), ["inputs", "outputs"], _aliases(t), "p_partkey", inline_limit=0))
+    return _joined(resolve_aliases(_part_refs(t), ["inputs", "outputs"], _aliases(t), inline_limit=0))
 
 
 @query(

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablerecon.functions.documents import parse
+from tablerecon.operators.checks import check_keys
 from tablerecon.plans import (
     TableStore,
     actionable,
@@ -479,3 +480,89 @@ def apply_merged_map(t: Tables) -> DataFrame:
     after = apply_changes(prior, plan(asked, prior, "event_id"), "event_id", _stamp(NOW))
     entries = F.map_from_entries(F.array_sort(F.map_entries("attrs")))
     return after.select("event_id", F.to_json(entries).alias("attrs"))
+
+
+@query(
+    """SELECT event_id, upper(event_type) AS kind, CAST(user_id AS BIGINT) AS user, CAST(value AS VARCHAR) AS value FROM events"""
+)
+def apply_struct_by_name(t: Tables) -> DataFrame:
+    """Struct fields meet by name: declared in another order and in part, the rest is kept."""
+    desired = t.events.select("event_id", F.struct(F.upper("event_type").alias("kind"), F.col("user_id").alias("user")).alias("attrs"))
+    prior = t.events.select(
+        "event_id",
+        F.struct(F.lit(0).cast("long").alias("user"), F.col("value").cast("string").alias("value"), F.lit("old").alias("kind")).alias("attrs"),
+    )
+    after = apply_changes(prior, materialize(plan(desired, prior, "event_id"), "changes"), "event_id", _stamp(NOW))
+    return after.select("event_id", "attrs.kind", "attrs.user", F.col("attrs.value").cast("double").cast("string").alias("value"))
+
+
+@query(
+    """SELECT event_id, '{"n":{"keep":' || user_id || ',"type":"' || event_type || '"},"z":1}' AS attrs FROM events"""
+)
+def apply_merged_json(t: Tables) -> DataFrame:
+    """A partial document laid over the stored one keeps what it does not name."""
+    kind = F.col("event_type")
+    desired = t.events.select("event_id", parse(F.concat(F.lit('{"n":{"type":"'), kind, F.lit('"}}'))).alias("attrs"))
+    stored = F.concat(F.lit('{"z":1,"n":{"keep":'), F.col("user_id").cast("string"), F.lit(',"type":"old"}}'))
+    prior = t.events.select("event_id", parse(stored).alias("attrs"))
+    after = apply_changes(prior, materialize(plan(desired, prior, "event_id"), "changes"), "event_id", _stamp(NOW))
+    return after.select("event_id", F.to_json("attrs").alias("attrs"))
+
+
+def _nested(inner: Column, levels: int) -> Column:
+    return F.concat(F.lit('{"k":' * levels), inner, F.lit("}" * levels))
+
+
+@query(
+    """SELECT event_id, CASE WHEN json_extract_string(props, '$.k')::INT % 2 = 0 THEN 'update' ELSE 'no-op' END AS action
+FROM events"""
+)
+def diff_partial_json_deep(t: Tables) -> DataFrame:
+    """Ten levels of objects around a wide one, whose stored copy holds one key more."""
+    props = F.get_json_object("props", "$.k").cast("int")
+    names = [f"f{i:02d}" for i in range(40)]
+    fields = [F.concat(F.lit(f'"{n}":'), (F.col("user_id") + i).cast("string")) for i, n in enumerate(names)]
+
+    def wide(last: Column) -> Column:
+        return F.concat(F.lit("{"), F.concat_ws(",", *fields, F.concat(F.lit('"last":'), last.cast("string"))), F.lit("}"))
+
+    stored = F.concat(F.lit('{"more":0,'), F.substring(wide(F.when(props % 2 == 0, -1).otherwise(props)), 2, 1 << 20))
+    desired = t.events.select("event_id", parse(_nested(wide(props), 10)).alias("attrs"))
+    prior = t.events.select("event_id", parse(_nested(stored, 10)).alias("attrs"))
+    return plan(desired, prior, "event_id").select("event_id", "action")
+
+
+@query(
+    """WITH k AS (SELECT CASE WHEN c_mktsegment = 'BUILDING' THEN NULL ELSE c_nationkey END AS nation, c_custkey % 40 AS slot FROM customer)
+SELECT 'keys' AS "check", coalesce(CAST(nation AS VARCHAR), 'null') || '|' || slot AS key,
+  CASE WHEN nation IS NULL THEN 'null in the key, rows: ' ELSE 'rows: ' END || count(*) AS message
+FROM k GROUP BY nation, slot HAVING count(*) > 1 OR nation IS NULL"""
+)
+def plan_null_keys(t: Tables) -> DataFrame:
+    """Rows that no plan accepts: their key holds a null or names several rows."""
+    nation = F.when(F.col("c_mktsegment") != "BUILDING", F.col("c_nationkey"))
+    return check_keys(t.customer.select(nation.alias("nation"), (F.col("c_custkey") % 40).alias("slot")), ["nation", "slot"])
+
+
+@query(
+    """SELECT 'plan_prior' AS "check", c_name || '|' || '|' || c_mktsegment AS key, 'no prior row for delete' AS message FROM customer"""
+)
+def bad_plan_rows_composite(t: Tables) -> DataFrame:
+    """Composite keys with the joiner inside: the same text, but not the same key."""
+    changes = t.customer.select(
+        F.col("c_name").alias("a"), F.concat(F.lit("|"), "c_mktsegment").alias("b"), F.lit("delete").alias("action")
+    )
+    prior = t.customer.select(F.concat("c_name", F.lit("|")).alias("a"), F.col("c_mktsegment").alias("b"))
+    return check_plan(changes, prior, ["a", "b"])
+
+
+@query(
+    """SELECT o_orderkey, o_orderstatus, CASE WHEN o_orderstatus = 'O' THEN 'late' END AS note,
+  CASE WHEN o_orderstatus = 'O' THEN '2024-06-01' ELSE strftime(o_orderdate, '%Y-%m-%d') END AS updated_on FROM orders"""
+)
+def refresh_new_column(t: Tables) -> DataFrame:
+    """A column that only the live table has is taken over, and makes its rows new."""
+    state = t.orders.select("o_orderkey", "o_orderstatus", F.col("o_orderdate").alias("updated_at"))
+    live = t.orders.select("o_orderkey", "o_orderstatus", F.when(F.col("o_orderstatus") == "O", "late").alias("note"))
+    after = refresh(state, live, "o_orderkey", _stamp(NOW))
+    return after.select("o_orderkey", "o_orderstatus", "note", F.date_format("updated_at", "yyyy-MM-dd").alias("updated_on"))

@@ -87,3 +87,23 @@ def test_is_stale(spark):
         (("l", 3, "y"), (True, "digest changed")),
     ]:
         assert tuple(is_stale(version(*saved), now).first()) == want
+
+
+def test_timestamps_count_to_the_microsecond_in_any_zone(spark):
+    ddl = "k int, t timestamp, n timestamp_ntz, s struct<t: timestamp>"
+    text = "2024-03-10 02:30:00.000{:03d}"
+
+    def made(micros):
+        t, n = f"TIMESTAMP'{text.format(micros)} UTC'", f"TIMESTAMP_NTZ'{text.format(micros)}'"
+        return spark.sql(f"SELECT 1 AS k, {t} AS t, {n} AS n, named_struct('t', {t}) AS s")
+
+    assert made(0).schema.simpleString().startswith("struct<k:int,t:timestamp") and "ntz" in ddl
+    whole = {digest(made(m).select("k", c)) for m in (0, 1, 543) for c in ("t", "n", "s")}
+    assert len(whole) == 9
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        first = digest(made(543))
+        spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+        assert digest(made(543)) == first
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)

@@ -85,3 +85,29 @@ def test_self_join_free_rounds_do_not_grow_the_plan(spark):
     text = levels._jdf.queryExecution().toString()
     assert text.count("Join") < 20
     assert levels.agg(F.max("level")).first()[0] == 11
+
+
+def test_writing_grows_with_nodes_and_edges_not_with_depth(spark, monkeypatch):
+    from tablerecon.operators import graph as G
+
+    length = 30
+    nodes = [f"n{i:03d}" for i in range(length)]
+    edges = [(nodes[i], nodes[j]) for i in range(length) for j in range(max(0, i - 4), i)]
+    written = []
+    plain = G.materialize
+
+    def counted(df, label):
+        out = plain(df, label)
+        written.append(out.count())
+        return out
+
+    monkeypatch.setattr(G, "materialize", counted)
+    done = G.peel(*graph(spark, nodes, edges))
+    assert {r["node"]: r["round"] for r in done.placed.collect()} == {n: i for i, n in enumerate(nodes) if i}
+    assert done.stuck is None and sum(written) + done.placed.count() <= 3 * len(edges) + length
+
+
+def test_both_delete_orders_break_ties_alike(spark):
+    changes = spark.createDataFrame([(x, "delete") for x in "abc"], "node string, action string")
+    none = spark.createDataFrame([], "node string, dep string")
+    assert names(apply_order(changes, none, none)) == names(delete_order(none, changes.select("node"))) == ["c", "b", "a"]

@@ -82,13 +82,30 @@ def test_lookup_last(spark):
 @pytest.mark.parametrize("inline_limit", [0, 256])
 def test_resolve_aliases(spark, inline_limit):
     df = spark.createDataFrame(
-        [(1, ["x", "shared", "shared"], ["y"]), (2, [], None), (3, None, ["shared", None])],
+        [
+            (1, ["x", "shared", "shared"], ["y"]),
+            (2, [], None),
+            (3, None, ["shared", None]),
+            (None, ["shared"], ["both"]),
+            (None, ["z"], ["z"]),
+        ],
         "id int, inputs array<string>, outputs array<string>",
     )
-    aliases = spark.createDataFrame([("shared", "P.cust")], "name string, target string")
-    out = resolve_aliases(df, ["inputs", "outputs"], aliases, "id", inline_limit=inline_limit)
-    got = {r["id"]: (r["inputs"], r["outputs"]) for r in out.collect()}
-    assert got == {1: (["x", "P.cust", "P.cust"], ["y"]), 2: ([], None), 3: (None, ["P.cust", None])}
+    aliases = spark.createDataFrame(
+        [("shared", "P.cust"), ("both", "Q.b"), ("both", "P.b"), (None, "P.n"), ("z", None)], "name string, target string"
+    )
+    out = resolve_aliases(df, ["inputs", "outputs"], aliases, inline_limit=inline_limit)
+    got = [(r["id"], r["inputs"], r["outputs"]) for r in out.collect()]
+    assert sorted(got, key=repr) == sorted(
+        [
+            (1, ["x", "P.cust", "P.cust"], ["y"]),
+            (2, [], None),
+            (3, None, ["P.cust", None]),
+            (None, ["P.cust"], ["P.b"]),
+            (None, ["z"], ["z"]),
+        ],
+        key=repr,
+    )
     assert out.columns == df.columns
 
 

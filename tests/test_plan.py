@@ -1,6 +1,8 @@
 """Plan, drift, refresh, apply: cases, and invariants on random tables."""
 
 import datetime as dt
+import json
+import random
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -91,10 +93,13 @@ def test_columns_on_one_side_only(spark):
 
 def test_composite_and_null_keys(spark):
     ddl = "a int, b string, v int"
-    desired = spark.createDataFrame([(1, "x", 1), (1, "y", 2), (None, "x", 3)], ddl)
+    desired = spark.createDataFrame([(1, "x", 1), (1, "y", 2)], ddl)
     prior = spark.createDataFrame([(1, "x", 1), (2, "y", 2)], ddl)
-    got = sorted((r["a"] or 0, r["b"], r["action"]) for r in plan(desired, prior, ["a", "b"]).collect())
-    assert got == [(0, "x", "create"), (1, "x", "no-op"), (1, "y", "create"), (2, "y", "delete")]
+    got = sorted((r["a"], r["b"], r["action"]) for r in plan(desired, prior, ["a", "b"]).collect())
+    assert got == [(1, "x", "no-op"), (1, "y", "create"), (2, "y", "delete")]
+    half = desired.unionByName(spark.createDataFrame([(None, "x", 3)], ddl))
+    with pytest.raises(Exception, match="key is null"):
+        plan(half, prior, ["a", "b"]).collect()
 
 
 def test_tables_of_nothing_but_keys(spark):
@@ -290,3 +295,43 @@ def test_random_tables(spark, want, have):
     one_pass = snapshot_of(changes, "k", prior.schema, strategies=strategies)
     assert sorted(map(repr, one_pass.collect())) == sorted(map(repr, after.collect()))
     assert drift(prior, prior, "k").count() == 0
+
+
+def test_apply_meets_structs_by_name_and_settles(spark):
+    """Any nested desired table, applied, plans to nothing but no-ops."""
+    rng = random.Random(6)
+    new = "k int, s struct<kind: string, deep: struct<b: int, extra: string>>, m map<string, struct<y: int>>, j string"
+    old = "k int, s struct<x: string, deep: struct<a: int, b: int>, kind: string>, m map<string, struct<x: int, y: int>>, j string"
+
+    def some(value):
+        return None if rng.random() < 0.2 else value
+
+    def document(depth):
+        keys = [k for k in "abc" if rng.random() < 0.6]
+        return {k: document(depth - 1) if depth and rng.random() < 0.5 else rng.randrange(3) for k in keys}
+
+    word, number = (lambda: some(rng.choice("pq"))), (lambda: some(rng.randrange(3)))
+    desired = [
+        (k, some((word(), some((number(), word())))), some({x: some((number(),)) for x in "uv" if rng.random() < 0.6}), json.dumps(document(3)))
+        for k in range(60)
+    ]
+    prior = [
+        (k, some((word(), some((number(), number())), word())), some({x: some((number(), number())) for x in "vw"}), json.dumps(document(3)))
+        for k in range(20, 80)
+    ]
+    d = spark.createDataFrame(desired, new).withColumn("j", F.parse_json("j"))
+    p = spark.createDataFrame(prior, old).withColumn("j", F.parse_json("j"))
+    after = apply_changes(p, plan(d, p, "k"), "k", dt.datetime(2024, 1, 1))
+    assert [f.name for f in after.schema["s"].dataType.fields] == ["x", "deep", "kind"]
+    assert {r["action"] for r in plan(d, after, "k").collect()} == {"no-op"}
+    stored = {r["k"]: r for r in after.collect()}
+    for k, s, *_ in prior:
+        want = dict((x[0], x) for x in desired).get(k)
+        if want is not None and s is not None and want[1] is not None:
+            assert stored[k]["s"]["x"] == s[0] and stored[k]["s"]["kind"] == want[1][0]
+
+
+def test_null_keys_fail_when_the_action_is_read(spark):
+    one = spark.createDataFrame([(None, 1)], "k string, v int")
+    with pytest.raises(Exception, match="key is null"):
+        plan(one, one.limit(0), "k").collect()

@@ -21,6 +21,11 @@ def test_sql_recipe(spark):
     a = spark.createDataFrame([(1, "x"), (2, "y")], "id int, s string")
     out = R.sql_recipe(spark, "WITH w AS (SELECT * FROM `my-input`) SELECT max(id) AS m, '${keep}' AS t FROM w -- end", {"my-input": a})
     assert tuple(out.first()) == (2, "${keep}")
+    a.createOrReplaceTempView("session_view")
+    for text in ("SELECT * FROM session_view", "SELECT * FROM a WHERE id IN (SELECT id FROM session_view)", "SELECT * FROM default.t"):
+        with pytest.raises(ValidationError, match="not an input"):
+            R.sql_recipe(spark, text, {"a": a})
+    spark.catalog.dropTempView("session_view")
     before = spark.conf.get("spark.sql.variable.substitute")
     with pytest.raises(Exception, match="other_table"):
         R.sql_recipe(spark, "SELECT * FROM other_table", {"a": a})
@@ -46,9 +51,9 @@ def test_fan_out():
             R.fan_out(lambda: [], **bad)
 
 
-def test_isolated_paths():
-    assert R.isolated_path("/data/state.json", "Feature/X") == "/data/state.preview.feature_x.json"
-    assert R.isolated_path("/data/t.snappy.parquet", "--") == "/data/t.preview.preview.snappy.parquet"
-    assert R.isolated_path("s3a://b/t/", "main") == "s3a://b/t.preview.main"
+def test_isolated_paths(spark):
+    assert R.isolated_path(spark, "/data/state.json", "Feature/X") == "/data/state.preview.feature_x.json"
+    assert R.isolated_path(spark, "/data/t.snappy.parquet", "--") == "/data/t.preview.preview.snappy.parquet"
+    assert R.isolated_path(spark, "s3a://b/t/", "main") == "s3a://b/t.preview.main"
     target = FileDataset("/d/t.parquet", columns=(Column("a"),))
-    assert R.isolated(target, "x").columns == target.columns
+    assert R.isolated(spark, target, "x").columns == target.columns

@@ -6,6 +6,7 @@ from tablerecon.errors import ValidationError
 from tablerecon.operators.schema import conform_schema, schema_mismatch
 from tablerecon.session import scratch_path
 from tablerecon.sources import (
+    read_csv_upload,
     Connection,
     FileDataset,
     Split,
@@ -59,9 +60,10 @@ def test_strict_schema(spark):
 
 def test_csv_options():
     params = {"separator": ";", "charset": "UTF-8", "quoteChar": '"', "escapeChar": "\\", "parseHeaderRow": True, "compress": ""}
-    assert csv_options(params) == {"sep": ";", "encoding": "UTF-8", "quote": '"', "escape": "\\", "header": "true"}
-    with pytest.raises(ValueError, match="skipRowsBeforeHeader, style"):
-        csv_options({"style": "unix", "skipRowsBeforeHeader": 0})
+    assert csv_options(params) == {"sep": ";", "encoding": "UTF-8", "quote": '"', "escape": "\\", "header": "true", "multiLine": "true"}
+    with pytest.raises(ValueError, match="some, thing"):
+        csv_options({"style": "unix", "skipRowsBeforeHeader": 0, "thing": 1, "some": 2})
+    assert csv_options({"style": "excel"})["escape"] == '"' and csv_options({"multiLine": False})["multiLine"] == "false"
     assert merge_params({"a": 1, "b": 2}, {"b": 3}) == {"a": 1, "b": 3}
     with pytest.raises(ValueError, match="unknown format"):
         FileDataset("/x", "xml").read(None) if False else write_files(None, "/x", format="xml")
@@ -166,3 +168,25 @@ def test_filters_and_columns_reach_the_scan(spark):
     df = read_files(spark, path, columns=[("id", "bigint"), "s"]).filter("id > 5").select("id")
     text = df._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThan(id,5)" in text and "ReadSchema: struct<id:bigint>" in text
+
+
+def test_csv_columns_meet_by_name(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('name,email\n"line one\nline two",x@example.org\n')
+    got = read_csv_upload(spark, str(tmp_path), {"parseHeaderRow": True}, ["email", "name", "other"])
+    assert [tuple(r) for r in got.collect()] == [("x@example.org", "line one\nline two", None)]
+
+
+def test_csv_rows_before_and_after_the_header(spark, tmp_path):
+    for n in (1, 2):
+        (tmp_path / f"{n}.csv").write_text(f"made by a tool\nid;ok\nunits;-\n{n};yes\n{n}0;0\n")
+    params = {
+        "separator": ";", "parseHeaderRow": True, "skipRowsBeforeHeader": 1, "skipRowsAfterHeader": 1, "normalizeBooleans": True,
+    }
+    got = read_csv_upload(spark, str(tmp_path), params, [("ok", "boolean"), ("id", "int")])
+    assert sorted(tuple(r) for r in got.collect()) == [(False, 10), (False, 20), (True, 1), (True, 2)]
+
+
+def test_csv_parameters_are_known_or_refused(spark):
+    for bad in ({"nothing": 1}, {"style": "odd"}, {"arrayMapFormat": "hive"}):
+        with pytest.raises(ValueError):
+            read_csv_upload(spark, "/nowhere", bad, ["a"])

@@ -78,7 +78,7 @@ def test_saved_plan_and_stale_reasons(spark, store):
 def test_verify_finds_changed_files(spark, store):
     made = store.plan(table(spark, ("a", 9, {})))
     at = store.require()
-    spark.createDataFrame([("z", 0, {}, T0, T0)], store.read().schema).write.mode("append").parquet(at.data)
+    spark.createDataFrame([("z", 0, {}, T0, T0)], store.read().schema).write.mode("append").parquet(at.parts[0]["path"])
     assert store.stale_reason(made) is None
     assert store.stale_reason(made, verify=True) == "digest changed"
     with pytest.raises(StalePlanError, match="digest"):
@@ -117,6 +117,37 @@ def test_variables_and_ignored_columns(spark):
     assert [r["action"] for r in made.changes.collect()] == ["no-op"]
 
 
+def test_a_small_apply_writes_the_changed_parts_only(spark):
+    s = TableStore(spark, scratch_path(spark, "test-store"), "k", parts=8)
+    s.create(table(spark, *[(f"k{i}", i, {}) for i in range(200)]), T0)
+    before = {p["part"]: p["path"] for p in s.require().parts}
+    assert len(before) == 8
+    after = s.apply(s.plan(table(spark, ("k7", -1, {}), ("new", 1, {})), deletes=False), T1)
+    moved = {p["part"] for p in after.parts if before[p["part"]] != p["path"]}
+    assert 1 <= len(moved) <= 2 and after.digest == full_digest(s) and after.rows == 201
+    assert {r["k"]: r["v"] for r in s.read().collect()} == {**{f"k{i}": i for i in range(200)}, "k7": -1, "new": 1}
+    version, changed = s.refresh(s.read().drop(*TIMESTAMPS).filter("k <> 'k9'"), T1)
+    assert changed and version.rows == 200 and version.digest == full_digest(s)
+    assert sum(p["path"] != q["path"] for p, q in zip(after.parts, version.parts, strict=True)) == 1
+
+
+def test_null_keys_are_refused_at_once(spark):
+    s = TableStore(spark, scratch_path(spark, "test-store"), "k")
+    with pytest.raises(DuplicateKeyError, match="null"):
+        s.create(table(spark, (None, 1, {}), ("a", 1, {})), T0)
+    s.create(table(spark, ("a", 1, {})), T0)
+    with pytest.raises(DuplicateKeyError, match="null"):
+        s.plan(table(spark, (None, 1, {})))
+
+
+def test_all_violations_can_be_read(spark, store):
+    made = store.plan(table(spark, *[(f"n{i}", i, {}) for i in range(50)]))
+    bad = Plan(made.changes.withColumn("desired", F.lit(None).cast(made.changes.schema["desired"].dataType)), made.meta)
+    with pytest.raises(ValidationError) as caught:
+        store.apply(bad)
+    assert len(caught.value.messages) == 20 and caught.value.violations.count() == 50
+
+
 def test_new_columns_join_the_table(spark, store):
     desired = store.read().drop(*TIMESTAMPS).withColumn("note", F.concat(F.lit("n-"), "k"))
     after = store.apply(store.plan(desired), T1)

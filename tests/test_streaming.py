@@ -57,5 +57,5 @@ def test_replayed_and_empty_batches(spark):
     before = store.require()
     assert apply_batch(store, batch, "s-1", "seq", T1)
     now = store.require()
-    assert (now.serial, now.data, now.seq) == (before.serial, before.data, before.seq + 1)
+    assert (now.serial, now.parts, now.seq) == (before.serial, before.parts, before.seq + 1)
     assert not apply_batch(store, batch, "s-1", "seq", T1)
