@@ -21,6 +21,9 @@ from tablerecon.session import materialize, scratch_path
 
 _SHOWN = 20
 
+# After how many rounds, at least, the edges left are counted.
+_LOOK = 8
+
 
 def prune_edges(nodes: DataFrame, edges: DataFrame, node: str = "node", dep: str = "dep") -> DataFrame:
     """Edges between known nodes, each once.
@@ -73,16 +76,21 @@ def peel(nodes: DataFrame, edges: DataFrame, node: str = "node", dep: str = "dep
         fresh.write.parquet(path)
         since.append(path)
         if spark.read.schema(one).parquet(path).isEmpty():
-            # A round that places nobody never ends: a cycle, or nodes behind one.
+            # Nobody is left to place, but for a cycle and the nodes behind one.
             break
-        left = pending.count()
-        if round_no == 1 or 2 * left <= held:
-            base, held, since = materialize(pending, "edges"), left, [path]
+        if round_no == 1:
+            base, since = materialize(pending, "edges"), [path]
+            held = base.count()
+        elif round_no & (round_no - 1) == 0 or round_no % _LOOK == 0:
+            left = pending.count()
+            if 2 * left <= held:
+                base, held, since = materialize(pending, "edges"), left, [path]
         gone = spark.read.schema(one).parquet(*since).select(F.col("node").alias("__g"))
         # Many edges may need one hub, so no task may get them all.
         pending = salted_join(base, gone, [("dep", "__g")], "left_anti")
     placed = spark.read.schema(whole).parquet(root) if round_no else None
-    return Peel(all_nodes, placed, pending if held else None)
+    done = not held or pending.isEmpty()
+    return Peel(all_nodes, placed, None if done else pending)
 
 
 def find_cycles(nodes: DataFrame, edges: DataFrame, node: str = "node", dep: str = "dep") -> DataFrame:
