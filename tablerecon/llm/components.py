@@ -40,6 +40,16 @@ def _small_star(edges: DataFrame) -> DataFrame:
     )
 
 
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether no node has two smaller neighbours, or a smaller and a larger one."""
+    ends = edges.select(F.inline(F.array(
+        F.struct(F.col("u").alias("node"), F.lit(1).alias("down"), F.lit(0).alias("up")),
+        F.struct(F.col("v").alias("node"), F.lit(0).alias("down"), F.lit(1).alias("up")),
+    )))
+    held = ends.groupBy("node").agg(F.sum("down").alias("down"), F.sum("up").alias("up"))
+    return held.filter("down > 1 OR (down > 0 AND up > 0)").isEmpty()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``(node, root)`` of every node that an edge ``(u, v)`` touches; the root is the smallest.
 
@@ -47,12 +57,7 @@ def components(edges: DataFrame) -> DataFrame:
     roots; each round's edges are written.  No task holds a component.
     """
     edges = written(_directed(edges), "edges")
-    mark = None
-    while True:
-        state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state == mark or state[0] == 0:
-            break
-        mark = state
+    while not _are_stars(edges):
         edges = written(_small_star(written(_large_star(edges), "edges")), "edges")
     leaves = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return leaves.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

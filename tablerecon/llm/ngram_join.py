@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,7 +41,6 @@ MAX_COMMON = 500_000  # bound of the broadcast frequency table
 RARE = 8  # tokens of up to so many documents are never "common"
 HUB_ROUNDS = 12
 PAIRS_PER_POSTING = 4  # rounds of hubs go on while more pairs than this are left
-CACHE_ENTRIES = 400_000
 
 # Fixed odd multipliers: of the words of a shingle, of the further orders, of the mixer.
 _WORD_FACTORS = np.array(
@@ -56,30 +56,66 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def _fixed_stream(n: int, start: int) -> np.ndarray:
+    """``n`` well-mixed odd numbers, always the same ones."""
+    steps = np.arange(start, start + n, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return _mixed(steps) | np.uint64(1)
+
+
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_BYTE = _fixed_stream(256, 1)
+_PLACE_BITS = 16
+_PLACE, _BLOCK = _fixed_stream(1 << _PLACE_BITS, 1_000), np.uint64(0x2545F4914F6CDD1D)
+_LENGTH = np.uint64(0x9FB21C651E98DF25)
+_PIECE_BYTES = 1 << 22  # of a text that are hashed in one go
+_SPACES = re.compile(rb"[\x20\x09-\x0D]")
+
+
+def word_hashes(data: bytes) -> np.ndarray:
+    """64-bit hashes of the words of a text in bytes, all words at once.
+
+    A word's hash sums a number per byte times a number per place, and is mixed.
+    """
+    if not data:
+        return np.empty(0, np.uint64)
+    out, at = [], 0
+    while at < len(data):
+        end = at + _PIECE_BYTES
+        if end < len(data):
+            cut = _SPACES.search(data, end)
+            end = cut.start() if cut else len(data)
+        out.append(_piece_hashes(np.frombuffer(data, np.uint8, min(end, len(data)) - at, at)))
+        at = end
+    return np.concatenate(out) if len(out) != 1 else out[0]
+
+
+def _piece_hashes(b: np.ndarray) -> np.ndarray:
+    inside = ~_SPACE[b]
+    letters = b[inside]
+    if not len(letters):
+        return np.empty(0, np.uint64)
+    begins = inside.copy()
+    begins[1:] &= ~inside[:-1]
+    first = np.flatnonzero(begins[inside])
+    lengths = np.diff(first, append=len(letters))
+    place = np.arange(len(letters)) - np.repeat(first, lengths)
+    weight = _PLACE[place & ((1 << _PLACE_BITS) - 1)]
+    if lengths.max() > 1 << _PLACE_BITS:
+        weight = weight + (place >> _PLACE_BITS).astype(np.uint64) * _BLOCK
+    sums = np.add.reduceat(_BYTE[letters] * weight, first)
+    return _mixed(sums + lengths.astype(np.uint64) * _LENGTH)
+
+
 class Shingler:
     """Sorted distinct 64-bit hashes of a text's word shingles."""
 
     def __init__(self, words: int = WORDS) -> None:
-        from xxhash import xxh3_64_intdigest
-
-        self._hash = xxh3_64_intdigest
         self._width = words
-        self._known: dict[bytes, int] = {}
-
-    def _words(self, text: str) -> np.ndarray:
-        words = text.encode("utf-8", "surrogatepass").lower().split()
-        known = self._known
-        got = list(map(known.get, words))
-        if None in got:
-            if len(known) > CACHE_ENTRIES:
-                known.clear()
-            for i, x in enumerate(got):
-                if x is None:
-                    got[i] = known[words[i]] = self._hash(words[i])
-        return np.array(got, np.uint64)
 
     def __call__(self, text: str) -> np.ndarray:
-        h = self._words(text)
+        data = text.encode("utf-8", "surrogatepass").lower()
+        h = word_hashes(data)
         if not len(h):
             return h
         k = min(self._width, len(h))
@@ -87,7 +123,7 @@ class Shingler:
         total = np.full(n, k, np.uint64)
         for i in range(k):
             factor = _WORD_FACTORS[i % 5] + np.uint64(2 * (i // 5))
-            total += _mixed(h[i : i + n] * factor + np.uint64(i))
+            total += h[i : i + n] * factor
         return np.unique(_mixed(total))
 
 
@@ -525,16 +561,33 @@ def _fits(n: Column, place: Column, m: Column, other: Column, percent: int) -> C
     return size & (F.lit(100 + percent) * F.least(n - place, m - other) >= percent * (n + m))
 
 
-def _relabelled(rows: DataFrame, roots: DataFrame | None) -> DataFrame:
+def _relabelled(rows: DataFrame, roots: DataFrame | None, column: str) -> DataFrame:
+    """``column`` holds nodes; those with a root are replaced by it."""
     if roots is None:
         return rows
-    found = salted_join(rows, roots.select(F.col("node").alias("r"), "root"), [("comp", "r")], "left")
-    return found.withColumn("comp", F.coalesce("root", "comp")).drop("r", "root")
+    of = roots.select(F.col("node").alias("of"), F.col("root").alias("to"))
+    return salted_join(rows, of, [(column, "of")], "left").withColumn(column, F.coalesce("to", column)).drop("of", "to")
+
+
+def _grown(roots: DataFrame | None, links: DataFrame) -> DataFrame:
+    """Roots after further links, which are followed between the components there are."""
+    edges = _relabelled(_relabelled(links, roots, "u"), roots, "v")
+    found = components(edges)
+    if roots is None:
+        return written(found, "roots")
+    fresh = found.join(roots.select("node"), "node", "left_anti")
+    return written(_relabelled(roots, found, "root").unionByName(fresh), "roots")
 
 
 def _open_lists(rows: DataFrame, round_no: int) -> DataFrame:
-    """Rows of lists with more than one component, with the list's hub hash."""
-    rows = rows.withColumn("h", F.xxhash64("node", F.lit(round_no)))
+    """Rows of lists with more than one component, with the rank that chooses a hub.
+
+    The first hub of a list is the document with the fewest rarer tokens, which edits
+    have touched least; later ones are drawn by a hash.
+    """
+    draw = F.shiftrightunsigned(F.xxhash64("node", F.lit(round_no)), 33)
+    rank = F.shiftleft(F.col("place"), 31) + draw if round_no == 0 else draw
+    rows = rows.withColumn("h", rank)
     lists = rows.groupBy("list").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("h").alias("hub"))
     lists = lists.filter("lo < hi").select(F.col("list").alias("l"), "hub")
     return written(salted_join(rows, lists, [("list", "l")], "inner").drop("l"), "open-lists")
@@ -559,10 +612,9 @@ def _pairs_left(rows: DataFrame) -> tuple[int, int]:
     return int(got[0]), int(got[1])
 
 
-def _link(lists: DataFrame, texts: DataFrame, words: int, frequencies, percent: int) -> tuple[DataFrame | None, list[DataFrame]]:
-    """Roots of the nodes, and the links found on the way."""
+def _link(lists: DataFrame, texts: DataFrame, words: int, frequencies, percent: int) -> DataFrame | None:
+    """``(node, root)`` of the nodes that have links; none where no list is left open."""
     rows = lists.withColumn("comp", F.col("node"))
-    found: list[DataFrame] = []
     tested: DataFrame | None = None
     roots: DataFrame | None = None
     before: int | None = None
@@ -571,7 +623,8 @@ def _link(lists: DataFrame, texts: DataFrame, words: int, frequencies, percent:
         held, left = _pairs_left(rows)
         if not left:
             break
-        last = round_no > 0 and (left <= PAIRS_PER_POSTING * held or left > 0.9 * before or round_no == HUB_ROUNDS)
+        # small lists need no hub; hubs that join nothing more do not help
+        last = left <= PAIRS_PER_POSTING * held or (round_no > 0 and left > 0.9 * before) or round_no == HUB_ROUNDS
         before = left
         if last:
             pairs = _pairs(rows, rows, percent, ordered=True)
@@ -580,18 +633,12 @@ def _link(lists: DataFrame, texts: DataFrame, words: int, frequencies, percent:
         if tested is not None:
             pairs = pairs.join(tested, ["u", "v"], "left_anti")
         pairs = written(pairs, "pairs")
-        links = _verified(pairs, texts, words, frequencies, percent)
-        found.append(links)
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        every = found[0]
-        for more in found[1:]:
-            every = every.unionByName(more)
-        roots = written(components(every), "roots")
+        roots = _grown(roots, _verified(pairs, texts, words, frequencies, percent))
         if last:
             break
-        # components only grow, so the newest root of the node itself is its label
-        rows = _relabelled(rows.select("list", "node", "n", "place", F.col("node").alias("comp")), roots)
-    return roots, found
+        tested = pairs if tested is None else tested.unionByName(pairs)
+        rows = _relabelled(rows.select("list", "node", "n", "place", F.col("node").alias("comp")), roots, "comp")
+    return roots
 
 
 def near_duplicates(
@@ -621,7 +668,7 @@ def near_duplicates(
     frequencies = spark.sparkContext.broadcast(Frequencies(common, layout))
     lists = postings(docs, nodes, layout, words, frequencies, percent)
     texts = _node_texts(docs, nodes, lists, words)
-    roots, _ = _link(lists, texts, words, frequencies, percent)
+    roots = _link(lists, texts, words, frequencies, percent)
     named = nodes.select("sig", "node", "rep")
     if roots is None:
         named = named.withColumn("component_id", F.col("rep"))

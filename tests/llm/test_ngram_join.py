@@ -169,3 +169,16 @@ def test_components(spark, seed):
     touched = {x for a, b in links if a != b for x in (a, b)}
     found = components(spark.createDataFrame(links, "u long, v long"))
     assert sorted(map(tuple, found.collect())) == sorted((x, want[x]) for x in touched)
+
+
+def test_word_hashes(monkeypatch):
+    rng = random.Random(9)
+    words = sorted({"".join(rng.choice("abé😀#x") for _ in range(rng.randint(1, 9))) for _ in range(3_000)})
+    texts = [" \t".join(words), "\n" + "\x0b".join(words) + "  ", "x" * 200_000 + " " + "x" * 200_001, "", " \n "]
+    whole = [ngram_join.word_hashes(t.encode()) for t in texts]
+    assert [len(h) for h in whole] == [len(words), len(words), 2, 0, 0]
+    assert len(set(whole[0].tolist())) == len(words) and (whole[0] == whole[1]).all()
+    assert whole[2][0] != whole[2][1]
+    # cutting a long text into pieces changes nothing
+    monkeypatch.setattr(ngram_join, "_PIECE_BYTES", 64)
+    assert all((ngram_join.word_hashes(t.encode()) == h).all() for t, h in zip(texts, whole, strict=True))
