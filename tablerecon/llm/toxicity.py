@@ -147,6 +147,9 @@ _CORE = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*|[\"“”«»]|[.!?;:]")
 _SEEDS = {w: s for words, s in ((TARGETS, TARGET), (NEGATIONS, NEGATION), (REPORTS, REPORT), (THREATS, THREAT)) for w in words}
 
 
+_PLAIN_PART = ((PLAIN, 0.0),)
+
+
 class Reader:
     """Turns white-space parts of lower-cased text into symbols, remembering parts."""
 
@@ -173,7 +176,8 @@ class Reader:
                 out.append((END, 0.0))
             else:
                 out.append(self._word(piece))
-        return tuple(out)
+        # nearly all parts are one plain word, and share one value
+        return _PLAIN_PART if out == [(PLAIN, 0.0)] else tuple(out)
 
     def symbols(self, text: str) -> list[tuple[tuple[int, float], ...]]:
         """Per part its symbols; a line break is an end of its own."""
@@ -190,7 +194,6 @@ class Reader:
         return got
 
 
-_PLAIN_PART = ((PLAIN, 0.0),)
 _HOT = (INSULT, THREAT)
 
 
