@@ -41,6 +41,7 @@ STATED, OPEN, SIDE = 0, 1, 2  # inside an article; undecided; menus, adverts and
 class Block:
     text: str
     kind: int
+    article: bool = False  # inside <article>, not in <main> alone
 
 
 def _is_side(name: str, attrs: str) -> bool:
@@ -71,7 +72,7 @@ def blocks(page: str) -> list[Block]:
     out: list[Block] = []
     parts: list[str] = []
     stack: list[tuple[str, bool]] = []
-    side, main = 0, 0
+    side = main = article = 0
 
     def flush() -> None:
         if parts:
@@ -79,7 +80,7 @@ def blocks(page: str) -> list[Block]:
             parts.clear()
             text = " ".join((html.unescape(raw) if "&" in raw else raw).split())
             if text:
-                out.append(Block(text, SIDE if side else STATED if main else OPEN))
+                out.append(Block(text, SIDE if side else STATED if main else OPEN, article > 0))
 
     at = 0
     for mark in _MARK.finditer(page):
@@ -104,6 +105,7 @@ def blocks(page: str) -> list[Block]:
                     n, was_side = stack.pop()
                     side -= was_side
                     main -= n in MAIN
+                    article -= n == "article"
                     if n == name:
                         break
         elif not mark["attrs"].endswith("/") or not inline:
@@ -116,6 +118,7 @@ def blocks(page: str) -> list[Block]:
             stack.append((name, is_side))
             side += is_side
             main += name in MAIN
+            article += name == "article"
     parts.append(page[at:])
     flush()
     return out

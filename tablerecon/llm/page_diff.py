@@ -3,10 +3,11 @@
 Pages of one host are ordered by URL path; a page's mate is the neighbour in that
 order whose URL begins most like its own.  The lines of both are aligned by their
 longest common subsequence, and shared lines go: a site's template repeats, the
-article does not.  Markup is evidence that stands above this: menus, headers,
-footers, forms, adverts and reader comments always go, and lines inside a stated
-article stay even when a copy of the article is the neighbour.  Where a page states
-an article, only that is its main text.
+article does not.  Markup says where to look: menus, headers, footers, forms, adverts
+and reader comments always go, and where a page states an article, only lines inside
+it may be main text.  Shared lines go inside it too, unless the mate is a copy: a mate
+that shares most of an article's characters, or nearly all of what may be main text
+where no article is marked, takes nothing away.
 
 The order is a range partitioning of all pages, so a large host is spread over many
 tasks.  The first and last page of each range are also sent to the range next to it,
@@ -28,11 +29,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablerecon.llm.common import mapped, prepare, shuffle_partitions, text_column
-from tablerecon.llm.html_text import OPEN, SIDE, STATED, blocks, common_lines
+from tablerecon.llm.html_text import OPEN, STATED, blocks, common_lines
 
 PAGES_PER_RANGE = 2_000
 SAMPLED_PER_RANGE = 40
 
+# Per cent of the characters that may be main text; a mate that shares more is a copy.
+COPY_OF_ARTICLE = 50
+COPY_OF_PAGE = 90
+
 _URL = re.compile(r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//([^/?#]*)([^?#]*)(\?[^#]*)?")
 
 
@@ -73,16 +78,21 @@ class _Page:
     path: str
     hashes: list[int]
     kept: list[tuple[int, str]]  # index of the line, and its text
-    stated: bool
+    article: bool
 
 
 def _parse(page: str) -> tuple[list[int], list[tuple[int, str]], bool]:
-    """Hashes of all lines, the lines that may be main text, and whether the page states an article."""
+    """Hashes of all lines, the lines that may be main text, and whether an <article> holds some of them."""
     found = blocks(page)
-    stated = any(b.kind == STATED for b in found)
-    wanted = STATED if stated else OPEN
-    lines = [(i, b.text) for i, b in enumerate(found) if b.kind == wanted and b.kind != SIDE]
-    return [_line_hash(b.text) for b in found], lines, stated
+    wanted = STATED if any(b.kind == STATED for b in found) else OPEN
+    lines = [(i, b.text) for i, b in enumerate(found) if b.kind == wanted]
+    return [_line_hash(b.text) for b in found], lines, any(b.article and b.kind == wanted for b in found)
+
+
+def _is_copy(page: _Page, shared: list[bool]) -> bool:
+    most = COPY_OF_ARTICLE if page.article else COPY_OF_PAGE
+    both = sum(len(t) for i, t in page.kept if shared[i])
+    return 100 * both > most * sum(len(t) for _, t in page.kept)
 
 
 def _main_text(page: _Page, before: _Page | None, after: _Page | None) -> str:
@@ -91,7 +101,9 @@ def _main_text(page: _Page, before: _Page | None, after: _Page | None) -> str:
     if mates:
         mate = max(mates, key=lambda m: likeness(page.path, m.path))  # the earlier one of equals
         shared = common_lines(page.hashes, mate.hashes)
-    return "\n\n".join(t for i, t in page.kept if page.stated or shared is None or not shared[i])
+        if _is_copy(page, shared):
+            shared = None
+    return "\n\n".join(t for i, t in page.kept if shared is None or not shared[i])
 
 
 def _ranges(pages: DataFrame, count: int) -> tuple[list[str], dict[int, tuple[str, str]]]:
@@ -182,8 +194,8 @@ def extract_main_text(
             for batch in batches:
                 cols = [batch.column(c).to_pylist() for c in ("range", "halo", "page_id", "url", "lines")]
                 for r, halo, i, url, blob in zip(*cols, strict=True):
-                    hashes, kept, stated = json.loads(unpack(blob))
-                    yield r, _Page(halo, i, url, *place_of(url), hashes, kept, stated)
+                    hashes, kept, article = json.loads(unpack(blob))
+                    yield r, _Page(halo, i, url, *place_of(url), hashes, kept, article)
 
         def texts() -> Iterator[tuple[object, str | None, str]]:
             r = before = page = None

@@ -94,6 +94,23 @@ def test_stated_articles_stay_even_when_copied(make_pages):
     assert [r["text"] for r in got] == ["same text"] * 2
 
 
+@pytest.mark.parametrize("element", ["article", "main"])
+def test_notices_inside_stated_blocks_go(make_pages, element):
+    rows, want = [], {}
+    for i in range(6):
+        body = [f"Story {i} has line {k} of its own, which no other page holds." for k in range(1 + i % 3)]
+        notice = "<p>Read more of this by mail.</p>"
+        rows.append((i, f"http://h/{i}", f"<{element}>{notice}" + "".join(f"<p>{x}</p>" for x in body) + f"{notice}</{element}>"))
+        want[i] = "\n\n".join(body)
+    assert {r["page_id"]: r["text"] for r in extract_main_text(make_pages(rows)).collect()} == want
+
+
+def test_main_that_wraps_the_page_is_differenced(make_pages):
+    rows = [(i, url, f"<main>{page}</main>") for i, (url, page, _) in enumerate(site("m.example", 20, random.Random(4)))]
+    want = {i: text for i, (_, _, text) in enumerate(site("m.example", 20, random.Random(4)))}
+    assert {r["page_id"]: r["text"] for r in extract_main_text(make_pages(rows)).collect()} == want
+
+
 def test_awkward_rows(make_pages, spark):
     rows = [
         (1, None, "<p>a</p>"),
