@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import types as T
 from tablerecon.llm.html_text import OPEN, SIDE, STATED, blocks, common_lines
-from tablerecon.llm.page_diff import extract_main_text, likeness, order_key, place_of
+from tablerecon.llm.page_diff import _edges, _mark, _neighbours, _with, extract_main_text, likeness, order_key, place_of
 
 PAGE = T.StructType(
     [T.StructField("page_id", T.LongType()), T.StructField("url", T.StringType()), T.StructField("html", T.StringType())]
@@ -111,6 +111,56 @@ def test_main_that_wraps_the_page_is_differenced(make_pages):
     assert {r["page_id"]: r["text"] for r in extract_main_text(make_pages(rows)).collect()} == want
 
 
+def test_neighbours_equal_brute_force():
+    rng = random.Random(6)
+    for _ in range(300):
+        urls = [f"http://{rng.choice('gh')}/{rng.randrange(4)}" for _ in range(rng.randrange(25))]
+        row = sorted(_mark(u, i, f"{rng.randrange(3):016x}") for i, u in enumerate(urls))
+        want = [
+            next((x for x in row[:i][::-1] if x.host == m.host and x.url != m.url and x.same != m.same), None)
+            for i, m in enumerate(row)
+        ]
+        assert _neighbours(row) == want
+        # what a range passes on answers for all of it, put together from parts in any order
+        cut = rng.randrange(len(row) + 1)
+        early = _edges([*_edges(row[:cut:2]), *_edges(row[1:cut:2])])
+        assert len(early) <= 10
+        assert _neighbours(early + row[cut:])[len(early) :] == want[cut:]
+        held = []
+        for m in row:
+            held = _with(held, m)
+            assert len(held) <= 5
+
+
+@pytest.mark.parametrize("per_range", [3, 2_000])
+@pytest.mark.parametrize("copies", [1, 3, 40])
+def test_copies_are_no_mates(make_pages, monkeypatch, per_range, copies):
+    monkeypatch.setattr("tablerecon.llm.page_diff.PAGES_PER_RANGE", per_range)
+    rows = [p for host, n in (("h.example", 6), ("i.example", 5)) for p in site(host, n, random.Random(8))]
+    # some pages stand under a second URL as well, and pages stand there several times
+    rows += [(f"{url}?utm_source=feed", page, want) for url, page, want in rows[1::2]]
+    rows = [r for i, r in enumerate(rows) for _ in range(copies if i % 3 else 1)]
+    pages = make_pages([(i, url, page) for i, (url, page, _) in enumerate(rows)], 4)
+    got = {r["page_id"]: r["text"] for r in extract_main_text(pages).collect()}
+    assert got == {i: want for i, (_, _, want) in enumerate(rows)}
+
+
+def test_a_mate_with_nearly_all_lines_gives_way(make_pages):
+    story = [f"A long line of the story with its number {i} and some more words." for i in range(20)]
+    page = lambda *x: "".join(f"<p>{t}</p>" for t in ("Site", *x, "The end"))
+    rows = [
+        (1, "http://h/a/1", page(*story, "seen 1 time")),
+        (2, "http://h/a/1?x", page(*story, "seen 2 times")),
+        (3, "http://h/b", page("Something else.")),
+        (4, "http://two/a", page(*story, "seen 1 time")),
+        (5, "http://two/a?x", page(*story, "seen 2 times")),
+    ]
+    got = {r["page_id"]: r["text"].split("\n\n") for r in extract_main_text(make_pages(rows)).collect()}
+    assert got[2] == [*story, "seen 2 times"] and got[3] == ["Something else."]
+    # no other page to tell the template from the story
+    assert got[4] == ["Site", *story, "seen 1 time", "The end"] and got[5][1:-2] == story
+
+
 def test_awkward_rows(make_pages, spark):
     rows = [
         (1, None, "<p>a</p>"),
