@@ -4,7 +4,9 @@ A template's rare words show where it may stand in a text; the stretch around su
 word is aligned with the template.  Words that occur once in both are anchors; the
 longest increasing run of anchors is kept; the gaps between anchors are aligned in
 the same way, and a gap without anchors matches word by word from both of its ends.
-Coverage is the share of the template's words that were matched.
+Coverage is the share of the template's words that were matched.  Words that tell a
+license from its siblings (name, version, NC) must be matched besides, in a row and
+without a word between them, since a notice of a sibling covers nearly all the rest.
 """
 
 from __future__ import annotations
@@ -50,6 +52,18 @@ TEMPLATES: dict[str, str] = {
     "CC-BY-NC-4.0 line": "Licensed under CC BY-NC 4.0.",
 }
 
+# What must stand in a match whatever its coverage: CC BY 4.0, GPL version 2, Lesser and
+# Affero GPL, Apache 1.1 and the like differ from the templates only here.
+REQUIRED: dict[str, tuple[str, ...]] = {
+    "Apache-2.0": ("Apache License, Version 2.0",),
+    "GPL-3.0": ("GNU General Public License", "version 3"),
+    "MPL-2.0": ("Mozilla Public License, v. 2.0",),
+    "Apache-2.0 line": ("Apache License, Version 2.0",),
+    "MIT line": ("the MIT License",),
+    "GPL-3.0 line": ("GNU General Public License, version 3",),
+    "CC-BY-NC-4.0 line": ("CC BY-NC 4.0",),
+}
+
 _WORD = re.compile(r"[^\W_]+")
 
 
@@ -105,6 +119,13 @@ def _increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out[::-1]
 
 
+def _place(template: list[str], row: list[str]) -> tuple[int, int]:
+    for a in range(len(template) - len(row) + 1):
+        if template[a : a + len(row)] == row:
+            return a, a + len(row)
+    raise ValueError(f"required words {' '.join(row)!r} do not stand in the template")
+
+
 @dataclass(frozen=True)
 class Match:
     license: str
@@ -114,9 +135,13 @@ class Match:
 
 
 class Scanner:
-    def __init__(self, templates: dict[str, str], min_coverage: float) -> None:
+    def __init__(
+        self, templates: dict[str, str], min_coverage: float, required: dict[str, tuple[str, ...]] = REQUIRED
+    ) -> None:
         self.least = min_coverage
         self.templates = {name: words_of(t) for name, t in templates.items()}
+        # places of the required words in the template, begin and end of each row
+        self.required = {name: [_place(t, words_of(r)) for r in required.get(name, ())] for name, t in self.templates.items()}
         often = Counter(w for t in self.templates.values() for w in set(t))
         # words that occur once in a template, the rarest and longest first; enough of them
         # that a text with the asked coverage cannot lack them all
@@ -148,12 +173,18 @@ class Scanner:
                 lo = max(done, i - k - slack)
                 pairs = patience(words[lo : i - k + size + slack], template)
                 coverage = len(pairs) / size
-                if coverage >= self.least:
+                if coverage >= self.least and self._has_required(name, pairs):
                     match = Match(name, coverage, lo + pairs[0][0], lo + pairs[-1][0] + 1)
                     found.append(match)
                     done = match.end
         return sorted(found, key=lambda m: (m.start, m.license))
 
+    def _has_required(self, name: str, pairs: list[tuple[int, int]]) -> bool:
+        at = {j: i for i, j in pairs}
+        return all(
+            a in at and all(at.get(j) == at[a] + j - a for j in range(a, b)) for a, b in self.required[name]
+        )
+
 
 def scan_licenses(
     docs: DataFrame,
@@ -161,17 +192,19 @@ def scan_licenses(
     text_col: str = "text",
     templates: dict[str, str] = TEMPLATES,
     min_coverage: float = MIN_COVERAGE,
+    required: dict[str, tuple[str, ...]] = REQUIRED,
 ) -> DataFrame:
     """``(doc_id, matches)``, one row per input row; matches are ``(license, coverage, start, end)``.
 
     Places count words (runs of letters and digits).  A null or empty text matches
-    nothing; null and repeated ids keep their rows; an empty table gives an empty result;
+    nothing.  ``required`` lists words by template that a match must hold in a row, for
+    templates that are close to other licenses; null and repeated ids keep their rows; an empty table gives an empty result;
     other columns are ignored.  A notice that stands twice matches twice.
     """
     kind = docs.schema[id_col].dataType.simpleString()
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scanner = Scanner(templates, min_coverage)
+        scanner = Scanner(templates, min_coverage, required)
         entry = pa.struct(
             [("license", pa.string()), ("coverage", pa.float64()), ("start", pa.int64()), ("end", pa.int64())]
         )

@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from tablerecon.llm.licenses import MIN_COVERAGE, TEMPLATES, Scanner, patience, scan_licenses, words_of
 
 
@@ -49,6 +50,43 @@ def test_notices_that_repeat():
     assert [m.license for m in found] == ["MIT line"] * 6
 
 
+@pytest.mark.parametrize(
+    "sibling",
+    [
+        "Licensed under CC BY 4.0.",
+        "Licensed under CC BY-SA 4.0.",
+        "Licensed under CC BY-NC-SA 4.0.",
+        "Licensed under CC BY-NC-ND 4.0.",
+        "Licensed under CC BY-NC 3.0.",
+        "Released under the BSD License.",
+        "Released under the ISC License.",
+        "This work is licensed under the GNU General Public License, version 2.",
+        "This work is licensed under the GNU Lesser General Public License, version 3.",
+        "This work is licensed under the GNU Affero General Public License, version 3.",
+        "Licensed under the Apache License, Version 1.1.",
+        TEMPLATES["Apache-2.0"].replace("2.0", "1.1"),
+        TEMPLATES["GPL-3.0"].replace("version 3", "version 2"),
+        " ".join(TEMPLATES["GPL-3.0"].split()).replace("GNU General", "GNU Lesser General"),
+        TEMPLATES["MPL-2.0"].replace("2.0", "1.1"),
+    ],
+)
+def test_sibling_licenses_are_not_reported(sibling):
+    scanner = Scanner(TEMPLATES, MIN_COVERAGE)
+    assert scanner.scan(f"some words before\n{sibling}\nand after it") == []
+    # nor do they hide the notice next to them
+    for name, line in TEMPLATES.items():
+        if name.endswith("line"):
+            for text in (f"{sibling} {line}", f"{line} {sibling}"):
+                found = scanner.scan(text)
+                assert {m.license.removesuffix(" line") for m in found} == {name.removesuffix(" line")}
+                assert [words_of(text)[m.start : m.end] for m in found if m.license == name] == [words_of(line)]
+
+
+def test_required_words_stand_in_the_template():
+    with pytest.raises(ValueError, match="do not stand"):
+        Scanner({"x": "some words"}, MIN_COVERAGE, {"x": ("other words",)})
+
+
 def test_rows(awkward, clashing, make_docs, empty):
     docs = awkward.unionByName(make_docs([(20, f"text\n{TEMPLATES['ISC']}"), (21, "license to nothing at all")]))
     for df in (docs, clashing(docs)):
