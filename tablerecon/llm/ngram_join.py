@@ -15,7 +15,9 @@ frequency, and differ in how they order tokens of one power.
    on the whole sets.  First every list compares one hub with the rest, so that large
    groups of near copies fall into one component in a few rounds without listing
    their pairs.  Then all pairs of a list that still lie in different components are
-   compared.  Pairs inside a component cannot change the result and are not formed.
+   compared.  Pairs inside a component cannot change the components and are not formed.
+5. ``class_links`` counts the links of all sets, also those that step 4 passes over:
+   the sets of a component meet block by block.
 """
 
 from __future__ import annotations
@@ -40,6 +42,9 @@ BUFFER_TOKENS = 4_000_000  # tokens that a task holds before it hands them on
 MAX_COMMON = 500_000  # bound of the broadcast frequency table
 RARE = 8  # tokens of up to so many documents are never "common"
 HUB_ROUNDS = 12
+BLOCK_SETS = 512  # sets that are compared at once with as many others
+BLOCK_TOKENS = 1_000_000
+TOKENS_AT_ONCE = 4_096
 PAIRS_PER_POSTING = 4  # rounds of hubs go on while more pairs than this are left
 
 # Fixed odd multipliers: of the words of a shingle, of the further orders, of the mixer.
@@ -658,8 +663,22 @@ def near_duplicates(
     Null ids count as larger than all others; repeated rows keep their rows.  An empty
     table gives an empty result; other columns are ignored.
     """
-    spark = prepare(docs.sparkSession)
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    rows, named, _, _ = _classes(docs, words, percent)
+    out = salted_join(rows, named.select("s", "class_id", "component_id"), [("sig", "s")], "left")
+    empty = F.col("n") == 0
+    return out.select(
+        "doc_id",
+        F.col("n").alias("n_shingles"),
+        F.when(empty, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
+        F.when(empty, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
+    )
+
+
+def _classes(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame | None, DataFrame]:
+    """``(doc_id, n, sig, node_key)`` per row, ``(s, node, class_id, component_id)`` per set, the
+    roots of linked sets, and the texts of the sets that may have links."""
+    spark = prepare(docs.sparkSession)
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     layout = Layout(int(size) // 6, shuffle_partitions(spark))
     rows, common = document_sets(docs, layout, words)
@@ -677,14 +696,141 @@ def near_duplicates(
         named = written(named.join(of, F.col("node") == F.col("r"), "left").withColumn("root", F.coalesce("root", "node")).drop("r"), "rooted")
         least = named.groupBy("root").agg(F.min("rep").alias("component_id")).withColumnRenamed("root", "g")
         named = salted_join(named, least, [("root", "g")], "inner")
-    named = written(named.select(F.col("sig").alias("s"), F.col("rep").alias("class_id"), "component_id"), "classes")
-    out = salted_join(rows, named, [("sig", "s")], "left")
-    empty = F.col("n") == 0
-    return out.select(
-        "doc_id",
-        F.col("n").alias("n_shingles"),
-        F.when(empty, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
-        F.when(empty, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
+    named = written(named.select(F.col("sig").alias("s"), "node", F.col("rep").alias("class_id"), "component_id"), "classes")
+    return rows, named, roots, texts
+
+
+def _linked_block(left: list[dict], right: list[dict] | None, shingle: Shingler, percent: int) -> Iterator[tuple[int, int, int]]:
+    """``(node, linked sets, documents of them)`` from all pairs of two blocks, or within one."""
+    one = [shingle(x["text"] or "") for x in left]
+    two = one if right is None else [shingle(x["text"] or "") for x in right]
+    known, rows, cols = [], [], []
+    for sets in (one, two):
+        tokens, at = np.unique(np.concatenate(sets), return_inverse=True)
+        known.append(tokens)
+        cols.append(at)
+        rows.append(np.repeat(np.arange(len(sets)), [len(x) for x in sets]))
+    shared, ia, ib = np.intersect1d(*known, assume_unique=True, return_indices=True)
+    places = []
+    for k, i in enumerate((ia, ib)):
+        place = np.full(len(known[k]), -1, np.int64)
+        place[i] = np.arange(len(shared))
+        at = place[cols[k]]
+        order = np.argsort(at, kind="stable")
+        order = order[np.searchsorted(at[order], 0) :]
+        places.append((at[order], rows[k][order]))
+    both = np.zeros((len(one), len(two)), np.int64)
+    for lo in range(0, len(shared), TOKENS_AT_ONCE):  # so many shared tokens at once
+        grids = []
+        for (at, row), n in zip(places, (len(one), len(two)), strict=True):
+            a, b = np.searchsorted(at, [lo, lo + TOKENS_AT_ONCE])
+            grid = np.zeros((n, min(TOKENS_AT_ONCE, len(shared) - lo)), np.float32)
+            grid[row[a:b], at[a:b] - lo] = 1
+            grids.append(grid)
+        both += (grids[0] @ grids[1].T).astype(np.int64)  # whole numbers, exact
+    n, m = np.array([len(x) for x in one]), np.array([len(x) for x in two])
+    linked = 100 * both >= percent * (n[:, None] + m[None, :] - both)
+    if right is None:
+        np.fill_diagonal(linked, False)
+    sides = [(left, linked, left if right is None else right)]
+    if right is not None:
+        sides.append((right, linked.T, left))
+    for own, grid, others in sides:
+        sets, found = grid.sum(1).tolist(), (grid @ np.array([x["size"] for x in others], np.int64)).tolist()
+        yield from ((x["node"], a, b) for x, a, b in zip(own, sets, found, strict=True) if a)
+
+
+def _link_counts(members: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """``(node, n_linked, n_links)`` of ``(node, root, n, size)``: every pair of a component, in blocks.
+
+    A component's sets are dealt into blocks of bounded size by a hash, apart by powers
+    of the size ratio that links allow, so that only blocks of the same or the next power
+    meet.  A row is a pair of blocks, never a pair of sets.
+    """
+    # a little above the ratio, so that rounding never puts linked sets two powers apart
+    power = F.floor(F.log("n") / F.lit(math.log(100 / percent * 1.001))).cast("int")
+    members = members.withColumn("power", power)
+    tally = members.groupBy("root", "power").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("t"))
+    parts = F.ceil(F.greatest(F.col("c") / BLOCK_SETS, F.col("t") / BLOCK_TOKENS)).cast("int")
+    tally = written(tally.select("root", "power", parts.alias("parts")), "block-tally")
+    of = tally.select(F.col("root").alias("r"), F.col("power").alias("p"), "parts")
+    dealt = salted_join(members, of, [("root", "r"), ("power", "p")], "inner")
+    dealt = dealt.select("node", "size", "root", "power", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part"))
+    dealt = salted_join(dealt, texts.select(F.col("node").alias("t"), "text"), [("node", "t")], "inner")
+    entry = F.struct("node", "size", "text")
+    blocks = written(dealt.groupBy("root", "power", "part").agg(F.collect_list(entry).alias("sets")), "blocks")
+    # partners of a block: itself, later ones of its power, all of the next power
+    up = tally.select(F.col("root").alias("r"), (F.col("power") - 1).alias("p"), F.col("parts").alias("more"))
+    ids = tally.join(up, (F.col("root") == F.col("r")) & (F.col("power") == F.col("p")), "left").select("root", "power", "parts", "more")
+    ids = ids.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    none = F.array().cast("array<int>")
+    later = F.when(F.col("part") + 1 < F.col("parts"), F.sequence(F.col("part") + 1, F.col("parts") - 1)).otherwise(none)
+    above = F.when(F.col("more") > 0, F.sequence(F.lit(0), F.col("more") - 1)).otherwise(none)
+    with_power = lambda step: lambda x: F.struct((F.col("power") + step).alias("power"), x.alias("part"))
+    partner = F.explode(F.concat(F.transform(later, with_power(0)), F.transform(above, with_power(1))))
+    pairs = ids.select("root", "power", "part", partner.alias("o")).select(
+        "root", "power", "part", F.col("o.power").alias("power2"), F.col("o.part").alias("part2")
+    )
+    key = lambda n: [F.col(c).alias(f"{c}_{n}") for c in ("root", "power", "part")]
+    right = blocks.select(*key("b"), F.col("sets").alias("right"))
+    left = blocks.select(*key("a"), F.col("sets").alias("left"))
+    pairs = salted_join(pairs, right, [("root", "root_b"), ("power2", "power_b"), ("part2", "part_b")], "inner")
+    pairs = salted_join(pairs, left, [("root", "root_a"), ("power", "power_a"), ("part", "part_a")], "inner").select("left", "right")
+    alone = blocks.filter(F.size("sets") > 1).select(F.col("sets").alias("left"), F.lit(None).cast(blocks.schema["sets"].dataType).alias("right"))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingle = Shingler(words)
+        held: dict[int, list[int]] = {}
+
+        def out() -> pa.RecordBatch:
+            rows = [(k, *v) for k, v in held.items()]
+            cols = [list(c) for c in zip(*rows, strict=True)] or [[], [], []]
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["node", "n_linked", "n_links"])
+
+        for batch in batches:
+            for i in range(batch.num_rows):
+                left, right = (batch.column(c)[i].as_py() for c in ("left", "right"))
+                for node, a, b in _linked_block(left, right, shingle, percent):
+                    v = held.setdefault(node, [0, 0])
+                    v[0] += a
+                    v[1] += b
+            if len(held) > 200_000:
+                yield out()
+                held.clear()
+        yield out()
+
+    counted = mapped(alone.unionByName(pairs), count, "node bigint, n_linked bigint, n_links bigint")
+    return written(counted.groupBy("node").agg(F.sum("n_linked").alias("n_linked"), F.sum("n_links").alias("n_links")), "link-counts")
+
+
+def class_links(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = 75
+) -> DataFrame:
+    """``(class_id, class_size, component_id, n_linked_classes, n_links)``, one row per distinct set.
+
+    The join that ``near_duplicates`` follows, counted: ``n_linked_classes`` other classes
+    link with the class, and ``n_links`` documents in them with each of its documents.
+    Documents of one class link with each other and are not counted.  No link is left
+    out, also where hubs had joined the component before.  Texts without words have no
+    class; null ids and repeated rows count as rows.
+    """
+    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    rows, named, roots, texts = _classes(docs, words, percent)
+    sizes = rows.filter("n > 0").groupBy("sig").agg(F.count(F.lit(1)).alias("size"), F.max("n").alias("n"))
+    sets = written(named.join(sizes, F.col("s") == F.col("sig")).drop("s", "sig"), "class-sizes")
+    zero = F.lit(0).cast("long")
+    if roots is None:
+        found = sets.withColumns({"n_linked": zero, "n_links": zero})
+    else:
+        members = roots.join(sets.select(F.col("node").alias("x"), "n", "size"), F.col("node") == F.col("x")).drop("x")
+        counts = _link_counts(members, texts, words, percent).withColumnRenamed("node", "y")
+        found = sets.join(counts, F.col("node") == F.col("y"), "left")
+    return found.select(
+        "class_id",
+        F.col("size").alias("class_size"),
+        "component_id",
+        F.coalesce("n_linked", zero).alias("n_linked_classes"),
+        F.coalesce("n_links", zero).alias("n_links"),
     )
 
 

@@ -145,6 +145,11 @@ def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+@_query
+def op2_ngram_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.class_links(_table(spark, sf_dir, "documents"))
+
+
 @_query
 def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(_table(spark, sf_dir, "documents"))

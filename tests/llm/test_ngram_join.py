@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from tablerecon.llm import ngram_join
 from tablerecon.llm.components import components
-from tablerecon.llm.ngram_join import Layout, near_duplicates, one_per_component, prefix_length
+from tablerecon.llm.ngram_join import Layout, class_links, near_duplicates, one_per_component, prefix_length
 
 
 def shingles(text, width=5):
@@ -115,6 +115,79 @@ def test_large_group_without_listing_its_pairs(make_docs, monkeypatch):
     assert sum(formed) < 400 * 399 / 2 / 10
 
 
+def brute_links(rows, percent=75):
+    sets = [shingles(t) for _, t in rows]
+    component = {sets[i]: c for i, (_, _, c) in enumerate(in_row_order(rows, percent)) if sets[i]}
+    size = defaultdict(list)
+    for (d, _), s in zip(rows, sets, strict=True):
+        if s:
+            size[s].append(d)
+    out = []
+    for s, ids in size.items():
+        linked = [len(size[o]) for o in size if o != s and 100 * len(s & o) >= percent * len(s | o)]
+        out.append((min((d for d in ids if d is not None), default=None), len(ids), component[s], len(linked), sum(linked)))
+    return sorted(out, key=repr)
+
+
+def in_row_order(rows, percent):
+    by = defaultdict(list)
+    for r in brute(rows, percent):
+        by[r[0]].append(r)
+    return [by[d].pop() if len(by[d]) > 1 else by[d][0] for d, _ in rows]
+
+
+def got_links(df, **options):
+    return sorted(map(tuple, class_links(df, **options).collect()), key=repr)
+
+
+@pytest.mark.parametrize("per_block", [2, 512])
+def test_links_equal_brute_force(make_docs, monkeypatch, per_block):
+    monkeypatch.setattr(ngram_join, "BLOCK_SETS", per_block)
+    rows = list(enumerate(t for i, t in enumerate(texts(11, 15, 12, length=150, edits=2)) for _ in range(1 + i % 3)))
+    want = brute_links(rows)
+    assert any(n > 1 for _, _, _, n, _ in want) and got_links(make_docs(rows, 4)) == want
+
+
+def test_linked_block(monkeypatch):
+    monkeypatch.setattr(ngram_join, "TOKENS_AT_ONCE", 16)
+    shingle = ngram_join.Shingler()
+    found = sorted(set(texts(13, 6, 12, length=150, edits=2)))
+    rows = [{"node": i, "size": 1 + i % 3, "text": t} for i, t in enumerate(found)]
+    sets = [set(shingle(t).tolist()) for t in found]
+
+    def want(own, others):
+        out = []
+        for x in own:
+            a = sets[x["node"]]
+            near = [y["size"] for y in others if x is not y and 100 * len(a & sets[y["node"]]) >= 75 * len(a | sets[y["node"]])]
+            if near:
+                out.append((x["node"], len(near), sum(near)))
+        return out
+
+    assert list(ngram_join._linked_block(rows, None, shingle, 75)) == want(rows, rows) != []
+    one, two = rows[::2], rows[1::2]
+    assert list(ngram_join._linked_block(one, two, shingle, 75)) == want(one, two) + want(two, one)
+
+
+def test_links_inside_a_component_are_counted(make_docs):
+    rng = random.Random(12)
+    base = [f"w{i}" for i in range(80)]
+    rows = []
+    for i in range(300):
+        words = list(base)
+        words[rng.randrange(80)] = f"own{i}"
+        rows.append((i, " ".join(words)))
+    want = brute_links(rows)
+    assert sum(n for _, _, _, _, n in want) > 300 * 100
+    assert got_links(make_docs(rows, 4)) == want
+
+
+def test_links_of_awkward_rows(make_docs, empty):
+    rows = [(1, None), (2, " "), (3, "a b c"), (3, "a b c"), (4, "a b c d")]
+    assert got_links(make_docs(rows)) == [(3, 2, 3, 0, 0), (4, 1, 4, 0, 0)]
+    assert class_links(empty).collect() == []
+
+
 def test_common_tokens_come_last(make_docs, monkeypatch):
     monkeypatch.setattr(ngram_join, "RARE", 1)
     monkeypatch.setattr(ngram_join, "MAX_COMMON", 50)
