@@ -8,6 +8,7 @@ changed, missing or extra row changes it.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -30,10 +31,11 @@ def _piece(hashed: Column, i: int) -> Column:
     return F.conv(F.substring(hashed, 1 + i * PIECE_DIGITS, PIECE_DIGITS), 16, 10).cast("long")
 
 
-def bucket_sums(hashes: DataFrame, hash_col: str = "row_hash") -> DataFrame:
-    """``(bucket, rows, hi0, lo0 ... hi3, lo3)``, at most 256 rows."""
+def bucket_sums(hashes: DataFrame, hash_col: str = "row_hash", by: Sequence[str] = ()) -> DataFrame:
+    """``(bucket, rows, hi0, lo0 ... hi3, lo3)``, at most 256 rows; ``by`` adds columns to the groups."""
     h = F.col(hash_col)
     pieces = hashes.select(
+        *by,
         F.substring(h, 1, BUCKET_DIGITS).alias("bucket"),
         *[_piece(h, i).alias(f"p{i}") for i in range(PIECES)],
     )
@@ -41,7 +43,7 @@ def bucket_sums(hashes: DataFrame, hash_col: str = "row_hash") -> DataFrame:
     for i in range(PIECES):
         sums.append(F.sum(F.shiftright(f"p{i}", HALF_BITS)).alias(f"hi{i}"))
         sums.append(F.sum(F.col(f"p{i}").bitwiseAND(F.lit((1 << HALF_BITS) - 1))).alias(f"lo{i}"))
-    return pieces.groupBy("bucket").agg(F.count(F.lit(1)).alias("rows"), *sums)
+    return pieces.groupBy(*by, "bucket").agg(F.count(F.lit(1)).alias("rows"), *sums)
 
 
 def shift_sums(base: DataFrame, added: DataFrame, removed: DataFrame) -> DataFrame:
@@ -94,6 +96,13 @@ def digest_of(
     return _lines(sums).agg(*out)
 
 
+def digest_text(sums: Mapping[str, Sequence[int]], meta: Mapping[str, object]) -> str:
+    """The digest of ``digest_of`` from at most 256 bucket sums in memory."""
+    sha = lambda text: hashlib.sha256(text.encode()).hexdigest()
+    lines = [f"{b}:{sha(':'.join([b, *map(str, s)]))}" for b, s in sums.items()]
+    return sha(_header(meta) + "\n" + "\n".join(sorted(lines)))
+
+
 def table_digest(
     df: DataFrame,
     columns: Sequence[str] | None = None,

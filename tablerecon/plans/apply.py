@@ -37,7 +37,7 @@ def _merged(
     return F.when(new.isNull(), rest).otherwise(value)
 
 
-def _next_columns(
+def next_columns(
     changes: DataFrame,
     keys: Sequence[str],
     snapshot: T.StructType,
@@ -89,7 +89,7 @@ def new_rows(
     """
     touched = changes.filter(F.col("action").isin("create", "update"))
     return touched.select(
-        *_next_columns(changes, key_names(keys), snapshot, now, strategies, null_desired)
+        *next_columns(changes, key_names(keys), snapshot, now, strategies, null_desired)
     )
 
 
@@ -146,7 +146,7 @@ def snapshot_of(
     """
     now = moment(now)
     return changes.filter(F.col("action") != "delete").select(
-        *_next_columns(changes, key_names(keys), snapshot, now, strategies, null_desired)
+        *next_columns(changes, key_names(keys), snapshot, now, strategies, null_desired)
     )
 
 

@@ -36,16 +36,22 @@ def _changed(old: DataFrame, new: DataFrame, c: str) -> Column:
 
 
 def drift(
-    old: DataFrame, new: DataFrame, keys: str | Sequence[str], exclude: Sequence[str] = TIMESTAMPS
+    old: DataFrame,
+    new: DataFrame,
+    keys: str | Sequence[str],
+    exclude: Sequence[str] = TIMESTAMPS,
+    whole_prior: bool = False,
 ) -> DataFrame:
     """``(<keys>, action, prior, planned, changed_fields)`` of changed rows only.
 
     A row gone from ``new`` is a delete, a differing row an update; a row that
-    is not in ``old`` is ignored.
+    is not in ``old`` is ignored.  ``whole_prior`` puts excluded columns of ``old``
+    into ``prior`` as well.
     """
     names = key_names(keys)
     old_rest = [c for c in old.columns if c not in names and c not in exclude]
     new_rest = [c for c in new.columns if c not in names and c not in exclude]
+    shown = [c for c in old.columns if c not in names] if whole_prior else old_rest
     union = list(dict.fromkeys([*old_rest, *new_rest]))
     compared = _joined(old, new, names, new_rest, "left").withColumns(
         {f"__f_{c}": _changed(old, new, c) for c in union}
@@ -57,7 +63,7 @@ def drift(
     return hit.select(
         *names,
         F.when(gone, "delete").otherwise("update").alias("action"),
-        _struct({c: F.col(c) for c in old_rest or names}).alias("prior"),
+        _struct({c: F.col(c) for c in shown or names}).alias("prior"),
         F.when(~gone, _struct({c: F.col(f"__n_{c}") for c in new_rest} or {k: F.col(k) for k in names})).alias(
             "planned"
         ),

@@ -61,14 +61,13 @@ def apply_batch(
 ) -> bool:
     """Upsert one micro-batch into the store; False if it was done before.
 
-    A key missing from the batch is not a delete.  The batch id is recorded
-    with the version, so a replayed batch is skipped.
+    A key missing from the batch is not a delete.  Of each key and column the value of the
+    highest ``order`` counts, whatever batches the rows come in; see ``TableStore.upsert``.
+    The batch's number is recorded with the version, so a replayed batch is skipped.
     """
-    if not store.versions().filter(F.col("batch") == batch_id).isEmpty():
+    if store.done(batch_id):
         return False
-    desired = latest_per_key(batch, store.keys, order).drop(order)
-    made = store.plan(desired, deletes=False, check_keys=False)
-    store.apply(made, now=now, batch=batch_id)
+    store.upsert(batch, order, now=now, batch=batch_id)
     return True
 
 

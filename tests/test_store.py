@@ -120,15 +120,16 @@ def test_variables_and_ignored_columns(spark):
 def test_a_small_apply_writes_the_changed_parts_only(spark):
     s = TableStore(spark, scratch_path(spark, "test-store"), "k", parts=8)
     s.create(table(spark, *[(f"k{i}", i, {}) for i in range(200)]), T0)
-    before = {p["part"]: p["path"] for p in s.require().parts}
+    before = {p["part"]: p for p in s.require().parts}
     assert len(before) == 8
     after = s.apply(s.plan(table(spark, ("k7", -1, {}), ("new", 1, {})), deletes=False), T1)
-    moved = {p["part"] for p in after.parts if before[p["part"]] != p["path"]}
+    moved = {p["part"] for p in after.parts if before[p["part"]] != p}
     assert 1 <= len(moved) <= 2 and after.digest == full_digest(s) and after.rows == 201
+    assert moved == set(after.put)
     assert {r["k"]: r["v"] for r in s.read().collect()} == {**{f"k{i}": i for i in range(200)}, "k7": -1, "new": 1}
     version, changed = s.refresh(s.read().drop(*TIMESTAMPS).filter("k <> 'k9'"), T1)
     assert changed and version.rows == 200 and version.digest == full_digest(s)
-    assert sum(p["path"] != q["path"] for p, q in zip(after.parts, version.parts, strict=True)) == 1
+    assert sum(p != q for p, q in zip(after.parts, version.parts, strict=True)) == 1
 
 
 def test_null_keys_are_refused_at_once(spark):
