@@ -18,8 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablerecon.functions.collections import any_of
-from tablerecon.functions.nested import JSON_DEPTH, is_object
-from tablerecon.functions.text import let
+from tablerecon.functions.nested import json_differs
 
 STRATEGIES = ("partial", "exact", "set")
 
@@ -67,39 +66,11 @@ def _null_or(desired: Column, prior: Column, inner: Column) -> Column:
     return F.when(either, desired.isNull() != prior.isNull()).otherwise(inner)
 
 
-def _json_text(col: Column) -> Column:
-    # A JSON null and a missing key are the same value here.
-    return F.coalesce(F.to_json(col), F.lit("null"))
-
-
-def _variant_partial(desired: Column, prior: Column, depth: int) -> Column:
-    def inside(have: Column, want: Column) -> Column:
-        return F.exists(
-            F.map_entries(want.cast("map<string,variant>")),
-            lambda e: _variant_partial(e["value"], F.try_element_at(have, e["key"]), depth - 1),
-        )
-
-    def look(p: Column) -> Column:
-        d, q = p["d"], p["p"]
-        same = _json_text(d) == _json_text(q)
-        if depth == 0:
-            # Too deep to look into: say so loudly.
-            deeper = F.raise_error(F.lit("JSON objects nest deeper than json_depth")).cast("boolean")
-        else:
-            # the stored object is read once per level, not once per key
-            deeper = let(q.cast("map<string,variant>"), lambda have: inside(have, d))
-        return F.when(same, F.lit(False)).when(is_object(d) & is_object(q), deeper).otherwise(F.lit(True))
-
-    return let(F.struct(desired.alias("d"), prior.alias("p")), look)
-
-
-def _partial(
-    desired: Column, prior: Column, dtype: T.DataType, prior_type: T.DataType, depth: int
-) -> Column:
+def _partial(desired: Column, prior: Column, dtype: T.DataType, prior_type: T.DataType) -> Column:
     if isinstance(dtype, T.StructType) and isinstance(prior_type, T.StructType):
         have = {f.name: f.dataType for f in prior_type.fields}
         flags = [
-            _partial(desired[f.name], prior[f.name], f.dataType, have[f.name], depth)
+            _partial(desired[f.name], prior[f.name], f.dataType, have[f.name])
             if f.name in have
             else desired[f.name].isNotNull()
             for f in dtype.fields
@@ -113,12 +84,11 @@ def _partial(
                 F.try_element_at(prior, e["key"]),
                 dtype.valueType,
                 prior_type.valueType,
-                depth,
             ),
         )
         return _null_or(desired, prior, inner)
     if isinstance(dtype, T.VariantType) and isinstance(prior_type, T.VariantType):
-        return _variant_partial(desired, prior, depth)
+        return json_differs(desired, prior)
     return _strict(desired, prior, dtype, prior_type)
 
 
@@ -128,7 +98,6 @@ def differs(
     dtype: T.DataType,
     prior_type: T.DataType | None = None,
     strategy: str = "partial",
-    json_depth: int = JSON_DEPTH,
 ) -> Column:
     """Boolean column, never null: does *desired* differ from *prior*?"""
     prior_type = prior_type or dtype
@@ -141,5 +110,5 @@ def differs(
             return ~left.eqNullSafe(right)
         return _strict(desired, prior, dtype, prior_type)
     if strategy == "partial":
-        return _partial(desired, prior, dtype, prior_type, json_depth)
+        return _partial(desired, prior, dtype, prior_type)
     raise ValueError(f"unknown strategy {strategy!r}; use one of {STRATEGIES}")

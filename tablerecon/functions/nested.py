@@ -1,8 +1,8 @@
 """Nested values by name: conforming types, and laying a partial value over a stored one.
 
-Structs go by field name, maps and JSON objects by key, at every level.  An expression
-must be as deep as the JSON it looks into: ``JSON_DEPTH`` levels unless said otherwise,
-and objects that meet below that are an error, never a guess.
+Structs go by field name, maps and JSON objects by key, at every level.  JSON is walked level
+by level inside one expression, which loops as often as the document at hand is deep: the
+expression is the same for any depth, and no row leaves its task.
 """
 
 from __future__ import annotations
@@ -13,9 +13,10 @@ from pyspark.sql import types as T
 
 from tablerecon.functions.text import let
 
-JSON_DEPTH = 16
-
 _OBJECT = "map<string,variant>"
+_PAIRS = "array<struct<d:variant,p:variant>>"
+_ITEM = "struct<parent:int,key:string,siblings:int,n:variant,o:variant,over:boolean,both:boolean>"
+_VALUES = "array<struct<parent:int,key:string,siblings:int,value:variant>>"
 
 
 def is_object(col: Column) -> Column:
@@ -64,7 +65,6 @@ def merged(
     new_type: T.DataType,
     old_type: T.DataType,
     want: T.DataType,
-    json_depth: int = JSON_DEPTH,
 ) -> Column:
     """``old`` with everything that ``new`` holds laid over it; a null inside ``new`` is a value."""
     if isinstance(new_type, T.StructType) and isinstance(old_type, T.StructType) and isinstance(want, T.StructType):
@@ -74,7 +74,7 @@ def merged(
         for f in want.fields:
             c = f.name
             if c in news and c in olds:
-                value = merged(new[c], old[c], news[c], olds[c], f.dataType, json_depth)
+                value = merged(new[c], old[c], news[c], olds[c], f.dataType)
             elif c in news:
                 value = conform(new[c], news[c], f.dataType)
             else:
@@ -89,37 +89,117 @@ def merged(
             under,
             over,
             lambda k, o, n: F.when(
-                F.map_contains_key(over, k), merged(n, o, new_type.valueType, old_type.valueType, want.valueType, json_depth)
+                F.map_contains_key(over, k), merged(n, o, new_type.valueType, old_type.valueType, want.valueType)
             ).otherwise(conform(o, old_type.valueType, want.valueType)),
         )
     elif all(isinstance(x, T.VariantType) for x in (new_type, old_type, want)):
-        both = _json_merged(new, old, json_depth)
+        both = _json_merged(new, old)
     else:
         return conform(new, new_type, want)
     alone = conform(new, new_type, want)
     return F.when(new.isNull(), F.lit(None).cast(want)).when(old.isNull(), alone).otherwise(both)
 
 
-def _objects(new: Column, old: Column) -> Column:
-    return F.struct(new.cast(_OBJECT).alias("n"), old.cast(_OBJECT).alias("o"))
+def _json_text(col: Column) -> Column:
+    # A JSON null and a missing key are the same value here.
+    return F.coalesce(F.to_json(col), F.lit("null"))
 
 
-def _json_merged(new: Column, old: Column, depth: int) -> Column:
-    if depth == 0:
-        deeper = F.raise_error(F.lit("JSON objects nest deeper than json_depth")).cast("variant")
-        return F.when(is_object(new) & is_object(old), deeper).otherwise(new)
+def _levels(doc: Column) -> Column:
+    """One step per object in the document: at least as many as it has levels."""
+    text = F.to_json(doc)
+    return F.sequence(F.lit(0), F.coalesce(F.length(text) - F.length(F.replace(text, F.lit("{"), F.lit(""))), F.lit(0)))
 
-    def inside(p: Column) -> Column:
-        return F.to_variant_object(
-            F.map_zip_with(
-                p["o"],
-                p["n"],
-                lambda k, o, n: F.when(F.map_contains_key(p["n"], k), _json_merged(n, o, depth - 1)).otherwise(o),
-            )
-        )
 
-    pair = F.struct(new.alias("n"), old.alias("o"))
-    return let(
-        pair,
-        lambda p: F.when(is_object(p["n"]) & is_object(p["o"]), let(_objects(p["n"], p["o"]), inside)).otherwise(p["n"]),
+def _members(upper: Column, lower: Column) -> Column:
+    """Members of two objects that meet by key: ``key``, and ``value`` with both sides and ``over``,
+    whether the upper one has the key."""
+    marked = F.transform_values(upper.cast(_OBJECT), lambda _k, v: F.struct(v.alias("v"), F.lit(True).alias("over")))
+    met = F.map_zip_with(
+        lower.cast(_OBJECT),
+        marked,
+        lambda _k, o, n: F.struct(n["v"].alias("n"), o.alias("o"), F.coalesce(n["over"], F.lit(False)).alias("over")),
     )
+    return F.map_entries(met)
+
+
+def json_differs(desired: Column, prior: Column) -> Column:
+    """Whether anything that ``desired`` holds is another value in ``prior``, at any depth."""
+
+    def step(state: Column, _i: Column) -> Column:
+        def judged(uneven: Column) -> Column:
+            objects = lambda x: is_object(x["d"]) & is_object(x["p"])
+            hit = state["hit"] | F.exists(uneven, lambda x: ~objects(x))
+            inside = F.transform(
+                F.filter(uneven, objects),
+                lambda x: F.transform(
+                    F.filter(_members(x["d"], x["p"]), lambda e: e["value"]["over"]),
+                    lambda e: F.struct(e["value"]["n"].alias("d"), e["value"]["o"].alias("p")),
+                ),
+            )
+            below = F.when(hit, F.array().cast(_PAIRS)).otherwise(F.flatten(inside).cast(_PAIRS))
+            return F.struct(hit.alias("hit"), below.alias("open"))
+
+        uneven = F.filter(state["open"], lambda x: _json_text(x["d"]) != _json_text(x["p"]))
+        return F.when(F.size(state["open"]) == 0, state).otherwise(let(uneven, judged))
+
+    def look(pair: Column) -> Column:
+        start = F.struct(F.lit(False).alias("hit"), F.array(pair).cast(_PAIRS).alias("open"))
+        walked = F.aggregate(_levels(pair["d"]), start, step, lambda s: s["hit"])
+        return F.when(_json_text(pair["d"]) == _json_text(pair["p"]), F.lit(False)).otherwise(walked)
+
+    return let(F.struct(desired.alias("d"), prior.alias("p")), look)
+
+
+def _item(parent: Column, key: Column, siblings: Column, n: Column, o: Column, over: Column) -> Column:
+    return F.struct(
+        parent.alias("parent"), key.alias("key"), siblings.alias("siblings"), n.alias("n"), o.alias("o"),
+        over.alias("over"), (over & is_object(n) & is_object(o)).alias("both"),
+    ).cast(_ITEM)
+
+
+def _json_merged(new: Column, old: Column) -> Column:
+    """``new`` over ``old``: objects that meet are opened level by level, then closed from below."""
+    none, level_type = F.lit(None).cast("string"), f"array<{_ITEM}>"
+
+    def opened(x: Column, i: Column) -> Column:
+        """The members of both objects of item ``x``, the ``i``-th of its level."""
+        members = let(
+            _members(x["n"], x["o"]),
+            lambda m: F.transform(
+                m, lambda e: _item(i, e["key"], F.size(m), e["value"]["n"], e["value"]["o"], e["value"]["over"])
+            ),
+        )
+        return F.when(x["both"], members).otherwise(F.array().cast(level_type))
+
+    def down(levels: Column, _i: Column) -> Column:
+        last = F.element_at(levels, -1)
+        below = F.flatten(F.transform(last, opened)).cast(level_type)
+        deeper = F.concat(levels, F.array(below)).cast(f"array<{level_type}>")
+        return F.when(F.exists(last, lambda x: x["both"]), deeper).otherwise(levels)
+
+    def up(values: Column, level: Column) -> Column:
+        def closed(parents: Column) -> Column:
+            def value(x: Column, i: Column) -> Column:
+                # members stand side by side: the first one tells how many there are
+                at = F.array_position(parents, i).cast("int")
+                own = F.when(at > 0, F.slice(values, at, F.get(values, at - 1)["siblings"])).otherwise(F.slice(values, 1, 0))
+                pairs = F.transform(own, lambda c: F.struct(c["key"].alias("key"), c["value"].alias("value")))
+                whole = F.to_variant_object(F.map_from_entries(pairs))
+                return F.struct(
+                    x["parent"].alias("parent"), x["key"].alias("key"), x["siblings"].alias("siblings"),
+                    F.when(x["both"], whole).when(x["over"], x["n"]).otherwise(x["o"]).alias("value"),
+                )
+
+            return F.transform(level, value).cast(_VALUES)
+
+        return let(F.transform(values, lambda c: c["parent"]), closed)
+
+    def both(pair: Column) -> Column:
+        root = _item(F.lit(-1), none, F.lit(1), pair["n"], pair["o"], F.lit(True))
+        levels = F.aggregate(_levels(pair["n"]), F.array(F.array(root)).cast(f"array<{level_type}>"), down)
+        values = F.aggregate(F.reverse(levels), F.array().cast(_VALUES), up)
+        merged_all = F.element_at(values, 1)["value"]
+        return F.when(is_object(pair["n"]) & is_object(pair["o"]), merged_all).otherwise(pair["n"])
+
+    return let(F.struct(new.alias("n"), old.alias("o")), both)

@@ -24,7 +24,6 @@ from tablerecon.errors import DuplicateKeyError
 from tablerecon.functions.collections import any_of
 from tablerecon.functions.compare import differs
 from tablerecon.functions.documents import as_text
-from tablerecon.functions.nested import JSON_DEPTH
 from tablerecon.functions.templates import Variables, substitute
 from tablerecon.operators.checks import check_keys as keys_at_fault
 
@@ -66,7 +65,6 @@ def plan(
     null_desired: str = "unmanaged",
     variables: Variables | None = None,
     check_keys: bool = False,
-    json_depth: int = JSON_DEPTH,
 ) -> DataFrame:
     """Classify every key of both sides.
 
@@ -118,7 +116,7 @@ def plan(
             continue
         want = resolved[c]
         if c in p_types:
-            flag = differs(want, F.col(f"__p_{c}"), dtype, p_types[c], strategies.get(c, "partial"), json_depth)
+            flag = differs(want, F.col(f"__p_{c}"), dtype, p_types[c], strategies.get(c, "partial"))
         else:
             flag = want.isNotNull()
         flags[c] = (want.isNotNull() & flag) if null_desired == "unmanaged" else flag

@@ -1,6 +1,6 @@
 """Checked queries over the given tables, grouped as the library is."""
 
-from tablerecon.suite import checks, digests, flows, functions, graphs, lookups, plans, streams
+from tablerecon.suite import checks, digests, flows, functions, graphs, lookups, plans, stores, streams
 from tablerecon.suite.registry import REGISTRY, Query, Tables
 
 __all__ = [
@@ -14,5 +14,6 @@ __all__ = [
     "graphs",
     "lookups",
     "plans",
+    "stores",
     "streams",
 ]

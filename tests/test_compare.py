@@ -120,8 +120,35 @@ def test_json_documents_like_plain_rule(spark, pairs):
         assert got[i] is expected_difference(d, p), (d, p)
 
 
-def test_json_deeper_than_allowed_is_an_error_not_a_guess(spark):
-    df = spark.createDataFrame([('{"a":{"b":{"c":1}}}', '{"a":{"b":{"c":2}}}')], "d string, p string")
-    flag = differs(parse(F.col("d")), parse(F.col("p")), T.VariantType(), T.VariantType(), json_depth=1)
-    with pytest.raises(Exception, match="json_depth"):
-        df.select(flag).collect()
+def _deep(depth, leaf):
+    return '{"a":' * depth + leaf + "}" * depth
+
+
+def _json_flag(spark, rows):
+    df = spark.createDataFrame(rows, "d string, p string").coalesce(1)
+    flag = differs(parse(F.col("d")), parse(F.col("p")), T.VariantType(), T.VariantType())
+    return [r[0] for r in df.select(flag).collect()]
+
+
+@pytest.mark.parametrize("depth", [17, 60, 200])
+def test_json_of_any_depth(spark, depth):
+    rows = [
+        (_deep(depth, '{"x":1}'), _deep(depth, '{"x":1,"z":2}')),
+        (_deep(depth, '{"x":1}'), _deep(depth, '{"x":2,"z":2}')),
+        (_deep(depth, '{"x":1}'), _deep(depth, '{"z":2}')),
+        (_deep(depth, '{"x":null}'), _deep(depth, '{"z":2}')),
+        (_deep(depth, "[1,2]"), _deep(depth, "[2,1]")),
+        (_deep(depth, "{}"), _deep(depth, '{"z":2}')),
+        (_deep(depth, "{}"), _deep(depth, "3")),
+    ]
+    assert _json_flag(spark, rows) == [False, True, True, False, True, False, True]
+
+
+def test_wide_json_objects(spark):
+    import json
+
+    wide = {f"k{i}": {"a": i, "b": {"c": i}} for i in range(3_000)}
+    more = wide | {"k7": {"a": 7, "b": {"c": 7, "z": 1}}, "own": {}}
+    other = wide | {"k2999": {"a": 2999, "b": {"c": -1}}}
+    text = [json.dumps(x) for x in (wide, more, other)]
+    assert _json_flag(spark, [(text[0], text[1]), (text[0], text[2])]) == [False, True]
