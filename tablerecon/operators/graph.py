@@ -1,9 +1,15 @@
 """Dependency levels over edge tables.
 
-An edge ``(node, dep)`` says that ``node`` needs ``dep``.  Peeling places a node
-once all it needs has been placed, and writes it to the shared folder in that
-round, so lineage stays one round deep, a lost executor replays one round only,
-and the written rounds are the level table.  Rounds = longest dependency chain.
+An edge ``(node, dep)`` says that ``node`` needs ``dep``.
+
+1. Chains are contracted: a node with one dependency and one dependent only passes a level
+   on.  Pointers double their reach each round until they stand on the end of their chain,
+   so a chain of n steps takes about log2(n) rounds; its nodes then follow from that end.
+2. Peeling places a node of what is left once all it needs has been placed, one above the
+   highest, and writes it to the shared folder in that round.  So lineage stays one round
+   deep, a lost executor replays one round only, and the written rounds are the level table.
+
+Rounds: the logarithm of the longest chain, and the longest path that no chain shortens.
 """
 
 from __future__ import annotations
@@ -11,7 +17,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -38,19 +44,77 @@ def prune_edges(nodes: DataFrame, edges: DataFrame, node: str = "node", dep: str
 
 @dataclass
 class Peel:
-    """What peeling leaves: the placed nodes by round, and the edges it could not place."""
+    """What peeling leaves: nodes above level 0 with their level (``round``), and nodes without one."""
 
     nodes: DataFrame
     placed: DataFrame | None
     stuck: DataFrame | None
 
 
+def _written(df: DataFrame, path: str) -> tuple[DataFrame, int]:
+    """``df`` written and read back, and how many rows it has."""
+    seen = Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), seen.get["rows"]
+
+
+def contract(edges: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """``(node, dep, weight)`` without chains, and ``(node, end, distance)`` of the nodes taken out.
+
+    ``edges`` must be distinct.  Chains that run in a circle stay.
+    """
+    spark = edges.sparkSession
+    plain = edges.withColumn("weight", F.lit(1).cast("long"))
+    ends = edges.select(
+        F.explode(F.array(
+            F.struct(F.col("node").alias("at"), F.lit(1).alias("down"), F.lit(0).alias("up")),
+            F.struct(F.col("dep").alias("at"), F.lit(0).alias("down"), F.lit(1).alias("up")),
+        )).alias("e")
+    )
+    inner = ends.groupBy("e.at").agg(F.sum("e.down").alias("down"), F.sum("e.up").alias("up"))
+    inner = materialize(inner.filter("down = 1 AND up = 1").select("at"), "chain-nodes")
+    inside = inner.select(F.col("at").alias("__a"))
+    steps = edges.join(inside, F.col("node") == F.col("__a"), "left_semi")
+    links = steps.join(inside.withColumn("__in", F.lit(True)), F.col("dep") == F.col("__a"), "left")
+    links = links.select(
+        "node", F.col("dep").alias("end"), F.lit(1).cast("long").alias("distance"), F.col("__in").isNotNull().alias("open")
+    )
+    root = scratch_path(spark, "chains")
+    links, n = _written(links, f"{root}/0")
+    open_now = links.filter("open").count() if n else 0
+    if not open_now:
+        return plain, None
+    round_no = 0
+    # in a circle pointers never come to an end; all others have after this many rounds
+    while open_now and round_no <= n.bit_length():
+        round_no += 1
+        ahead = links.select(
+            F.col("node").alias("__n"), F.col("end").alias("__e"), F.col("distance").alias("__d"), F.col("open").alias("__o")
+        )
+        # only one pointer stands on a node inside a chain, so no key is hot here
+        far = links.filter("open").join(ahead, F.col("end") == F.col("__n")).select(
+            "node", F.col("__e").alias("end"), (F.col("distance") + F.col("__d")).alias("distance"), F.col("__o").alias("open")
+        )
+        still = Observation()
+        far = far.observe(still, F.count(F.when(F.col("open"), 1)).alias("open"))
+        links, _ = _written(links.filter("NOT open").unionByName(far), f"{root}/{round_no}")
+        open_now = still.get["open"]
+    chains = links.filter("NOT open").select("node", "end", "distance")
+    taken = chains.select(F.col("node").alias("__n"), F.col("end").alias("__e"), F.col("distance").alias("__d"))
+    left = plain.join(taken.select("__n"), F.col("node") == F.col("__n"), "left_anti")
+    left = left.join(taken, F.col("dep") == F.col("__n"), "left").select(
+        "node", F.coalesce("__e", "dep").alias("dep"), (F.col("weight") + F.coalesce("__d", F.lit(0))).alias("weight")
+    )
+    # two chains may join the same two nodes: the longer one counts
+    return materialize(left.groupBy("node", "dep").agg(F.max("weight").alias("weight")), "edges"), chains
+
+
 def peel(nodes: DataFrame, edges: DataFrame, node: str = "node", dep: str = "dep") -> Peel:
     """Place nodes round by round, each once, in the round after the last of its deps.
 
-    A round reads the edges last written, leaves out those whose dep has been placed
-    since, and writes the nodes that have no edge left.  The edges are written again
-    only when half of them are gone, so all writing is within nodes + 3 x edges.
+    A round joins the edges last written with the nodes placed since and writes the nodes
+    whose deps are all placed.  The edges are written again only when half of them are gone,
+    so all writing is within nodes + 3 x edges, and chains of n nodes n x log2(n) more.
     """
     spark = nodes.sparkSession
     root = scratch_path(spark, "peel")
@@ -58,39 +122,70 @@ def peel(nodes: DataFrame, edges: DataFrame, node: str = "node", dep: str = "dep
     every = materialize(
         prune_edges(all_nodes, edges.select(F.col(node).alias("node"), F.col(dep).alias("dep"))), "edges"
     )
-    waiting = every.select("node").distinct()
-    # Edges to nodes without edges of their own hold nobody up beyond round 1.
-    pending = salted_join(every, waiting.select(F.col("node").alias("__w")), [("dep", "__w")], "left_semi")
+    base, chains = contract(every)
     kind = all_nodes.schema["node"].dataType
-    whole = T.StructType([T.StructField("node", kind), T.StructField("round", T.IntegerType())])
-    one = T.StructType([T.StructField("node", kind)])
-    base, held = every, every.count()
-    since: list[str] = []
-    round_no = 0
-    while held:
+    one = T.StructType([T.StructField("node", kind), T.StructField("round", T.LongType())])
+    # Nodes without edges of their own have level 0 from the start.
+    waiting = base.select(F.col("node").alias("__w")).distinct()
+    grounds = salted_join(base, waiting, [("dep", "__w")], "left_anti").select(F.col("dep").alias("node")).distinct()
+    since, held = [f"{root}/step-0"], base.count()
+    grounds.withColumn("round", F.lit(0).cast("long")).write.parquet(since[0])
+    round_no, waits = 0, held > 0
+    while waits:
         round_no += 1
-        fresh = base.select("node").distinct().join(pending.select("node").distinct(), "node", "left_anti")
-        if since:
-            fresh = fresh.join(spark.read.schema(one).parquet(*since), "node", "left_anti")
-        path = f"{root}/round={round_no}"
-        fresh.write.parquet(path)
-        since.append(path)
-        if spark.read.schema(one).parquet(path).isEmpty():
+        gone = spark.read.schema(one).parquet(*since).select(F.col("node").alias("__g"), "round")
+        # Many edges may need one hub, so no task may get them all.
+        met = salted_join(base, gone, [("dep", "__g")], "left")
+        above = F.when(F.col("dep").isNull(), F.col("weight")).otherwise(F.col("round") + F.col("weight"))
+        met = met.select("node", "dep", "weight", above.alias("above"))
+        ready = met.groupBy("node").agg(
+            F.count(F.lit(1)).alias("n"), F.count("above").alias("known"), F.max("above").alias("round")
+        )
+        ready = ready.filter("n = known").select("node", "round")
+        ready = ready.join(gone.select(F.col("__g").alias("__s")), F.col("node") == F.col("__s"), "left_anti")
+        path = f"{root}/step-{round_no}"
+        _, fresh = _written(ready, path)
+        if not fresh:
             # Nobody is left to place, but for a cycle and the nodes behind one.
             break
-        if round_no == 1:
-            base, since = materialize(pending, "edges"), [path]
-            held = base.count()
-        elif round_no & (round_no - 1) == 0 or round_no % _LOOK == 0:
-            left = pending.count()
+        since.append(path)
+        if round_no & (round_no - 1) == 0 or round_no % _LOOK == 0:
+            done = spark.read.schema(one).parquet(*since).select(F.col("node").alias("__s"))
+            open_edges = met.join(done, F.col("node") == F.col("__s"), "left_anti")
+            left = open_edges.filter("above IS NULL").count()
+            waits = left > 0
             if 2 * left <= held:
-                base, held, since = materialize(pending, "edges"), left, [path]
-        gone = spark.read.schema(one).parquet(*since).select(F.col("node").alias("__g"))
-        # Many edges may need one hub, so no task may get them all.
-        pending = salted_join(base, gone, [("dep", "__g")], "left_anti")
-    placed = spark.read.schema(whole).parquet(root) if round_no else None
-    done = not held or pending.isEmpty()
-    return Peel(all_nodes, placed, None if done else pending)
+                # of edges whose dep is placed, the highest says all
+                floor = open_edges.filter("above IS NOT NULL").groupBy("node").agg(F.max("above").alias("weight"))
+                floor = floor.select("node", F.lit(None).cast(kind).alias("dep"), "weight")
+                base = materialize(open_edges.filter("above IS NULL").select("node", "dep", "weight").unionByName(floor), "edges")
+                held, since = left, [path]
+    if not held and not round_no:
+        placed = None
+    else:
+        placed = spark.read.schema(one).parquet(*[f"{root}/step-{i}" for i in range(round_no + 1)])
+        placed = placed.select("node", "round").filter("round > 0")
+    stuck = None
+    if waits:
+        done = spark.read.schema(one).parquet(*[f"{root}/step-{i}" for i in range(round_no + 1)])
+        done = done.select(F.col("node").alias("__s"))
+        stuck = base.select("node").distinct().join(done, F.col("node") == F.col("__s"), "left_anti")
+        if stuck.isEmpty():
+            stuck = None
+    if chains is not None:
+        lost = None if stuck is None else stuck.select(F.col("node").alias("__x"))
+        behind = None if lost is None else salted_join(chains, lost, [("end", "__x")], "left_semi").select("node")
+        kept = chains if lost is None else salted_join(chains, lost, [("end", "__x")], "left_anti")
+        if placed is None:
+            own = kept.select("node", F.col("distance").alias("round"))
+        else:
+            at = placed.select(F.col("node").alias("__p"), F.col("round").alias("__r"))
+            own = salted_join(kept, at, [("end", "__p")], "left").select(
+                "node", (F.coalesce("__r", F.lit(0)) + F.col("distance")).alias("round")
+            )
+        placed = own if placed is None else placed.unionByName(own)
+        stuck = stuck if behind is None else stuck.unionByName(behind)
+    return Peel(all_nodes, placed, stuck)
 
 
 def find_cycles(nodes: DataFrame, edges: DataFrame, node: str = "node", dep: str = "dep") -> DataFrame:

@@ -111,3 +111,71 @@ def test_both_delete_orders_break_ties_alike(spark):
     changes = spark.createDataFrame([(x, "delete") for x in "abc"], "node string, action string")
     none = spark.createDataFrame([], "node string, dep string")
     assert names(apply_order(changes, none, none)) == names(delete_order(none, changes.select("node"))) == ["c", "b", "a"]
+
+
+def _levels(edges):
+    deps = {}
+    for x, d in edges:
+        deps.setdefault(x, set()).add(d)
+        deps.setdefault(d, set())
+    level, todo = {}, dict(deps)
+    while todo:
+        ready = {x: max((level[d] + 1 for d in ds), default=0) for x, ds in todo.items() if all(d in level for d in ds)}
+        if not ready:
+            break
+        level |= ready
+        todo = {x: ds for x, ds in todo.items() if x not in ready}
+    return level, set(todo)
+
+
+def _chained(rnd, knots, longest):
+    """A random graph whose edges are chains of random length, some of them in or behind a circle."""
+    edges, n = set(), 0
+    for i in range(1, knots):
+        for _ in range(rnd.randrange(1, 3)):
+            at, low = f"k{i}", f"k{rnd.randrange(i)}"
+            for _ in range(rnd.randrange(longest)):
+                n += 1
+                edges.add((at, f"c{n}"))
+                at = f"c{n}"
+            edges.add((at, low))
+    return edges
+
+
+@pytest.mark.parametrize("seed, circle", [(1, False), (2, False), (3, True), (4, True)])
+def test_chains_give_the_levels_of_the_plain_rule(spark, seed, circle):
+    rnd = random.Random(seed)
+    edges = _chained(rnd, 12, 9)
+    if circle:
+        edges |= {("o1", "o2"), ("o2", "o3"), ("o3", "o1"), ("t1", "t2"), ("t2", "t3"), ("t3", "k5"), ("k5", "t1")}
+    nodes = {x for e in edges for x in e} | {"alone"}
+    level, stuck = _levels(edges)
+    level["alone"] = 0
+    n, e = graph(spark, nodes, edges)
+    assert set(names(find_cycles(n, e))) == stuck and bool(stuck) == circle
+    if not circle:
+        assert {r["node"]: r["level"] for r in dependency_levels(n, e).collect()} == level
+
+
+def test_a_long_chain_takes_few_rounds(spark, monkeypatch):
+    from tablerecon.operators import graph as G
+
+    rounds = []
+    plain = G._written
+    monkeypatch.setattr(G, "_written", lambda df, path: rounds.append(path) or plain(df, path))
+    size = 100_000
+    n = spark.range(size).select(F.col("id").alias("node"))
+    e = spark.range(1, size).select(F.col("id").alias("node"), (F.col("id") - 1).alias("dep"))
+    got = dependency_levels(n, e)
+    assert got.filter("level != node").count() == 0 and got.count() == size
+    assert len(rounds) < 40
+
+
+def test_many_chains_that_end_in_one_node(spark):
+    """Two thirds of all nodes hang on one hub, by chains of three."""
+    size = 300
+    edges = [(f"a{i}", f"b{i}") for i in range(size)] + [(f"b{i}", f"c{i}") for i in range(size)] + [(f"c{i}", "hub") for i in range(size)]
+    nodes = {x for e in edges for x in e}
+    n, e = graph(spark, nodes, edges)
+    got = {r["node"]: r["level"] for r in dependency_levels(n, e).collect()}
+    assert got == _levels(edges)[0]
