@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from tablerecon.operators.schema import conform_schema
 from tablerecon.session import is_missing_path
+from tablerecon.sources.csv_records import read_records
 from tablerecon.types import Column, declared_schema
 
 # CSV parameter names and the reader options they stand for.
@@ -51,8 +52,8 @@ FORMATS = ("parquet", "csv", "json", "orc", "text")
 def csv_options(params: Mapping[str, object]) -> dict[str, str]:
     """Reader and writer options for CSV parameters; unknown ones are refused.
 
-    Quoted cells may hold line breaks, so a file is read by one task; a dataset that
-    has none says ``multiLine`` false and is split.
+    Quoted cells may hold line breaks; files are split all the same, see ``csv_records``.
+    A dataset without such cells may say ``multiLine`` false.
     """
     unknown = sorted(set(params) - set(CSV_OPTIONS) - set(CSV_OTHERS))
     if unknown:
@@ -71,43 +72,25 @@ def csv_options(params: Mapping[str, object]) -> dict[str, str]:
 def _read_csv(
     spark: SparkSession, path: str | list[str], params: Mapping[str, object], cols: Sequence[Column | tuple | str]
 ) -> DataFrame:
-    """Cells as text: by the header's names, or in declared order when there is no header."""
+    """Cells as text: by each file's own header, or in declared order when there is no header."""
     options = csv_options(params)
     before, after = (int(params.get(k) or 0) for k in ("skipRowsBeforeHeader", "skipRowsAfterHeader"))
     header = options.get("header") == "true"
     names = [f.name for f in declared_schema(cols)] if cols else []
-    if before or after:
-        return _skipping(spark, path, options, names, before, after, header)
+    if (before or after) and not names:
+        raise ValueError("skipping rows needs declared columns")
+    plain = not header and not before and not after
+    if options.get("encoding", "UTF-8").upper() not in ("UTF-8", "UTF8"):
+        if header or not plain:
+            raise ValueError("files with a header or skipped rows must be UTF-8")
+    elif not plain or (names and options["multiLine"] == "true"):
+        return read_records(spark, path, options, names, header, before, after)
     reader = spark.read.options(**options)
-    if names and not header:
+    if names:
         reader = reader.schema(T.StructType([T.StructField(n, T.StringType()) for n in names]))
     return reader.csv(path)
 
 
-def _skipping(
-    spark: SparkSession, path: str | list[str], options: Mapping[str, str], names: list[str], before: int, after: int, header: bool
-) -> DataFrame:
-    """Rows numbered file by file, so that the first ones of each file can be left out.
-
-    A file that may hold line breaks in cells is read by one task, in order.
-    """
-    if not names:
-        raise ValueError("skipping rows needs declared columns")
-    schema = T.StructType([T.StructField(f"_c{i}", T.StringType()) for i in range(len(names))])
-    raw = spark.read.options(**{**options, "header": "false", "multiLine": "true"}).schema(schema).csv(path)
-    rows = raw.select("*", F.col("_metadata.file_path").alias("__file"), F.monotonically_increasing_id().alias("__id"))
-    starts = rows.groupBy("__file").agg(F.min("__id").alias("__first"))
-    rows = rows.join(starts, "__file").withColumn("__n", F.col("__id") - F.col("__first"))
-    given = names
-    if header:
-        line = rows.filter(F.col("__n") == before).orderBy("__file").select(*schema.names).first()
-        given = [c or "" for c in line] if line is not None else names
-        if sorted(given) != sorted(names):
-            raise ValueError(f"the header names {given}, declared are {names}")
-    kept = rows.filter(F.col("__n") >= before + after + (1 if header else 0))
-    return kept.select(*[F.col(f"_c{i}").alias(n) for i, n in enumerate(given)])
-
-
 def _as_boolean(col: SparkColumn) -> SparkColumn:
     word = F.lower(F.trim(col))
     return F.when(word.isin(*TRUE_WORDS), "true").when(word.isin(*FALSE_WORDS), "false").otherwise(col)

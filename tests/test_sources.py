@@ -27,7 +27,7 @@ from tablerecon.types import Column, declared_schema
 PG = Connection("pg", {"url": "jdbc:postgresql://h/db", "user": "u"})
 
 
-def test_declared_types():
+def test_declared_types(spark):
     names = "string int bigint float double boolean date array object map".split()
     schema = declared_schema([(n, n) for n in names])
     assert [f.dataType.simpleString() for f in schema] == [
