@@ -23,20 +23,20 @@ from tablerecon.functions.nested import json_differs
 STRATEGIES = ("partial", "exact", "set")
 
 
-def _opaque(dtype: T.DataType) -> bool:
+def opaque(dtype: T.DataType) -> bool:
     """Whether Spark has no ``=`` for the type or a type inside it."""
     if isinstance(dtype, (T.MapType, T.VariantType)):
         return True
     if isinstance(dtype, T.ArrayType):
-        return _opaque(dtype.elementType)
+        return opaque(dtype.elementType)
     if isinstance(dtype, T.StructType):
-        return any(_opaque(f.dataType) for f in dtype.fields)
+        return any(opaque(f.dataType) for f in dtype.fields)
     return False
 
 
 def comparable(col: Column, dtype: T.DataType) -> Column:
     """The same value in a form that can be compared and sorted."""
-    if not _opaque(dtype):
+    if not opaque(dtype):
         return col
     if isinstance(dtype, T.VariantType):
         return F.to_json(col)
@@ -44,7 +44,7 @@ def comparable(col: Column, dtype: T.DataType) -> Column:
         return F.transform(col, lambda x: comparable(x, dtype.elementType))
     if isinstance(dtype, T.MapType):
         entries = F.map_entries(col)
-        if _opaque(dtype.valueType):
+        if opaque(dtype.valueType):
             entries = F.transform(
                 entries,
                 lambda e: F.struct(

@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 
 from tablerecon.errors import ValidationError
 from tablerecon.functions.collections import any_of
+from tablerecon.operators.lookups import least_of, value_at
 from tablerecon.operators.skew import salted_join
 from tablerecon.types import SQL_TYPES
 
@@ -146,26 +147,26 @@ def check_unique_in_group(
 ) -> DataFrame:
     """Every later row of the same (group, name) names the first holder.
 
-    The first holder comes from an aggregation, not a window, so a hot group
-    is combined map-side; names used once drop out before the join.
+    The first holder comes from aggregations, not a window, so a hot group is combined
+    map-side; names used once drop out before any other row is looked at.  Of holders in
+    the first position the smallest address is the first.
     """
-    first = (
-        df.groupBy(group, name)
-        .agg(
-            F.count(F.lit(1)).alias("__n"),
-            F.min(F.struct(F.col(position).alias("pos"), F.col(address).alias("addr"))).alias("__first"),
-        )
-        .filter("__n > 1")
-        .select(F.col(group).alias("__group"), F.col(name).alias("__name"), "__first")
-    )
-    rows = df.select(group, name, address, position)
-    later = salted_join(rows, first, [(group, "__group"), (name, "__name")], "inner", null_safe=True)
-    bad = later.filter(
-        F.struct(F.col(position).alias("pos"), F.col(address).alias("addr")) > F.col("__first")
+    rows = df.select(
+        F.col(group).alias("__group"), F.col(name).alias("__name"), F.col(address).alias("__address"), F.col(position).alias("__at")
     )
+    many = rows.groupBy("__group", "__name").agg(F.count(F.lit(1)).alias("__n"), least_of(F.col("__at")).alias("__p"))
+    many = many.filter("__n > 1").select(F.col("__group").alias("__g"), F.col("__name").alias("__m"), "__p")
+    own = [("__group", "__g"), ("__name", "__m")]
+    shared = salted_join(rows, many, own, "inner", null_safe=True)
+    first = value_at(rows, ["__group", "__name"], "__address", many, [*own, ("__at", "__p")])
+    first = first.select(F.col("__group").alias("__h"), F.col("__name").alias("__i"), F.col("__address").alias("__first"))
+    later = salted_join(shared, first, [("__group", "__h"), ("__name", "__i")], "inner", null_safe=True)
+    place = lambda at, who: F.struct(F.col(at).alias("pos"), F.col(who).alias("addr"))
+    bad = later.filter(place("__at", "__address") > place("__p", "__first"))
+    bad = bad.select(F.col("__group").alias(group), F.col("__name").alias(name), F.col("__address").alias(address), "__first")
     message = F.concat(
         F.lit("duplicate "), _text(F.col(group)), F.lit(" name '"), _text(F.col(name)),
-        F.lit("': first held by "), F.col("__first.addr").cast("string"),
+        F.lit("': first held by "), F.col("__first").cast("string"),
     )
     return _rows(bad, check, address, message)
 

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tablerecon.functions.compare import opaque as _opaque
 from tablerecon.operators.skew import salted_join
 from tablerecon.session import materialize
 
@@ -26,6 +27,27 @@ def _names(on: str | Sequence[str]) -> list[str]:
     return [on] if isinstance(on, str) else list(on)
 
 
+def least_of(place: Column, among: Column | None = None) -> Column:
+    """The smallest place, null before all others, of the rows ``among``.
+
+    Numeric minima and sums aggregate in place; a minimum by a struct would sort all rows.
+    """
+    among = F.lit(True) if among is None else among
+    nulls = F.coalesce(F.sum((among & place.isNull()).cast("int")), F.lit(0))
+    return F.when(nulls == 0, F.min(F.when(among, place)))
+
+
+def value_at(rows: DataFrame, keys: Sequence[str], value: str, places: DataFrame, match: Sequence[tuple[str, str]]) -> DataFrame:
+    """``(<keys>, <value>)`` of the rows that stand where ``places`` says, one per key.
+
+    Of several rows in one place the smallest value counts; null where all are null.
+    """
+    there = salted_join(rows, places, match, "left_semi", null_safe=True)
+    dtype = rows.schema[value].dataType
+    one = F.first(value) if _opaque(dtype) else F.array_min(F.collect_set(value))
+    return there.groupBy(*keys).agg(one.alias(value))
+
+
 def left_enrich(
     left: DataFrame,
     right: DataFrame,
@@ -103,12 +125,20 @@ def lookup_first(
         candidates = candidates.filter(F.col(type_col) == type_is)
     if type_suffix is not None:
         candidates = candidates.filter(F.col(type_col).endswith(type_suffix))
-    # A struct survives a null attribute, so min_by keeps the first row.
-    best = candidates.groupBy(F.col(name).alias("__name")).agg(
-        F.min_by(F.struct(F.col(attr).alias("v")), F.col("candidate_rank")).alias("__first")
+    candidates = candidates.select(
+        F.col(name).alias("__name"),
+        F.col(attr).alias("__v"),
+        F.col("candidate_rank.side").alias("__side"),
+        F.col("candidate_rank.pos").alias("__pos"),
+    )
+    side, pos = F.col("__side"), F.col("__pos")
+    ranks = candidates.groupBy("__name").agg(
+        F.min(side).alias("__s"), least_of(pos, side == 0).alias("__p0"), least_of(pos, side == 1).alias("__p1")
     )
+    first = ranks.select(F.col("__name").alias("__n"), "__s", F.when(F.col("__s") == 0, F.col("__p0")).otherwise(F.col("__p1")).alias("__p"))
+    best = value_at(candidates, ["__name"], "__v", first, [("__name", "__n"), ("__side", "__s"), ("__pos", "__p")])
     joined = salted_join(refs, best, [(ref or name, "__name")], "left")
-    return joined.select(*refs.columns, F.col("__first.v").alias(out or attr))
+    return joined.select(*refs.columns, F.col("__v").alias(out or attr))
 
 
 def lookup_last(
@@ -121,11 +151,11 @@ def lookup_last(
     out: str | None = None,
 ) -> DataFrame:
     """Value of the last row, by position, that carries the name."""
-    last = table.groupBy(F.col(name).alias("__name")).agg(
-        F.max_by(F.struct(F.col(value).alias("v")), F.col(position)).alias("__last")
-    )
-    joined = salted_join(refs, last, [(ref or name, "__name")], "left")
-    return joined.select(*refs.columns, F.col("__last.v").alias(out or value))
+    rows = table.select(F.col(name).alias("__name"), F.col(value).alias("__v"), F.col(position).alias("__pos"))
+    last = rows.groupBy("__name").agg(F.max("__pos").alias("__p")).withColumnRenamed("__name", "__n")
+    best = value_at(rows, ["__name"], "__v", last, [("__name", "__n"), ("__pos", "__p")])
+    joined = salted_join(refs, best, [(ref or name, "__name")], "left")
+    return joined.select(*refs.columns, F.col("__v").alias(out or value))
 
 
 def resolve_refs(
@@ -264,9 +294,8 @@ def layered_merge(
                 *by,
                 F.col(name).alias("name"),
                 F.col(value).alias("value"),
-                F.struct(
-                    F.lit(rank).alias("scope"), F.col(position).cast("long").alias("position")
-                ).alias("__at"),
+                F.lit(rank).alias("__scope"),
+                F.col(position).cast("long").alias("__pos"),
             )
         )
     if not parts:
@@ -274,6 +303,23 @@ def layered_merge(
     every = parts[0]
     for part in parts[1:]:
         every = every.unionByName(part)
-    return every.groupBy(*by, "name").agg(
-        F.max_by("value", "__at").alias("value"), F.min("__at").alias("position")
+    keys, scope, pos = [*by, "name"], F.col("__scope"), F.col("__pos")
+    # Numbers only: the outermost scopes of a name, and in each scope its outermost places.
+    bounds = [
+        c
+        for i in range(len(scopes))
+        for c in (least_of(pos, scope == i).alias(f"__lo{i}"), F.max(F.when(scope == i, pos)).alias(f"__hi{i}"))
+    ]
+    found = every.groupBy(*keys).agg(F.min(scope).alias("__first"), F.max(scope).alias("__last"), *bounds)
+    lows = F.get(F.array(*[F.col(f"__lo{i}") for i in range(len(scopes))]), F.col("__first"))
+    highs = F.get(F.array(*[F.col(f"__hi{i}") for i in range(len(scopes))]), F.col("__last"))
+    found = found.select(
+        *[F.col(k).alias(f"__k_{k}") for k in keys],
+        F.struct(F.col("__first").alias("scope"), lows.alias("position")).alias("position"),
+        "__last",
+        highs.alias("__high"),
     )
+    own = [(k, f"__k_{k}") for k in keys]
+    values = value_at(every, keys, "value", found, [*own, ("__scope", "__last"), ("__pos", "__high")])
+    joined = salted_join(values, found.drop("__last", "__high"), own, "inner", null_safe=True)
+    return joined.select(*keys, "value", "position")

@@ -8,6 +8,7 @@ import uuid
 from collections.abc import Callable, Iterable, Mapping, Sequence
 from typing import Any
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,14 +35,12 @@ def sync(
 def sql_recipe(spark: SparkSession, sql: str, inputs: Mapping[str, DataFrame]) -> DataFrame:
     """Run SQL over the declared inputs under their names.
 
-    Only declared inputs are visible: a query over any other table or view is
-    refused.  ``${...}`` in the text is left alone.
+    Only declared inputs are visible: a query that reads any other table, view or
+    file is refused, wherever in the text it does.  ``${...}`` is left alone.
     """
     if not inputs:
         raise ValidationError(["a SQL recipe needs at least one input"])
-    other = sorted(_tables_in(spark, sql) - {n.lower() for n in inputs})
-    if other:
-        raise ValidationError([f"a SQL recipe names a table that is not an input: {n}" for n in other])
+    _refuse_others(spark, sql, inputs)
     previous = spark.conf.get("spark.sql.variable.substitute", "true")
     spark.conf.set("spark.sql.variable.substitute", "false")
     views: list[str] = []
@@ -62,12 +61,46 @@ def sql_recipe(spark: SparkSession, sql: str, inputs: Mapping[str, DataFrame]) -
         spark.conf.set("spark.sql.variable.substitute", previous)
 
 
-def _tables_in(spark: SparkSession, sql: str) -> set[str]:
-    """Tables and views that a statement names, in lower case, but those of its own WITH."""
-    parsed = str(spark._jsparkSession.sessionState().sqlParser().parsePlan(sql.strip().rstrip(";")).toString())
-    named = {n.replace("`", "").replace(", ", ".").lower() for n in re.findall(r"'UnresolvedRelation \[(.*?)\]", parsed)}
-    own = {n.strip().lower() for names in re.findall(r"CTE \[(.*?)\]", parsed) for n in names.split(",")}
-    return named - own
+def _refuse_others(spark: SparkSession, sql: str, inputs: Mapping[str, DataFrame]) -> None:
+    """Have the statement analysed in a session of its own, whose only views are the inputs' names
+    over their schemas, and refuse it if anything else is read."""
+    alone = SparkSession(spark.sparkContext, spark._jsparkSession.cloneSession())
+    for table in alone.catalog.listTables():
+        if table.isTemporary:
+            alone.catalog.dropTempView(table.name)
+    alone.conf.set("spark.sql.variable.substitute", "false")
+    for name, df in inputs.items():
+        alone.createDataFrame([], df.schema).createOrReplaceTempView(f"`{name}`")
+    try:
+        analysed = alone.sql(f"SELECT * FROM (\n{sql.strip().rstrip(';')}\n)")._jdf.queryExecution().analyzed()
+    except AnalysisException as e:
+        if (e.getCondition() or "").startswith("TABLE_OR_VIEW_NOT_FOUND"):
+            missing = (e.getMessageParameters() or {}).get("relationName", "")
+            raise ValidationError([f"a SQL recipe names a table that is not an input: {missing}"]) from None
+        raise
+    plans = [analysed, *_listed(analysed.subqueriesAll())]
+    other = sorted({name for p in plans for name in _sources(p)})
+    if other:
+        raise ValidationError([f"a SQL recipe reads what is not an input: {n}" for n in other])
+
+
+# Leaves of a plan that read nothing: a statement without FROM, VALUES, range(), a WITH's reference.
+_READS_NOTHING = ("OneRowRelation", "LocalRelation", "Range", "CTERelationRef")
+
+
+def _listed(seq: Any) -> list[Any]:
+    return [seq.apply(i) for i in range(seq.size())]
+
+
+def _sources(plan: Any) -> list[str]:
+    """What a plan reads that no view of the session stands for."""
+    kind = plan.nodeName()
+    if kind == "View" and plan.isTempView() and plan.desc().identifier().database().isEmpty():
+        return []
+    below = _listed(plan.children())
+    if not below:
+        return [] if kind in _READS_NOTHING else [str(plan.simpleStringWithNodeId())[:80]]
+    return [name for child in below for name in _sources(child)]
 
 
 def _with_inputs(sql: str, ctes: Sequence[str]) -> str:

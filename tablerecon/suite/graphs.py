@@ -70,6 +70,18 @@ def _numbered(df: DataFrame) -> DataFrame:
     return placed.select(*df.columns, "position")
 
 
+@query(
+    """WITH starts AS (SELECT event_id, CASE WHEN event_id % 5000 = 0 OR lag(event_id) OVER (ORDER BY event_id)
+    IS DISTINCT FROM event_id - 1 THEN event_id END AS start FROM events)
+SELECT event_id AS node, CAST(event_id - max(start) OVER (ORDER BY event_id) AS INTEGER) AS level FROM starts"""
+)
+def levels_event_chains(t: Tables) -> DataFrame:
+    """Chains of thousands: an event needs the one before it, but every 5,000th."""
+    nodes = t.events.select(F.col("event_id").alias("node"))
+    edges = nodes.filter(F.col("node") % 5000 != 0).select("node", (F.col("node") - 1).alias("dep"))
+    return dependency_levels(nodes, edges)
+
+
 @query(
     f"""WITH RECURSIVE {LEVELS} SELECT level, priority, node,
   row_number() OVER (ORDER BY level, priority, node) - 1 AS position FROM levels JOIN nodes USING (node)"""

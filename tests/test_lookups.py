@@ -116,3 +116,33 @@ def test_layered_merge(spark):
     local = spark.createDataFrame([("b", "7", "number", 0), ("a", "3", "string", 1), ("c", None, "null", 2)], ddl)
     out = layered_merge([base, standard, local], kind="kind").orderBy("position")
     assert [(r["name"], r["value"]) for r in out.collect()] == [("projectKey", "P"), ("b", "2"), ("a", "3")]
+
+
+def test_lookups_do_not_sort_their_input(spark):
+    """Positions are found by numeric minima: the plans hold no SortAggregate."""
+    from tablerecon.operators.checks import check_unique_in_group
+
+    rows = spark.createDataFrame([("a", "x", 1, "d"), ("a", "y", 1, "d")], "name string, value string, pos int, type string")
+    view = overlay(rows, rows.filter("pos > 5"), "name", "pos")
+    refs = rows.select("name")
+    plans = [
+        lookup_first(refs, view, "name", "value"),
+        lookup_last(refs, rows, "name", "value", "pos"),
+        layered_merge([rows.withColumnRenamed("pos", "position"), rows.withColumnRenamed("pos", "position")]),
+        check_unique_in_group(rows, "type", "name", "value", "pos"),
+    ]
+    for df in plans:
+        assert "SortAggregate" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_ties_and_nulls_have_one_result(spark):
+    rows = spark.createDataFrame(
+        [("a", "y", 1), ("a", "x", 1), ("a", "z", 0), ("b", None, 2), ("b", "q", 1), ("c", "p", None)],
+        "name string, value string, pos int",
+    )
+    refs = spark.createDataFrame([("a",), ("b",), ("c",), ("d",)], "name string")
+    last = {r["name"]: r["value"] for r in lookup_last(refs, rows, "name", "value", "pos").collect()}
+    assert last == {"a": "x", "b": None, "c": "p", "d": None}
+    scopes = [rows.withColumnRenamed("pos", "position")] * 2
+    got = {r["name"]: (r["value"], r["position"]["scope"], r["position"]["position"]) for r in layered_merge(scopes).collect()}
+    assert got == {"a": ("x", 0, 0), "b": ("q", 0, 1), "c": ("p", 0, None)}

@@ -57,3 +57,45 @@ def test_isolated_paths(spark):
     assert R.isolated_path(spark, "s3a://b/t/", "main") == "s3a://b/t.preview.main"
     target = FileDataset("/d/t.parquet", columns=(Column("a"),))
     assert R.isolated(spark, target, "x").columns == target.columns
+
+
+def test_a_recipe_reads_its_inputs_only(spark, tmp_path):
+    one = spark.createDataFrame([(1, "a")], "id int, t string")
+    secret = spark.createDataFrame([(7, "s")], "id int, t string")
+    secret.createOrReplaceTempView("secret")
+    secret.createOrReplaceGlobalTempView("secret_too")
+    secret.write.mode("overwrite").saveAsTable("stored_secret")
+    path = scratch_path(spark, "direct")
+    secret.write.parquet(path)
+    refused = [
+        "WITH secret AS (SELECT * FROM secret) SELECT * FROM secret",
+        "SELECT * FROM one WHERE id IN (SELECT id FROM secret)",
+        "SELECT (SELECT max(id) FROM secret) AS m FROM one",
+        "SELECT * FROM stored_secret",
+        "SELECT * FROM one WHERE EXISTS (SELECT 1 FROM default.stored_secret)",
+        "SELECT * FROM global_temp.secret_too",
+        f"SELECT * FROM parquet.`{path}`",
+        "WITH a AS (SELECT * FROM one), b AS (SELECT * FROM a JOIN secret USING (id)) SELECT * FROM b",
+    ]
+    for sql in refused:
+        with pytest.raises(ValidationError, match="not an input"):
+            R.sql_recipe(spark, sql, {"one": one})
+    spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION twice(x INT) RETURNS INT RETURN 2 * x")
+    allowed = {
+        "WITH one AS (SELECT id + 1 AS id FROM one) SELECT id FROM one": 2,
+        "WITH secret AS (SELECT id FROM one) SELECT id FROM secret": 1,
+        "SELECT length('UnresolvedRelation [foo]') + id * 0 FROM one": 24,
+        "SELECT id + x FROM one CROSS JOIN (VALUES (3)) AS v(x)": 4,
+        "SELECT twice(id) FROM One": 2,
+    }
+    for sql, want in allowed.items():
+        assert R.sql_recipe(spark, sql, {"one": one}).first()[0] == want
+    assert spark.table("secret").count() == 1
+    spark.sql("DROP TABLE stored_secret")
+    spark.catalog.dropTempView("secret")
+    spark.catalog.dropGlobalTempView("secret_too")
+
+
+def test_input_names_of_any_kind(spark):
+    one = spark.createDataFrame([(1,)], "id int")
+    assert R.sql_recipe(spark, "SELECT id FROM `my table`", {"my table": one}).first()[0] == 1
