@@ -171,12 +171,12 @@ def sync_customer(t: Tables) -> DataFrame:
 
 @query(
     f"""WITH {RAW_CUSTOMERS}
-SELECT coalesce(segment, 'none') AS segment, count(*) AS customers, count(DISTINCT first_name) AS first_names,
-  max(length(last_name)) AS longest FROM raw GROUP BY 1"""
+SELECT coalesce(segment, 'none') AS segment, count(*) AS customers, count(DISTINCT email) AS emails,
+  max(customer_id) AS newest FROM raw GROUP BY 1"""
 )
 def sql_recipe_quality(t: Tables) -> DataFrame:
-    sql = """WITH named AS (SELECT coalesce(segment, 'none') AS segment, first_name, last_name FROM people)
-      SELECT segment, count(*) AS customers, count(DISTINCT first_name) AS first_names, max(length(last_name)) AS longest
+    sql = """WITH named AS (SELECT coalesce(segment, 'none') AS segment, email, customer_id FROM people)
+      SELECT segment, count(*) AS customers, count(DISTINCT email) AS emails, max(customer_id) AS newest
       FROM named GROUP BY segment"""
     return R.sql_recipe(t.spark, sql, {"people": raw_customers(t)})
 

@@ -145,8 +145,8 @@ def test_variables_resolve_before_comparing(spark):
 def test_declared_defaults_expanded_by_the_store(spark):
     """A declared subset of parameters stays a no-op when the store adds its defaults."""
     ddl = "k string, params map<string,string>"
-    declared = {"quoteChar": "'", "charset": "UTF-8"}
-    expanded = {**declared, "charset": "UTF-8", "quoteChar": '"', "compress": "", "parseHeaderRow": "true"}
+    declared = {"quoteChar": '"', "charset": "UTF-8"}
+    expanded = {**declared, "separator": ";", "compress": "", "parseHeaderRow": "true"}
     desired = spark.createDataFrame([("a", declared)], ddl)
     assert plan(desired, spark.createDataFrame([("a", expanded)], ddl), "k").first()["action"] == "no-op"
     drifted = spark.createDataFrame([("a", {**expanded, "quoteChar": "|"})], ddl)
