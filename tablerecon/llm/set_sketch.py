@@ -11,14 +11,19 @@ similarity.
 2. Bands: ``ROWS`` registers in a row are one key; sets that share a key are candidates.
    At the similarity asked for, a pair misses all ``BANDS`` keys with a probability of
    (1 - J**ROWS)**BANDS: 5e-8 at 0.8.
-3. Candidates: each bucket compares one hub, its smallest node, with the rest; then hubs
-   are drawn anew, four times as many a round, among the members that are still in
-   different components.  Pairs inside a component are never formed.
-4. Estimate: of the counts of larger, smaller and equal registers the joint likelihood is
-   taken.  Pairs stay unless the similarity asked for is ``exp(-SURE)`` times less likely
-   than a smaller one (of linked pairs 1e-8 are lost).
-5. Verification: the whole sets of both texts, as 64-bit hashes; two different shingles of
-   a pair agree in hash with a probability of about 1e-13 for texts of a thousand words.
+3. Stars: each bucket compares one hub, its smallest node, with the rest.  Of the counts of
+   larger, smaller and equal registers the joint likelihood is taken; pairs stay unless the
+   similarity asked for is ``exp(-SURE)`` times less likely than a smaller one (of linked
+   pairs 1e-8 are lost).  The others are verified on the whole sets of both texts.
+4. Families: the other members of a bucket are compared inside tasks, by the parity of the
+   registers, in blocks of bounded size; who is not clearly apart belongs to one family.  A
+   bucket gives a spanning forest of families, never its pairs.
+5. Blocks: a family's texts meet block by block.  In a task, pairs of different components
+   that share a band are estimated by their likelihood and verified on their whole sets;
+   out come the links that join components, again a forest.
+
+Sets are compared as 64-bit hashes; two different shingles of a pair agree in hash with a
+probability of about 1e-13 for texts of a thousand words.
 """
 
 from __future__ import annotations
@@ -26,7 +31,7 @@ from __future__ import annotations
 import hashlib
 import math
 from collections import OrderedDict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -44,10 +49,11 @@ REGISTERS = ROWS * BANDS
 BASE, RATE, TOP = 1.001, 20.0, (1 << 16) - 1  # spacing of registers, rate of arrivals, largest register
 SURE = 16.0
 BITS_APART = 40  # of 128 parity bits; linked pairs differ in more with a probability below 1e-10
-HUB_GROWTH = 4
+BUCKET_SETS = 1_024  # of a bucket that meet as many others in one task
+BLOCK_SETS, BLOCK_CHARS = 512, 4_000_000  # of a family
 TOKENS_AT_ONCE, SETS_AT_ONCE = 400_000, 2_048
 SETS_KEPT = 64  # sets that a verifying task remembers
-_GRID = 64  # similarities at which the likelihood is compared
+_GRID = 16  # similarities at which the likelihood is compared; between two of them it differs by 0.2 at most
 
 # Fixed odd multipliers of the arrival stream.
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -120,8 +126,18 @@ def log_likelihood(
 def may_link(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, percent: int) -> np.ndarray:
     """Whether the pairs' registers leave a similarity of ``percent`` likely enough."""
     more, less = (a > b).sum(axis=1), (a < b).sum(axis=1)
+    equal = REGISTERS - more - less
+    # of linked pairs with so few equal registers there is one in 1e12; with so many the estimate is no lower
+    few, many = 200 * equal < percent * REGISTERS, 100 * equal >= percent * REGISTERS
+    out = many & (100 * np.minimum(n_a, n_b) >= percent * np.maximum(n_a, n_b))
+    unclear = np.flatnonzero(~few & ~many)
+    out[unclear] = _likely(more[unclear], less[unclear], n_a[unclear], n_b[unclear], percent)
+    return out
+
+
+def _likely(more: np.ndarray, less: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, percent: int) -> np.ndarray:
     fits = 100 * np.minimum(n_a, n_b) >= percent * np.maximum(n_a, n_b)
-    best = np.full(len(a), -np.inf)
+    best = np.full(len(more), -np.inf)
     for j in np.linspace(0, percent / 100, _GRID, endpoint=False):
         best = np.maximum(best, log_likelihood(more, less, n_a, n_b, j))
     # up to the largest similarity the sizes allow; beyond the one asked for it grows or falls once
@@ -214,11 +230,14 @@ def _estimate(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     return mapped(both.drop("node_a", "node_b"), task, "a bigint, b bigint, content_a binary, content_b binary")
 
 
-def _verify(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``(content, text)`` of the wanted contents, each once."""
+    found = salted_join(docs, wanted.distinct(), [("content", "w")], "left_semi")
+    return written(found.select("content", "text").dropDuplicates(["content"]), "sketch-texts")
+
+
+def _verify(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
     """The pairs ``(u, v)`` whose whole sets are similar enough."""
-    wanted = pairs.select(F.col("content_a").alias("w")).unionByName(pairs.select(F.col("content_b").alias("w")))
-    texts = salted_join(docs, wanted.distinct(), [("content", "w")], "left_semi")
-    texts = written(texts.select("content", "text").dropDuplicates(["content"]), "sketch-texts")
     side = lambda x: texts.select(F.col("content").alias(f"k_{x}"), F.col("text").alias(f"text_{x}"))
     both = salted_join(pairs, side("a"), [("content_a", "k_a")], "inner")
     both = salted_join(both, side("b"), [("content_b", "k_b")], "inner")
@@ -269,29 +288,180 @@ def _first_pairs(postings: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows.select("bucket", "node"), rows.select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
 
 
-def _next_pairs(rows: DataFrame, round_no: int, percent: int) -> tuple[DataFrame, DataFrame] | None:
-    """Of buckets with several components: the members that were no hub, and the pairs of the next hubs."""
-    lists = rows.groupBy("bucket").agg(
-        F.count(F.lit(1)).alias("size"), F.min("root").alias("low"), F.max("root").alias("high")
-    )
-    lists = lists.filter("low < high").select(F.col("bucket").alias("k"), "size")
-    rows = salted_join(rows, lists, [("bucket", "k")], "inner")
-    drawn = F.pmod(F.xxhash64("node", F.lit(round_no)), F.col("size")) < HUB_GROWTH**round_no
-    rows = written(rows.withColumn("is_hub", drawn).drop("k", "size"), "sketch-buckets")
-    if rows.isEmpty():
-        return None
-    hub = rows.filter("is_hub").select(
-        F.col("bucket").alias("k"), *[F.col(c).alias(f"h_{c}") for c in ("node", "root", "n", "b1", "b2")]
-    )
-    apart = F.bit_count(F.col("b1").bitwiseXOR(F.col("h_b1"))) + F.bit_count(F.col("b2").bitwiseXOR(F.col("h_b2")))
-    met = salted_join(rows, hub, [("bucket", "k")], "inner").filter(
-        (F.col("root") != F.col("h_root"))
-        & (~F.col("is_hub") | (F.col("node") > F.col("h_node")))
-        & (100 * F.least("n", "h_n") >= percent * F.greatest("n", "h_n"))
-        & (apart <= BITS_APART)
-    )
-    pairs = met.select(F.least("node", "h_node").alias("a"), F.greatest("node", "h_node").alias("b")).distinct()
-    return rows.filter("NOT is_hub").drop("is_hub"), pairs
+def _block_pairs(rows: DataFrame, key: str, parts: Column, columns: list[str]) -> DataFrame:
+    """Rows dealt into ``parts`` per key, each once for every pair of parts ``(p, q)`` that its own
+    part belongs to, and brought together by pair."""
+    own = F.pmod(F.xxhash64("node"), parts).cast("int")
+    rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), (parts - 1).cast("int"))))
+    pair = [F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q")]
+    rows = rows.select(F.col(key).alias("key"), *pair, "own", *columns)
+    return rows.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q")
+
+
+def _whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Batches cut where ``(key, p, q)`` changes, so that no group is torn."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        ids = np.column_stack([batch.column(c).to_numpy() for c in ("key", "p", "q")])
+        last = np.flatnonzero((ids != ids[-1]).any(axis=1))
+        cut = int(last[-1]) + 1 if len(last) else 0
+        same = held and all(held[-1].column(c)[-1] == batch.column(c)[0] for c in ("key", "p", "q"))
+        if held and (cut or not same):
+            first = batch.slice(0, cut) if same else batch.slice(0, 0)
+            yield pa.Table.from_batches([*held, first])
+            held = []
+            if not same and cut:
+                yield pa.Table.from_batches([batch.slice(0, cut)])
+        elif cut:
+            yield pa.Table.from_batches([batch.slice(0, cut)])
+        held.append(batch.slice(cut))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _groups(table: pa.Table) -> np.ndarray:
+    """The number of each row's group."""
+    ids = np.column_stack([table.column(c).to_numpy() for c in ("key", "p", "q")])
+    return np.concatenate([[0], np.cumsum((ids[1:] != ids[:-1]).any(axis=1))])
+
+
+def _forest(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
+    """The smallest row that pairs connect each of ``n`` rows with."""
+    low = np.arange(n)
+    while True:
+        before = low.copy()
+        both = np.minimum(low[i], low[j])
+        np.minimum.at(low, low[i], both)
+        np.minimum.at(low, low[j], both)
+        low = low[low]
+        if (low == before).all():
+            return low
+
+
+def _family_task(percent: int) -> Callable:
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _whole_groups(batches):
+            node, n, b1, b2, own, p, q = (table.column(c).to_numpy() for c in ("node", "n", "b1", "b2", "own", "p", "q"))
+            group = _groups(table)
+            left, right = [], []
+            here, step = np.arange(len(node)), 0
+            while len(here):
+                step += 1
+                here = here[here + step < len(node)]
+                here = here[group[here] == group[here + step]]
+                a, b = here, here + step
+                some = (p[a] == q[a]) | (own[a] != own[b])
+                some &= 100 * np.minimum(n[a], n[b]) >= percent * np.maximum(n[a], n[b])
+                a, b = a[some], b[some]
+                apart = np.bitwise_count((b1[a] ^ b1[b]).view(np.uint64)).astype(np.int64)
+                apart += np.bitwise_count((b2[a] ^ b2[b]).view(np.uint64))
+                left.append(a[apart <= BITS_APART])
+                right.append(b[apart <= BITS_APART])
+            if left:
+                low = _forest(np.concatenate(left), np.concatenate(right), len(node))
+                u = np.flatnonzero(low != np.arange(len(node)))
+                if len(u):
+                    yield pa.RecordBatch.from_arrays([pa.array(node[u]), pa.array(node[low[u]])], ["u", "v"])
+
+    return task
+
+
+def _families(rows: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """``(node, family)`` of the nodes that share a bucket (bucket, node) with one not clearly apart."""
+    lists = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"))
+    lists = lists.filter("size > 1").select(F.col("bucket").alias("k"), "size")
+    rows = salted_join(rows, lists, [("bucket", "k")], "inner").drop("k")
+    known = nodes.select(F.col("node").alias("x"), "n", "b1", "b2")
+    rows = salted_join(rows, known, [("node", "x")], "inner")
+    met = _block_pairs(rows, "bucket", F.ceil(F.col("size") / BUCKET_SETS), ["node", "n", "b1", "b2"])
+    edges = written(mapped(met, _family_task(percent), "u bigint, v bigint"), "sketch-family-edges")
+    return components(edges).withColumnRenamed("root", "family")
+
+
+def _candidates(registers: np.ndarray, n: np.ndarray, roots: np.ndarray, may_meet: np.ndarray, i: int, percent: int) -> np.ndarray:
+    """Rows after ``i`` that share a band with it and whose registers leave a link likely enough."""
+    j = i + 1 + np.flatnonzero(may_meet & (roots[i + 1 :] != roots[i]))
+    j = j[100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j])]
+    equal = registers[j] == registers[i]
+    j = j[equal.reshape(len(j), BANDS, ROWS).all(axis=2).any(axis=1)]
+    if not len(j):
+        return j
+    return j[may_link(np.repeat(registers[i : i + 1], len(j), axis=0), registers[j], np.repeat(n[i], len(j)), n[j], percent)]
+
+
+class _Sets:
+    """The sets of a group, numbered so that one set meets many at once."""
+
+    def __init__(self, texts: pa.ChunkedArray, shingle: Shingler) -> None:
+        sets = [shingle(t.as_py()) for t in texts]
+        self._ends = np.cumsum([len(s) for s in sets])
+        self._starts = np.concatenate([[0], self._ends[:-1]])
+        _, flat = np.unique(np.concatenate(sets), return_inverse=True)
+        self._flat = flat
+        self._mark = np.zeros(int(flat.max()) + 1, bool)
+
+    def common(self, i: int, others: np.ndarray) -> np.ndarray:
+        """How many shingles set ``i`` has in common with each of the others, which ascend."""
+        own = self._flat[self._starts[i] : self._ends[i]]
+        self._mark[own] = True
+        first = int(self._starts[others[0]])
+        hits = self._mark[self._flat[first : int(self._ends[others[-1]])]]
+        upto = np.concatenate([[0], np.cumsum(hits)])
+        self._mark[own] = False
+        return upto[self._ends[others] - first] - upto[self._starts[others] - first]
+
+
+def _block_task(words: int, percent: int) -> Callable:
+    def links(table: pa.Table, shingle: Shingler) -> list[tuple[int, int]]:
+        node, roots, n, own = (table.column(c).to_numpy() for c in ("node", "root", "n", "own"))
+        registers = np.frombuffer(b"".join(table.column("registers").to_pylist()), "<u2").reshape(-1, REGISTERS)
+        inside = table.column("p")[0] == table.column("q")[0]
+        _, roots = np.unique(roots, return_inverse=True)
+        sets, found = None, []
+        for i in range(len(node) - 1):
+            meets = np.full(len(node) - i - 1, True) if inside else own[i + 1 :] != own[i]
+            others = _candidates(registers, n, roots, meets, i, percent)
+            if not len(others):
+                continue
+            sets = sets or _Sets(table.column("text"), shingle)
+            common = sets.common(i, others)
+            linked = others[100 * common >= percent * (n[i] + n[others] - common)]
+            for j in linked.tolist():
+                if roots[i] != roots[j]:
+                    found.append((int(node[i]), int(node[j])))
+                    roots[roots == roots[j]] = roots[i]
+        return found
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingle = Shingler(words)
+        for table in _whole_groups(batches):
+            edges = np.flatnonzero(np.diff(_groups(table), prepend=-1))
+            for start, end in zip(edges, [*edges[1:], table.num_rows], strict=True):
+                if found := links(table.slice(int(start), int(end - start)).combine_chunks(), shingle):
+                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], ["u", "v"])
+
+    return task
+
+
+def _family_links(families: DataFrame, roots: DataFrame | None, nodes: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links ``(u, v)`` that join the components of each family."""
+    members = written(_with_root(families, roots), "sketch-members")
+    apart = members.groupBy("family").agg(F.min("root").alias("low"), F.max("root").alias("high"))
+    apart = apart.filter("low < high").select(F.col("family").alias("f"))
+    members = salted_join(members, apart, [("family", "f")], "left_semi")
+    of = nodes.select(F.col("node").alias("x"), "n", "content", "registers")
+    members = salted_join(members, of, [("node", "x")], "inner").drop("x")
+    members = salted_join(members, texts.select(F.col("content").alias("k"), "text"), [("content", "k")], "inner")
+    members = written(members.drop("k", "content"), "sketch-members")
+    sizes = members.select("family", F.char_length("text").alias("chars")).groupBy("family")
+    sizes = sizes.agg(F.count(F.lit(1)).alias("c"), F.sum("chars").alias("t"))
+    parts = F.ceil(F.greatest(F.col("c") / BLOCK_SETS, F.col("t") / BLOCK_CHARS))
+    sizes = written(sizes.select(F.col("family").alias("f"), parts.alias("parts")), "sketch-family-sizes")
+    members = salted_join(members, sizes, [("family", "f")], "inner")
+    met = _block_pairs(members, "family", F.col("parts"), ["node", "root", "n", "registers", "text"])
+    return written(mapped(met, _block_task(words, percent), "u bigint, v bigint"), "sketch-links")
 
 
 def _roots(nodes: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame | None:
@@ -299,22 +469,16 @@ def _roots(nodes: DataFrame, docs: DataFrame, words: int, percent: int) -> DataF
     key = F.xxhash64("band", F.substring("registers", F.col("band") * (2 * ROWS) + 1, 2 * ROWS)).alias("bucket")
     postings = nodes.filter("registers IS NOT NULL").select("node", "registers", F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))).alias("band"))
     rows, pairs = _first_pairs(postings.select(key, "node"))
-    known = nodes.select(F.col("node").alias("x"), "n", "b1", "b2")
-    roots, round_no = None, 0
-    while True:
-        pairs = written(_estimate(written(pairs, "sketch-pairs"), nodes, percent), "sketch-likely")
-        if not pairs.isEmpty():
-            links = written(_verify(pairs, docs, words, percent), "sketch-links")
-            if not links.isEmpty():
-                roots = _merged_roots(roots, links)
-        rows = _with_root(rows.drop("root"), roots)
-        if round_no == 0:
-            rows = salted_join(rows, known, [("node", "x")], "inner").drop("x")
-        found = _next_pairs(rows, round_no, percent)
-        if found is None:
-            return roots
-        rows, pairs = found
-        round_no += 1
+    pairs = written(_estimate(written(pairs, "sketch-pairs"), nodes, percent), "sketch-likely")
+    families = written(_families(rows, nodes, percent), "sketch-families")
+    # texts travel once, for both steps
+    inside = salted_join(nodes.select("node", "content"), families.select(F.col("node").alias("x")), [("node", "x")], "left_semi")
+    wanted = [pairs.select(F.col("content_a").alias("w")), pairs.select(F.col("content_b").alias("w")), inside.select(F.col("content").alias("w"))]
+    texts = _texts(docs, wanted[0].unionByName(wanted[1]).unionByName(wanted[2]))
+    links = written(_verify(pairs, texts, words, percent), "sketch-links")
+    roots = None if links.isEmpty() else _merged_roots(None, links)
+    links = _family_links(families, roots, nodes, texts, words, percent)
+    return roots if links.isEmpty() else _merged_roots(roots, links)
 
 
 def near_duplicates(
