@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablerecon.llm.common import mapped, prepare, shuffle_partitions, text_column
-from tablerecon.llm.html_text import OPEN, STATED, Block, blocks, common_lines
+from tablerecon.llm.html_text import OPEN, STATED, WRAPPED, Block, blocks, common_lines
 
 PAGES_PER_RANGE = 2_000
 SAMPLED_PER_RANGE = 40
@@ -138,7 +138,7 @@ def _same(found: list[Block]) -> str:
 
 def _parse(found: list[Block]) -> tuple[list[int], list[tuple[int, str]], bool]:
     """Hashes of all lines, the lines that may be main text, and whether an <article> holds some of them."""
-    wanted = STATED if any(b.kind == STATED for b in found) else OPEN
+    wanted = next((k for k in (STATED, OPEN, WRAPPED) if any(b.kind == k for b in found)), OPEN)
     lines = [(i, b.text) for i, b in enumerate(found) if b.kind == wanted]
     return [_line_hash(b.text) for b in found], lines, any(b.article and b.kind == wanted for b in found)
 

@@ -180,3 +180,67 @@ def test_awkward_rows(make_pages, spark):
         got = [tuple(r) for r in extract_main_text(df).collect()]
         assert sorted(got, key=repr) == sorted(want, key=repr)
     assert extract_main_text(spark.createDataFrame([], PAGE)).collect() == []
+
+
+def _kept(page):
+    from tablerecon.llm.page_diff import _parse
+
+    return [t for _, t in _parse(blocks(page))[1]]
+
+
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ("<article><p>One</p><svg class='i' viewBox='0 0 1 1' /><p>Two</p></article>", ["One", "Two"]),
+        ("<article><p>One</p><svg><path d='x'/><text>no</text></svg><p>Two</p></article>", ["One", "Two"]),
+        ("<div class='layout has-sidebar'><article><p>One</p></article></div>", ["One"]),
+        ("<div id='search-page'><main><p>One</p></main></div>", ["One"]),
+        ("<form id='aspnetForm'><nav>no</nav><article><p>One</p></article></form>", ["One"]),
+        ("<form id='aspnetForm'><p>One</p></form>", ["One"]),
+        ("<body><form><p>no</p></form><p>One</p></body>", ["One"]),
+        ("<article><p class='ad'>buy<p>Real para</article>", ["Real para"]),
+        ("<article><p class='social-science'>One</p><div class='entry-header'><h1>Head</h1></div></article>", ["One", "Head"]),
+        ("<article><p>One</p><div class='ad-slot'>no</div><div class='related-posts'>no</div></article>", ["One"]),
+        ("<article><ul><li class='share'>no<li>One<li>Two</ul><table><tr><td class='ad'>no<td>Cell</table></article>", ["One", "Two", "Cell"]),
+        ("<div class='related'><article>no</article></div><article><p>One</p></article>", ["One"]),
+        ("<article><p>One<hr>Two</article>", ["One", "Two"]),
+    ],
+)
+def test_articles_are_not_lost(page, want):
+    assert _kept(page) == want
+
+
+def test_long_pages_align_in_bounded_memory(monkeypatch):
+    import random
+    import tracemalloc
+
+    from tablerecon.llm import html_text as H
+
+    rnd = random.Random(4)
+
+    def length(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            last = row
+            row = [0]
+            for j, y in enumerate(b):
+                row.append(last[j] + 1 if x == y else max(row[j], last[j + 1]))
+        return row[-1]
+
+    for bits, pairs, block in ((40, 1 << 20, 4096), (4, 0, 7), (4, 5, 3)):
+        monkeypatch.setattr(H, "_MOST_BITS", bits)
+        monkeypatch.setattr(H, "_MOST_PAIRS", pairs)
+        monkeypatch.setattr(H, "_BLOCK", block)
+        for _ in range(80):
+            a, b = ([rnd.randrange(1, 6) for _ in range(rnd.randrange(30))] for _ in range(2))
+            got = [x for x, both in zip(a, common_lines(a, b), strict=True) if both]
+            rest = iter(b)
+            assert len(got) == length(a, b) and all(x in rest for x in got)
+    monkeypatch.undo()
+    a = [rnd.randrange(1 << 40) for _ in range(300_000)]
+    b = [rnd.randrange(1 << 40) if rnd.random() < 0.01 else x for x in a]
+    tracemalloc.start()
+    shared = common_lines(a, b)
+    assert tracemalloc.get_traced_memory()[1] < 500e6
+    tracemalloc.stop()
+    assert sum(shared) == sum(x == y for x, y in zip(a, b, strict=True))
