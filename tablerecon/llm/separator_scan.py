@@ -51,7 +51,7 @@ def flat_streams(
     dtype = _width(end_id, vocabulary_size)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(vocabulary).encode_batch
+        encode = encoder(vocabulary, added_tokens=False).encode_batch
         stream, block, ordinal = TaskContext.get().partitionId(), 0, 0
         size = block_tokens * np.dtype(dtype).itemsize
         end = np.array([end_id], dtype).tobytes()

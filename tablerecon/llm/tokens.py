@@ -4,7 +4,8 @@ The vocabulary file is a byte-level BPE in the ``tokenizers`` JSON format.  Its
 pre-tokenizer cuts a text so that nothing crosses the border before an optional
 space and a run without white space, so such chunks are encoded one by one and
 remembered: words come back often.  Results equal encoding the whole text with
-the ``tokenizers`` library, special tokens taken as plain text.
+the ``tokenizers`` library, which finds the vocabulary's added tokens first: a text
+that spells one out holds its id there, unless they are asked to be plain text.
 """
 
 from __future__ import annotations
@@ -50,13 +51,19 @@ def _plain(text: str) -> bool:
 class Encoder:
     """Ids as little-endian unsigned 32-bit numbers."""
 
-    def __init__(self, vocabulary: str) -> None:
+    def __init__(self, vocabulary: str, added_tokens: bool = True) -> None:
         import tiktoken
 
         with open(vocabulary, encoding="utf-8") as f:
             spec = json.load(f)
         signs = _byte_of_sign()
-        special = {t["content"] for t in spec.get("added_tokens", [])}
+        added = spec.get("added_tokens", [])
+        if any(t["single_word"] or t["lstrip"] or t["rstrip"] for t in added):
+            raise ValueError("added tokens that take white space or whole words only are not supported")
+        special = {t["content"] for t in added}
+        self._added = {t["content"]: array("I", [t["id"]]).tobytes() for t in added}
+        longest_first = sorted(map(re.escape, special), key=len, reverse=True)
+        self._spelled = re.compile(f"({'|'.join(longest_first)})") if special and added_tokens else None
         ranks = {
             bytes(signs[c] for c in token): rank
             for token, rank in spec["model"]["vocab"].items()
@@ -106,6 +113,11 @@ class Encoder:
         skip = 4 * len(self._break)
         return [b"".join(ids)[skip:] for ids in known]
 
+    def _with_added(self, text: str) -> bytes:
+        """Added tokens as they stand, what lies between them as texts of their own."""
+        pieces = self._spelled.split(text)
+        return b"".join(self._added[p] if i % 2 else self._any(p) for i, p in enumerate(pieces))
+
     def _any(self, text: str) -> bytes:
         out = []
         for chunk in _CHUNKS.findall(text):
@@ -124,6 +136,9 @@ class Encoder:
         for i, text in enumerate(texts):
             if not text:
                 continue
+            if self._spelled and self._spelled.search(text):
+                out[i] = self._with_added(text)
+                continue
             if not _plain(text):
                 out[i] = self._any(text)
                 continue
@@ -141,11 +156,12 @@ class Encoder:
         return self.encode_batch([text])[0]
 
 
-_ENCODERS: dict[str, Encoder] = {}
+_ENCODERS: dict[tuple[str, bool], Encoder] = {}
 
 
-def encoder(vocabulary: str) -> Encoder:
+def encoder(vocabulary: str, added_tokens: bool = True) -> Encoder:
     """One per worker process, with what it remembers."""
-    if vocabulary not in _ENCODERS:
-        _ENCODERS[vocabulary] = Encoder(vocabulary)
-    return _ENCODERS[vocabulary]
+    key = (vocabulary, added_tokens)
+    if key not in _ENCODERS:
+        _ENCODERS[key] = Encoder(vocabulary, added_tokens)
+    return _ENCODERS[key]

@@ -15,7 +15,6 @@ VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 @pytest.fixture(scope="module")
 def tokenizer():
     t = Tokenizer.from_file(VOCABULARY)
-    t.encode_special_tokens = True
     return t
 
 
@@ -114,3 +113,10 @@ def test_sequences_round_trip(make_docs, tokenizer):
 
 def test_empty_table(empty):
     assert best_fit_pack(pieces(empty, VOCABULARY)).collect() == []
+
+
+def test_added_tokens_as_the_library_has_them(tokenizer):
+    coder = Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>\n y", "<|endoftext|", " <|endoftext|>é  z", "| <|endoftext |>"]
+    for text, ids in zip(texts, coder.encode_batch(texts), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids

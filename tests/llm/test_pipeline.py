@@ -56,7 +56,6 @@ def test_copies_are_drawn_as_planned(stages):
 
 def test_every_drawn_copy_is_packed(stages):
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     want = sum(len(t.encode(r["text"] or "", add_special_tokens=False).ids) + 1 for r in stages[4].collect())
     rows = stages[5].collect()
     assert sum(r["length"] for r in rows) == want
