@@ -24,6 +24,7 @@ from re import _parser as rx_parser
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tablerecon.functions.text import let
 from tablerecon.llm.common import LOWER, UPPER, prepare, written
 
 
@@ -65,6 +66,7 @@ MORE_RULES = (
 )
 RULES = BASE_RULES + MORE_RULES
 
+SPANS_AT_ONCE = 256  # matches that are appended to one array
 MAX_LITERALS = 64  # a node with more alternatives counts as anything; the query only gets weaker
 
 
@@ -184,16 +186,35 @@ def rule_spans(text: Column, rule: Rule) -> Column:
     )
     gaps = F.transform(F.split(text, rule.expression, -1), lambda s: F.char_length(s).cast("bigint"))
     parts = F.arrays_zip(gaps.alias("gap"), pieces.alias("match"))
+    zero = F.lit(0).cast("bigint")
+    length = lambda part: part["gap"] + F.coalesce(part["match"]["len"], zero)
 
     def add(acc: Column, part: Column) -> Column:
         start = acc["pos"] + part["gap"]
-        end = start + F.coalesce(part["match"]["len"], F.lit(0).cast("bigint"))
+        end = acc["pos"] + length(part)
         span = F.struct(start.alias("start"), end.alias("end"), F.lit(rule.kind).alias("kind"))
         spans = F.when(part["match"]["ok"], F.array_append(acc["spans"], span)).otherwise(acc["spans"])
         return F.struct(end.alias("pos"), spans.alias("spans")).cast(step)
 
-    zero = F.struct(F.lit(0).cast("bigint").alias("pos"), F.array().alias("spans")).cast(step)
-    return F.aggregate(parts, zero, add, lambda acc: acc["spans"])
+    # Appending copies what there is already: so the parts go in blocks, each from the place
+    # where the block before it ends.
+    def spread(parts: Column) -> Column:
+        blocks = F.transform(
+            F.sequence(F.lit(0), F.floor((F.size(parts) - 1) / SPANS_AT_ONCE).cast("int")),
+            lambda b: F.slice(parts, b * SPANS_AT_ONCE + 1, F.lit(SPANS_AT_ONCE)),
+        )
+        return let(blocks, placed)
+
+    def placed(blocks: Column) -> Column:
+        sizes = F.transform(blocks, lambda block: F.aggregate(block, zero, lambda n, part: n + length(part)))
+        return let(sizes, lambda n: F.flatten(F.transform(blocks, lambda block, i: spans(block, F.slice(n, F.lit(1), i)))))
+
+    def spans(block: Column, before: Column) -> Column:
+        start = F.aggregate(before, zero, lambda n, size: n + size)
+        state = F.struct(start.alias("pos"), F.array().alias("spans")).cast(step)
+        return F.aggregate(block, state, add, lambda acc: acc["spans"])
+
+    return let(parts, spread)
 
 
 def find_secrets(
@@ -207,7 +228,7 @@ def find_secrets(
     Spans are ordered by start, then by the rule's place in ``rules``.  A null text
     counts as empty and has no spans; rows that repeat an id and a text have equal
     results; null ids keep their rows.  An empty table gives an empty result; other
-    columns are ignored.  Texts of any length are read whole.
+    columns are ignored.  Texts of any length and with any number of matches are read whole.
     """
     spark = prepare(docs.sparkSession)
     rows = docs.select(

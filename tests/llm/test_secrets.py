@@ -116,3 +116,17 @@ def test_the_package_keeps_to_the_cluster():
     for path in [*(root / "tablerecon" / "llm").glob("*.py"), root / "corpus_pipeline.py"]:
         text = path.read_text()
         assert not [b for b in banned if b in text], path
+
+
+def test_very_many_matches_in_one_text(make_docs):
+    """Spans grow with the matches, not with their square."""
+    import time
+
+    word = "0123456789abcdef0123456789abcdef"
+    n = 100_000
+    docs = make_docs([(1, " ".join([word] * n)), (2, f"x {word}")])
+    began = time.monotonic()
+    got = {r["doc_id"]: r["spans"] for r in find_secrets(docs).collect()}
+    assert time.monotonic() - began < 60
+    assert [(s["start"], s["end"]) for s in got[1]] == [(33 * i, 33 * i + 32) for i in range(n)]
+    assert [(s["start"], s["end"], s["kind"]) for s in got[2]] == [(2, 34, "hex")]
