@@ -55,6 +55,11 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
+def named(column: str) -> Column:
+    """A column by its name as it is, dots and all."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
 def unused(df: DataFrame, name: str) -> str:
     """A column name like ``name`` that ``df`` does not have."""
     taken = {c.lower() for c in df.columns}

@@ -78,16 +78,21 @@ def exact_duplicates(
 
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one row of each class of equal texts, columns unchanged."""
-    sha = unused(docs, "__sha")
+    """``docs`` with one row of each class of equal texts, columns unchanged.
+
+    Of a class the row with the largest id stays; of rows that repeat id and text one.  A null
+    text counts as empty, a null id as smaller than all others.  An empty table stays empty;
+    other columns may have any names.
+    """
+    sha, k_id, k_sha = (unused(docs, n) for n in ("__sha", "k_id", "k_sha"))
     kept = written(
         exact_duplicates(docs, id_col, text_col)
         .filter("kept")
-        .select(F.col("doc_id").alias("k_id"), F.col("text_sha256").alias("k_sha")),
+        .select(F.col("doc_id").alias(k_id), F.col("text_sha256").alias(k_sha)),
         "dedup-kept",
     )
-    repeated = not kept.groupBy("k_id", "k_sha").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty()
-    match = F.col(id_col).eqNullSafe(F.col("k_id")) & (F.col(sha) == F.col("k_sha"))
+    repeated = not kept.groupBy(k_id, k_sha).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty()
+    match = F.col(id_col).eqNullSafe(F.col(k_id)) & (F.col(sha) == F.col(k_sha))
     rows = docs.withColumn(sha, F.sha2(fold_ascii(F.col(text_col)), 256))
     out = rows.join(kept, match, "left_semi")
     return (out.dropDuplicates([id_col, sha]) if repeated else out).drop(sha)

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablerecon.llm.common import prepare, unused, written
+from tablerecon.llm.common import named, prepare, unused, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
@@ -282,7 +282,9 @@ def draw_mix(
 ) -> DataFrame:
     """The mixed documents: every drawn copy as a row of ``docs``, shard by shard, shuffled within.
 
-    ``shard_col`` adds the shard under that name.
+    ``shard_col`` adds the shard under that name.  Nulls, empty texts and repeated rows count as in
+    ``mix``; a text without words is in no mix.  An empty table stays empty; other columns may
+    have any names.
     """
     prepare(docs.sparkSession)
     key, source = unused(docs, "__key"), unused(docs, "__source")
@@ -293,9 +295,9 @@ def draw_mix(
     )
     shares = plan_mix(sizes, weights, max_repeats, shards, seed)
     # the packed columns keep their names apart from those of the plan
-    packed = keyed.select(F.struct(*docs.columns).alias("doc"), F.col(key).alias("key"), F.col(source).alias("source"))
+    packed = keyed.select(F.struct(*[named(c) for c in docs.columns]).alias("doc"), F.col(key).alias("key"), F.col(source).alias("source"))
     copies = _planned(packed, shares, "source", "key", seed).select("doc", "key", F.posexplode("shards").alias("copy", "shard"))
     order = F.xxhash64(F.lit(seed), "key", "copy")
     laid = copies.withColumn("order", order).repartition(max(1, shards), "shard").sortWithinPartitions("shard", "order")
-    columns = [F.col("doc").getField(c).alias(c) for c in docs.columns]
+    columns = [F.col("doc")[c].alias(c) for c in docs.columns]
     return laid.select(*columns, *([F.col("shard").alias(shard_col)] if shard_col else []))

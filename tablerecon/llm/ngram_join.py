@@ -849,6 +849,7 @@ def one_per_component(
         own = unused(docs, "__row")
         docs = written(docs.withColumn(own, F.monotonically_increasing_id()), "numbered")
     found = near_duplicates(docs, own, text_col, words, percent)
-    kept = written(found.filter("doc_id = component_id").select(F.col("doc_id").alias("keep")), "kept-ids")
-    out = docs.join(kept, F.col(own) == F.col("keep"), "left_semi")
+    keep = unused(docs, "keep")
+    kept = written(found.filter("doc_id = component_id").select(F.col("doc_id").alias(keep)), "kept-ids")
+    out = docs.join(kept, F.col(own) == F.col(keep), "left_semi")
     return out if own == id_col else out.drop(own)

@@ -61,7 +61,7 @@ def clashing():
     def add(df):
         from pyspark.sql import functions as F
 
-        names = ["score", "kept", "keep_id", "component_id", "sig", "node", "u", "v", "key", "size", "norm", "digest", "salt"]
-        return df.select("*", *[F.lit("x").alias(n) for n in names], F.lit(1).alias("__key"), F.lit(2).alias("__sha"))
+        names = ["score", "kept", "keep_id", "component_id", "sig", "node", "u", "v", "size", "norm", "digest", "salt", "k_id", "k_sha", "keep", "copy", "shard", "key"]
+        return df.select("*", *[F.lit("x").alias(n) for n in names], F.lit(1).alias("__key"), F.lit(2).alias("__sha"), F.lit(3).alias("a.b"))
 
     return add
