@@ -33,8 +33,6 @@ from tablerecon.session import materialize
 # Tasks get these functions by value: they need no copy of the library.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-MOST_SPLITS = 50_000  # rows of the split table, some 100 bytes and a header each, that are broadcast
-
 
 def line_end(line: Column, inside: Column, sep: str, quote: str, escape: str) -> Column:
     """Whether a line that begins ``inside`` quotes, or not, ends inside.
@@ -203,12 +201,10 @@ def records(
     lines = _lines(spark, path, options)
     splits = splits if splits is not None else split_table(spark, path, options, header_at)
     same = (F.col("file") == F.col("s_file")) & (F.col("block") == F.col("s_block"))
-    if splits.limit(MOST_SPLITS + 1).count() <= MOST_SPLITS:
-        # the lines stay where they were read, in order
-        met = lines.join(F.broadcast(splits), same).drop("s_file", "s_block")
-    else:
-        met = lines.withColumn("at", F.monotonically_increasing_id()).join(splits, same).drop("s_file", "s_block")
-        met = met.repartition("file", "block").sortWithinPartitions("file", "block", "at").drop("at")
+    # A split is read by one task, so however the join is done its lines stay in one partition;
+    # their order is made sure of.
+    met = lines.withColumn("at", F.monotonically_increasing_id()).join(splits, same).drop("s_file", "s_block")
+    met = met.sortWithinPartitions("file", "block", "at").drop("at")
     schema = "file string, owner bigint, block bigint, text string, header string, torn boolean"
     found = met.mapInArrow(_records(), schema)
     whole = found.filter("NOT torn").select("file", F.col("owner").alias("number"), "text", "header")
