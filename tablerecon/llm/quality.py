@@ -1,20 +1,25 @@
 """Quality rules whose cutoffs are chosen under a guarantee.
 
-Every rule rejects documents whose measure exceeds a cutoff.  For each stratum,
-rule and cutoff of a fixed grid, labelled good documents tell how often the rule
-would reject wrongly.  The exact binomial tail tests "this rejects at least
-``max_false`` of the good documents"; only where that is refuted may the cutoff be
-used.  All tests share one error budget ``delta``, divided by their number
-(Bonferroni), so with probability 1 - delta no rule of any stratum rejects more
-good documents than ``max_false``.  Among the certified cutoffs the one with the
-most bad documents caught, less good ones lost, is taken, the loosest of equals.
-A stratum with too few labels certifies nothing and rejects nothing.
+Every rule rejects documents whose measure exceeds a cutoff; a document is rejected when one
+rule does.  Per stratum:
+
+1. A quarter of the labelled documents, by a hash of their ids, proposes: for each rule the
+   cutoff of a fixed grid with the most bad documents caught, less good ones lost, among those
+   that lose at most ``max_false`` of the good; rules are ordered by that gain.
+2. The others certify.  For the first rule, the first two together, and so on, the exact
+   binomial tail tests "these reject at least ``max_false`` of the good documents"; the longest
+   row of rules for which that is refuted is used.
+
+All tests share one error budget ``delta``, divided by their number (Bonferroni), so with
+probability 1 - delta no stratum loses more than ``max_false`` of its good documents to all
+its rules together.  A stratum with too few labels certifies nothing and rejects nothing.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -23,6 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablerecon.llm.common import mapped, text_column, written
+from tablerecon.operators.skew import salted_join
 
 # Fixed values.
 SYMBOLS = "#*$%&|<>"
@@ -32,6 +38,7 @@ MAX_REPEAT_PERCENT = 50
 
 MAX_FALSE = 0.01
 DELTA = 0.05
+PROPOSING = 4  # one labelled document in so many proposes, the others certify
 
 # Measure of a document, and the grid its cutoffs come from.
 GRID: dict[str, list[float]] = {
@@ -132,18 +139,32 @@ def binomial_tail(k: int, n: int, p: float) -> float:
     return min(1.0, math.exp(top) * math.fsum(math.exp(x - top) for x in logs))
 
 
-def choose(good: list[int], bad: list[int], n_good: int, max_false: float, level: float) -> int | None:
-    """Index of the cutoff to use; ``good`` and ``bad`` count what each cutoff rejects."""
-    best, best_gain = None, 0
-    for i in range(len(good)):
-        # the tail only grows with the number rejected
-        if good[i] < n_good * max_false and binomial_tail(good[i], n_good, max_false) <= level:
-            gain = bad[i] - good[i]
-            if gain >= best_gain and gain > 0:
-                best, best_gain = i, gain
+def propose(good: list[int], bad: list[int], n_good: int, max_false: float) -> tuple[int, int] | None:
+    """Index and gain of a rule's cutoff; ``good`` and ``bad`` count what each cutoff rejects.
+    Of equal gains the loosest cutoff is taken."""
+    best = None
+    for i, (lost, caught) in enumerate(zip(good, bad, strict=True)):
+        if lost <= n_good * max_false and caught > lost and (best is None or caught - lost >= best[1]):
+            best = (i, caught - lost)
     return best
 
 
+def certified(lost: list[int], n_good: int, max_false: float, level: float) -> int:
+    """How many rules may be used: ``lost[k]`` good documents of ``n_good`` go with the first k + 1."""
+    fits = [k + 1 for k, x in enumerate(lost) if x < n_good * max_false and binomial_tail(x, n_good, max_false) <= level]
+    return max(fits, default=0)
+
+
+def _labelled(counts: DataFrame, labels: DataFrame) -> DataFrame:
+    """``(stratum, good, proposes, <measure>...)`` of the labelled documents that pass the base rules."""
+    marks = labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull())
+    marks = marks.groupBy("doc_id").agg((F.min("quality") > 0).cast("int").alias("good"))
+    held = counts.filter(~base_failed()).join(marks, "doc_id")
+    proposes = F.crc32(F.concat(F.lit("proposes:"), F.col("doc_id").cast("string"))) % PROPOSING == 0
+    values = [m.alias(n) for n, m in measures().items()]
+    return written(held.select("stratum", "good", proposes.alias("proposes"), *values), "quality-labelled")
+
+
 def cutoffs(
     counts: DataFrame, labels: DataFrame, max_false: float = MAX_FALSE, delta: float = DELTA
 ) -> DataFrame:
@@ -153,32 +174,57 @@ def cutoffs(
     both ways counts as bad, null labels and ids without a document count nowhere.
     All labelled documents that pass the base rules are used.
     """
-    marks = labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull())
-    marks = marks.groupBy("doc_id").agg(F.min("quality").alias("good"))
-    held = counts.filter(~base_failed()).join(marks, "doc_id").select("stratum", "good", *[m.alias(n) for n, m in measures().items()])
+    held = _labelled(counts, labels)
     sums = []
     for name, grid in GRID.items():
         for i, cut in enumerate(grid):
             over = F.col(name) > cut
-            sums.append(F.sum(F.when(over & (F.col("good") > 0), 1).otherwise(0)).alias(f"good_{name}_{i}"))
-            sums.append(F.sum(F.when(over & (F.col("good") <= 0), 1).otherwise(0)).alias(f"bad_{name}_{i}"))
-    sums.append(F.sum(F.when(F.col("good") > 0, 1).otherwise(0)).alias("n_good"))
-    table = written(held.groupBy("stratum").agg(*sums), "quality-counts")
-    level = delta / max(1, table.count() * sum(len(g) for g in GRID.values()))
+            sums.append(F.sum(F.when(over, F.col("good")).otherwise(0)).alias(f"good_{name}_{i}"))
+            sums.append(F.sum(F.when(over, 1 - F.col("good")).otherwise(0)).alias(f"bad_{name}_{i}"))
+    table = held.filter("proposes").groupBy("stratum").agg(*sums, F.sum("good").alias("n_good"))
+
+    def choose(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out: dict[str, list] = {"stratum": frame["stratum"].tolist()}
+            out |= {f"{kind}_{n}": [] for kind in ("cut", "rank") for n in GRID}
+            for row in frame.to_dict("records"):
+                found = {}
+                for name, grid in GRID.items():
+                    good, bad = ([int(row[f"{kind}_{name}_{i}"]) for i in range(len(grid))] for kind in ("good", "bad"))
+                    best = propose(good, bad, int(row["n_good"]), max_false)
+                    if best is not None:
+                        found[name] = (-best[1], name, grid[best[0]])
+                order = [name for _, name, _ in sorted(found.values())]
+                for name in GRID:
+                    out[f"cut_{name}"].append(found[name][2] if name in found else None)
+                    out[f"rank_{name}"].append(order.index(name) + 1.0 if name in found else None)
+            yield pd.DataFrame(out).astype({c: "float64" for c in out if c != "stratum"})
+
+    fields = ", ".join(f"{kind}_{n} double" for kind in ("cut", "rank") for n in GRID)
+    chosen = written(table.mapInPandas(choose, f"stratum string, {fields}"), "quality-proposed")
+    # the rules that the first k reject with, nan and null stand for none
+    on = lambda name, k: F.coalesce(F.col(f"rank_{name}") <= k, F.lit(False)) & ~F.isnan(f"rank_{name}")
+    met = salted_join(held.filter("NOT proposes"), chosen.withColumnRenamed("stratum", "of"), [("stratum", "of")], "inner")
+    lost = []
+    for k in range(1, len(GRID) + 1):
+        hit = reduce(lambda a, b: a | b, [on(n, k) & (F.col(n) > F.col(f"cut_{n}")) for n in GRID])
+        lost.append(F.sum(F.when(F.coalesce(hit, F.lit(False)), F.col("good")).otherwise(0)).alias(f"lost_{k}"))
+    tests = met.groupBy("stratum").agg(*lost, F.sum("good").alias("n_good"))
+    tests = written(tests.join(chosen, "stratum"), "quality-tests")
+    level = delta / max(1, tests.count() * len(GRID))
 
     def certify(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             out: dict[str, list] = {"stratum": frame["stratum"].tolist()} | {n: [] for n in GRID}
             for row in frame.to_dict("records"):
-                for name, grid in GRID.items():
-                    good = [int(row[f"good_{name}_{i}"]) for i in range(len(grid))]
-                    bad = [int(row[f"bad_{name}_{i}"]) for i in range(len(grid))]
-                    i = choose(good, bad, int(row["n_good"]), max_false, level)
-                    out[name].append(None if i is None else grid[i])
+                rules = sum(row[f"rank_{n}"] >= 1 for n in GRID)
+                most = certified([int(row[f"lost_{k + 1}"]) for k in range(rules)], int(row["n_good"]), max_false, level)
+                for n in GRID:
+                    out[n].append(row[f"cut_{n}"] if row[f"rank_{n}"] <= most else None)
             yield pd.DataFrame(out).astype(dict.fromkeys(GRID, "float64"))
 
     schema = "stratum string, " + ", ".join(f"{n} double" for n in GRID)
-    return written(table.mapInPandas(certify, schema), "quality-cutoffs")
+    return written(tests.mapInPandas(certify, schema), "quality-cutoffs")
 
 
 def quality_verdicts(
