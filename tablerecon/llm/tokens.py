@@ -136,7 +136,7 @@ class Encoder:
         for i, text in enumerate(texts):
             if not text:
                 continue
-            if self._spelled and self._spelled.search(text):
+            if self._spelled and any(t in text for t in self._added):
                 out[i] = self._with_added(text)
                 continue
             if not _plain(text):

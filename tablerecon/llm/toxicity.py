@@ -355,7 +355,11 @@ def toxicity(
 
 
 def without_toxic(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` that score below ``threshold``, columns unchanged, in one pass."""
+    """The rows of ``docs`` that score below ``threshold``, columns unchanged, in one pass.
+
+    Null and empty texts are scored as texts without words; rows that repeat each have the
+    same score.  An empty table stays empty; other columns may have any names.
+    """
     lexicon, weights = model.lexicon, model.weights
     place = docs.columns.index(text_col)
 
@@ -366,4 +370,5 @@ def without_toxic(docs: DataFrame, model: Model, text_col: str = "text", thresho
             yield batch.filter(pa.array(_scores(reader, weights, texts) < threshold))
 
     prepare(docs.sparkSession)
-    return docs.mapInArrow(keep, docs.schema)
+    numbered = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    return numbered.mapInArrow(keep, numbered.schema).toDF(*docs.columns)

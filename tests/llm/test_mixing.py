@@ -47,11 +47,11 @@ def test_the_mix_meets_its_targets(make_docs, clashing):
 def test_drawn_rows_are_the_planned_copies(make_docs, clashing):
     df = clashing(make_docs(documents(2, 300)))
     plan = {r["doc_id"]: r for r in mix(df, shards=8).collect()}
-    drawn = draw_mix(df, shards=8, shard_col="shard")
-    assert drawn.columns == [*df.columns, "shard"]
+    drawn = draw_mix(df, shards=8, shard_col="drawn_to")
+    assert drawn.columns == [*df.columns, "drawn_to"]
     found = defaultdict(list)
     for r in drawn.collect():
-        found[r["doc_id"]].append(r["shard"])
+        found[r["doc_id"]].append(r["drawn_to"])
     assert {i: sorted(s) for i, s in found.items()} == {i: sorted(r["shards"]) for i, r in plan.items() if r["repeats"]}
 
 
