@@ -27,9 +27,6 @@ from tablerecon.session import materialize, scratch_path
 
 _SHOWN = 20
 
-# After how many rounds, at least, the edges left are counted.
-_LOOK = 8
-
 
 def prune_edges(nodes: DataFrame, edges: DataFrame, node: str = "node", dep: str = "dep") -> DataFrame:
     """Edges between known nodes, each once.
@@ -80,8 +77,9 @@ def contract(edges: DataFrame) -> tuple[DataFrame, DataFrame | None]:
         "node", F.col("dep").alias("end"), F.lit(1).cast("long").alias("distance"), F.col("__in").isNotNull().alias("open")
     )
     root = scratch_path(spark, "chains")
-    links, n = _written(links, f"{root}/0")
-    open_now = links.filter("open").count() if n else 0
+    first = Observation()
+    links, n = _written(links.observe(first, F.count(F.when(F.col("open"), 1)).alias("open")), f"{root}/0")
+    open_now = first.get["open"]
     if not open_now:
         return plain, None
     round_no = 0
@@ -113,8 +111,9 @@ def peel(nodes: DataFrame, edges: DataFrame, node: str = "node", dep: str = "dep
     """Place nodes round by round, each once, in the round after the last of its deps.
 
     A round joins the edges last written with the nodes placed since and writes the nodes
-    whose deps are all placed.  The edges are written again only when half of them are gone,
-    so all writing is within nodes + 3 x edges, and chains of n nodes n x log2(n) more.
+    whose deps are all placed.  The edges are counted when half of the nodes are placed, and
+    written again only when half of them are gone, so all writing is within nodes + 3 x edges;
+    chains of n nodes take n x log2(n) more.
     """
     spark = nodes.sparkSession
     root = scratch_path(spark, "peel")
@@ -126,11 +125,11 @@ def peel(nodes: DataFrame, edges: DataFrame, node: str = "node", dep: str = "dep
     kind = all_nodes.schema["node"].dataType
     one = T.StructType([T.StructField("node", kind), T.StructField("round", T.LongType())])
     # Nodes without edges of their own have level 0 from the start.
-    waiting = base.select(F.col("node").alias("__w")).distinct()
+    waiting, waits = _written(base.select(F.col("node").alias("__w")).distinct(), f"{root}/waiting")
     grounds = salted_join(base, waiting, [("dep", "__w")], "left_anti").select(F.col("dep").alias("node")).distinct()
-    since, held = [f"{root}/step-0"], base.count()
+    since, round_no = [f"{root}/step-0"], 0
     grounds.withColumn("round", F.lit(0).cast("long")).write.parquet(since[0])
-    round_no, waits = 0, held > 0
+    looked, held = waits, None
     while waits:
         round_no += 1
         gone = spark.read.schema(one).parquet(*since).select(F.col("node").alias("__g"), "round")
@@ -149,18 +148,19 @@ def peel(nodes: DataFrame, edges: DataFrame, node: str = "node", dep: str = "dep
             # Nobody is left to place, but for a cycle and the nodes behind one.
             break
         since.append(path)
-        if round_no & (round_no - 1) == 0 or round_no % _LOOK == 0:
+        waits -= fresh
+        if waits and 2 * waits <= looked:
             done = spark.read.schema(one).parquet(*since).select(F.col("node").alias("__s"))
             open_edges = met.join(done, F.col("node") == F.col("__s"), "left_anti")
+            looked, held = waits, base.count() if held is None else held
             left = open_edges.filter("above IS NULL").count()
-            waits = left > 0
             if 2 * left <= held:
                 # of edges whose dep is placed, the highest says all
                 floor = open_edges.filter("above IS NOT NULL").groupBy("node").agg(F.max("above").alias("weight"))
                 floor = floor.select("node", F.lit(None).cast(kind).alias("dep"), "weight")
                 base = materialize(open_edges.filter("above IS NULL").select("node", "dep", "weight").unionByName(floor), "edges")
                 held, since = left, [path]
-    if not held and not round_no:
+    if not round_no:
         placed = None
     else:
         placed = spark.read.schema(one).parquet(*[f"{root}/step-{i}" for i in range(round_no + 1)])
