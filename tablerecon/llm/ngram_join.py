@@ -29,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -226,6 +227,8 @@ def _count_task(layout: Layout, words: int, id_type: pa.DataType):
         shingle = Shingler(words)
         held: list[np.ndarray] = []
         size = 0
+        # rows of documents may go anywhere: in turn to all ranges, each task from a place of its own
+        turn = 7 * (TaskContext.get().partitionId() if TaskContext.get() else 0)
         for batch in batches:
             n, sigs, parts = [], [], []
             for text in text_column(batch):
@@ -233,7 +236,8 @@ def _count_task(layout: Layout, words: int, id_type: pa.DataType):
                 sig = signature(tokens)
                 n.append(len(tokens))
                 sigs.append(sig)
-                parts.append(sig[0] % layout.ranges)
+                parts.append(turn % layout.ranges)
+                turn += 1
                 if len(tokens):
                     held.append(tokens)
                     size += len(tokens)
@@ -306,7 +310,7 @@ def _count_merge(layout: Layout, id_type: pa.DataType):
 
 
 def _ranged(df: DataFrame, layout: Layout) -> DataFrame:
-    return df.repartition(layout.ranges, "part").sortWithinPartitions("part")
+    return df.repartitionById(layout.ranges, "part").sortWithinPartitions("part")
 
 
 def document_sets(docs: DataFrame, layout: Layout, words: int) -> tuple[DataFrame, DataFrame]:
