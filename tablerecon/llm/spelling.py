@@ -164,16 +164,22 @@ def neighbours(words: DataFrame) -> DataFrame:
     )
     inner = on_path.filter(F.col("pos") < F.char_length("word"))
     ends = on_path.filter(F.col("pos") == F.char_length("word"))
+    length = F.char_length("word")
     # of equal letters in a row, leaving out the last one stands for all
-    last = (F.col("pos") + 1 == F.char_length("word")) | (_letter("word", F.col("pos")) != _letter("word", F.col("pos") + 1))
-    left_out = inner.filter(last).withColumn("pos", F.col("pos") + 1)
-    other = salted_join(inner, edges, [("side", "e_side"), ("node", "e_node")], "inner")
+    last = (F.col("pos") + 1 == length) | (_letter("word", F.col("pos")) != _letter("word", F.col("pos") + 1))
+    ends_short = inner.filter(F.col("pos") + 1 == length).withColumn("pos", length)
+    met = salted_join(inner, edges, [("side", "e_side"), ("node", "e_node")], "inner")
     width = F.char_length("label")
-    same_rest = F.substring(F.col("label"), F.lit(2), width) == F.substring(F.col("word"), F.col("pos") + 2, width - 1)
-    other = other.filter((F.col("first") > _letter("word", F.col("pos"))) & same_rest)
-    fits = F.col("pos") + width <= F.char_length("word")
-    other = other.filter(fits).select("side", "wid", "word", (F.col("pos") + width).alias("pos"), F.col("child").alias("node"))
-    states = left_out.select(*other.columns).unionByName(other)
+    state = lambda at: F.struct(at.alias("pos"), F.col("child").alias("node"))
+    # another letter: the rest of the label is what the word says behind its own letter
+    rest = F.substring(F.col("label"), F.lit(2), width) == F.substring(F.col("word"), F.col("pos") + 2, width - 1)
+    other = (F.col("first") > _letter("word", F.col("pos"))) & rest & (F.col("pos") + width <= length)
+    # a letter left out: the whole label is what the word says behind it
+    left_out = last & (F.col("label") == F.substring(F.col("word"), F.col("pos") + 2, width))
+    after = F.array(F.when(other, state(F.col("pos") + width)), F.when(left_out, state(F.col("pos") + 1 + width)))
+    met = met.filter(other | left_out).select("side", "wid", "word", F.explode(F.array_compact(after)).alias("at"))
+    states = met.select("side", "wid", "word", F.col("at.pos").alias("pos"), F.col("at.node").alias("node"))
+    states = states.unionByName(ends_short.select(*states.columns))
 
     at_end: DataFrame | None = None
     while True:
