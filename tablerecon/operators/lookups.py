@@ -4,7 +4,9 @@ No join here carries a broadcast hint: Spark broadcasts a side only when its
 measured size is below the session threshold and shuffles it otherwise.  Lookup
 sides are reduced to one row per key by aggregations that combine map-side, so
 a hot key costs one partial row per task; how the many-rows side is kept from
-filling one task is told in ``operators.skew``.
+filling one task is told in ``operators.skew``.  Each lookup takes the ``join`` to
+use for it: ``salted_join``, or ``sketched_join`` where that side is a stored table
+whose layout is worth keeping.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablerecon.functions.compare import opaque as _opaque
-from tablerecon.operators.skew import salted_join
+from tablerecon.operators.skew import Join, salted_join
 from tablerecon.session import materialize
 
 # Alias sets up to this size are inlined as a literal map; larger ones join.
@@ -37,12 +39,12 @@ def least_of(place: Column, among: Column | None = None) -> Column:
     return F.when(nulls == 0, F.min(F.when(among, place)))
 
 
-def value_at(rows: DataFrame, keys: Sequence[str], value: str, places: DataFrame, match: Sequence[tuple[str, str]]) -> DataFrame:
+def value_at(rows: DataFrame, keys: Sequence[str], value: str, places: DataFrame, match: Sequence[tuple[str, str]], join: Join = salted_join) -> DataFrame:
     """``(<keys>, <value>)`` of the rows that stand where ``places`` says, one per key.
 
     Of several rows in one place the smallest value counts; null where all are null.
     """
-    there = salted_join(rows, places, match, "left_semi", null_safe=True)
+    there = join(rows, places, match, "left_semi", null_safe=True)
     dtype = rows.schema[value].dataType
     one = F.first(value) if _opaque(dtype) else F.array_min(F.collect_set(value))
     return there.groupBy(*keys).agg(one.alias(value))
@@ -55,6 +57,7 @@ def left_enrich(
     suffix: str = "_ref",
     fill: Mapping[str, object] | None = None,
     null_safe: bool = False,
+    join: Join = salted_join,
 ) -> DataFrame:
     """Left join; right columns whose names clash get ``suffix``.
 
@@ -69,7 +72,7 @@ def left_enrich(
         *[F.col(k).alias(f"__r_{k}") for k in keys],
         *[F.col(c).alias(f"__v_{c}") for c in extra],
     )
-    joined = salted_join(left, side, [(k, f"__r_{k}") for k in keys], "left", null_safe)
+    joined = join(left, side, [(k, f"__r_{k}") for k in keys], "left", null_safe)
 
     def filled(name: str) -> Column:
         default = F.lit(fill[name])
@@ -114,6 +117,7 @@ def lookup_first(
     type_suffix: str | None = None,
     out: str | None = None,
     ref: str | None = None,
+    join: Join = salted_join,
 ) -> DataFrame:
     """Attribute of the first matching candidate in an ``overlay`` view.
 
@@ -136,8 +140,8 @@ def lookup_first(
         F.min(side).alias("__s"), least_of(pos, side == 0).alias("__p0"), least_of(pos, side == 1).alias("__p1")
     )
     first = ranks.select(F.col("__name").alias("__n"), "__s", F.when(F.col("__s") == 0, F.col("__p0")).otherwise(F.col("__p1")).alias("__p"))
-    best = value_at(candidates, ["__name"], "__v", first, [("__name", "__n"), ("__side", "__s"), ("__pos", "__p")])
-    joined = salted_join(refs, best, [(ref or name, "__name")], "left")
+    best = value_at(candidates, ["__name"], "__v", first, [("__name", "__n"), ("__side", "__s"), ("__pos", "__p")], join)
+    joined = join(refs, best, [(ref or name, "__name")], "left")
     return joined.select(*refs.columns, F.col("__v").alias(out or attr))
 
 
@@ -149,12 +153,13 @@ def lookup_last(
     position: str,
     ref: str | None = None,
     out: str | None = None,
+    join: Join = salted_join,
 ) -> DataFrame:
     """Value of the last row, by position, that carries the name."""
     rows = table.select(F.col(name).alias("__name"), F.col(value).alias("__v"), F.col(position).alias("__pos"))
     last = rows.groupBy("__name").agg(F.max("__pos").alias("__p")).withColumnRenamed("__name", "__n")
-    best = value_at(rows, ["__name"], "__v", last, [("__name", "__n"), ("__pos", "__p")])
-    joined = salted_join(refs, best, [(ref or name, "__name")], "left")
+    best = value_at(rows, ["__name"], "__v", last, [("__name", "__n"), ("__pos", "__p")], join)
+    joined = join(refs, best, [(ref or name, "__name")], "left")
     return joined.select(*refs.columns, F.col("__v").alias(out or value))
 
 
@@ -165,6 +170,7 @@ def resolve_refs(
     type_col: str = "resource_type",
     name: str = "name",
     depends_on: str | None = "depends_on",
+    join: Join = salted_join,
 ) -> DataFrame:
     """Dependency edges: explicit ones first, then those found by reference.
 
@@ -185,7 +191,7 @@ def resolve_refs(
         F.col("position").cast("long").alias("__pos"),
     )
     # One equi-join on the name serves both kinds; the type is a residual test.
-    matched = salted_join(wanted, by_name, [("ref_name", "__name")], "inner").filter(
+    matched = join(wanted, by_name, [("ref_name", "__name")], "inner").filter(
         (F.col("ref_type").isNull() | (F.col("ref_type") == F.col("__type")))
         & (F.col("dep") != F.col("address"))
     )
@@ -212,6 +218,7 @@ def resolve_aliases(
     name: str = "name",
     target: str = "target",
     inline_limit: int = INLINE_ALIASES,
+    join: Join = salted_join,
 ) -> DataFrame:
     """Replace list elements by their alias target; order and others are kept.
 
@@ -244,7 +251,7 @@ def resolve_aliases(
     elements = pieces[0]
     for piece in pieces[1:]:
         elements = elements.unionByName(piece)
-    resolved = salted_join(elements, known, [("__elem", "__name")], "left").select(
+    resolved = join(elements, known, [("__elem", "__name")], "left").select(
         "__row", "__col", "__pos", F.coalesce("__target", "__elem").alias("__value")
     )
     gathered = resolved.groupBy("__row").agg(
@@ -275,6 +282,7 @@ def layered_merge(
     position: str = "position",
     by: Sequence[str] = (),
     kind: str | None = None,
+    join: Join = salted_join,
 ) -> DataFrame:
     """Merge key/value scopes, lowest first: later scopes override earlier ones.
 
@@ -320,6 +328,6 @@ def layered_merge(
         highs.alias("__high"),
     )
     own = [(k, f"__k_{k}") for k in keys]
-    values = value_at(every, keys, "value", found, [*own, ("__scope", "__last"), ("__pos", "__high")])
-    joined = salted_join(values, found.drop("__last", "__high"), own, "inner", null_safe=True)
+    values = value_at(every, keys, "value", found, [*own, ("__scope", "__last"), ("__pos", "__high")], join)
+    joined = join(values, found.drop("__last", "__high"), own, "inner", null_safe=True)
     return joined.select(*keys, "value", "position")

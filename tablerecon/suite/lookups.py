@@ -14,6 +14,9 @@ from tablerecon.operators.lookups import (
     resolve_aliases,
     resolve_refs,
 )
+from tablerecon.operators.skew import sketched_join
+from tablerecon.session import scratch_path
+from tablerecon.sources import write_table
 from tablerecon.suite.registry import Tables, query
 
 
@@ -198,3 +201,44 @@ def layered_variables(t: Tables) -> DataFrame:
         "grp", "name", "value",
         F.col("position.scope").alias("first_scope"), F.col("position.position").alias("first_position"),
     )
+
+
+def _bucketed(t: Tables, df: DataFrame, label: str, key: str) -> DataFrame:
+    path = scratch_path(t.spark, f"bucketed-{label}")
+    table = path.rsplit("/", 1)[1].replace("-", "_")
+    write_table(df, table, path=path, bucket_by=[key], buckets=8)
+    return t.spark.table(table)
+
+
+@query(
+    """SELECT l_orderkey, l_linenumber, o_orderpriority, coalesce(o_totalprice, 0) AS o_totalprice
+FROM lineitem LEFT JOIN orders ON l_orderkey = o_orderkey"""
+)
+def enrich_bucketed_lineitem(t: Tables) -> DataFrame:
+    """Lines with their order's columns, both bucketed by order; hot orders alone are dealt anew."""
+    lines = _bucketed(t, t.lineitem.select("l_orderkey", "l_linenumber"), "lines", "l_orderkey")
+    orders = t.orders.select(F.col("o_orderkey").alias("l_orderkey"), "o_orderpriority", "o_totalprice")
+    side = _bucketed(t, orders, "orders", "l_orderkey")
+    return left_enrich(lines, side, "l_orderkey", fill={"o_totalprice": 0}, join=sketched_join)
+
+
+@query(
+    """WITH s AS (SELECT source, CAST(count(*) AS BIGINT) AS source_docs, max(n_chars) AS longest FROM documents GROUP BY 1)
+SELECT doc_id, d.source, source_docs, longest FROM documents d LEFT JOIN s ON d.source IS NOT DISTINCT FROM s.source"""
+)
+def enrich_hot_sources(t: Tables) -> DataFrame:
+    """Documents with figures of their source, where a few sources hold most rows."""
+    docs = t.documents
+    side = docs.groupBy("source").agg(F.count(F.lit(1)).alias("source_docs"), F.max("n_chars").alias("longest"))
+    return left_enrich(docs.select("doc_id", "source"), side, "source", null_safe=True, join=sketched_join)
+
+
+@query(
+    """SELECT e.event_id, e.user_id, (SELECT max_by(o_orderpriority, o_orderkey) FROM orders WHERE o_custkey = e.user_id) AS last_priority
+FROM events e"""
+)
+def lookup_last_of_hot_users(t: Tables) -> DataFrame:
+    """Events with the priority of the latest order of the customer of that number."""
+    orders = t.orders.select(F.col("o_custkey").alias("user_id"), "o_orderpriority", "o_orderkey")
+    events = t.events.select("event_id", "user_id")
+    return lookup_last(events, orders, "user_id", "o_orderpriority", "o_orderkey", out="last_priority", join=sketched_join)

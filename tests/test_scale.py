@@ -7,8 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tablerecon.operators.checks import check_reference, check_unique_in_group
-from tablerecon.operators.lookups import left_enrich
-from tablerecon.operators.skew import salted_join
+from tablerecon.operators.lookups import layered_merge, left_enrich, lookup_first, lookup_last, overlay, resolve_aliases, resolve_refs
+from tablerecon.operators.skew import hot_keys, salted_join, sketched_join
 from tablerecon.plans import plan, snapshot_of, summary
 from tablerecon.session import RUNTIME_CONF, configure, scratch_path, shared_dir
 from tablerecon.sources import write_table
@@ -110,6 +110,100 @@ def test_salted_join_equals_the_plain_one(spark, rows, how):
         salted_join(left, right, [("k", "k2")], "full_outer")
 
 
+def test_sketch_names_every_hot_key(spark, small_limits):
+    counts = {"a": 9000, "b": 4000, None: 3000, "d": 900}
+    rows = [(k,) for k, n in counts.items() for _ in range(n)] + [(f"k{i}",) for i in range(3100)]
+    df = spark.createDataFrame(rows, "k string").repartition(7)
+    names = {r["h"]: r["k"] for r in df.select("k", F.xxhash64("k").alias("h")).distinct().collect()}
+    found = {names[h]: share for h, share in hot_keys(df, ["k"]).items()}
+    assert set(found) == {"a", "b", None}  # above one eighth of 20,000 rows
+    assert all(abs(found[k] - counts[k] / 20000) < 0.03 for k in found)
+    assert hot_keys(spark.createDataFrame([], "k string"), ["k"]) == {}
+    assert hot_keys(spark.range(5000).withColumn("k", F.lit("one")), ["k", "id"]) == {}
+
+
+@pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
+@pytest.mark.parametrize("adaptive", ["true", "false"])
+def test_sketched_join_equals_the_plain_one(spark, small_limits, rows, how, adaptive):
+    left = spark.createDataFrame(
+        [(i, i % 3, "ab"[i % 2] if i % 5 else None, f"k{i}") for i in range(400)], "id int, n int, k string, own string"
+    )
+    right = spark.createDataFrame(
+        [("a", 1, 1), ("a", 1, 2), ("b", 0, 6), ("c", 3, 3), (None, 2, 4), ("k7", 1, 5)], "k2 string, n2 int, v int"
+    )
+    spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    try:
+        for on in ([("k", "k2")], [("own", "k2")], [("k", "k2"), ("n", "n2")]):
+            for null_safe in (False, True):
+                conds = [left[a].eqNullSafe(right[b]) if null_safe else left[a] == right[b] for a, b in on]
+                cond = conds[0] if len(conds) == 1 else conds[0] & conds[1]
+                want = rows(left.join(right, cond, how))
+                assert rows(sketched_join(left, right, on, how, null_safe)) == want
+        wide = right.withColumn("n2", F.col("n2").cast("long"))  # other types: salted as before
+        assert rows(sketched_join(left, wide, [("n", "n2")], how)) == rows(left.join(wide, left["n"] == wide["n2"], how))
+        assert rows(sketched_join(left.limit(0), right, [("k", "k2")], how)) == []
+        assert rows(sketched_join(left, right.limit(0), [("k", "k2")], how)) == rows(left.join(right.limit(0), F.col("k") == F.col("k2"), how))
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    with pytest.raises(ValueError, match="cannot salt"):
+        sketched_join(left, right, [("k", "k2")], "full_outer")
+
+
+def test_sketch_spreads_the_hot_key_without_adaptive_help(spark, small_limits):
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        left = hot_rows(spark)
+        right = left.groupBy(F.col("name").alias("n")).agg(F.count("*").alias("rows"))
+        joined = sketched_join(left, right, [("name", "n")], "left")
+        hot = joined.filter("name = 'hot'").groupBy(F.spark_partition_id()).count().collect()
+        salts = {r["n"] for r in right.join(joined, "n").select("n").distinct().collect()}
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert len(salts) == right.count() and joined.count() == 60000
+    assert len(hot) >= 3 and sum(r["count"] for r in hot) == 20000 and max(r["count"] for r in hot) < 10000
+
+
+def test_bucketed_lookup_keeps_its_layout(spark, small_limits):
+    df = spark.range(4000).select(F.col("id").alias("k"), F.col("id").alias("v"))
+    hot = df.union(spark.range(4000).select(F.lit(7).cast("long").alias("k"), F.col("id").alias("v")))
+    for name, rows in (("b_refs", df), ("b_hot", hot), ("b_side", df)):
+        write_table(rows, name, path=scratch_path(spark, name), bucket_by=["k"], buckets=4)
+    side = spark.table("b_side").groupBy("k").agg(F.sum("v").alias("s"))
+    even = left_enrich(spark.table("b_refs"), side, "k", join=sketched_join)
+    assert "Exchange" not in executed(even) and even.filter("s = v").count() == 4000
+    assert "Exchange" in executed(left_enrich(spark.table("b_refs"), side, "k"))
+    # with a hot key only its rows are dealt anew
+    text = executed(left_enrich(spark.table("b_hot"), side, "k", join=sketched_join))
+    plain, spread = text.split("SortMergeJoin")[1:]
+    assert "Exchange" not in plain.split("Project [k")[0] and "Exchange hashpartitioning" in spread
+
+
+def test_lookups_agree_whichever_way_they_join(spark, small_limits, rows):
+    refs = spark.createDataFrame([(i, "hot" if i % 2 else f"n{i % 40}") for i in range(600)], "id int, name string")
+    view = spark.createDataFrame([(f"n{i % 30}", i, i * 3) for i in range(90)] + [("hot", 99, 1)], "name string, pos int, v int")
+    nodes = spark.createDataFrame(
+        [(f"a{i}", "t", "hot" if i == 3 else f"n{i}", ["a1"]) for i in range(30)],
+        "address string, resource_type string, name string, depends_on array<string>",
+    )
+    wanted = refs.select(
+        F.concat(F.lit("a"), F.col("id") % 30).alias("address"), F.col("name").alias("ref_name"),
+        F.lit(None).cast("string").alias("ref_type"), F.col("id").alias("position"),
+    )
+    lists = refs.groupBy((F.col("id") % 20).alias("row")).agg(F.sort_array(F.collect_list("name")).alias("names"))
+    names = view.select("name", F.concat(F.lit("to-"), "name").alias("target"))
+    scopes = [view.select("name", F.col("v").cast("string").alias("value"), F.col("pos").alias("position")) for _ in range(2)]
+    ways = {
+        "left_enrich": lambda j: left_enrich(refs, view.select("name", "v"), "name", join=j),
+        "lookup_first": lambda j: lookup_first(refs, overlay(view, view, "name", "pos"), "name", "v", join=j),
+        "lookup_last": lambda j: lookup_last(refs, view, "name", "v", "pos", join=j),
+        "resolve_refs": lambda j: resolve_refs(nodes, wanted, join=j),
+        "resolve_aliases": lambda j: resolve_aliases(lists, ["names"], names, inline_limit=0, join=j),
+        "layered_merge": lambda j: layered_merge(scopes, join=j),
+    }
+    for name, run in ways.items():
+        assert rows(run(sketched_join)) == rows(run(salted_join)), name
+
+
 def test_hot_group_names_its_first_holder(spark, small_limits):
     df = hot_rows(spark).withColumn("ns", F.lit("one"))
     found = check_unique_in_group(df, "ns", "name", "pad", "id")
