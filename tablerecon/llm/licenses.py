@@ -4,6 +4,9 @@ A template's rare words show where it may stand in a text; the stretch around su
 word is aligned with the template.  Words that occur once in both are anchors; the
 longest increasing run of anchors is kept; the gaps between anchors are aligned in
 the same way, and a gap without anchors matches word by word from both of its ends.
+Where foreign words stand inside a notice, however many, runs of ``RUN`` words that the
+template has once show its parts: parts in the template's order are chained, and the
+gaps between them are aligned.
 Coverage is the share of the template's words that were matched.  Words that tell a
 license from its siblings (name, version, NC) must be matched besides, in a row and
 without a word between them, since a notice of a sibling covers nearly all the rest.
@@ -24,6 +27,7 @@ from pyspark.sql import functions as F
 from tablerecon.llm.common import mapped, text_column
 
 MIN_COVERAGE = 0.75
+RUN = 4  # words in a row that show a part of a template
 
 # Notices as their licenses word them.
 TEMPLATES: dict[str, str] = {
@@ -126,6 +130,38 @@ def _place(template: list[str], row: list[str]) -> tuple[int, int]:
     raise ValueError(f"required words {' '.join(row)!r} do not stand in the template")
 
 
+def _chains(seeds: list[tuple[int, int]]) -> Iterator[list[tuple[int, int]]]:
+    """Runs of seeds ``(text, template)`` that go forward in both; then the longest one of all."""
+    run: list[tuple[int, int]] = []
+    runs = 0
+    for seed in seeds:
+        if run and seed[1] <= run[-1][1]:
+            yield run
+            run, runs = [], runs + 1
+        run.append(seed)
+    if run:
+        yield run
+    if runs:
+        yield _increasing(seeds)
+
+
+def chained(words: list[str], template: list[str], chain: list[tuple[int, int]], lo: int, hi: int) -> list[tuple[int, int]]:
+    """Matched places of ``words[lo:hi]`` and the template, where the runs of ``chain`` meet."""
+    out: list[tuple[int, int]] = []
+    i0, j0 = lo, 0
+    for i, j in chain:
+        if out and i - j == out[-1][0] - out[-1][1] and i < i0:
+            i, j, n = i0, j0, i + RUN - i0  # goes on where the run before it ends
+        elif i < i0 or j < j0:
+            continue
+        else:
+            n = RUN
+        out += [(i0 + a, j0 + b) for a, b in patience(words[i0:i], template[j0:j])]
+        out += [(i + d, j + d) for d in range(n)]
+        i0, j0 = i + n, j + n
+    return out + [(i0 + a, j0 + b) for a, b in patience(words[i0:hi], template[j0:])]
+
+
 @dataclass(frozen=True)
 class Match:
     license: str
@@ -152,6 +188,14 @@ class Scanner:
             need = int(len(t) * (1 - min_coverage)) + 1
             self.cues[name] = {w: t.index(w) for w in (single if len(single) >= need else list(once))[:need]}
         self.any_cue = {w for cues in self.cues.values() for w in cues}
+        # runs of words that stand once in a template
+        self.runs: dict[tuple[str, ...], list[tuple[str, int]]] = {}
+        for name, t in self.templates.items():
+            grams = [tuple(t[k : k + RUN]) for k in range(len(t) - RUN + 1)]
+            once_only = Counter(grams)
+            for k, gram in enumerate(grams):
+                if once_only[gram] == 1:
+                    self.runs.setdefault(gram, []).append((name, k))
 
     def scan(self, text: str) -> list[Match]:
         words = words_of(text)
@@ -161,8 +205,13 @@ class Scanner:
         for i, w in enumerate(words):
             if w in self.any_cue:
                 spots.setdefault(w, []).append(i)
+        seeds: dict[str, list[tuple[int, int]]] = {}
+        for i, gram in enumerate(zip(*(words[d:] for d in range(RUN)), strict=False)):
+            for name, k in self.runs.get(gram, ()):
+                seeds.setdefault(name, []).append((i, k))
         found: list[Match] = []
         for name, template in self.templates.items():
+            own = len(found)
             size = len(template)
             slack = max(3, size // 4)
             at = sorted((i, k) for w, k in self.cues[name].items() for i in spots.get(w, ()))
@@ -177,8 +226,37 @@ class Scanner:
                     match = Match(name, coverage, lo + pairs[0][0], lo + pairs[-1][0] + 1)
                     found.append(match)
                     done = match.end
+            if name in seeds:
+                found += self._interrupted(name, words, seeds[name], found[own:])
         return sorted(found, key=lambda m: (m.start, m.license))
 
+    def _interrupted(
+        self, name: str, words: list[str], seeds: list[tuple[int, int]], known: list[Match]
+    ) -> Iterator[Match]:
+        """Matches with foreign words inside, in the stretches between the ``known`` ones."""
+        template = self.templates[name]
+        size = len(template)
+        starts, ends = [0, *(m.end for m in known)], [*(m.start for m in known), len(words)]
+        at = 0
+        for first, last in zip(starts, ends, strict=True):
+            here = []
+            while at < len(seeds) and seeds[at][0] + RUN <= last:
+                if seeds[at][0] >= first:
+                    here.append(seeds[at])
+                at += 1
+            if len(here) < 2:
+                continue
+            low, taken = first, False
+            for chain in _chains(here):
+                if taken and chain[0][0] < low:
+                    continue  # the longest chain of all is for stretches without a match
+                (i, j), (i1, j1) = chain[0], chain[-1]
+                lo, hi = max(low, i - 2 * j), min(last, i1 + RUN + 2 * (size - j1 - RUN))
+                pairs = chained(words, template, chain, lo, hi)
+                if len(pairs) >= self.least * size and self._has_required(name, pairs):
+                    yield Match(name, len(pairs) / size, pairs[0][0], pairs[-1][0] + 1)
+                    low, taken = pairs[-1][0] + 1, True
+
     def _has_required(self, name: str, pairs: list[tuple[int, int]]) -> bool:
         at = {j: i for i, j in pairs}
         return all(
@@ -199,7 +277,10 @@ def scan_licenses(
     Places count words (runs of letters and digits).  A null or empty text matches
     nothing.  ``required`` lists words by template that a match must hold in a row, for
     templates that are close to other licenses; null and repeated ids keep their rows; an empty table gives an empty result;
-    other columns are ignored.  A notice that stands twice matches twice.
+    other columns are ignored.  A notice that stands twice matches twice.  Foreign words
+    inside a notice, of any number, do not hide it; a text of any length is scanned whole.
+    The last words of a notice may be matched up to a quarter of its length behind it,
+    where they stand there too.
     """
     kind = docs.schema[id_col].dataType.simpleString()
 

@@ -1,7 +1,7 @@
 import random
 
 import pytest
-from tablerecon.llm.licenses import MIN_COVERAGE, TEMPLATES, Scanner, patience, scan_licenses, words_of
+from tablerecon.llm.licenses import MIN_COVERAGE, TEMPLATES, Scanner, _chains, chained, patience, scan_licenses, words_of
 
 
 def test_patience_by_hand():
@@ -44,6 +44,57 @@ def test_edits_lower_the_coverage():
     assert not [m for m in scanner.scan(" ".join(half)) if m.license == "MIT"]
 
 
+@pytest.mark.parametrize("inserted", [30, 60, 300, 20_000])
+@pytest.mark.parametrize("name", ["MIT", "GPL-3.0", "BSD"])
+def test_words_inside_a_notice_do_not_hide_it(name, inserted):
+    scanner = Scanner(TEMPLATES, MIN_COVERAGE)
+    words = words_of(TEMPLATES[name])
+    rng = random.Random(inserted)
+    prose = [rng.choice(["the", "of", "software", "and", "copy", *(f"x{i}" for i in range(40))]) for _ in range(inserted)]
+    cuts = [len(words) // 2] if name != "GPL-3.0" else [8]  # its required words stay whole
+    for cut in cuts:
+        text = ["before"] * 7 + words[:cut] + prose + words[cut:] + ["after"] * 50
+        found = [m for m in scanner.scan(" ".join(text)) if m.license == name]
+        assert len(found) == 1 and found[0].coverage >= 0.75
+        assert (found[0].start, found[0].end) == (7, 7 + len(words) + inserted) or found[0].coverage < 1
+
+
+def test_interrupted_notices_one_after_the_other():
+    scanner = Scanner(TEMPLATES, MIN_COVERAGE)
+    words = words_of(TEMPLATES["MIT"])
+    broken = words[:30] + [f"y{i}" for i in range(200)] + words[30:]
+    apart = ["z"] * 40  # a whole notice may end in like words up to a quarter of its length behind it
+    text = broken + apart + words + apart + broken
+    found = [m for m in scanner.scan(" ".join(text)) if m.license == "MIT"]
+    assert [(m.start, m.end) for m in found] == [
+        (0, len(broken)),
+        (len(broken) + 40, len(broken) + 40 + len(words)),
+        (len(text) - len(broken), len(text)),
+    ]
+    assert all(m.coverage == 1.0 for m in found)
+
+
+def test_chained_pairs_are_a_common_subsequence():
+    rng = random.Random(3)
+    for _ in range(400):
+        template = [rng.choice("abcdefgh") for _ in range(rng.randrange(4, 14))]
+        text = [w for t in template for w in (t, *(rng.choice("abcdefgh") for _ in range(rng.choice([0, 0, 0, 3]))))]
+        grams = [tuple(template[k : k + 4]) for k in range(len(template) - 3)]
+        seeds = [(i, grams.index(g)) for i in range(len(text) - 3) if grams.count(g := tuple(text[i : i + 4])) == 1]
+        for chain in _chains(seeds):
+            got = chained(text, template, chain, 0, len(text))
+            assert all(text[i] == template[j] for i, j in got)
+            assert all(x[0] < y[0] and x[1] < y[1] for x, y in zip(got, got[1:], strict=False))
+
+
+def test_scattered_words_are_no_notice():
+    rng = random.Random(4)
+    scanner = Scanner(TEMPLATES, MIN_COVERAGE)
+    for name, template in TEMPLATES.items():
+        words = [x for w in words_of(template) for x in (w, *(f"q{rng.randrange(90)}" for _ in range(40)))]
+        assert not [m for m in scanner.scan(" ".join(words)) if m.license == name]
+
+
 def test_notices_that_repeat():
     line = TEMPLATES["MIT line"]
     found = Scanner(TEMPLATES, MIN_COVERAGE).scan(f"{line} x {line} y " * 3)
