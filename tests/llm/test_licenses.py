@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 import pytest
 from tablerecon.llm.licenses import MIN_COVERAGE, TEMPLATES, Scanner, _chains, chained, patience, scan_licenses, words_of
@@ -145,3 +146,60 @@ def test_rows(awkward, clashing, make_docs, empty):
         assert len(out) == docs.count()
         assert [r["doc_id"] for r in out if r["matches"]] == [20]
     assert scan_licenses(empty).collect() == []
+
+
+def longest_common(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        before = 0
+        for j, y in enumerate(b):
+            before, row[j + 1] = row[j + 1], before + 1 if x == y else max(row[j + 1], row[j])
+    return row[-1]
+
+
+def windows_like(words, template):
+    """Starts of all windows of the template's length that share nine tenths of it in order."""
+    size, have, shared = len(template), Counter(), 0
+    want = Counter(template)
+    for i, w in enumerate(words):
+        have[w] += 1
+        shared += have[w] <= want[w]
+        if i >= size:
+            old = words[i - size]
+            shared -= have[old] <= want[old]
+            have[old] -= 1
+        lo = i - size + 1
+        if lo >= 0 and shared >= 0.9 * size and longest_common(words[lo : i + 1], template) >= 0.9 * size:
+            yield lo
+
+
+def test_against_all_windows(spark, make_docs):
+    """Whole texts of the documents table, and notices planted among them, window by window."""
+    table = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    texts = {r["doc_id"]: r["text"] or "" for r in table.collect()}
+    rng = random.Random(6)
+    for n, (name, template) in enumerate(TEMPLATES.items()):
+        words = template.split()
+        near = [w for w in words if len(words) < 20 or rng.random() > 0.02]
+        host = texts[rng.choice(sorted(texts))].split()
+        at = rng.randrange(len(host) + 1)
+        texts[1_000_000 + n] = " ".join([*host[:at], *near, *host[at:]])
+    docs = make_docs([(i, t) for i, t in texts.items()])
+    found = {r["doc_id"]: r["matches"] for r in scan_licenses(docs).collect()}
+    scanner, seen = Scanner(TEMPLATES, MIN_COVERAGE), 0
+    for i, text in texts.items():
+        words = words_of(text)
+        for name, template in scanner.templates.items():
+            mine = [m for m in found[i] if m["license"] == name]
+            for m in mine:
+                common = longest_common(words[m["start"] : m["end"]], template)
+                assert MIN_COVERAGE <= m["coverage"] <= common / len(template)
+            for lo in windows_like(words, template):
+                whole = all(
+                    any(words[p : p + b - a] == template[a:b] for p in range(lo, lo + len(template) - (b - a) + 1))
+                    for a, b in scanner.required[name]
+                )
+                if whole:
+                    seen += 1
+                    assert any(m["start"] < lo + len(template) and m["end"] > lo for m in mine), (i, name, lo)
+    assert seen >= len(TEMPLATES) - 2
