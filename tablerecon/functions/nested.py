@@ -14,13 +14,14 @@ from pyspark.sql import types as T
 from tablerecon.functions.text import let
 
 _OBJECT = "map<string,variant>"
-_PAIRS = "array<struct<d:variant,p:variant>>"
+_PAIRS = "array<struct<d:variant,p:variant,both:boolean>>"
 _ITEM = "struct<parent:int,key:string,siblings:int,n:variant,o:variant,over:boolean,both:boolean>"
 _VALUES = "array<struct<parent:int,key:string,siblings:int,value:variant>>"
 
 
 def is_object(col: Column) -> Column:
-    return F.coalesce(F.schema_of_variant(col).startswith("OBJECT"), F.lit(False))
+    # A struct without fields fits every object and nothing else; what lies below is not visited.
+    return F.try_variant_get(col, "$", "struct<>").isNotNull()
 
 
 def conform(col: Column, have: T.DataType, want: T.DataType) -> Column:
@@ -105,9 +106,8 @@ def _json_text(col: Column) -> Column:
     return F.coalesce(F.to_json(col), F.lit("null"))
 
 
-def _levels(doc: Column) -> Column:
-    """One step per object in the document: at least as many as it has levels."""
-    text = F.to_json(doc)
+def _levels(text: Column) -> Column:
+    """One step per object in the document's text: at least as many as it has levels."""
     return F.sequence(F.lit(0), F.coalesce(F.length(text) - F.length(F.replace(text, F.lit("{"), F.lit(""))), F.lit(0)))
 
 
@@ -124,31 +124,35 @@ def _members(upper: Column, lower: Column) -> Column:
 
 
 def json_differs(desired: Column, prior: Column) -> Column:
-    """Whether anything that ``desired`` holds is another value in ``prior``, at any depth."""
+    """Whether anything that ``desired`` holds is another value in ``prior``, at any depth.
+
+    Objects that meet are opened; only what is not an object on both sides is compared as text.
+    """
+
+    def pair(d: Column, p: Column) -> Column:
+        return F.struct(d.alias("d"), p.alias("p"), (is_object(d) & is_object(p)).alias("both"))
+
+    def held(x: Column) -> Column:
+        # a JSON null is a variant; only a key that the desired object lacks is null here
+        met = F.map_zip_with(x["d"].cast(_OBJECT), x["p"].cast(_OBJECT), lambda _k, n, o: F.struct(n.alias("n"), o.alias("o")))
+        own = F.filter(F.map_values(met), lambda m: m["n"].isNotNull())
+        return F.transform(own, lambda m: pair(m["n"], m["o"]))
 
     def step(state: Column, _i: Column) -> Column:
-        def judged(uneven: Column) -> Column:
-            objects = lambda x: is_object(x["d"]) & is_object(x["p"])
-            hit = state["hit"] | F.exists(uneven, lambda x: ~objects(x))
-            inside = F.transform(
-                F.filter(uneven, objects),
-                lambda x: F.transform(
-                    F.filter(_members(x["d"], x["p"]), lambda e: e["value"]["over"]),
-                    lambda e: F.struct(e["value"]["n"].alias("d"), e["value"]["o"].alias("p")),
-                ),
-            )
-            below = F.when(hit, F.array().cast(_PAIRS)).otherwise(F.flatten(inside).cast(_PAIRS))
-            return F.struct(hit.alias("hit"), below.alias("open"))
-
-        uneven = F.filter(state["open"], lambda x: _json_text(x["d"]) != _json_text(x["p"]))
-        return F.when(F.size(state["open"]) == 0, state).otherwise(let(uneven, judged))
-
-    def look(pair: Column) -> Column:
-        start = F.struct(F.lit(False).alias("hit"), F.array(pair).cast(_PAIRS).alias("open"))
-        walked = F.aggregate(_levels(pair["d"]), start, step, lambda s: s["hit"])
-        return F.when(_json_text(pair["d"]) == _json_text(pair["p"]), F.lit(False)).otherwise(walked)
-
-    return let(F.struct(desired.alias("d"), prior.alias("p")), look)
+        def judged(members: Column) -> Column:
+            hit = F.exists(members, lambda x: ~x["both"] & (_json_text(x["d"]) != _json_text(x["p"])))
+            return F.struct(hit.alias("hit"), F.filter(members, lambda x: x["both"]).alias("open"))
+
+        members = F.flatten(F.transform(state["open"], held))
+        return F.when(state["hit"] | (F.size(state["open"]) == 0), state).otherwise(let(members, judged))
+
+    def look(x: Column) -> Column:
+        start = F.struct(F.lit(False).alias("hit"), F.array(x["root"]).cast(_PAIRS).alias("open"))
+        walked = F.aggregate(_levels(x["text"]), start, step, lambda s: s["hit"])
+        same = x["text"] == _json_text(x["root"]["p"])
+        return F.when(same, F.lit(False)).when(x["root"]["both"], walked).otherwise(F.lit(True))
+
+    return let(F.struct(pair(desired, prior).alias("root"), _json_text(desired).alias("text")), look)
 
 
 def _item(parent: Column, key: Column, siblings: Column, n: Column, o: Column, over: Column) -> Column:
@@ -174,8 +178,8 @@ def _json_merged(new: Column, old: Column) -> Column:
 
     def down(levels: Column, _i: Column) -> Column:
         last = F.element_at(levels, -1)
-        below = F.flatten(F.transform(last, opened)).cast(level_type)
-        deeper = F.concat(levels, F.array(below)).cast(f"array<{level_type}>")
+        # no cast here: it would copy all levels at every step
+        deeper = F.concat(levels, F.array(F.flatten(F.transform(last, opened))))
         return F.when(F.exists(last, lambda x: x["both"]), deeper).otherwise(levels)
 
     def up(values: Column, level: Column) -> Column:
@@ -197,7 +201,7 @@ def _json_merged(new: Column, old: Column) -> Column:
 
     def both(pair: Column) -> Column:
         root = _item(F.lit(-1), none, F.lit(1), pair["n"], pair["o"], F.lit(True))
-        levels = F.aggregate(_levels(pair["n"]), F.array(F.array(root)).cast(f"array<{level_type}>"), down)
+        levels = F.aggregate(_levels(F.to_json(pair["n"])), F.array(F.array(root)).cast(f"array<{level_type}>"), down)
         values = F.aggregate(F.reverse(levels), F.array().cast(_VALUES), up)
         merged_all = F.element_at(values, 1)["value"]
         return F.when(is_object(pair["n"]) & is_object(pair["o"]), merged_all).otherwise(pair["n"])
