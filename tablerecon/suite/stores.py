@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tablerecon.errors import StalePlanError
 from tablerecon.functions.documents import parse
 from tablerecon.plans import TableStore, apply_changes, diff_fields, plan
-from tablerecon.session import scratch_path
+from tablerecon.session import materialize, scratch_path
 from tablerecon.streaming import apply_batch
 from tablerecon.suite.pairs import MONEY, ORDERS_PAIR, orders_live, orders_state
 from tablerecon.suite.registry import Tables, query
@@ -182,5 +182,5 @@ SELECT event_id, l || '{{"k":' || k || ',"z":{{"y":1}}}}' || r AS doc FROM opene
 def apply_json_any_depth(t: Tables) -> DataFrame:
     """The same documents applied: what the desired one holds is laid over the stored one, at every level."""
     desired, prior = _documents(t)
-    after = apply_changes(prior, plan(desired, prior, "event_id"), "event_id")
+    after = apply_changes(prior, materialize(plan(desired, prior, "event_id"), "changes"), "event_id")
     return after.select("event_id", F.to_json("doc").alias("doc"))
