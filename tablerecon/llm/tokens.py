@@ -1,9 +1,10 @@
 """Token ids of whole texts, fast enough for Arrow batches.
 
 The vocabulary file is a byte-level BPE in the ``tokenizers`` JSON format.  Its
-pre-tokenizer cuts a text so that nothing crosses the border before an optional
-space and a run without white space, so such chunks are encoded one by one and
-remembered: words come back often.  Results equal encoding the whole text with
+pre-tokenizer looks ahead only to leave the last white space of a run to the word
+behind it.  A text is cut at these places, so that a pattern without look-ahead, which
+runs as one automaton, takes the same pre-tokens.  Nothing is remembered between texts:
+a new word costs as much as a known one.  Results equal encoding the whole text with
 the ``tokenizers`` library, which finds the vocabulary's added tokens first: a text
 that spells one out holds its id there, unless they are asked to be plain text.
 """
@@ -14,18 +15,12 @@ import json
 import re
 from array import array
 
-import numpy as np
-
-# The pre-tokenizer's pattern and Unicode's white space.
-PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+# The pre-tokenizer's pattern without `\s+(?!\S)`, and Unicode's white space.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+"
 FAR_WHITE = "\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 WHITE = "\t-\r \x85\xa0" + FAR_WHITE
 
-CACHE_ENTRIES = 600_000
-BATCH_CHARS = 500_000
-
-_CHUNKS = re.compile(f" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
-_FAR_WHITE = re.compile(f"[{FAR_WHITE}]")
+_RUNS = re.compile(f"[{WHITE}]{{2,}}")
 
 
 def _byte_of_sign() -> dict[str, int]:
@@ -35,19 +30,6 @@ def _byte_of_sign() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
-def _plain(text: str) -> bool:
-    """Whether single spaces and line breaks, inside the text, are its only white space."""
-    if text[0] in " \n" or text[-1] == " ":
-        return False
-    if any(x in text for x in ("  ", "\n\n", " \n", "\n ", "\t", "\r", "\x0b", "\x0c", "\x85", "\xa0")):
-        return False
-    try:
-        text.encode("latin-1")
-    except UnicodeEncodeError:
-        return not _FAR_WHITE.search(text)
-    return True
-
-
 class Encoder:
     """Ids as little-endian unsigned 32-bit numbers."""
 
@@ -71,47 +53,6 @@ class Encoder:
         }
         coder = tiktoken.Encoding("vocabulary", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         self._ids = coder.encode_ordinary
-        self._chunks: dict[str, bytes] = {}
-        self._words: dict[str, bytes] = {}
-        self._break = array("I", self._ids("\n"))
-
-    def _learn_words(self, new: list[str]) -> None:
-        """New parts of plain texts: after a space, or after the line break in front of them.
-
-        They are encoded together, one line each; the id of a line break then parts them.
-        """
-        cut = self._break[0]
-        after_space = [p for p in new if p[0] != "\n"]
-        after_break = [p for p in new if p[0] == "\n" and len(p) > 1]
-        lead = self._break.tobytes()
-        self._words["\n"] = lead
-        for parts, text, first in (
-            (after_space, "\n".join([" " + p for p in after_space]), b""),
-            (after_break, "".join(after_break)[1:], lead),
-        ):
-            if parts:
-                ids = np.array(self._ids(text), "<u4")
-                ends = [*np.flatnonzero(ids == cut).tolist(), len(ids)]
-                if len(ends) != len(parts):
-                    raise ValueError("the vocabulary merges line breaks with other text")
-                data, start = ids.tobytes(), 0
-                for part, end in zip(parts, ends, strict=True):
-                    self._words[part] = first + data[4 * start : 4 * end]
-                    start = end + 1
-
-    def _plain_batch(self, texts: list[str]) -> list[bytes]:
-        lists = [("\n" + t).replace("\n", " \n").split(" ")[1:] for t in texts]
-        if len(self._words) >= CACHE_ENTRIES:
-            self._words = {}
-        known = [list(map(self._words.get, parts)) for parts in lists]
-        partly = [i for i, ids in enumerate(known) if None in ids]
-        new = {p for i in partly for p, ids in zip(lists[i], known[i], strict=True) if ids is None}
-        self._learn_words(list(new))
-        words = self._words
-        for i in partly:
-            known[i] = [words[p] if ids is None else ids for p, ids in zip(lists[i], known[i], strict=True)]
-        skip = 4 * len(self._break)
-        return [b"".join(ids)[skip:] for ids in known]
 
     def _with_added(self, text: str) -> bytes:
         """Added tokens as they stand, what lies between them as texts of their own."""
@@ -119,48 +60,30 @@ class Encoder:
         return b"".join(self._added[p] if i % 2 else self._any(p) for i, p in enumerate(pieces))
 
     def _any(self, text: str) -> bytes:
-        out = []
-        for chunk in _CHUNKS.findall(text):
-            ids = self._chunks.get(chunk)
-            if ids is None:
-                if len(self._chunks) >= CACHE_ENTRIES // 8:
-                    self._chunks = {}
-                ids = self._chunks[chunk] = array("I", self._ids(chunk)).tobytes()
-            out.append(ids)
-        return b"".join(out)
+        out, at = array("I"), 0
+        for run in _RUNS.finditer(text):
+            if run.end() < len(text):
+                # the run but its last sign is a pre-token; the last sign begins the next part
+                for end in (run.start(), run.end() - 1):
+                    out += array("I", self._ids(text[at:end]))
+                    at = end
+        out += array("I", self._ids(text[at:]))
+        return out.tobytes()
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
-        out = [b""] * len(texts)
-        held: list[int] = []
-        size = 0
-        for i, text in enumerate(texts):
-            if not text:
-                continue
-            if self._spelled and any(t in text for t in self._added):
-                out[i] = self._with_added(text)
-                continue
-            if not _plain(text):
-                out[i] = self._any(text)
-                continue
-            held.append(i)
-            size += len(text)
-            if size > BATCH_CHARS:
-                for k, ids in zip(held, self._plain_batch([texts[k] for k in held]), strict=True):
-                    out[k] = ids
-                held, size = [], 0
-        for k, ids in zip(held, self._plain_batch([texts[k] for k in held]), strict=True):
-            out[k] = ids
-        return out
+        return [self.encode(text) for text in texts]
 
     def encode(self, text: str) -> bytes:
-        return self.encode_batch([text])[0]
+        if self._spelled and any(t in text for t in self._added):
+            return self._with_added(text)
+        return self._any(text)
 
 
 _ENCODERS: dict[tuple[str, bool], Encoder] = {}
 
 
 def encoder(vocabulary: str, added_tokens: bool = True) -> Encoder:
-    """One per worker process, with what it remembers."""
+    """One per worker process."""
     key = (vocabulary, added_tokens)
     if key not in _ENCODERS:
         _ENCODERS[key] = Encoder(vocabulary, added_tokens)

@@ -120,3 +120,20 @@ def test_added_tokens_as_the_library_has_them(tokenizer):
     texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>\n y", "<|endoftext|", " <|endoftext|>é  z", "| <|endoftext |>"]
     for text, ids in zip(texts, coder.encode_batch(texts), strict=True):
         assert np.frombuffer(ids, "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_white_runs_are_cut_as_the_library_does(tokenizer):
+    signs = [" ", "\n", "\t", "\u3000", "\x85", "\x1c", "a", "1", "!"]
+    texts = ["".join(x) for n in range(1, 5) for x in itertools.product(signs, repeat=n)]
+    texts += [" " * 300, "a" + "\n" * 300, " " * 300 + "b", "a \n " * 50 + "'s", "x" + " " * 200_000 + "y" + " " * 200_000]
+    want = [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert Encoder(VOCABULARY).encode_batch(texts) == want
+
+
+def test_encoder_remembers_no_words():
+    """New words cost no more than known ones, in time or memory."""
+    coder = Encoder(VOCABULARY)
+    held = lambda: {k: len(v) for k, v in vars(coder).items() if hasattr(v, "__len__")}
+    before = held()
+    coder.encode_batch([" ".join(f"w{i}x{k}" for k in range(50)) + "\n\nend" for i in range(40)])
+    assert held() == before
