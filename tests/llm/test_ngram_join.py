@@ -2,6 +2,7 @@ import random
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tablerecon.llm import ngram_join
 from tablerecon.llm.components import components
@@ -255,3 +256,46 @@ def test_word_hashes(monkeypatch):
     # cutting a long text into pieces changes nothing
     monkeypatch.setattr(ngram_join, "_PIECE_BYTES", 64)
     assert all((ngram_join.word_hashes(t.encode()) == h).all() for t, h in zip(texts, whole, strict=True))
+
+
+@pytest.mark.parametrize("piece_bytes", [1 << 22, 700, 1])
+def test_sets_of_a_column_equal_those_of_its_texts(monkeypatch, piece_bytes):
+    monkeypatch.setattr(ngram_join, "_PIECE_BYTES", piece_bytes)
+    found = texts(21, 20, 5, length=60)
+    found += [None, "", " ", "a", "a b c d", "a b c d e", "A\tb\nc\x0bd\x0ce\rf", "é😀　x y z", "", "w" * 511 + " " + "W" * 512 + " " + "w" * 3_000]
+    found += [" ".join("ab"[:n % 3] * 9 + "x" * n for n in range(40)), None]
+    shingle = ngram_join.Shingler()
+    for kind in (pa.string(), pa.large_string()):
+        column = pa.array(["left out", *found, "this too"], kind).slice(1, len(found))
+        got = [s.tolist() for s in shingle.sets(column)]
+        assert got == [shingle(t or "").tolist() for t in found]
+        assert [len(s) for s in got] == [len(shingles(t)) for t in found] and all(s == sorted(s) for s in got)
+    assert list(shingle.sets(pa.array([], pa.string()))) == []
+    # sets meet where words do
+    for i, a in enumerate(found):
+        for j in range(i):
+            assert len(set(got[i]) & set(got[j])) == len(shingles(a) & shingles(found[j]))
+
+
+def test_texts_of_a_batch_are_hashed_at_once(monkeypatch):
+    calls = []
+    plain = ngram_join._piece_hashes
+    monkeypatch.setattr(ngram_join, "_piece_hashes", lambda *x: calls.append(1) or plain(*x))
+    batch = pa.record_batch({"doc_id": pa.array(range(1_000)), "text": [f"one two three four five {i}" for i in range(1_000)]})
+    out = list(ngram_join._count_task(Layout(5_000, 2), 5, pa.int64())(iter([batch])))
+    assert sum(n or 0 for b in out for n in b.column("n").to_pylist()) == 2_000 and len(calls) < 10
+
+
+def test_prefixes_are_the_first_of_their_order():
+    rng = np.random.default_rng(3)
+    known = object.__new__(ngram_join.Frequencies)
+    for n in (1, 2, 7, 60, 400):
+        tokens = np.sort(rng.integers(0, 2**63, n, dtype=np.uint64))
+        for share in (0, 0.3, 0.9, 1):
+            powers = (rng.random(n) < share) * rng.integers(1, 9, n)
+            p = prefix_length(n, 75)
+            for factor in (None, *ngram_join._ORDER_FACTORS):
+                rank = tokens if factor is None else tokens * np.uint64(factor)
+                want = tokens[np.lexsort((rank, powers))[:p]].tolist()
+                found = known.prefix(tokens, 75, factor, powers).tolist()
+                assert found == want if factor is None else sorted(found) == sorted(want)
